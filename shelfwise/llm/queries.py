@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, fingerprints, mixing, packing, quality, tokens, toxicity
+from shelfwise.llm import chat, fingerprints, mixing, near_dups, packing, quality, tokens, toxicity
 from shelfwise.llm.tables import table
 
 #: A conversation that tries the template's escapes.
@@ -28,6 +28,10 @@ def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_minhash_near_dups(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_document_fingerprints(spark, sf_dir):
     return fingerprints.compared_with_edits(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
         op3_toxicity,
         op4_chat_formatting,
         op6_token_counts,
+        op7_minhash_near_dups,
         op8_document_fingerprints,
         op9_mixing_sources,
         op10_best_fit_packing,
