@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, fingerprints, mixing, near_dups, packing, quality, tokens, toxicity
+from shelfwise.llm import chat, fingerprints, mixing, near_dups, neighbours, packing, quality, tokens, toxicity
 from shelfwise.llm.tables import table
 
 #: A conversation that tries the template's escapes.
@@ -24,6 +24,10 @@ def op4_chat_formatting(spark, sf_dir):
     return chat.read_back(turns.unionByName(spark.sql(TRIAL)))
 
 
+def op5_embedding_near_dups(spark, sf_dir):
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ QUERIES = {
         op1_quality_classifier,
         op3_toxicity,
         op4_chat_formatting,
+        op5_embedding_near_dups,
         op6_token_counts,
         op7_minhash_near_dups,
         op8_document_fingerprints,

@@ -39,9 +39,21 @@ PIECES = {
     "spaced": re.compile(rf" ?[{_LETTER}]++(?=[{_SPACE}{_PLAIN}]|\Z)| ?[{_PLAIN}]++(?=[{_SPACE}{_LETTER}]|\Z)|{_WHOLE}"),
     "bare": re.compile(rf"[{_LETTER}]++(?=[{_SPACE}{_PLAIN}]|\Z)|[{_PLAIN}]++(?=[{_SPACE}{_LETTER}]|\Z)|[^{_SPACE}]+"),
 }
+#: A piece that is one pre-token of letters: the model alone encodes it, without the steps before.
+_LETTERS = re.compile(rf" ?[{_LETTER}]+")
 _STABLE = re.compile(rf"(?<=[^{_SPACE}{_ANY_SPACE}])[{_SPACE}]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level tokenizers write for bytes: printable ones stand for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def _shape(path: str) -> str | None:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -66,6 +78,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.shape = _shape(path)
         self.huge, self.chunk, self.overlap = huge_chars, chunk_chars, overlap_chars
         self.ids_of: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
@@ -74,10 +87,19 @@ class Encoder:
     def _learn(self, memo: dict, pieces: set[str], value: Callable) -> None:
         if len(memo) > MEMO:
             memo.clear()
-        new = list(pieces.difference(memo))
+        new = []
+        for piece in pieces.difference(memo):
+            if _LETTERS.fullmatch(piece):
+                memo[piece] = value(self._letters(piece))
+            else:
+                new.append(piece)
         for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             memo[piece] = value(e.ids)
 
+    def _letters(self, piece: str) -> list[int]:
+        known = piece.lower() if self.shape == "bare" else piece
+        return [t.id for t in self.model.tokenize(known.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.shape and len(text) <= self.huge:
@@ -101,7 +123,13 @@ class Encoder:
         if len(words) > MEMO:
             words.clear()
         new = set(rest).difference(words)
-        led = {w: PIECES[self.shape].findall(" " + w if self.shape == "spaced" else w) for w in new if w and not w[-1].isspace()}
+        lead = " " if self.shape == "spaced" else ""
+        led = {}
+        for w in new:
+            if _LETTERS.fullmatch(w):
+                words[w] = value(self._letters(lead + w))
+            elif w and not w[-1].isspace():
+                led[w] = PIECES[self.shape].findall(lead + w)
         self._learn(fine, {p for pieces in led.values() for p in pieces}, value)
         for w, pieces in led.items():
             words[w] = self._sum(map(fine.__getitem__, pieces), value)
