@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, fingerprints, mixing, near_dups, neighbours, packing, quality, tokens, toxicity
+from shelfwise.llm import chat, fingerprints, mixing, near_dups, neighbours, packing, quality, suffixes, tokens, toxicity
 from shelfwise.llm.tables import table
 
 #: A conversation that tries the template's escapes.
@@ -15,6 +15,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffixes.removed_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_suffix_array_dedup,
         op3_toxicity,
         op4_chat_formatting,
         op5_embedding_near_dups,
