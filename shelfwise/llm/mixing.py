@@ -100,7 +100,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     left = F.when(F.col("__size") > 0, taken - F.floor(taken / F.col("__size")) * F.col("__size")).otherwise(0)
     parts = F.concat(F.array_repeat(F.col("__size"), whole.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))
     taken_rows = joined.withColumn("__words", F.explode(parts))
-    cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', cast(__words as string), '}'), 0)")
+    heads = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(heads, F.lit(1), F.col("__words").cast("int")), "")
     out = taken_rows.withColumn("text", F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
