@@ -1,24 +1,30 @@
-"""The registered queries of the catalogue engine and their DuckDB equivalents."""
+"""The registered queries of the catalogue engine and their DuckDB equivalents, from one record each."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-FLAGSHIP = "largest_orders"
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "dup_keepers"
 
-def largest_orders(spark, sf_dir):
-    """Each customer's largest order (ties: the smallest order key)."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey")))
-    return orders.groupBy("o_custkey").agg(best.alias("b")).select("o_custkey", F.col("b.o_orderkey").alias("o_orderkey"), F.col("b.o_totalprice").alias("o_totalprice"))
 
+def query(sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame under its name, with the SQL that DuckDB runs for the same rows."""
 
-QUERIES = {"largest_orders": largest_orders}
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-ORACLE_SQL = {
-    "largest_orders": """
-select o_custkey, o_orderkey, o_totalprice from orders
-qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1
-""",
-}
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from shelfwise.queries import catalogue, clusters, duplicates, episodes, journals, names, scoring  # noqa: E402, F401
