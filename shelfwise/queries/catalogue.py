@@ -1 +1,118 @@
-"""Queries."""
+"""Path and folder queries; the URLs of pages stand for paths, their HTML for metadata files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions import paths
+from shelfwise.operators import trees
+from shelfwise.registry import query, read
+
+_PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+_SQL_PATH = f"rtrim({_PATH}, '/')"
+
+
+def _pages(spark, d):
+    return read(spark, d, "pages").select("page_id", F.expr(f"rtrim('/', {_PATH})").alias("path"), F.length("html").cast("long").alias("size"), "html")
+
+
+@query(f"""
+select page_id, nullif(regexp_extract({_SQL_PATH}, '/([0-9]+)(?:\\.html)?$', 1), '') as item_id,
+  nullif(regexp_extract({_SQL_PATH}, '/(en|de|fr|es)/', 1), '') as lang,
+  nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') as page, nullif(regexp_extract({_SQL_PATH}, '\\.([^./]+)$', 1), '') as ext from pages
+""")
+def url_ids(spark, d):
+    """Ids and tags in names, null where there is none."""
+    rows = _pages(spark, d).join(read(spark, d, "pages").select("page_id", "url"), "page_id")
+    p = F.col("path")
+    return rows.select(
+        "page_id",
+        paths.found(p, r"/([0-9]+)(?:\.html)?$").alias("item_id"),
+        paths.found(p, "/(en|de|fr|es)/").alias("lang"),
+        paths.found(F.col("url"), "[?&]page=([0-9]+)").alias("page"),
+        paths.found(p, r"\.([^./]+)$").alias("ext"),
+    )
+
+
+@query(f"""
+with p as (select page_id, {_SQL_PATH} as path, length(html) as size from pages),
+a as (select *, unnest(range(1, len(string_split(path, '/')))) as k from p)
+select array_to_string(string_split(path, '/')[1:k], '/') as folder, count(*)::bigint as files, sum(size)::bigint as total,
+       count(*) filter (where k = len(string_split(path, '/')) - 1)::bigint as direct_files
+from a group by 1
+""")
+def url_path_rollup(spark, d):
+    """Files and bytes of each folder, all levels."""
+    return trees.subtree_totals(_pages(spark, d), "path", "size")
+
+
+@query(f"""
+with p as (select page_id, {_SQL_PATH} as path from pages),
+a as (select *, unnest(range(1, len(string_split(path, '/')))) as k from p),
+f as (select page_id, k, array_to_string(string_split(path, '/')[1:k], '/') as folder from a),
+t as (select array_to_string(string_split(path, '/')[1:2], '/') as folder from p group by 1 having count(*) > 1
+      union select string_split(path, '/')[1] from p group by 1 having count(*) > 3)
+select page_id, arg_max(folder, k) as nearest from f join t using (folder) group by 1
+""")
+def nearest_title_folder(spark, d):
+    """Each file's nearest ancestor that is a title folder."""
+    pages = _pages(spark, d).select("page_id", "path")
+    both = [pages.groupBy(F.substring_index("path", "/", n).alias("folder")).count().where(f"count > {k}").select("folder") for n, k in ((2, 1), (1, 3))]
+    return trees.nearest(pages, both[0].union(both[1]), "path").select("page_id", "nearest")
+
+
+@query(f"""
+with p as (select page_id, {_SQL_PATH} as path from pages),
+t as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as title from p union select path from p where path like '%.html'),
+u as (select title, page_id from t join p on starts_with(lower(path), lower(title) || '/')),
+s as (select title, page_id from t join p on title like '%.html'
+      and lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) = lower(regexp_extract(title, '^(.*)/[^/]*$', 1))
+      and starts_with(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')), lower(regexp_replace(regexp_extract(title, '[^/]*$'), '\\.[^.]*$', ''))))
+select * from u union select * from s
+""")
+def title_files_prefix(spark, d):
+    """Titles with their files; the prefix join as an equality of ancestors."""
+    pages = _pages(spark, d).select("page_id", "path")
+    folders = pages.select(paths.parent(F.col("path")).alias("title"))
+    titles = folders.union(pages.where("path like '%.html'").select("path")).distinct()
+    return trees.files_of_titles(titles, pages, "title", "path").select("title", "page_id")
+
+
+@query("""
+select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title,
+       nullif(regexp_extract(html, '(tt[0-9]{6,})', 1), '') as imdb_id from pages
+""")
+def html_title_fallback(spark, d):
+    """Title and id of markup by patterns alone."""
+    found = paths.nfo_ids(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.nullif(found["title"], F.lit("")).alias("title"), found["imdb_id"].alias("imdb_id"))
+
+
+@query(f"""
+with p as (select page_id, case page_id % 7 when 0 then 'Movie (1999)/' || page_id || '.mkv' when 1 then 'fanart' || page_id || '.jpg' when 2 then 'Poster.PNG'
+   when 3 then 'x.srt' when 4 then 'movie.nfo' when 5 then 'Extras/cut.mp4' else 'a.txt' end as name from pages)
+select page_id, name, case when lower(name) similar to '.*\\.(mkv|mp4)' then 'video' when lower(name) like '%.srt' then 'subtitle' when lower(name) like '%.nfo' then 'nfo'
+   when lower(name) like '%fanart%' then 'fanart' when lower(name) like '%poster%' then 'poster' else 'other' end as role, lower(name) like '%extra%' as extra from p
+""")
+def file_roles(spark, d):
+    """Roles by extension and name, and whether a file looks like an extra."""
+    k = F.col("page_id") % 7
+    name = F.when(k == 0, F.concat(F.lit("Movie (1999)/"), F.col("page_id").cast("string"), F.lit(".mkv"))).when(k == 1, F.concat(F.lit("fanart"), F.col("page_id").cast("string"), F.lit(".jpg")))
+    for n, v in ((2, "Poster.PNG"), (3, "x.srt"), (4, "movie.nfo"), (5, "Extras/cut.mp4")):
+        name = name.when(k == n, v)
+    rows = read(spark, d, "pages").select("page_id", name.otherwise("a.txt").alias("name"))
+    return rows.select("page_id", "name", paths.role(F.col("name")).alias("role"), paths.looks_like_extra(F.col("name")).alias("extra"))
+
+
+@query("""
+select o_orderkey, nullif(regexp_extract(n, '\\{imdb-(tt[0-9]{6,})\\}', 1), '') as imdb_id,
+  case when n like '%{tmdb-%' then o_orderkey end as tmdb_id, (1990 + o_orderkey % 30)::int as year
+from (select *, 'Show (' || (1990 + o_orderkey % 30) || ') ' || case when o_orderkey % 2 = 0 then '{imdb-tt' || lpad(o_orderkey::varchar, 7, '0') || '}'
+      else '{tmdb-' || o_orderkey || '}' end as n from orders)
+""")
+def folder_ids(spark, d):
+    """Ids and years in tagged folder names."""
+    key = F.col("o_orderkey")
+    tag = F.when(key % 2 == 0, F.concat(F.lit("{imdb-tt"), F.lpad(key.cast("string"), 7, "0"), F.lit("}"))).otherwise(F.concat(F.lit("{tmdb-"), key.cast("string"), F.lit("}")))
+    name = F.concat(F.lit("Show ("), (1990 + key % 30).cast("string"), F.lit(") "), tag)
+    return read(spark, d, "orders").select("o_orderkey", name.alias("n")).select("o_orderkey", paths.ids_in_name(F.col("n")).alias("i")).select("o_orderkey", "i.*")

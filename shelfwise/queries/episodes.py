@@ -50,8 +50,8 @@ def extra_ranges(spark, d):
 a as (select o_orderkey, list(episode) as have from owned group by 1)
 select o_orderkey, len(expected)::int as n_expected, len(have)::int as n_have,
   case when expected is null then 'unexpected' when have is null then 'missing'
-       when len(list_filter(expected, lambda e: not list_contains(have, e))) > 0 then 'incomplete'
-       when len(list_filter(have, lambda e: not list_contains(expected, e))) > 0 then 'extra' else 'complete' end as status
+       when len(list_intersect(expected, have)) < len(expected) then 'incomplete'
+       when len(list_intersect(expected, have)) < len(have) then 'extra' else 'complete' end as status
 from x full join a using (o_orderkey)
 """)
 def season_status(spark, d):

@@ -1 +1,134 @@
-"""Queries."""
+"""Name queries; names are made from parts and line items, so that every pattern occurs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.functions import names
+from shelfwise.registry import query, read
+
+_RAW = "case p_partkey % 5 when 0 then p_name || ': ' || p_brand when 1 then p_brand || '/' || p_name when 2 then '<' || p_name || '>?' when 3 then 'con' else p_name || '. . ' end"
+
+
+def _clean(colon, slash, open_, close, limit, empty):
+    out = f"regexp_replace(regexp_replace({_RAW}, '\\s*:\\s*', '{colon}', 'g'), '[/\\\\]', '{slash}', 'g')"
+    out = f"replace(replace({out}, '<', '{open_}'), '>', '{close}')"
+    out = f"regexp_replace({out}, '[\"*?|]', '', 'g')"
+    out = f"regexp_replace(trim(regexp_replace({out}, ' +', ' ', 'g')), '[. ]+$', '')"
+    return f"case when {out} = 'con' then 'con_' when {out} = '' then '{empty}' else substr({out}, 1, {limit}) end"
+
+
+@query(f"""
+select p_partkey, {_clean(' - ', ' ', '(', ')', 180, '_')} as movie, {_clean(' - ', '-', '', '', 120, 'untitled')} as tv, {_clean(' - ', '-', '', '', 100, '')} as music from part
+""")
+def sanitize_profiles(spark, d):
+    """Names made safe by three profiles."""
+    rows = read(spark, d, "part").select("p_partkey", F.expr(_RAW).alias("raw"))
+    return rows.select("p_partkey", *[names.sanitized(F.col("raw"), p).alias(p) for p in ("movie", "tv", "music")])
+
+
+@query("""
+select p_partkey, case when p_size > 45 then '' else p_name || ' (' || (1950 + p_size) || ') {imdb-tt' || lpad(p_partkey::varchar, 7, '0') || '}' end as folder,
+  case when p_size % 10 = 0 then 'Specials' else 'Season ' || lpad((p_size % 10)::varchar, 2, '0') end as season,
+  'S' || lpad((p_size % 10)::varchar, 2, '0') || 'E' || case when p_partkey % 150 < 10 then '0' else '' end || (p_partkey % 150)
+    || case when p_partkey % 3 = 0 then '-E' || case when p_partkey % 150 + 1 < 10 then '0' else '' end || (p_partkey % 150 + 1) else '' end as key
+from part
+""")
+def target_templates(spark, d):
+    """Folders, seasons and episode keys by template."""
+    episode = F.col("p_partkey") % 150
+    year = F.when(F.col("p_size") <= 45, 1950 + F.col("p_size"))
+    imdb = F.concat(F.lit("tt"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"))
+    season = F.col("p_size") % 10
+    key = names.episode_key(season, episode, F.when(F.col("p_partkey") % 3 == 0, episode + 1))
+    return read(spark, d, "part").select("p_partkey", names.movie_target(F.col("p_name"), year, imdb).alias("folder"), names.season_folder(season).alias("season"), key.alias("key"))
+
+
+@query("""
+select s_suppkey, case s_suppkey % 4 when 0 then 'S' when 1 then '0-9' when 2 then '_Other' else '_Unknown' end as letter from supplier
+""")
+def letter_bucket(spark, d):
+    """Letters to file artists under."""
+    k = F.col("s_suppkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("The "), "s_name")).when(k == 1, F.substring("s_name", 10, 9)).when(k == 2, "éa").otherwise("The  ")
+    name = F.when(k == 3, " ").otherwise(name)
+    return read(spark, d, "supplier").select("s_suppkey", names.letter(name).alias("letter"))
+
+
+@query("""
+select p_partkey, row_number() over (order by ltrim(ltrim(lower(p_name), 'the '), 'a '), p_partkey)::int as place from part
+""")
+def article_sort(spark, d):
+    """Places in a list that sorts without articles. A report's order over one small list of names."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(names.article_sort_key(F.col("p_name")), "p_partkey"))
+    return read(spark, d, "part").select("p_partkey", place.alias("place"))
+
+
+_NAME = """case l_orderkey % 6
+ when 0 then 'My.Show.S' || lpad((l_partkey % 30)::varchar, 2, '0') || 'E' || lpad(l_linenumber::varchar, 2, '0') || '.720p.mkv'
+ when 1 then 'My Show ' || (l_partkey % 30) || 'x' || lpad(l_linenumber::varchar, 2, '0') || '.avi'
+ when 2 then 'Episode ' || l_linenumber || '.mp4' when 3 then l_linenumber || ' - Name.mkv'
+ when 4 then 'My.Show.S01E' || lpad(l_linenumber::varchar, 2, '0') || '-E' || lpad((l_linenumber + 1)::varchar, 2, '0') || '.mkv'
+ else 'Nothing here.mkv' end"""
+_SPARK_NAME = _NAME.replace("::varchar", "")
+
+
+def _named(spark, d):
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_SPARK_NAME).alias("name"), F.concat(F.lit("Season "), (F.col("l_partkey") % 30).cast("string")).alias("folder"))
+
+
+@query(f"""
+select l_orderkey, l_linenumber, l_partkey, {_NAME} as name,
+  case l_orderkey % 6 when 4 then 1 when 5 then null else l_partkey % 30 end::int as season,
+  case when l_orderkey % 6 < 5 then l_linenumber end::int as episode, case when l_orderkey % 6 = 4 then l_linenumber + 1 end::int as last,
+  case l_orderkey % 6 when 0 then 's_e' when 1 then 'x_form' when 2 then 'season_ep' when 3 then 'season_bare' when 4 then 's_e' end as pattern,
+  case l_orderkey % 6 when 0 then 95 when 1 then 88 when 2 then 80 when 3 then 65 when 4 then 90 end::int as confidence
+from lineitem
+""")
+def episode_parse(spark, d):
+    """Episodes out of names, every pattern."""
+    rows = _named(spark, d).withColumn("e", names.parsed_episode(F.col("name"), F.col("folder")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "name", "e.*")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, case l_orderkey % 6 when 0 then 'My Show' when 1 then 'My Show' when 4 then 'My Show' when 2 then 'Episode ' || l_linenumber
+  when 3 then l_linenumber || ' - Name' else 'Nothing here' end as series from lineitem
+""")
+def series_from_name(spark, d):
+    return _named(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", names.series_name(F.col("name")).alias("series"))
+
+
+@query(r"""
+select doc_id, array_to_string([t for t in string_split_regex(lower(substr(text, 1, 120)), '[^a-z0-9]+') if length(t) > 1
+  and t not in ('the', 'a', 'an', 'and', 'of', 'in', 'on', 'at', 'to', 'for', 'with', '1080p', '720p', '2160p', '480p', 'bluray', 'webrip', 'web', 'hdtv', 'dvdrip', 'x264', 'x265', 'h264', 'hevc', 'aac', 'dts', 'proper', 'repack')
+  and not regexp_full_match(t, '(19|20)[0-9]{2}')], ' ') as tokens
+from documents where not regexp_matches(substr(text, 1, 120), '[\[(]|\.[a-zA-Z0-9]{2,4}$')
+""")
+def folder_tokens(spark, d):
+    """Telling words of names: the first 120 characters of documents without brackets stand for folder names."""
+    rows = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("name")).where(r"not name rlike '[\\[(]|[.][a-zA-Z0-9]{2,4}$'")
+    return rows.select("doc_id", F.array_join(names.folder_tokens(F.col("name")), " ").alias("tokens"))
+
+
+@query("select p_partkey, case when p_partkey % 2000 between 0 and 1899 then p_partkey % 2000 end::int as number from part")
+def leading_number(spark, d):
+    """Numbers in front of names that are no years."""
+    name = F.concat((F.col("p_partkey") % 2000).cast("string"), F.lit(" - "), "p_name")
+    return read(spark, d, "part").select("p_partkey", names.leading_number(name).alias("number"))
+
+
+@query("""
+select p_partkey, case p_partkey % 4 when 0 then 'Extended' when 1 then 'Director''s Cut' when 2 then 'Fan' end as variant,
+  p_name as title, lpad((p_partkey % 20)::varchar, 2, '0') as track, (1990 + p_size)::int as year from part
+""")
+def tag_cleaning(spark, d):
+    """Variants, cleaned titles, track numbers and years of tags."""
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat("p_name", F.lit(".extended.cut"))).when(k == 1, "x.directors.cut").when(k == 2, "{edition-Fan} extended").otherwise("p_name")
+    title = F.concat("p_name", F.lit(" (live (at [home])) feat. someone"))
+    track, date = F.concat((F.col("p_partkey") % 20).cast("string"), F.lit("/20")), F.concat((1990 + F.col("p_size")).cast("string"), F.lit("-01-02"))
+    return read(spark, d, "part").select("p_partkey", names.variant(name).alias("variant"), names.cleaned(title).alias("title"), names.track_of(track).alias("track"), names.year_of(date).alias("year"))
