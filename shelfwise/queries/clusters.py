@@ -1 +1,133 @@
-"""Queries."""
+"""Clustering, content and retrieval queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.operators import graph, retrieval
+from shelfwise.registry import query, read
+
+_CLUSTERS = f"""
+with recursive s as (select doc_id, array_to_string(string_split_regex(lower(text), '\\s+')[1:12], ' ') as name from documents where text <> ''),
+t as (select doc_id, list_sort(list_distinct([w for w in string_split(name, ' ') if length(w) > 1])) as words from s),
+e as (select a.doc_id as a, b.doc_id as b from t a join t b on a.doc_id <> b.doc_id and len(a.words) > 0 and len(b.words) > 0
+      and len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.7),
+r as (select a as id, a as peer from e union select r.id, e.b from r join e on r.peer = e.a),
+c as (select id, min(peer) as component from r group by 1)
+"""
+
+
+def _names(spark, d):
+    words = F.slice(F.split(F.lower("text"), r"\s+"), 1, 12)
+    return read(spark, d, "documents").where("text <> ''").select("doc_id", F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))).alias("words"))
+
+
+def _clusters(spark, d):
+    return graph.components(graph.similar_pairs(_names(spark, d), "doc_id", "words", 0.7))
+
+
+@query(_CLUSTERS + "select id as doc_id, component from c")
+def merge_clusters(spark, d):
+    """Names that belong together: pairs by words, then components."""
+    return _clusters(spark, d).select(F.col("id").alias("doc_id"), "component")
+
+
+@query(_CLUSTERS + """,
+n as (select component, count(*) as n from c group by 1 having count(*) between 3 and 100),
+w as (select component, word, count(*) as held from (select component, unnest(words) as word from c join t on doc_id = id) group by all),
+l as (select component, list_sort(list(word) filter (where held = n)) as every, list_sort(list(word) filter (where held >= ceil(n / 2))) as most from w join n using (component) group by 1)
+select component, array_to_string(case when len(coalesce(every, [])) > 0 then every else coalesce(most, []) end, ' ') as words from l
+""")
+def cluster_shared_words(spark, d):
+    """The words of groups of 3 to 100 names."""
+    parts = _clusters(spark, d)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where("n between 3 and 100").select("component")
+    members = parts.join(sizes, "component").join(_names(spark, d).withColumnRenamed("doc_id", "id"), "id")
+    return graph.shared_words(members, "component", "words")
+
+
+@query("""
+with recursive f as (select vec_id, label, [case when x > 0 then 1 else 0 end for x in embedding] as bits from embeddings),
+e as (select a.vec_id as a, b.vec_id as b from f a join f b on a.label = b.label and a.vec_id <> b.vec_id
+      and list_sum([abs(a.bits[i] - b.bits[i]) for i in range(1, 65)]) / 64 <= 0.3),
+r as (select a as id, a as peer from e union select r.id, e.b from r join e on r.peer = e.a)
+select id as vec_id, min(peer) as component from r group by 1
+""")
+def fingerprint_clusters(spark, d):
+    """Fingerprints (signs of embeddings, two 32-bit numbers) in one bucket whose bits differ in up to three tenths."""
+    number = lambda o: F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when(F.element_at("embedding", i + o) > 0, F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    prints = read(spark, d, "embeddings").select("vec_id", "label", F.array(number(0), number(32)).alias("fp"))
+    a, b = prints.select("label", F.col("vec_id").alias("a"), F.col("fp").alias("fa")), prints.select("label", F.col("vec_id").alias("b"), F.col("fp").alias("fb"))
+    links = a.join(b, "label").where((F.col("a") < F.col("b")) & (graph.bit_error_rate(F.col("fa"), F.col("fb")) <= 0.3))
+    return graph.components(links.select("a", "b")).select(F.col("id").alias("vec_id"), "component")
+
+
+@query("""
+with c as (select user_id, event_type, count(*) as n, min(event_id) as seen from events group by all)
+select user_id, arg_min(event_type, (-n, seen)) as dominant, max(n)::bigint as n, (sum(n) - max(n))::bigint as others from c group by 1
+""".replace("arg_min(event_type, (-n, seen))", "first(event_type order by n desc, seen)"))
+def dominant_value_ties(spark, d):
+    """Each user's most frequent event, the first seen on ties."""
+    return graph.dominant(read(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""
+with n as (select source, lang, count(*) as n, min(doc_id) as seen from documents group by all),
+m as (select source, first(lang order by n desc, seen) as dominant, max(n)::bigint as n, (sum(n) - max(n))::bigint as others from n group by 1)
+select *, case when n + others < 2 then 'too_few' when contains(source, substr(dominant, 1, 1)) or n / (n + others) >= 0.6 then 'ok' else 'mixed' end as verdict from m
+""")
+def mixed_content_verdict(spark, d):
+    """Whether a folder's files agree with each other and its name."""
+    found = graph.dominant(read(spark, d, "documents"), ["source"], "lang", "doc_id")
+    agrees = F.col("source").contains(F.substring("dominant", 1, 1)) | (F.col("n") / (F.col("n") + F.col("others")) >= 0.6)
+    return found.withColumn("verdict", F.when(F.col("n") + F.col("others") < 2, "too_few").when(agrees, "ok").otherwise("mixed"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+_TERMS = f"[t for t in regexp_extract_all(lower(text), '[a-z]+') if length(t) >= 3 and t not in ({_STOP})]"
+_BM25 = f"""
+with d as (select doc_id, {_TERMS} as ts from documents), l as (select doc_id, len(ts) as dl from d),
+a as (select count(*) as n, avg(dl) as avgdl from l),
+q0 as (select item_id, {_TERMS} as ts from benchmark),
+q1 as (select item_id, unnest(ts) as term, generate_subscripts(ts, 1) as i from q0),
+q2 as (select item_id, term, min(i) as i from q1 group by all),
+q as (select * from q2 qualify row_number() over (partition by item_id order by i) <= 60),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from d) where term in (select term from q) group by all),
+f as (select term, count(*) as df from p group by 1),
+s as (select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
+      from q join p using (term) join f using (term) join l using (doc_id) cross join a group by all),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r,
+        lead(score, 1, 0) over (partition by item_id order by score desc, doc_id) as next from s)
+"""
+
+
+@query(_BM25 + """
+select item_id, doc_id, round(score, 4) as score, round(score - next, 4) as margin, case when score < 15 or round(score - next, 6) < 5 then 'low_confidence' else 'ok' end as status
+from k where r = 1
+""")
+def bm25_top2_margin_status(spark, d):
+    """Which document each transcript is from, with the margin over the next."""
+    scores = retrieval.bm25(read(spark, d, "documents"), read(spark, d, "benchmark").withColumnRenamed("text", "said"), "doc_id", "text", "item_id", "said")
+    found = retrieval.with_margin(scores, 15.0, 5.0)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status")
+
+
+@query(f"""
+with t as (select conv_id, turn, {_TERMS} as ts from conversations),
+u as (select conv_id, turn, unnest(ts) as term, generate_subscripts(ts, 1) as i from t),
+m as (select conv_id, turn, term, min(i) as i from u group by all),
+k as (select * from m qualify row_number() over (partition by conv_id, turn order by i) <= 60)
+select t.conv_id, t.turn, coalesce(string_agg(term, ' ' order by i), '') as terms from t left join k using (conv_id, turn) group by t.conv_id, t.turn
+""")
+def transcript_terms(spark, d):
+    """Query terms of transcripts."""
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(retrieval.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query(r"""
+select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>|\{[^}]*\}|\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '(?m)^[A-Z][A-Z .]+:', ' ', 'g'), '\s+', ' ', 'g'))) as clean
+from documents
+""")
+def dialogue_clean(spark, d):
+    """Cleaned dialogue, by digest."""
+    return read(spark, d, "documents").select("doc_id", F.md5(retrieval.dialogue(F.col("text"))).alias("clean"))

@@ -1 +1,106 @@
-"""Queries."""
+"""Journal and status queries; events stand for journal lines: user = title, event_type = operation, value = target."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfwise.plans import journal
+from shelfwise.registry import query, read
+
+_OP = "case event_type when 'click' then 'rename' when 'view' then 'copy' when 'signup' then 'mkdir' when 'purchase' then 'verify' else 'write_file' end"
+_OK = "case when event_id % 5 = 0 then 'error' else 'ok' end"
+
+
+def _journal(spark, d):
+    return read(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("title_id"), F.expr(_OP).alias("op"), F.expr(_OK).alias("result"), "value")
+
+
+@query("select user_id as title_id, arg_max(value, (ts, event_id)) as value from events group by 1".replace("arg_max(value, (ts, event_id))", "first(value order by ts desc, event_id desc)"))
+def journal_latest_target(spark, d):
+    """Where each title went last."""
+    return journal.latest(_journal(spark, d), "title_id", "value", "ts", "event_id")
+
+
+@query(f"""
+with j as (select *, {_OP} as op, {_OK} as result from events),
+r as (select user_id as title_id, event_id, ts, case op when 'rename' then 'move_back' when 'copy' then 'restore_and_delete' when 'mkdir' then 'rmdir_if_empty' when 'write_file' then 'delete' end as inverse from j where result = 'ok')
+select title_id, event_id, inverse, row_number() over (partition by title_id order by ts desc, event_id desc)::int as place from r where inverse is not null
+""")
+def rollback_plan(spark, d):
+    """Inverse steps of each title, the newest first."""
+    from shelfwise.operators.keepers import best_first
+
+    steps = journal.rollback(_journal(spark, d))
+    return best_first(steps, ["title_id"], [F.desc("ts"), F.desc("event_id")]).select("title_id", "event_id", "inverse", "place")
+
+
+@query("select user_id as title_id, count(*)::bigint as n, max(value) as top from events where ts >= timestamp '2024-01-05' and user_id % 2 = 0 group by 1")
+def run_filter(spark, d):
+    """Lines of some titles since a time."""
+    rows = _journal(spark, d).where("ts >= timestamp '2024-01-05' and title_id % 2 = 0")
+    return rows.groupBy("title_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+
+
+@query(f"select {_OP} as op, {_OK} as result, count(*)::bigint as n, count(*) filter (where value > 100)::bigint as large from events group by all")
+def status_counts(spark, d):
+    return _journal(spark, d).groupBy("op", "result").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("large"))
+
+
+@query("select event_type as reason, count(*)::bigint as n from events group by 1 order by n desc, reason limit 3")
+def top_reasons(spark, d):
+    """The three most frequent reasons."""
+    return read(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(3)
+
+
+@query("""
+with c as (select user_id, event_type, count(*) as n, min(event_id) as seen from events where value > 50 group by all)
+select user_id as folder, first(event_type order by n desc, seen) as new_folder from c group by 1
+""")
+def dominant_new_folder(spark, d):
+    """Where most of a folder's files went, the first seen on ties."""
+    from shelfwise.operators.graph import dominant
+
+    rows = read(spark, d, "events").where("value > 50")
+    return dominant(rows, ["user_id"], "event_type", "event_id").select(F.col("user_id").alias("folder"), F.col("dominant").alias("new_folder"))
+
+
+@query("""
+select doc_id, case when doc_id % 3 = 1 then 'new/' || source || '/' || doc_id else source || '/' || doc_id end as path from documents where doc_id % 7 <> 0
+""")
+def patched_manifest(spark, d):
+    """A manifest after a run of moves and removals."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    files = read(spark, d, "documents").select("doc_id", path.alias("path"))
+    moves = files.where("doc_id % 3 = 1").select(F.col("path").alias("from_"), F.concat(F.lit("new/"), "path").alias("to"))
+    return journal.patched(files, moves, files.where("doc_id % 7 = 0").select("path"), "path")
+
+
+@query("""
+select conv_id, turn, case when role = 'assistant' and length(text) < 300 then 'prepared' when role = 'assistant' then 'ok' when role = 'user' then 'error' else 'prepared' end as status,
+       case when role = 'user' then null else length(text) end::int as transcript from conversations
+""")
+def status_reset(spark, d):
+    """Low results go back to prepared and keep their transcripts; errors lose theirs."""
+    size = F.length("text")
+    status = F.when((F.col("role") == "assistant") & (size < 300), "prepared").when(F.col("role") == "assistant", "ok").when(F.col("role") == "user", "error").otherwise("prepared")
+    return read(spark, d, "conversations").select("conv_id", "turn", status.alias("status"), F.when(F.col("role") != "user", size).alias("transcript"))
+
+
+@query("""
+with m as (select l_orderkey, l_linenumber, l_partkey, max(l_quantity) as src, max(case when l_returnflag = 'N' then l_tax * 500 end) as dst from lineitem group by all)
+select l_orderkey, l_linenumber, l_partkey, case when l_partkey % 11 = 0 then 'already_there' when dst is null then 'move' when src = dst then 'drop_source' else 'conflict' end as decision from m
+""")
+def move_decisions(spark, d):
+    """What each planned move comes to."""
+    dst = F.max(F.when(F.col("l_returnflag") == "N", F.col("l_tax") * 500)).alias("dst_size")
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").alias("src_size"), dst)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", journal.move_decision("l_partkey % 11 = 0").alias("decision"))
+
+
+@query("""
+select event_id, json_extract_string(props, '$.k')::bigint as k, case when json_extract_string(props, '$.k')::bigint > 50 then 'high' else 'low' end as band from events
+""")
+def props_nested_json(spark, d):
+    """Fields of nested JSON."""
+    k = F.from_json("props", "k bigint")["k"]
+    return read(spark, d, "events").select("event_id", k.alias("k"), F.when(k > 50, "high").otherwise("low").alias("band"))
