@@ -1 +1,213 @@
-"""Queries."""
+"""Scoring, rule and fuzzy queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from shelfwise.functions import fuzzy
+from shelfwise.plans import scoring
+from shelfwise.registry import query, read
+
+_KIND = "case when value < 10 then 'trivial' when value < 25 then 'tv_short' when value < 50 then 'tv_episode' when value < 75 then 'tv_special' when value < 240 then 'movie' else 'oversized' end"
+
+
+@query(f"select event_id, {_KIND} as kind, case when value >= 10 and value < 50 then 'flag' when value >= 75 and value < 240 then 'ok' else 'note' end as severity from events")
+def duration_class(spark, d):
+    kind = scoring.duration_class(F.col("value"))
+    return read(spark, d, "events").select("event_id", kind.alias("kind"), scoring.duration_severity(kind).alias("severity"))
+
+
+@query(f"select {_KIND} as kind, count(*)::bigint as n, sum(floor(value / 50))::bigint as bands from events group by 1")
+def bitrate_histogram(spark, d):
+    return read(spark, d, "events").groupBy(scoring.duration_class(F.col("value")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value") / 50)).alias("bands"))
+
+
+@query(f"""
+select event_id, {_KIND} as kind, value from events
+order by case when value >= 10 and value < 50 then 0 when value >= 75 and value < 240 then 2 else 1 end, value desc, event_id limit 50
+""")
+def severity_sort(spark, d):
+    """The first fifty lines of a report, the gravest first."""
+    kind = scoring.duration_class(F.col("value"))
+    place = F.when(scoring.duration_severity(kind) == "flag", 0).when(scoring.duration_severity(kind) == "ok", 2).otherwise(1)
+    return read(spark, d, "events").orderBy(place, F.desc("value"), "event_id").limit(50).select("event_id", kind.alias("kind"), "value")
+
+
+@query("""
+with f as (select o_orderkey, o_orderkey % 9 = 0 as nfo, (o_orderkey % 101) / 100.0::double as sim, o_orderkey % 4 = 0 as exact,
+  case when o_orderkey % 5 > 0 then 1990 + o_orderkey % 3 end as year, case when o_orderkey % 11 > 0 then 1991 end as fy,
+  (80 + o_orderkey % 50)::double as rt, 100.0::double as frt, o_orderkey % 7 = 0 as single, o_orderkey % 13 = 0 as extra from orders),
+g as (select *, abs(year - fy) as gap, abs(rt - frt) / greatest(1, frt) as off from f),
+s as (select o_orderkey, greatest(0, least(100,
+   case when sim >= 0.9 then 30 when sim >= 0.75 then 18 when sim >= 0.6 then 5 else 0 end + case when gap = 0 then 30 when gap = 1 then 15 else 0 end
+ + case when off <= 0.05 then 15 when off <= 0.1 then 6 else 0 end + case when nfo then 50 else 0 end + case when exact then 15 else 0 end
+ + case when exact and off <= 0.05 then 15 else 0 end + case when single then 5 else 0 end + case when not exact and not single and year is not null then -15 else 0 end
+ + case when year is null and not nfo and fy is null and not (exact and off <= 0.05) then -10 else 0 end + case when extra then -20 else 0 end))::int as confidence from g)
+select *, case when confidence >= 75 and o_orderkey % 6 > 0 then 'AUTO' when confidence >= 30 then 'REVIEW' else 'UNRESOLVED' end as action from s
+""")
+def confidence_rubric(spark, d):
+    """Confidence and action of movie matches."""
+    k = F.col("o_orderkey")
+    confidence = scoring.movie_confidence(
+        k % 9 == 0,
+        (k % 101) / 100.0,
+        k % 4 == 0,
+        F.when(k % 5 > 0, 1990 + k % 3),
+        F.when(k % 11 > 0, 1991),
+        (80 + k % 50).cast("double"),
+        F.lit(100.0),
+        k % 7 == 0,
+        k % 13 == 0,
+    )
+    rows = read(spark, d, "orders").select("o_orderkey", confidence.cast("int").alias("confidence"))
+    return rows.withColumn("action", scoring.movie_action(F.col("confidence"), F.when(k % 6 > 0, "target").otherwise("")))
+
+
+@query("""
+select o_orderkey, least(100, floor((o_orderkey % 101) / 100.0::double * 50)::int + case when o_orderkey % 4 = 0 then 10 when abs(o_orderkey % 6 - 2) = 0 then 30 when abs(o_orderkey % 6 - 2) <= 1 then 20
+  when abs(o_orderkey % 6 - 2) <= 3 then 10 else 0 end + case when o_orderkey % 3 = 0 then 15 else 0 end + case when o_orderkey % 5 = 0 then 5 else 0 end)::int as score from orders
+""")
+def tv_match_score(spark, d):
+    k = F.col("o_orderkey")
+    score = scoring.tv_match((k % 101) / 100.0, k % 3 == 0, F.when(k % 4 != 0, k % 6), F.lit(2), k % 5 == 0)
+    return read(spark, d, "orders").select("o_orderkey", score.cast("int").alias("score"))
+
+
+@query("""
+with f as (select o_orderkey, o_orderkey % 10 = 0 as id, case when o_orderkey % 3 > 0 then o_orderkey % 4 end as year, o_orderkey % 2 = 0 as exact, o_orderkey % 6 + 1 as n from orders)
+select o_orderkey, case when id then 95 when year = 1 and n <= 3 then 95 when year = 1 then 85 when abs(year - 1) <= 1 and exact and n <= 3 then 85 when abs(year - 1) <= 1 and exact then 75
+  when year is not null then 60 when n = 1 then 80 when exact and n <= 3 then 75 when exact then 60 else 40 end::int as confidence from f
+""")
+def intake_ladder(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", scoring.intake_confidence(k % 10 == 0, F.when(k % 3 > 0, k % 4), F.lit(1), k % 2 == 0, k % 6 + 1).alias("confidence"))
+
+
+@query("""
+with p as (select l_orderkey, l_linenumber, min(l_quantity) as op, max(l_quantity) as np, min(l_extendedprice) as o, max(l_extendedprice) as n from lineitem group by all)
+select l_orderkey, l_linenumber, case when np > op then 'replace' when np < op then 'keep' when o > 0 and abs(n - o) / o < 0.05 then 'keep' when n > o then 'replace' else 'keep' end as decision from p
+""")
+def quality_decision(spark, d):
+    """Whether the better of two copies replaces the other."""
+    lows = [f("l_quantity").alias(n) for f, n in ((F.min, "op"), (F.max, "np"))] + [f("l_extendedprice").alias(n) for f, n in ((F.min, "o"), (F.max, "n"))]
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*lows)
+    return rows.select("l_orderkey", "l_linenumber", scoring.replacement(F.col("op"), F.col("np"), F.col("o"), F.col("n")).alias("decision"))
+
+
+_ALBUMS = "select p_partkey, p_name, p_brand, p_type, count(distinct l_suppkey) as artists from part join lineitem on l_partkey = p_partkey group by all"
+
+
+@query(f"""
+select p_partkey, artists::bigint as artists, least(1.0, case when p_brand = 'Brand#1' then 0.6 else 0 end + case when p_type = 'SMALL' then 0.4 else 0 end + case when p_name like 'red %' then 0.5 else 0 end
+   + case when artists >= 3 then 0.5 else 0 end)::double as score from ({_ALBUMS})
+""")
+def compilation_suspicion(spark, d):
+    """Albums that look like compilations."""
+    artists = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("artists"))
+    score = scoring.compilation_suspicion(F.col("p_brand") == "Brand#1", F.col("p_type") == "SMALL", F.col("p_name").startswith("red "), F.col("artists"))
+    return read(spark, d, "part").join(artists, "p_partkey").select("p_partkey", "artists", score.alias("score"))
+
+
+@query("select p_name, count(distinct l_suppkey)::bigint as artists from part join lineitem on l_partkey = p_partkey group by 1 having count(distinct l_suppkey) >= 3")
+def shared_by_three(spark, d):
+    """Albums of one name under three artists or more."""
+    parts = read(spark, d, "part").join(read(spark, d, "lineitem"), F.col("l_partkey") == F.col("p_partkey"))
+    return parts.groupBy("p_name").agg(F.count_distinct("l_suppkey").alias("artists")).where("artists >= 3")
+
+
+@query("""
+with c as (select source, lang, count(*) as n from documents group by all), g as (select source, sum(n) as files, count(lang) as artists, max(n) as top from c group by 1)
+select source, case when artists = 1 then 'ARTIST' when artists <= 3 and top / files >= 0.7 then 'ARTIST' when top / files >= 0.6 then 'ARTIST' when artists >= 20 and top / files < 0.2 then 'COMPILATION'
+  when artists >= 8 and top / files < 0.4 then 'COMPILATION' else 'REVIEW' end as category from g
+""")
+def folder_category(spark, d):
+    counts = read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    folders = counts.groupBy("source").agg(F.sum("n").alias("files"), F.count("lang").alias("artists"), F.max("n").alias("top"))
+    return folders.select("source", scoring.folder_category(F.col("files"), F.col("files"), F.col("artists"), F.col("top") / F.col("files")).alias("category"))
+
+
+@query("""
+select o_orderkey, case when o_orderkey % 2 = 0 then 'artist_too_short' when o_orderkey % 3 = 0 then 'many_changes_(sim=0.4)' else '' end as reasons from orders
+""")
+def reason_pruning(spark, d):
+    """Review reasons that are left once those that need no review are dropped."""
+    k = F.col("o_orderkey")
+    notes = F.concat_ws("; ", F.lit("tag-disagree_(sim=0.2)"), F.when(k % 2 == 0, "artist_too_short"), F.when((k % 3 == 0) & (k % 2 != 0), "many_changes_(sim=0.4)"))
+    return read(spark, d, "orders").select("o_orderkey", F.array_join(scoring.pruned_reasons(notes, ("tag-disagree",)), "; ").alias("reasons"))
+
+
+_ISSUES = """
+select doc_id, unnest(list_filter([case when n_chars < 200 then 'too_small' end, case when lang <> 'en' then 'other_language' end, case when text like '%Licensed%' then 'license' end,
+  case when source = 'src0' then 'hot_folder' end], lambda c: c is not null)) as code from documents
+"""
+
+
+@query(_ISSUES.replace("list_filter([", "[c for c in [").replace("], lambda c: c is not null)", "] if c is not null]"))
+def verify_issues(spark, d):
+    """A row for each rule that a file breaks."""
+    rules = (F.col("n_chars") < 200, "too_small"), (F.col("lang") != "en", "other_language"), (F.col("text").contains("Licensed"), "license"), (F.col("source") == "src0", "hot_folder")
+    return read(spark, d, "documents").select("doc_id", F.explode(scoring.codes(*rules)).alias("code"))
+
+
+@query("""
+with t as (select o_custkey, o_orderdate, count(*) as n from orders group by all)
+select o_orderkey, 'no_files' as code from orders where o_orderkey not in (select l_orderkey from lineitem)
+union all select o_orderkey, 'target_collision' from orders join t using (o_custkey, o_orderdate) where n > 1
+union all select o_orderkey, 'unknown_owner' from orders where o_custkey not in (select c_custkey from customer)
+""")
+def preflight_issues(spark, d):
+    """What stands against carrying a plan out."""
+    orders = read(spark, d, "orders")
+    none = orders.join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", F.lit("no_files").alias("code"))
+    several = orders.groupBy("o_custkey", "o_orderdate").count().where("count > 1")
+    twice = orders.join(several, ["o_custkey", "o_orderdate"]).select("o_orderkey", F.lit("target_collision").alias("code"))
+    unknown = orders.join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("o_orderkey", F.lit("unknown_owner").alias("code"))
+    return none.unionByName(twice).unionByName(unknown)
+
+
+@query("""
+select conv_id, turn, case when conv_id % 5 = 0 then 'SKIP_error' when s >= 0.9 and tw >= 0.7 and aw >= 0.5 then 'AUTO_APPLY' when s >= 0.9 and tw >= 0.7 then 'AUTO_APPLY_OK'
+  when s >= 0.9 and aw >= 0.7 then 'AUTO_APPLY_OK' when s >= 0.95 and aw >= 0.5 and tw >= 0.7 then 'AUTO_APPLY' when s >= 0.9 and (tw >= 0.4 or aw >= 0.5) then 'REVIEW_PARTIAL' when s >= 0.9 then 'REVIEW_HIGH' else 'REVIEW_LOW' end as class
+from (select *, (conv_id % 21) / 20.0::double as s, (turn % 11) / 10.0::double as tw, (conv_id % 11) / 10.0::double as aw from conversations)
+""")
+def acoustid_class(spark, d):
+    """Classes of fingerprint matches; string similarities are fixed here, so that the rules have an SQL form."""
+    k, t = F.col("conv_id"), F.col("turn")
+    status = F.when(k % 5 == 0, "error").otherwise("match")
+    kind = scoring.acoustid_class(status, (k % 21) / 20.0, (t % 11) / 10.0, (k % 11) / 10.0, F.lit(0.5), F.lit(0.4), F.lit(True))
+    return read(spark, d, "conversations").select("conv_id", "turn", kind.alias("class"))
+
+
+@query()
+def title_similarity_best(spark, d):
+    """For each kind of part, the part of another brand whose name is most like it, and the margin to the next; candidates
+    share a word."""
+    names = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    word = names.select("name", "id", F.explode(F.split("name", " ")).alias("word"))
+    left, right = word.select(F.col("name").alias("a"), F.col("id").alias("ia"), "word"), word.select(F.col("name").alias("b"), F.col("id").alias("ib"), "word")
+    pairs = left.join(right, "word").where("ia <> ib").select("a", "ia", "b", "ib").distinct()
+    scored = pairs.withColumn("score", F.round(fuzzy.title_similarity(F.col("a"), F.col("b")), 6))
+    order = Window.partitionBy("ia").orderBy(F.desc("score"), "ib")
+    best = scored.withColumn("place", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score", 1, 0.0).over(order)).where("place = 1")
+    sure = F.when((F.col("score") >= 0.85) & (F.col("margin") >= 0.2), "HIGH").when(F.col("score") >= 0.55, "MEDIUM").otherwise("NONE")
+    return best.select("ia", "ib", "score", F.round("margin", 6).alias("margin"), sure.alias("sure"))
+
+
+@query()
+def name_similarity_top5(spark, d):
+    """The five most similar names of each supplier's nation, by names folded to plain letters."""
+    nations = read(spark, d, "nation").select("n_nationkey", fuzzy.folded("n_name").alias("n_name"), "n_regionkey")
+    other = nations.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("o_name"), "n_regionkey")
+    pairs = nations.join(other, "n_regionkey").where("n_nationkey <> other")
+    scored = pairs.withColumn("score", F.round(fuzzy.name_similarity(F.col("n_name"), F.col("o_name")), 6))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))), 1, 5)
+    return scored.groupBy("n_nationkey").agg(F.transform(top, lambda x: x["other"]).alias("others"))
+
+
+@query()
+def intake_stream(spark, d):
+    """New files taken in by a stream that stops when it has seen what is there; statuses by the batch operators."""
+    from shelfwise.streaming.intake import take_in
+
+    return take_in(spark, f"{d}/events.parquet")
