@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.tables import staged
-from shelfwise.llm.tokens import CHUNK_CHARS, HUGE_CHARS, OVERLAP_CHARS, encoder
+from shelfwise.llm.tokens import encoder
 
 CAPACITY = 4_096
 #: The id that ends every document.
@@ -31,7 +32,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(path, HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS).ids
+        ids_of = encoder(path, sys.maxsize).ids
         for rows in batches:
             out = []
             for doc, text in zip(rows.doc_id, rows.text, strict=True):

@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -97,8 +98,10 @@ class Encoder:
             memo[piece] = value(e.ids)
 
     def _letters(self, piece: str) -> list[int]:
-        known = piece.lower() if self.shape == "bare" else piece
-        return [t.id for t in self.model.tokenize(known.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        known = piece.lower() if self.shape == "bare" else piece.replace(" ", _BYTE_LETTERS[32])
+        if not piece.isascii():
+            known = (piece.lower() if self.shape == "bare" else piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(known)]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -184,7 +187,7 @@ def resynchronised(text: str, encode: Callable, chunk_chars: int, overlap_chars:
             new_start, new_end = max(start, end - width), min(n, end - width + max(chunk_chars, 2 * width))
             new_ids, new_offsets = encode(text[new_start:new_end])
             common = stable_boundaries(text, new_start, end)
-            here, there = _starts(offsets, start), _starts(new_offsets, new_start)
+            here, there = (_starts(o, shift, new_start, end) for o, shift in ((offsets, start), (new_offsets, new_start)))
             at = min((b for b in common if b in here and b in there), default=None)
             if at is not None:
                 out += ids[: here[at]]
@@ -199,15 +202,18 @@ def resynchronised(text: str, encode: Callable, chunk_chars: int, overlap_chars:
         return out + ids
 
 
-def _starts(offsets: list[tuple[int, int]], shift: int) -> dict[int, int]:
-    """Where the text before a token is complete: position -> number of the first token that starts at or after it.
-    Characters that a tokenizer drops (white space) belong to the token after them."""
-    out, last = {}, 0
-    for k, (a, b) in enumerate(offsets):
-        if a >= last:
-            for p in range(last, a + 1):
-                out.setdefault(p + shift, k)
+def _starts(offsets: list[tuple[int, int]], shift: int, low: int, high: int) -> dict[int, int]:
+    """Positions from `low` to `high` where the text before a token is complete, each with the number of the first token that
+    starts at or after it. Characters that a tokenizer drops (white space) belong to the token after them."""
+    out: dict[int, int] = {}
+    k = bisect_left(offsets, (low - shift,))
+    last = offsets[k - 1][1] if k else 0
+    while k < len(offsets) and last + shift <= high:
+        a, b = offsets[k]
+        for p in range(last, a + 1) if a >= last else ():
+            out.setdefault(p + shift, k)
         last = max(last, b)
+        k += 1
     return out
 
 
