@@ -90,12 +90,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, with the columns of `docs`: a document for each time that it is taken, in the last of
     them with its first words only if the cut falls inside it. Documents without words come once, as they are.
     If `docs` has n_chars, it counts the characters of the text that is left."""
-    plan = mix(docs, **options).select("doc_id", "size", "taken").groupBy("doc_id", "size").agg(F.collect_list("taken").alias("takes"))
+    plan = mix(docs, **options).select("doc_id", "size", "taken").groupBy("doc_id", "size").agg(F.collect_list("taken").alias("__takes"))
     ids = docs.withColumn("__size", n_words(F.col("text")))
     ids = ids.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy(F.xxhash64("text"))))
-    p = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__s"), "takes")
+    p = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__s"), "__takes")
     joined = ids.join(p, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")))
-    taken = F.element_at("takes", F.col("__nth"))
+    taken = F.element_at("__takes", F.col("__nth"))
     whole = F.when(F.col("__size") > 0, F.floor(taken / F.col("__size"))).otherwise(1)
     left = F.when(F.col("__size") > 0, taken - F.floor(taken / F.col("__size")) * F.col("__size")).otherwise(0)
     parts = F.concat(F.array_repeat(F.col("__size"), whole.cast("int")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<bigint>")))

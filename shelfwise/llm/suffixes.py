@@ -41,6 +41,8 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text to a chunk, about; spans of a gram in several contexts from which it is hot; strings to a block of a run and
 #: to a range of the merge, about.
 CHUNK_BYTES, HOT, BLOCK, RANGE = 8 << 20, 2_000, 128, 150_000
+#: Starts of strings whose anchors are found at once.
+STEP = 1 << 20
 _NULL_ID = (1 << 63) - 1
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _PURE, _MIXED, _HOT = 1, 2, 3
@@ -125,26 +127,32 @@ class Chunk:
         """gram: hash of each anchor's gram; at: where it stands; low, high: the first and last start of the strings with
         this anchor; span: a hash of the bytes from low to high + LENGTH; row: the document."""
         b = np.frombuffer(self.data, np.uint8)
-        width = LENGTH - GRAM + 1
-        last = np.repeat(self.starts[1:], np.diff(self.starts)) - LENGTH  # the last start in the document of each byte
-        if len(b) < LENGTH:
-            self.gram = self.span = np.zeros(0, np.uint64)
-            self.at = self.low = self.high = self.row = np.zeros(0, np.int64)
-            return
+        parts = [self._anchors(b, low, min(low + STEP, len(b) - LENGTH + 1)) for low in range(0, len(b) - LENGTH + 1, STEP)]
+        none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+        self.gram, self.at, self.low, self.high, self.span = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
+        self.row = np.searchsorted(self.starts, self.low, side="right") - 1
+
+    def _anchors(self, all_bytes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+        """The anchors of the strings that start from `low` up to `high`. Where a step ends inside a span, the span is two; that
+        costs a comparison of windows later and changes no result."""
+        b = all_bytes[low : high + LENGTH - 1]
+        k, stop = np.searchsorted(self.starts, low, side="right") - 1, np.searchsorted(self.starts, high, side="left")
+        inside = np.clip(self.starts[k : stop + 1], low, high)
+        last = np.repeat(self.starts[k + 1 : stop + 1], np.diff(inside)) - LENGTH  # the last start in the document of each byte
         grams = _mixed(_rolled(b, GRAM))
         where = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (_least(where, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        valid = np.flatnonzero(np.arange(len(anchor)) <= last[: len(anchor)])
+        anchor = (_least(where, LENGTH - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        valid = np.flatnonzero(np.arange(low, high) <= last)
+        if not len(valid):
+            valid = valid.astype(np.int64)
+            return np.zeros(0, np.uint64), valid, valid, valid, np.zeros(0, np.uint64)
         anchor = anchor[valid]
-        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1)))) if len(valid) else valid
-        self.low = valid[first]
-        self.high = valid[np.concatenate((first[1:], [len(valid)])) - 1] if len(valid) else valid
-        self.at = anchor[first] if len(valid) else valid
-        self.gram = grams[self.at]
+        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1))))
+        start, end, at = valid[first], valid[np.concatenate((first[1:], [len(valid)])) - 1], anchor[first]
         whole = _rolled(b, LENGTH)
-        shape = ((self.at - self.low) * 64 + (self.high - self.low)).astype(np.uint64)
-        self.span = _mixed(whole[self.low] * np.uint64(3) + whole[self.high] * np.uint64(7) + shape)
-        self.row = np.searchsorted(self.starts, self.low, side="right") - 1
+        shape = ((at - start) * 64 + (end - start)).astype(np.uint64)
+        span = _mixed(whole[start] * np.uint64(3) + whole[end] * np.uint64(7) + shape)
+        return grams[at], at + low, start + low, end + low, span
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(grams, spans, many, group): each distinct gram, in order; a hash of its one span (0: several); how often it
