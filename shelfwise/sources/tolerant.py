@@ -23,7 +23,7 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     try:
         bytes(head).decode("utf-8", "strict")
     except UnicodeDecodeError as e:
-        if e.start < len(head) - 4:
+        if len(head) < 65_536 or e.start < len(head) - 4:  # else a character may be cut at the end
             return "windows-1252"
     return "UTF-8"
 
