@@ -16,7 +16,7 @@ def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataF
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """By the first bytes of one file: a byte order mark, else UTF-8 if it decodes, else Windows-1252."""
+    """By the first bytes of one file: a byte order mark, else UTF-8 if it decodes, else Latin-1."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536)).first()[0]
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "UTF-16"
@@ -24,14 +24,22 @@ def encoding_of(spark: SparkSession, path: str) -> str:
         bytes(head).decode("utf-8", "strict")
     except UnicodeDecodeError as e:
         if len(head) < 65_536 or e.start < len(head) - 4:  # else a character may be cut at the end
-            return "windows-1252"
+            return "ISO-8859-1"
     return "UTF-8"
 
 
+#: Windows-1252 has characters where Latin-1 has controls.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as strings, quoted line ends kept, zero characters dropped, blank cells null."""
-    rows = spark.read.csv(path, header=True, sep=sep, encoding=encoding_of(spark, path), multiLine=True, escape='"')
-    return rows.select(*[F.nullif(F.trim(F.translate(F.col(f"`{c}`"), "\x00", "")), F.lit("")).alias(c.replace("\x00", "").lstrip("\ufeff")) for c in rows.columns])
+    encoding = encoding_of(spark, path)
+    rows = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
+    left, right = (_CONTROLS, _WINDOWS) if encoding == "ISO-8859-1" else ("", "")
+    clean = lambda c: F.nullif(F.trim(F.translate(F.translate(F.col(f"`{c}`"), left, right), "\x00", "")), F.lit(""))
+    return rows.select(*[clean(c).alias(c.replace("\x00", "").lstrip("\ufeff")) for c in rows.columns])
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
