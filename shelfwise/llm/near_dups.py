@@ -18,8 +18,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares a band but for a chance of (1 - 0.8^5)^28, one in seventy thousand.
 BANDS, BAND_ROWS = 28, 5
-#: Rounds in which each bucket compares its documents with one of them only.
-STAR_ROUNDS = 3
+#: Documents to a block where what is left is compared in blocks.
+FAMILY_BLOCK = 512
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -140,10 +140,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     bags of five-word shingles have a weighted Jaccard similarity of `threshold` or more; kept is doc_id = class_id.
 
     Texts of equal words (lower case, split at white space) are one document from the start, so copies meet no pairs.
-    The others are banded. In each bucket documents are compared with one of them, another in each of three
-    rounds; documents in one component need no more comparing. Buckets that still hold several components then
-    compare across these only, so no link that a shared band shows is lost, and a group of thousands of near copies
-    costs its size times a few.
+    The others are banded. In each bucket documents are compared with the most central one; documents in one component
+    need no more comparing. Buckets that still hold several components are compared across these, in blocks
+    (_links_across), so no link that a shared band shows is lost and no list of all pairs of a group is made.
 
     A null text is empty; documents without words are one class. Rows with a null id are left out, since a class is named
     by ids; rows that share an id count once, by the text that sorts first. Other columns are left out.
@@ -155,44 +154,109 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     reps = staged(ids.join(firsts, "same").select("doc_id", "rep"), "reps")
     alone = reps.where("doc_id = rep").select("doc_id")
     keys = signed.join(alone, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "size", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(keys.join(shared, "bucket"), "members")
     drop(signed)
     wanted = members.select("doc_id").distinct()
     bags = staged(_bags(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))) if _repeats(texts) else _bags(texts.join(wanted, "doc_id")), "bags")
 
-    links = None
-    for turn in range(STAR_ROUNDS + 1):
-        grouped = members.withColumn("group", F.col("doc_id"))
-        if links is not None:
-            parts = components(links).select(F.col("id").alias("doc_id"), "component")
-            grouped = staged(members.join(parts, "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component"), "grouped")
-            mixed = grouped.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("bucket")
-            grouped = grouped.join(mixed, "bucket")
-        here = grouped.select("bucket", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("group_b"))
-        if turn < STAR_ROUNDS:
-            pick = F.xxhash64("doc_id", F.lit(turn))
-            centre = grouped.groupBy("bucket").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("group").alias("group_a")), F.struct(pick, "doc_id")).alias("c")).select("bucket", "c.*")
-        else:
-            centre = grouped.select("bucket", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("group").alias("group_a"))
-        across = here.join(centre, "bucket").where("group_a <> group_b" if turn < STAR_ROUNDS else "group_a < group_b")
-        fits = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-        pairs = staged(across.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            if links is None:
-                links = pairs
-            break
-        bag_a, bag_b = (bags.select(F.col("doc_id").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("bag_a", "bag_b"))
-        alike = both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)
-        found = staged(pairs.join(bag_b, "b").join(bag_a, "a").where(alike).select("a", "b"), "links")
-        drop(pairs)
-        links = found if links is None else links.unionByName(found)
+    # first, each bucket's documents against its most central one: the one whose buckets hold the most documents
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    placed = members.join(weight, "doc_id")
+    centre = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), F.struct("weight", -F.col("doc_id"))).alias("c")).select("bucket", "c.*")
+    fits = F.least("size_a", "size") >= threshold * F.greatest("size_a", "size")
+    met = members.join(centre, "bucket").where((F.col("doc_id") != F.col("a")) & fits)
+    pairs = staged(met.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    bag_a, bag_b = (bags.select(F.col("doc_id").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("bag_a", "bag_b"))
+    alike = both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)
+    links = staged(pairs.join(bag_b, "b").join(bag_a, "a").where(alike).select("a", "b"), "links")
+    drop(pairs)
+    links = links.unionByName(_links_across(members, bags, components(links), threshold))
     parts = components(links).select(F.col("id").alias("rep"), "component")
     out = reps.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Links between documents of a bucket that are still in different components.
+
+    Buckets that share documents make up families. In a family, the documents outside its largest component are
+    asked against all others, a block of them against a block at a time: overlaps of all pairs of two blocks come
+    out of products of matrices that say which document holds which shingle, and of the pairs found only those that
+    join two components become rows.
+    """
+    named = members.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = staged(named.select("bucket", "doc_id", "component"), "named")
+    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).where("lo < hi").select("bucket", "first")
+    open_docs = named.join(several, "bucket")
+    families = components(open_docs.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+    docs = open_docs.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    docs = staged(docs, "families")
+    drop(named)
+    largest = docs.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    asked = F.col("component") != F.col("main")
+    sized = largest.join(docs.join(largest, "family").where(asked).groupBy("family").agg(F.count("*").alias("n_asked")), "family")
+    blocks = sized.select("family", "main", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("n_to"), F.ceil(F.col("n_asked") / FAMILY_BLOCK).cast("int").alias("n_from"))
+    dealt = docs.join(blocks, "family").join(bags, "doc_id")
+    spread = F.xxhash64("doc_id", F.lit(11))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to = dealt.withColumn("to", F.pmod(spread, F.col("n_to")).cast("int")).withColumn("from", each("n_from")).withColumn("asks", F.lit(False))
+    from_ = dealt.where(asked).withColumn("from", F.pmod(spread, F.col("n_from")).cast("int")).withColumn("to", each("n_to")).withColumn("asks", F.lit(True))
+    columns = ["family", "from", "to", "asks", "doc_id", "component", "bag"]
+    return staged(to.select(columns).unionByName(from_.select(columns)).groupBy("family", "from", "to").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "across")
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of `a` with all of `b`."""
+    codes, where = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    col_a, col_b = where[: len(rows_a)], where[len(rows_a) :]
+    common = np.zeros(len(codes), np.int8)
+    common[col_a] |= 1
+    common[col_b] |= 2
+    place = np.cumsum(common == 3) - 1
+    keep_a, keep_b = common[col_a] == 3, common[col_b] == 3
+    rows_a, col_a, rows_b, col_b = rows_a[keep_a], place[col_a[keep_a]], rows_b[keep_b], place[col_b[keep_b]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4_096):
+        has = []
+        for rows, cols, n in ((rows_a, col_a, len(a)), (rows_b, col_b, len(b))):
+            some = (cols >= low) & (cols < low + 4_096)
+            m = np.zeros((n, 4_096), np.float32)
+            m[rows[some], cols[some] - low] = 1
+            has.append(m)
+        out += has[0] @ has[1].T
+    return out
+
+
+def _block_links(threshold: float):
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows.asks], rows[~rows.asks]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        both = _overlaps(a.bag.tolist(), b.bag.tolist())
+        sizes_a, sizes_b = (np.array([len(s) for s in x.bag], np.float32) for x in (a, b))
+        other = a.component.to_numpy()[:, None] != b.component.to_numpy()[None, :]
+        found = np.argwhere((both >= threshold * (sizes_a[:, None] + sizes_b[None, :] - both).astype(float)) & other)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in found.tolist():
+            x, y = top(int(a.component.iat[i])), top(int(b.component.iat[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a.doc_id.iat[i], b.doc_id.iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return linked
+
+
 def _repeats(texts: DataFrame) -> bool:
     return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
 
