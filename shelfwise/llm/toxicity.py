@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -19,7 +20,9 @@ MAX_LABELLED = 4_000
 NEIGHBOURS = 25
 BLOCK = 16
 THRESHOLD = 0.7
-#: Weight in a vector of the one term that stands for all words that say nothing about the label.
+#: Share of a vector's squared length that its telling terms take; all its words take the rest.
+TELLING = 0.8
+#: Weight among the telling terms of one that every text has, so that texts without any are like each other.
 OTHER = 2.0
 _WORD = re.compile(r"\w+")
 
@@ -39,22 +42,12 @@ def terms(word: str) -> list[str]:
 
 def telling_terms(texts: list[str], labels: list[int]) -> list[str]:
     """Terms whose documents differ in their labels beyond chance: by the G-test, at odds under one in twenty for the
-    whole vocabulary. A document counts for a word only if the words at both its sides are not those of an earlier
-    document, so that copies and shared passages count once."""
+    whole vocabulary. They get more weight; no word is left out for not being one."""
     df: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    seen: set[int] = set()
     n = [0, 0]
     for text, label in zip(texts, labels, strict=True):
-        ws = words(text)
         n[label] += 1
-        own, new = set(), set()
-        for before, w, after in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
-            context = hash((before, w, after))
-            if context not in seen:
-                new.add(w)
-                own.add(context)
-        seen |= own
-        for t in {t for w in new for t in terms(w)}:
+        for t in {t for w in set(words(text)) for t in terms(w)}:
             df[t][label] += 1
     if not min(n):
         return []
@@ -67,87 +60,132 @@ def telling_terms(texts: list[str], labels: list[int]) -> list[str]:
     return sorted(w for w, (a, b) in df.items() if a + b >= 5 and g(a, b) > limit)
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, values) of all positions in ranges, each with its range's value."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(values, n)
+
+
 class Index:
     """Labelled vectors, equal ones as one entry, in blocks; for each term the entries that hold it and, for each block,
-    its greatest weight there."""
+    its greatest weight there.
+
+    A vector has two parts, each of TF-IDF weights: the telling terms, and all words. Terms are numbered so: telling
+    terms, words, and last the one that every text has (OTHER, in the first part)."""
 
     def __init__(self, examples: pd.DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK):
         self.neighbours, self.block = neighbours, block
         texts, labels = examples["text"].tolist(), examples["label"].tolist()
         self.terms = {w: i for i, w in enumerate(telling_terms(texts, labels))}
         self.starts = {t[: STEMS[0]] for t in self.terms}
+        self.n_telling = len(self.terms)
+        vocabulary = sorted({w for t in texts for w in words(t)})
+        self.words = {w: (i, *self.telling(w)) for i, w in enumerate(vocabulary, self.n_telling)}
+        self.other = self.n_telling + len(self.words)
         counts = [self.counts(t) for t in texts]
-        df = Counter(i for c in counts for i, _ in c)
-        self.idf = {i: math.log((1 + len(texts)) / (1 + df[i])) + 1 for i in self.terms.values()}
+        df = np.bincount([i for c in counts for i, _ in c], minlength=self.other)
+        self.unseen = math.log(1 + len(texts)) + 1  # the IDF of a word that no example has
+        self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
         entries: dict[tuple, list[int]] = defaultdict(list)
         for row, c in enumerate(counts):
             entries[c].append(row)
-        order = sorted(entries)  # entries that share terms stand together
+        order = sorted(entries)  # entries that share terms stand together, telling ones first
         ids = examples["doc_id"].tolist()
         self.votes = np.array([[len(entries[c]), sum(labels[r] for r in entries[c])] for c in order], float).reshape(-1, 2)
         self.evidence = [[ids[r] for r in entries[c][:3]] for c in order]
         self.n_blocks = -(-len(order) // block)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for e, c in enumerate(order):
-            for i, x in self.vector(c):
-                postings[i].append((e, x))
-        self.postings = {i: (np.array([e for e, _ in p]), np.array([x for _, x in p])) for i, p in postings.items()}
-        self.peaks = {}
-        for i, (es, xs) in self.postings.items():
-            peak = np.zeros(self.n_blocks)
-            np.maximum.at(peak, es // block, xs)
-            self.peaks[i] = peak
+        vectors = [self.arrays(c) for c in order]
+        at = np.concatenate([np.zeros(0, int), *(i for i, _ in vectors)])
+        es = np.repeat(np.arange(len(order)), [len(i) for i, _ in vectors])
+        xs = np.concatenate([np.zeros(0), *(x for _, x in vectors)])
+        by = np.lexsort((es, at))
+        at, self.es, self.xs = at[by], es[by], xs[by]
+        # runs of one term in one block: where they start in the postings, their block and their peak
+        code = at * max(1, self.n_blocks) + self.es // block
+        self.runs = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+        self.run_block = self.es[self.runs[:-1]] // block
+        self.peaks = np.maximum.reduceat(self.xs, self.runs[:-1]) if len(code) else np.zeros(0)
+        self.runs_of = np.searchsorted(at[self.runs[:-1]], np.arange(self.other + 2))
         self.cuts, self.levels = np.zeros(0), np.array([labels and sum(labels) / len(labels) or 0.0])
-        self.memo: dict[tuple, tuple[float, list[int]]] = {}
+        self.memo: dict[bytes, tuple[float, list[int]]] = {}
         if len(order):
             self._calibrate(order)
 
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term, count) of a text's telling terms, in order of the terms."""
-        starts, known, n = self.starts, self.terms, STEMS[0]
-        some = [w for w in words(text) if w[:n] in starts]
-        return tuple(sorted(Counter(known[t] for w in some for t in terms(w) if t in known).items()))
+    @property
+    def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """(entries, weights) of each term."""
+        cuts = self.runs[self.runs_of]
+        return {i: (self.es[a:b], self.xs[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b}
+
+    def telling(self, word: str) -> list[int]:
+        return [self.terms[t] for t in terms(word) if t in self.terms] if word[: STEMS[0]] in self.starts else []
+
+    def counts(self, text: str) -> tuple[tuple[int, float], ...]:
+        """(term, count) of a text's telling terms and of all its words, in order of the terms. Words that no example has
+        are one item: -1 and the sum of their squared weights, which only the vector's length depends on."""
+        known = self.words
+        out: dict[int, int] = {}
+        strange = 0.0
+        for w, many in Counter(words(text)).items():
+            ids = known.get(w)
+            if ids is None:
+                strange += ((1 + math.log(many)) * self.unseen) ** 2
+                ids = self.telling(w)
+            for i in ids:
+                out[i] = out.get(i, 0) + many
+        return tuple(sorted(out.items())) + (((-1, strange),) if strange else ())
+
+    def arrays(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of the vector: TELLING of its squared length are telling terms, the rest words. A text without
+        words has the first part only."""
+        strange = counts[-1][1] if counts and counts[-1][0] == -1 else 0.0
+        pairs = np.array(counts[:-1] if strange else counts, float).reshape(-1, 2)
+        at = pairs[:, 0].astype(int)
+        xs = (1 + np.log(pairs[:, 1])) * self.idf[at]
+        k = np.searchsorted(at, self.n_telling)
+        said = math.sqrt((xs[:k] ** 2).sum() + OTHER**2)
+        xs[:k] *= math.sqrt(TELLING) / said
+        xs[k:] *= math.sqrt((1 - TELLING) / max(1e-300, (xs[k:] ** 2).sum() + strange))
+        return np.append(at, self.other), np.append(xs, math.sqrt(TELLING) * OTHER / said)
 
     def vector(self, counts: tuple) -> list[tuple[int, float]]:
-        """Unit length; term -1 is the one that stands for all other words."""
-        xs = [(i, (1 + math.log(n)) * self.idf[i]) for i, n in counts] + [(-1, OTHER)]
-        norm = math.sqrt(sum(x * x for _, x in xs))
-        return [(i, x / norm) for i, x in xs]
+        at, xs = self.arrays(counts)
+        return list(zip(at.tolist(), xs.tolist(), strict=True))
 
     def nearest(self, counts: tuple, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the nearest examples, the nearest first: as many entries as hold `neighbours` examples,
-        and all that tie with the last. Blocks are read in order of their upper bounds, until the next one's bound is
-        under what is needed, so the result is exact. `apart`: an entry of which one example is left out."""
-        q = self.vector(counts)
-        bound = np.zeros(self.n_blocks)
-        for i, x in q:
-            if i in self.peaks:
-                bound += x * self.peaks[i]
+        and all that tie with the last. Blocks are read in order of their upper bounds, the best first, then
+        all whose bounds reach what is needed, so the result is exact. `apart`: an entry of which one example is left out."""
+        at, xs = self.arrays(counts)
+        runs, weight = _ranges(self.runs_of[at], self.runs_of[at + 1], xs)
+        blocks = self.run_block[runs]
+        bound = np.bincount(blocks, weight * self.peaks[runs], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         have = self.votes[:, 0].copy()
         if apart is not None:
             have[apart] -= 1
-        es, cs, need, step, done = np.zeros(0, int), np.zeros(0), -1.0, 4, 0
-        while done < len(order) and bound[order[done]] >= need - 1e-12:
-            some = np.sort(order[done : done + step])
-            done, step = done + step, step * 2
-            e = (some[:, None] * self.block + np.arange(self.block)).ravel()
-            e = e[e < len(have)]
-            at, score = {x: k for k, x in enumerate(e.tolist())}, np.zeros(len(e))
-            for i, x in q:
-                if i in self.postings:
-                    docs, ws = self.postings[i]
-                    inside = np.isin(docs, e)
-                    score[[at[d] for d in docs[inside].tolist()]] += x * ws[inside]
-            es, cs = np.concatenate((es, e)), np.concatenate((cs, score))
-            rank = np.argsort(-cs, kind="stable")
-            held = np.cumsum(have[es[rank]])
+        cosines, read = np.zeros(len(have)), np.zeros(self.n_blocks, bool)
+        need, step, done = -1.0, 8, 0
+        while done < len(order) and bound[order[done]] >= need - 1e-9:
+            some = np.zeros(self.n_blocks, bool)
+            some[order[done : done + step]] = True
+            if need >= 0:  # all that are left and may hold one
+                some[order[done:]] = bound[order[done:]] >= need - 1e-9
+                step = len(order)
+            read |= some
+            done += step
+            inside = some[blocks]
+            r = runs[inside]
+            spots, w = _ranges(self.runs[r], self.runs[r + 1], weight[inside])
+            cosines += np.bincount(self.es[spots], w * self.xs[spots], len(have))
+            es = np.flatnonzero(np.repeat(read, self.block)[: len(have)])
+            rank = es[np.argsort(-cosines[es], kind="stable")]
+            held = np.cumsum(have[rank])
             last = min(np.searchsorted(held, self.neighbours), len(rank) - 1)
-            need = cs[rank[last]] if held[-1] >= self.neighbours else -1.0
-        keep = (cs >= need - 1e-9) & (have[es] > 0)
-        es, cs = es[keep], cs[keep]
-        rank = np.lexsort((es, -cs))
-        return es[rank], cs[rank]
+            need = cosines[rank[last]] if held[-1] >= self.neighbours else -1.0
+        es = es[(cosines[es] >= need - 1e-9) & (have[es] > 0)]
+        rank = np.lexsort((es, -cosines[es]))
+        return es[rank], cosines[es[rank]]
 
     def vote(self, counts: tuple, apart: int | None = None, label: int = 0) -> tuple[float, np.ndarray]:
         """The share of toxic examples among the nearest, each weighted by 1 / (0.05 + distance)."""
@@ -181,17 +219,17 @@ class Index:
     def score(self, text: str) -> tuple[float, list[int]]:
         """(probability, ids of the nearest examples). Between the levels of the calibration it runs straight, and a
         hundredth of the vote itself is mixed in, so that the order of votes is kept inside a level."""
-        counts = self.counts(text)
-        if counts not in self.memo:
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             if len(self.votes):
-                vote, es = self.vote(counts)
+                vote, es = self.vote(self.counts(text))
                 level = float(np.interp(vote, self.cuts, self.levels))
-                self.memo[counts] = min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), [i for e in es[:3].tolist() for i in self.evidence[e]][:3]
+                self.memo[key] = min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), [i for e in es[:3].tolist() for i in self.evidence[e]][:3]
             else:
-                self.memo[counts] = 0.0, []
-        return self.memo[counts]
+                self.memo[key] = 0.0, []
+        return self.memo[key]
 
 
 SCORES = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>"

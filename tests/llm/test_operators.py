@@ -217,6 +217,21 @@ def test_block_max_search_is_exact():
         assert set(es.tolist()) == set(np.flatnonzero(cosines >= last - 1e-9).tolist())
 
 
+def test_toxicity_counts_repeated_sentences_and_every_word():
+    import pandas as pd
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    said = "zorb quell mudge fipple trask"
+    texts = [" ".join([*rng.choices(vocabulary, k=30), *([said] if k % 4 == 0 else [])]) for k in range(400)]
+    index = toxicity.Index(pd.DataFrame({"doc_id": range(400), "text": texts, "label": [int(k % 4 == 0) for k in range(400)]}))
+    assert set(said.split()) <= set(index.terms)  # the inner words of a sentence repeated word by word count, too
+    assert index.score("quell mudge fipple")[0] > 0.7 > index.score(" ".join(rng.choices(vocabulary, k=30)))[0]
+    for text in texts[:20]:  # each word has a place of its own, and its own text is the nearest
+        assert len({i for i, _ in index.counts(text)} - set(index.terms.values())) == len(set(text.split()))
+        assert index.nearest(index.counts(text))[1][0] == pytest.approx(1) and index.score(text)[1][0] == texts.index(text)
+
+
 # --- 4 chat
 
 
