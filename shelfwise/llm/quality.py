@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.sampling import crc, labelled_sample
 
-#: Labelled documents that the field is fitted on, at most, and lines of each that are used in fitting, at most.
+#: Labelled documents that the field is fitted on, at most.
 MAX_LABELLED = 3_000
-FIT_LINES = 32
+#: Lines of all these documents together, at most; beyond it there are fewer documents, each with all of its lines.
+FIT_LINES = 400_000
 THRESHOLD = 0.3
 STEPS = 150
 
@@ -84,6 +85,13 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def _whole_documents(texts: list[str], most: int) -> np.ndarray:
+    """Places of the documents to fit on: all, or so many of a random order as hold `most` lines, one at least."""
+    order = np.random.default_rng(1).permutation(len(texts))
+    held = np.cumsum([texts[i].count("\n") + 1 for i in order])
+    return np.sort(order[: max(1, np.searchsorted(held, most, "right"))])
+
+
 def marginals(emit: np.ndarray, n: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward over chains of two states, all chains at once: P(bad) of each line, and the expected
     number of each transition over all chains. `emit`: (chains, lines, 2) log potentials; `n`: lines of each chain."""
@@ -122,40 +130,61 @@ class Field:
         if good.min() == good.max():
             self.offset = 4.0 if good[0] else -4.0
             return
-        parts = [line_features(t) for t in examples["text"]]
-        x, n = _padded([f[:FIT_LINES] for _, f in parts])
-        bad = np.repeat(1.0 - good[:, None], x.shape[1], 1)
-        live = np.arange(x.shape[1]) < n[:, None]
-        chars, _ = _padded([c[:FIT_LINES] for c, _ in parts])
+        texts = examples["text"].tolist()
+        some = _whole_documents(texts, FIT_LINES)
+        if good[some].min() < good[some].max():
+            texts, good = [texts[i] for i in some], good[some]
+        parts = [line_features(t) for t in texts]
+        n = np.array([len(x) for _, x in parts])
+        order = np.argsort(n, kind="stable")  # documents of like numbers of lines stand together
+        parts, good, n = [parts[i] for i in order], good[order], n[order]
+        x, chars = np.concatenate([x for _, x in parts]), np.concatenate([c for c, _ in parts])
+        bad = np.repeat(1.0 - good, n)
         for turn in range(2):
-            self._fit(x, n, bad, live, np.sqrt(chars / chars[live].mean()))
+            self._fit(x, n, bad, np.sqrt(chars / chars.mean()))
             if turn == 0:
-                seen, _ = marginals(self._emit(x), n, self.move)
-                share = (seen * live).sum(1) / n
+                seen, _ = self._marginals(x, n)
+                share = np.repeat(np.add.reduceat(seen, np.cumsum(n) - n) / n, n)
                 # a bad document keeps at least its worse lines as bad
-                bad = np.where(good[:, None] == 1, 0.0, (seen >= np.minimum(0.5, share)[:, None]).astype(float))
-        shares = np.array([self.bad_share(*p) for p in parts])
-        self._calibrate(shares, good)
+                bad = np.where(np.repeat(good, n) == 1, 0.0, (seen >= np.minimum(0.5, share)).astype(float))
+        self._calibrate(self.bad_shares(parts), good)
 
     def _emit(self, x: np.ndarray) -> np.ndarray:
         score = x @ self.w.astype(np.float32)
         return np.stack([np.zeros_like(score), score], -1).astype(float)
 
-    def _fit(self, x, n, bad, live, weight) -> None:
+    def _marginals(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(bad) of each line and the expected transitions, over documents of `n` lines in ascending order whose lines `x`
+        follow each other; those of up to 4 times as many lines as the first are one batch."""
+        emit, ends = self._emit(x), np.cumsum(n)
+        out, pairs = np.zeros(len(x)), np.zeros((2, 2))
+        at = 0
+        while at < len(n):
+            stop = np.searchsorted(n, 4 * n[at], "right")
+            live = np.arange(n[stop - 1]) < n[at:stop, None]
+            padded = np.zeros((*live.shape, 2))
+            lines = slice(ends[at] - n[at], ends[stop - 1])
+            padded[live] = emit[lines]
+            bad, moves = marginals(padded, n[at:stop], self.move)
+            out[lines] = bad[live]
+            pairs += moves
+            at = stop
+        return out, pairs
+
+    def _fit(self, x, n, bad, weight) -> None:
         """Adam on the log likelihood of the labels, with a small quadratic penalty. The lines' part of the gradient is
         weighted by the root of their lengths, so that short lines do not outvote long ones."""
-        flat, total = x[live], live.sum()
-        target = bad[live]
-        there = live[:, 1:]
-        a, b = bad[:, :-1][there], bad[:, 1:][there]
+        total = len(x)
+        inside = np.ones(total, bool)
+        inside[np.cumsum(n) - n] = False  # a document's first line follows none
+        a, b = bad[:-1][inside[1:]], bad[1:][inside[1:]]
         want = np.array([[((1 - a) * (1 - b)).sum(), ((1 - a) * b).sum()], [(a * (1 - b)).sum(), (a * b).sum()]])
-        wt = weight[live]
         theta = np.concatenate((self.w, self.move.ravel()))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
             self.w, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
-            p, pairs = marginals(self._emit(x), n, self.move)
-            g = np.concatenate((((target - p[live]) * wt) @ flat / total, ((want - pairs) / total).ravel())) - 1e-4 * theta
+            p, pairs = self._marginals(x, n)
+            g = np.concatenate(((((bad - p) * weight).astype(np.float32) @ x) / total, ((want - pairs) / total).ravel())) - 1e-4 * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.w, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)

@@ -65,6 +65,17 @@ def test_quality(spark, odd_docs, no_docs):
     assert {r["score"] for r in rows(quality.scores(docs, labels.limit(0)))} == {0.5}
 
 
+def test_quality_learns_from_late_lines():
+    import pandas as pd
+
+    rng = random.Random(2)
+    texts = ["\n".join([*rng.choices(LINES, k=40), *rng.choices(JUNK if k % 2 else LINES, k=40)]) for k in range(60)]
+    field = quality.Field(pd.DataFrame({"doc_id": range(60), "text": texts, "label": [1 - k % 2 for k in range(60)]}))
+    clean, junk = (field.bad_share(*quality.line_features("\n".join(rng.choices(some, k=20)))) for some in (LINES, JUNK))
+    assert clean < 0.1 and junk > 0.9
+    assert quality._whole_documents(["a\nb"] * 10, 7).size == 3
+
+
 def test_marginals_are_those_of_all_labellings():
     rng = np.random.default_rng(1)
     emit, move = rng.normal(size=(1, 5, 2)), rng.normal(size=(2, 2))
