@@ -122,8 +122,8 @@ def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, se
     """(vec_id, near, k): each vector's list, the most alike first, found by NN-descent from random-projection leaves.
 
     After each round the vectors of the audit are held against brute force: of their links at the threshold, so
-    many as fit their lists have to be there. The descent goes on until little changes and the recall is reached, or
-    the rounds are used up. A list that is full of links is doubled, up to LONGEST_LIST.
+    many as fit their lists have to be there. The descent goes on until little changes, no list was doubled and the
+    recall is reached, or the rounds are used up. A list that is full of links is doubled, up to LONGEST_LIST.
     """
     size = len(vectors.select("embedding").first()[0])
     leaves = _leaves(vectors, n, size, TREES, LEAF, seed)
@@ -140,14 +140,15 @@ def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, se
         full = (F.size("near") >= F.col("k")) & (F.element_at("near", F.col("k"))["sim"] >= threshold)
         merged = merged.withColumn("near", F.sort_array(F.array_distinct("near"), asc=False)).withColumn("k", F.when(full, F.least(F.lit(LONGEST_LIST), F.col("k") * 2)).otherwise(F.col("k")))
         new = staged(merged.withColumn("near", F.slice("near", F.lit(1), F.col("k"))), "lists")
-        old = lists.select(F.col("vec_id").alias("v"), F.col("near").alias("was"))
-        changed = new.join(old, F.col("vec_id") == F.col("v")).agg(F.sum(F.size(F.array_except("near.id", "was.id")))).first()[0] or 0
+        old = lists.select(F.col("vec_id").alias("v"), F.col("near").alias("was"), F.col("k").alias("k_was"))
+        sums = F.sum(F.size(F.array_except("near.id", "was.id"))), F.count_if(F.col("k") > F.col("k_was"))
+        changed, doubled = new.join(old, F.col("vec_id") == F.col("v")).agg(*sums).first()
         drop(lists)
         lists = new
         got = {r[0]: set(r[1]) for r in lists.where(F.col("vec_id").isin([int(i) for i in audit.vec_id])).select("vec_id", F.expr(f"transform(filter(near, x -> x.sim >= {threshold}), x -> x.id)")).collect()}
         due = sum(min(len(t), LONGEST_LIST) for t in truth.values())
         recall = sum(min(len(t & got.get(v, set())), LONGEST_LIST) for v, t in truth.items()) / due if due else 1.0
-        if turn + 1 >= LEAST_ROUNDS and changed < STILL * n * LIST and recall >= RECALL:
+        if turn + 1 >= LEAST_ROUNDS and not doubled and (changed or 0) < STILL * n * LIST and recall >= RECALL:
             break
     return lists
 
@@ -195,8 +196,14 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return parts.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
 
 
+def saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """The lists that hold links only, so that there may be more: of any length, as a list that was doubled last may not
+    have filled yet."""
+    return lists.where((F.size("near") > 0) & (F.try_element_at("near", F.lit(-1))["sim"] >= threshold))
+
+
 def _across(full: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links between vectors whose lists are as long as lists get and full of links, in different components. Both ends of a
+    """Links between vectors whose lists are saturated, in different components. Both ends of a
     link that no list holds must be such, so this makes the links complete as far as the lists are. Blocks are made of
     one component's vectors, and two blocks meet if their centres are near enough for a link; each pair of components
     gives one link at most for each pair of its blocks."""
@@ -268,7 +275,7 @@ def _linked(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     entries = lists.select(F.col("vec_id").alias("a"), F.explode("near").alias("e")).where(F.col("e.sim") >= threshold)
     links = staged(entries.select("a", F.col("e.id").alias("b")), "links")
     parts = components(links)
-    full = lists.where((F.size("near") >= LONGEST_LIST) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("vec_id").alias("id"))
+    full = saturated(lists, threshold).select(F.col("vec_id").alias("id"))
     full = full.join(parts, "id").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id").withColumnRenamed("id", "vec_id")
     more = staged(_across(full, threshold, BLOCK), "across")
     if not more.isEmpty():

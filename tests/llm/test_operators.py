@@ -279,6 +279,12 @@ def test_chat(spark):
 # --- 5 neighbours
 
 
+def test_lists_of_links_only_are_saturated_at_any_length(spark):
+    sims = {1: [0.99] * 30, 2: [0.99] * 48, 3: [0.99] * 47 + [0.9], 4: []}
+    lists = spark.createDataFrame([(v, [(x, 100 + j) for j, x in enumerate(xs)], 48) for v, xs in sims.items()], "vec_id bigint, near array<struct<sim:double,id:bigint>>, k int")
+    assert {r["vec_id"] for r in rows(neighbours.saturated(lists, 0.95))} == {1, 2}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
