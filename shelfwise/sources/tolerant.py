@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +18,16 @@ def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataF
     return found.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*skip))) if skip else found
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """By the first bytes of one file: a byte order mark, else UTF-8 if it decodes, else Latin-1."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536)).first()[0]
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    try:
-        bytes(head).decode("utf-8", "strict")
-    except UnicodeDecodeError as e:
-        if len(head) < 65_536 or e.start < len(head) - 4:  # else a character may be cut at the end
-            return "ISO-8859-1"
-    return "UTF-8"
+def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by their encodings, each by its whole content: UTF-16 by a byte order mark, else UTF-8 if all
+    bytes decode, else Latin-1. Only names come to the driver."""
+    found = spark.read.format("binaryFile").load(path)
+    marked = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    encoding = F.when(marked, "UTF-16").when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1")
+    by: dict[str, list[str]] = {}
+    for name, e in found.select("path", encoding).orderBy("path").collect():
+        by.setdefault(e, []).append(name)
+    return by
 
 
 #: Windows-1252 has characters where Latin-1 has controls.
@@ -35,8 +37,13 @@ _WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in rang
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as strings, quoted line ends kept, zero characters dropped, blank cells null."""
-    encoding = encoding_of(spark, path)
-    rows = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
+    by = encodings(spark, path)
+    parts = [_read_csv(spark, [path] if len(by) == 1 else [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in names], sep, e) for e, names in by.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts or [_read_csv(spark, [path], sep, "UTF-8")])
+
+
+def _read_csv(spark: SparkSession, paths: list[str], sep: str, encoding: str) -> DataFrame:
+    rows = spark.read.csv(paths, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
     left, right = (_CONTROLS, _WINDOWS) if encoding == "ISO-8859-1" else ("", "")
     clean = lambda c: F.nullif(F.trim(F.translate(F.translate(F.col(f"`{c}`"), left, right), "\x00", "")), F.lit(""))
     return rows.select(*[clean(c).alias(c.replace("\x00", "").lstrip("\ufeff")) for c in rows.columns])

@@ -163,3 +163,14 @@ def test_entry_without_the_llm_folders(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_csv_encoding_is_each_files_own_over_all_its_bytes(spark, tmp_path):
+    from shelfwise.sources import tolerant
+
+    plain = "name,n\n" + "plain,1\n" * 10_000
+    (tmp_path / "a.csv").write_bytes((plain + "café “x”,2\n").encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes((plain + "naïve,3\n").encode("utf-8"))
+    found = {r["n"]: r["name"] for r in tolerant.read_csv(spark, str(tmp_path)).distinct().collect()}
+    assert found == {"1": "plain", "2": "café “x”", "3": "naïve"}
+    assert tolerant.read_csv(spark, str(tmp_path / "a.csv")).where("n = 2").first()["name"] == "café “x”"
