@@ -32,15 +32,17 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(path, sys.maxsize).ids
+        encoded = encoder(path, sys.maxsize).encoded
         for rows in batches:
-            out = []
-            for doc, text in zip(rows.doc_id, rows.text, strict=True):
-                ids = ids_of(text) + end if text else end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            docs = rows.doc_id.tolist()
+            for first, ids, ends in encoded([t or "" for t in rows.text]):
+                out, blob, at = [], ids.tobytes(), 0
+                for doc, to in zip(docs[first:], (4 * ends).tolist(), strict=False):
+                    own, at = blob[at:to] + end, to
+                    for k in range(0, len(own), 4 * capacity):
+                        part = own[k : k + 4 * capacity]
+                        out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 

@@ -18,6 +18,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 HUGE_CHARS = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-#: Distinct pieces that a worker remembers; the memory is emptied when full, which changes no result.
-MEMO = 700_000
+#: Distinct pieces that a worker remembers, which changes no result.
+MEMO = 1_000_000
 
 #: Without U+0130, whose lower case has a combining mark.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -40,7 +41,7 @@ PIECES = {
     "spaced": re.compile(rf" ?[{_LETTER}]++(?=[{_SPACE}{_PLAIN}]|\Z)| ?[{_PLAIN}]++(?=[{_SPACE}{_LETTER}]|\Z)|{_WHOLE}"),
     "bare": re.compile(rf"[{_LETTER}]++(?=[{_SPACE}{_PLAIN}]|\Z)|[{_PLAIN}]++(?=[{_SPACE}{_LETTER}]|\Z)|[^{_SPACE}]+"),
 }
-#: A piece that is one pre-token of letters: the model alone encodes it, without the steps before.
+#: A piece that is one pre-token of letters.
 _LETTERS = re.compile(rf" ?[{_LETTER}]+")
 _STABLE = re.compile(rf"(?<=[^{_SPACE}{_ANY_SPACE}])[{_SPACE}]")
 
@@ -69,6 +70,96 @@ def _shape(path: str) -> str | None:
     return None
 
 
+#: Kinds of bytes: white space, letters (also the leading bytes of Latin letters, and continuation bytes, which count as what
+#: stands before them), plain punctuation, anything else, and the byte that ends a text, which UTF-8 never has.
+_GAP, _WORD, _MARK, _OTHER, _END = range(5)
+_KINDS = bytearray([_OTHER]) * 256
+for _kind, _bytes in ((_GAP, _SPACE.encode()), (_WORD, (*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9))), (_MARK, [k for k in range(33, 127) if re.match(f"[{_PLAIN}]", chr(k))]), (_END, b"\xff")):
+    for _byte in _bytes:
+        _KINDS[_byte] = _kind
+#: × ÷ İ, which are no letters here.
+_NO_LETTERS = tuple(c.encode() for c in "×÷İ")
+#: What white space beyond _SPACE begins with in UTF-8.
+_ODD_SPACE = re.compile(rb"[\x0b\x0c\x1c-\x1f\xc2\xe1-\xe3]")
+#: Characters of text that are cut at once, about; the longest pieces that are compared as numbers; words encoded as one text.
+CUT_CHARS, SHORT, TOGETHER = 4 << 20, 24, 2_000
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def cut_texts(data: bytes, shape: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of texts that each end in 0xFF, in order; white space that no token holds is left out.
+
+    A stretch between white space is cut where letters meet plain punctuation; if it holds anything else, it is one
+    piece. "spaced": of the white space before it, all but the last character are a piece; the last belongs to what
+    follows if it is a space and is a piece of its own if not. White space at a text's end is one piece."""
+    b = np.frombuffer(data, np.uint8)
+    kinds = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    for c in _NO_LETTERS:
+        if c in data:
+            kinds[[m.start() for m in re.finditer(c, data)]] = _OTHER
+    at = np.append(0, np.flatnonzero(kinds[1:] != kinds[:-1]) + 1)
+    what, end = kinds[at], np.append(at[1:], len(b))
+    solid = (what != _GAP) & (what != _END)
+    goes_on = np.append(solid[1:], False)
+    first = solid & ~np.append(False, solid[:-1])
+    heads, tails = np.flatnonzero(first), np.flatnonzero(solid & ~goes_on)
+    mixed = np.add.reduceat(solid & (what == _OTHER), heads) > 0 if len(heads) else np.zeros(0, bool)
+    whole = solid & np.append(mixed, False)[np.cumsum(first) - 1]
+    start, stop = at.copy(), end.copy()
+    stop[heads[mixed]] = end[tails[mixed]]
+    keep = solid & (~whole | first)
+    if shape == "bare":
+        return start[keep], stop[keep]
+    gaps = np.flatnonzero(what == _GAP)
+    more = goes_on[gaps]
+    led = more & (b[end[gaps] - 1] == 32)
+    start[gaps[led] + 1] -= 1
+    runs, own = gaps[~more | (end[gaps] - at[gaps] > 1)], gaps[more & ~led]
+    starts = np.concatenate((start[keep], at[runs], end[own] - 1))
+    stops = np.concatenate((stop[keep], end[runs] - goes_on[runs], end[own]))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order]
+
+
+def distinct_pieces(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct pieces, each piece's number among them). Short ones meet by a hash, and each is held against one of its
+    hash in all its bytes; those that differ meet again by another hash. Long ones are looked up one by one."""
+    size = stops - starts
+    padded = data + bytes(SHORT + 8)
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    keys = [eight[starts + 8 * k] & _LOW_BYTES[np.clip(size - 8 * k, 0, 8)] for k in range(SHORT // 8)]
+    h = size.astype(np.uint64)
+    for k in keys:
+        h = (h ^ k) * _MIX
+        h ^= h >> np.uint64(29)
+    number, out = np.empty(len(size), np.int64), []
+    open_ = np.flatnonzero(size <= SHORT)
+    bits = max(8, len(open_).bit_length())
+    owner = np.zeros(1 << bits, np.int64)
+    while len(open_):
+        h = h * _MIX
+        slot = (h if len(open_) == len(h) else h[open_]) >> np.uint64(64 - bits)
+        owner[slot] = open_  # the last one stays
+        head = owner[slot]
+        same = size[open_] == size[head]
+        for k in keys:
+            same &= k[open_] == k[head]
+        heads = open_[head == open_]
+        owner[slot[head == open_]] = np.arange(len(out), len(out) + len(heads))
+        number[open_[same]] = owner[slot[same]]
+        out += [data[a:b] for a, b in zip(starts[heads].tolist(), stops[heads].tolist(), strict=True)]
+        open_ = open_[~same]
+    known: dict[bytes, int] = {}
+    for i in np.flatnonzero(size > SHORT).tolist():
+        piece = data[starts[i] : stops[i]]
+        if piece not in known:
+            known[piece] = len(out)
+            out.append(piece)
+        number[i] = known[piece]
+    return out, number
+
+
 class Encoder:
     """Ids of whole texts as the `tokenizers` library gives them without added special tokens."""
 
@@ -79,77 +170,103 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.shape = _shape(path)
         self.huge, self.chunk, self.overlap = huge_chars, chunk_chars, overlap_chars
-        self.ids_of: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.count_of: tuple[dict[str, int], dict[str, int]] = {}, {}
-
-    def _learn(self, memo: dict, pieces: set[str], value: Callable) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-        new = []
-        for piece in pieces.difference(memo):
-            if _LETTERS.fullmatch(piece):
-                memo[piece] = value(self._letters(piece))
+        # the ids of the pieces met lately, and of those met before them
+        self.fresh: dict[bytes, bytes] = {}
+        self.stale: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.marks = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end ("bare") or begin a word
+        for token, i in vocabulary.items():
+            self.marks[i] = token.endswith("</w>") if self.shape == "bare" else token.startswith(_BYTE_LETTERS[32])
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, ids of some texts in a row, where each text's ids end), for all texts in order. Texts
+        are taken together as far as their boundaries are known; those of more than `huge_chars` characters are encoded by
+        themselves in overlapping chunks, and whole if the tokenizer is of no known shape."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and size < CUT_CHARS and not self._alone(texts[stop]):
+                size += len(texts[stop])
+                stop += 1
+            if stop > at:
+                yield at, *self._together(texts[at:stop])
+                at = stop
             else:
-                new.append(piece)
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[piece] = value(e.ids)
-
-    def _letters(self, piece: str) -> list[int]:
-        known = piece.lower() if self.shape == "bare" else piece.replace(" ", _BYTE_LETTERS[32])
-        if not piece.isascii():
-            known = (piece.lower() if self.shape == "bare" else piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [t.id for t in self.model.tokenize(known)]
+                ids = self._by_itself(texts[at])
+                yield at, ids, np.array([len(ids)])
+                at += 1
+
+    def _alone(self, text: str) -> bool:
+        return not self.shape or len(text) > min(self.huge, CUT_CHARS) or (self.shape == "spaced" and _ODD_SPACE.search(text.encode("utf-8", "replace")) is not None)
+
+    def _by_itself(self, text: str) -> np.ndarray:
+        if not self.shape or len(text) > self.huge:
+            return np.array(self._long(text), "<u4")
+        if self.shape == "spaced":
+            return np.frombuffer(b"".join(self._values([p.encode("utf-8", "replace") for p in PIECES["spaced"].findall(text)])), "<u4")
+        return np.concatenate([self._together([part])[0] for part in _slices(text)])
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each one's end)."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        data = b"\xff".join(raw) + b"\xff"
+        if self.shape == "bare" and b"<" not in data:  # it lowers case itself, but only after its special tokens are found
+            data = data.lower()
+        starts, stops = cut_texts(data, self.shape)
+        pieces, number = distinct_pieces(data, starts, stops)
+        values = self._values(pieces)
+        flat, size = np.frombuffer(b"".join(values), "<u4"), np.array([len(v) // 4 for v in values], np.int64)
+        first, n = (np.cumsum(size) - size)[number], size[number]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first - ends + n, n) + np.arange(n.sum())]
+        before = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+        return ids, np.append(0, ends)[before]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.shape and len(text) <= self.huge:
-            return b"".join(self._values(self.ids_of, text, _packed))
-        return _packed(self._long(text))
-
-    def count(self, text: str) -> int:
-        if self.shape and len(text) <= self.huge:
-            return sum(self._values(self.count_of, text, len))
-        return len(self._long(text))
-
-    def _values(self, memo: tuple[dict, dict], text: str, value: Callable) -> list:
-        """The values of a text's parts: of the words between spaces, each put together, when first met, from the
-        values of its pieces."""
-        words, fine = memo
-        first, *rest = text.split(" ")
-        try:
-            return [*self._fine(fine, first, value), *map(words.__getitem__, rest)]
-        except KeyError:
-            pass
-        if len(words) > MEMO:
-            words.clear()
-        new = set(rest).difference(words)
+        return b"".join(ids.tobytes() for _, ids, _ in self.encoded([text]))
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """The number of tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        for at, _, ends in self.encoded(texts):
+            out[at : at + len(ends)] = np.diff(ends, prepend=0)
+        return out
+
+    def _values(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, learnt if new. Half of MEMO is kept when the other half is forgotten."""
+        fresh, stale, new = self.fresh, self.stale, {}
+        for p in pieces:
+            if p not in fresh:
+                if (known := stale.get(p)) is None:
+                    new[p] = p.decode("utf-8", "replace")
+                else:
+                    fresh[p] = known
+        self._learn(new)
+        out = list(map(fresh.__getitem__, pieces))
+        if len(fresh) > MEMO // 2:
+            self.fresh, self.stale = {}, fresh
+        return out
+
+    def _learn(self, new: dict[bytes, str]) -> None:
+        """Words of letters are encoded many in one text, whose tokens say where words end or begin."""
         lead = " " if self.shape == "spaced" else ""
-        led = {}
-        for w in new:
-            if _LETTERS.fullmatch(w):
-                words[w] = value(self._letters(lead + w))
-            elif w and not w[-1].isspace():
-                led[w] = PIECES[self.shape].findall(lead + w)
-        self._learn(fine, {p for pieces in led.values() for p in pieces}, value)
-        for w, pieces in led.items():
-            words[w] = self._sum(map(fine.__getitem__, pieces), value)
-        try:
-            return [*self._fine(fine, first, value), *map(words.__getitem__, rest)]
-        except KeyError:  # two spaces, or other white space before a space: no boundary there
-            return self._fine(fine, text, value)
-
-    @staticmethod
-    def _sum(values, value: Callable):
-        return sum(values) if value is len else b"".join(values)
-
-    def _fine(self, memo: dict, text: str, value: Callable) -> list:
-        pieces = PIECES[self.shape].findall(text)
-        if any(p not in memo for p in pieces):
-            self._learn(memo, set(pieces), value)
-        return list(map(memo.__getitem__, pieces))
+        words = [p for p, w in new.items() if w.startswith(lead) and _LETTERS.fullmatch(w)]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        texts = [("" if lead else " ").join(map(new.__getitem__, g)) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            marks = np.flatnonzero(self.marks[ids])
+            cuts = [*(4 * marks).tolist(), 4 * len(ids)] if lead else [0, *(4 * marks + 4).tolist()]
+            if len(cuts) == len(g) + 1:
+                blob = ids.tobytes()
+                for p, a, b in zip(g, cuts, cuts[1:], strict=False):
+                    self.fresh[p] = blob[a:b]
+        rest = [p for p in new if p not in self.fresh]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([new[p] for p in rest], add_special_tokens=False), strict=True):
+            self.fresh[p] = array("I", e.ids).tobytes()
 
     def _long(self, text: str) -> list[int]:
         if self.shape:
@@ -161,8 +278,13 @@ class Encoder:
         return e.ids, e.offsets
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+def _slices(text: str) -> Iterator[str]:
+    """A long text in parts of about CUT_CHARS characters that end at proven boundaries."""
+    at = 0
+    while len(text) - at > CUT_CHARS and (m := _STABLE.search(text, at + CUT_CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def stable_boundaries(text: str, start: int, end: int) -> set[int]:
@@ -232,9 +354,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, huge_chars: int =
     executor has. One pass without a shuffle. A null text is empty and has 0 bytes and tokens; a null doc_id stays."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = encoder(path, huge_chars, chunk_chars, overlap_chars).count
+        counts = encoder(path, huge_chars, chunk_chars, overlap_chars).counts
         for rows in batches:
-            rows["n_tokens"] = [count(t) if t else 0 for t in rows.pop("text")]
+            rows["n_tokens"] = counts([t or "" for t in rows.pop("text")])
             rows["over_limit"] = rows.n_tokens > limit
             yield rows
 

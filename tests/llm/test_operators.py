@@ -322,7 +322,20 @@ def test_token_ids(path, huge):
     encode, library = tokens.Encoder(path, huge, 12, 3), Tokenizer.from_file(path)
     for text in odd_texts():
         want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encode.ids(text), "<u4").tolist() == want and encode.count(text) == len(want), text
+        assert np.frombuffer(encode.ids(text), "<u4").tolist() == want, text
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("chars", [tokens.CUT_CHARS, 9])
+def test_texts_encoded_together(path, chars, monkeypatch):
+    monkeypatch.setattr(tokens, "CUT_CHARS", chars)
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    texts = ["", "word", *odd_texts(400), "a" * 40 + " " + "a" * 40, *(" ".join(x) for x in zip(odd_texts(300), reversed(odd_texts(300))))]
+    encode, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    got = [part.tolist() for at, ids, ends in encode.encoded(texts) for part in np.split(ids, ends[:-1])]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == want
+    assert encode.counts(texts).tolist() == [len(ids) for ids in want]
 
 
 def test_token_counts(odd_docs, no_docs):
@@ -337,7 +350,7 @@ def test_token_counts(odd_docs, no_docs):
 
 def test_text_without_a_boundary_is_encoded_whole():
     library, text = Tokenizer.from_file(BYTE), "ab1" * 3_000
-    assert tokens.Encoder(BYTE, 100, 64, 8).count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert tokens.Encoder(BYTE, 100, 64, 8).counts([text]).tolist() == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
 # --- 7 near duplicates
