@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         meets = edges.join(of_a, "a").join(of_b, "b").where("ca > cb").groupBy("ca").agg(F.min("cb").alias("cb"))
         meets = staged(meets, "meets")
         if meets.isEmpty():
+            drop(edges)
+            drop(meets)
             return labels
         # each point takes the smallest that it meets, and that one's smallest in turn
         hop = meets.select(F.col("ca").alias("cb"), F.col("cb").alias("next"))

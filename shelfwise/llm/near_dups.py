@@ -140,44 +140,75 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     bags of five-word shingles have a weighted Jaccard similarity of `threshold` or more; kept is doc_id = class_id.
 
     Texts of equal words (lower case, split at white space) are one document from the start, so copies meet no pairs.
-    The others are banded. In each bucket documents are compared with the most central one; documents in one component
-    need no more comparing. Buckets that still hold several components are compared across these, in blocks
-    (_links_across), so no link that a shared band shows is lost and no list of all pairs of a group is made.
+    The others are banded. Each document is first compared with one other: of the most central documents of its buckets,
+    the one whose buckets hold the most. Only buckets that still hold several components after that are compared with
+    their own most central document, and those that hold several even then across these, in blocks (_links_across). So
+    documents in one component need no more comparing, no link that a shared band shows is lost, and no list of all
+    pairs of a group is made.
 
     A null text is empty; documents without words are one class. Rows with a null id are left out, since a class is named
     by ids; rows that share an id count once, by the text that sorts first. Other columns are left out.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = staged(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     signed = staged(_signed(texts, bands, rows), "signed")
-    ids = signed.groupBy("doc_id").agg(F.min("same").alias("same"))
-    firsts = ids.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = staged(ids.join(firsts, "same").select("doc_id", "rep"), "reps")
-    alone = reps.where("doc_id = rep").select("doc_id")
-    keys = signed.join(alone, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "size", F.explode("bands").alias("bucket"))
+    copied = signed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    copied = staged(copied, "copied")  # a table of its own, so that Spark can split the join at a group of very many copies
+    reps = staged(signed.join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep")), "reps")
+    drop(copied)
+    keys = signed.join(reps.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "size", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(keys.join(shared, "bucket"), "members")
+    shared_keys = staged(keys.join(shared, "bucket"), "keys")
     drop(signed)
-    wanted = members.select("doc_id").distinct()
-    bags = staged(_bags(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))) if _repeats(texts) else _bags(texts.join(wanted, "doc_id")), "bags")
+    weights = shared_keys.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    members = staged(shared_keys.join(weights, "doc_id").select("bucket", "doc_id", "size", "weight"), "members")
+    drop(shared_keys)
+    bags = staged(_bags(texts.join(members.select("doc_id").distinct(), "doc_id")), "bags")
 
-    # first, each bucket's documents against its most central one: the one whose buckets hold the most documents
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    placed = members.join(weight, "doc_id")
-    centre = placed.groupBy("bucket").agg(F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), F.struct("weight", -F.col("doc_id"))).alias("c")).select("bucket", "c.*")
+    # each document against the heaviest of the most central documents of its buckets
+    most = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("weight").alias("weight_a")), F.struct("weight", -F.col("doc_id")))
     fits = F.least("size_a", "size") >= threshold * F.greatest("size_a", "size")
-    met = members.join(centre, "bucket").where((F.col("doc_id") != F.col("a")) & fits)
-    pairs = staged(met.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
-    bag_a, bag_b = (bags.select(F.col("doc_id").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("bag_a", "bag_b"))
-    alike = both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)
-    links = staged(pairs.join(bag_b, "b").join(bag_a, "a").where(alike).select("a", "b"), "links")
-    drop(pairs)
-    links = links.unionByName(_links_across(members, bags, components(links), threshold))
+    centres = members.groupBy("bucket").agg(most.alias("c")).select("bucket", "c.*")
+    met = members.join(centres, "bucket").where((F.col("doc_id") != F.col("a")) & fits)
+    tried = staged(met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("weight_a", -F.col("a"))).alias("a")), "pairs")
+    links = staged(_alike(tried, bags, threshold), "links")
+    parts = components(links)
+
+    # what is left of the buckets that hold several components, against the most central document of each
+    named = _named(members, parts)
+    here = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a")), F.struct("weight", -F.col("doc_id")))
+    centres = named.groupBy("bucket").agg(here.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "c.*")
+    met = named.join(centres, "bucket").where((F.col("component") != F.col("component_a")) & fits)
+    again = staged(met.select(F.col("doc_id").alias("b"), "a").distinct().join(tried, ["b", "a"], "left_anti"), "pairs")
+    links = links.unionByName(staged(_alike(again, bags, threshold), "links"))
+    drop(tried)
+    drop(again)
+    drop(parts)
+    parts = components(links)
+
+    links = links.unionByName(_links_across(members, bags, parts, threshold))
+    drop(members)
+    drop(bags)
+    drop(parts)
     parts = components(links).select(F.col("id").alias("rep"), "component")
     out = reps.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _named(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members with the component of each; one without links is its own."""
+    return members.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _alike(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bags have a weighted Jaccard similarity of `threshold` or more."""
+    bag_a, bag_b = (bags.select(F.col("doc_id").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("bag_a", "bag_b"))
+    alike = both >= threshold * (F.size("bag_a") + F.size("bag_b") - both)
+    return pairs.join(bag_b, "b").join(bag_a, "a").where(alike).select("a", "b")
+
+
 def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """Links between documents of a bucket that are still in different components.
 
@@ -186,8 +217,7 @@ def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, thresho
     out of products of matrices that say which document holds which shingle, and of the pairs found only those that
     join two components become rows.
     """
-    named = members.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = staged(named.select("bucket", "doc_id", "component"), "named")
+    named = staged(_named(members, parts).select("bucket", "doc_id", "component"), "named")
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).where("lo < hi").select("bucket", "first")
     open_docs = named.join(several, "bucket")
     families = components(open_docs.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
@@ -204,7 +234,9 @@ def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, thresho
     to = dealt.withColumn("to", F.pmod(spread, F.col("n_to")).cast("int")).withColumn("from", each("n_from")).withColumn("asks", F.lit(False))
     from_ = dealt.where(asked).withColumn("from", F.pmod(spread, F.col("n_from")).cast("int")).withColumn("to", each("n_to")).withColumn("asks", F.lit(True))
     columns = ["family", "from", "to", "asks", "doc_id", "component", "bag"]
-    return staged(to.select(columns).unionByName(from_.select(columns)).groupBy("family", "from", "to").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "across")
+    found = staged(to.select(columns).unionByName(from_.select(columns)).groupBy("family", "from", "to").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "across")
+    drop(docs)
+    return found
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -257,10 +289,6 @@ def _block_links(threshold: float):
     return linked
 
 
-def _repeats(texts: DataFrame) -> bool:
-    return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose id names their class, and those without an id, as they are; of rows that share an id all
     stay."""

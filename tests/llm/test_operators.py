@@ -388,6 +388,12 @@ def test_near_duplicates(spark, corpus):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == sorted(set(out.values()))
 
 
+def test_an_id_with_two_texts_is_judged_by_the_first(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    docs = spark.createDataFrame([(4, texts[1]), (4, texts[0]), (9, texts[1]), (11, texts[0])], "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in rows(near_dups.near_duplicates(docs))} == {4: 4, 9: 9, 11: 4}
+
+
 def test_near_duplicates_odd(odd_docs, no_docs):
     out = {r["doc_id"]: r["class_id"] for r in rows(near_dups.near_duplicates(odd_docs))}
     assert out == classes(pairs(odd_docs))
