@@ -22,6 +22,8 @@ whole documents are equal by 128 bits.)
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfwise.llm.tables import drop, shared_dir, staged
+from shelfwise.llm.tables import drop, remove, shared_dir, staged
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a chunk, about; spans of a gram in several contexts from which it is hot; strings to a block of a run and
@@ -46,6 +48,8 @@ STEP = 1 << 20
 _NULL_ID = (1 << 63) - 1
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _PURE, _MIXED, _HOT = 1, 2, 3
+#: Occurrences of a gram in a chunk are counted up to this, which is far over HOT.
+_MANY = 32_767
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,6 +70,15 @@ def _unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def released(result: pd.DataFrame) -> pd.DataFrame:
+    """`result`, after what Arrow and the allocator hold for later has gone back to the system: workers wait for their next
+    task with small memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
 # --- chunks
 
 
@@ -106,16 +119,13 @@ class Chunk:
     """A chunk's rows, their bytes in one array, and its anchors."""
 
     def __init__(self, rows: bytes):
-        self.table = pa.ipc.open_stream(rows).read_all().combine_chunks()
-        texts = self.table.column("text").cast(pa.large_string()).combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        self.texts = [t.as_py() or "" for t in texts] if texts.null_count else None
-        flat = texts.fill_null("")
+        self.table = pa.ipc.open_stream(rows).read_all()
+        flat = self.table.column("text").cast(pa.large_string()).combine_chunks()
+        flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).fill_null("")
         offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-        self.data = (flat.buffers()[2].to_pybytes() if flat.buffers()[2] is not None else b"")[offsets[0] : offsets[-1]]
+        self.data = bytes(memoryview(flat.buffers()[2])[offsets[0] : offsets[-1]]) if flat.buffers()[2] is not None else b""
         self.starts = offsets - offsets[0]
-        ids = self.table.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID)
-        self.ids = ids.to_numpy()
+        self.ids = self.table.column("doc_id").cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
 
     def text_hashes(self) -> np.ndarray:
         """128 bits of each whole text, as two columns."""
@@ -152,22 +162,23 @@ class Chunk:
         whole = _rolled(b, LENGTH)
         shape = ((at - start) * 64 + (end - start)).astype(np.uint64)
         span = _mixed(whole[start] * np.uint64(3) + whole[end] * np.uint64(7) + shape)
-        return grams[at], at + low, start + low, end + low, span
+        # mixed once more: the least of many hashes are small numbers, which would all go to the first buckets
+        return _mixed(grams[at] * _A), at + low, start + low, end + low, span
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(grams, spans, many, group): each distinct gram, in order; a hash of its one span (0: several); how often it
-        occurs, with the sign bit set if in several documents; and the number of each anchor's gram in this order."""
+        occurs, with the highest bit set if in several documents; and the number of each anchor's gram in this order."""
         grams, group, count = np.unique(self.gram, return_inverse=True, return_counts=True)
         order = np.argsort(group, kind="stable")
         heads = np.cumsum(count) - count
         if not len(grams):
-            return grams, np.zeros(0, np.uint32), np.zeros(0, np.uint8), group
+            return grams, np.zeros(0, np.uint32), np.zeros(0, np.uint16), group
         span = self.span[order]
         lo, hi = np.minimum.reduceat(span, heads), np.maximum.reduceat(span, heads)
         ids = self.ids[self.row[order]]
         apart = np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads)
         one = ((lo >> np.uint64(32)).astype(np.uint32)) | np.uint32(1)
-        return grams, np.where(lo == hi, one, 0).astype(np.uint32), (np.minimum(count, 127) | (apart * 128)).astype(np.uint8), group
+        return grams, np.where(lo == hi, one, 0).astype(np.uint32), (np.minimum(count, _MANY) | (apart * (_MANY + 1))).astype(np.uint16), group
 
 
 def _rolled(b: np.ndarray, k: int) -> np.ndarray:
@@ -215,7 +226,8 @@ def _sent(chunks: DataFrame, bits: int) -> DataFrame:
                     g, t = slice(cuts[k], cuts[k + 1]), slice(t_cuts[k], t_cuts[k + 1])
                     if g.stop > g.start or t.stop > t.start:
                         out.append((k, number, _pack((grams[g] >> np.uint64(24 - bits)) & low), _pack(spans[g]), _pack(many[g]), _pack(texts[t].ravel()), _pack(ids[t])))
-                yield pd.DataFrame(out, columns=["bucket", "chunk", "grams", "spans", "many", "texts", "ids"])
+                del c, grams, spans, many, texts, ids
+                yield released(pd.DataFrame(out, columns=["bucket", "chunk", "grams", "spans", "many", "texts", "ids"]))
 
     return chunks.select("chunk", "rows").mapInPandas(send, "bucket int, chunk bigint, grams binary, spans binary, many binary, texts binary, ids binary")
 
@@ -232,7 +244,7 @@ def _first_ids(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, what its grams are (0: no partner) and the smallest id of each of its texts, in the order sent."""
     grams = [_unpack(b, "<u8") for b in rows.grams]
-    spans, many = np.concatenate([_unpack(b, "<u4") for b in rows.spans]), np.concatenate([_unpack(b, "u1") for b in rows.many])
+    spans, many = np.concatenate([_unpack(b, "<u4") for b in rows.spans]), np.concatenate([_unpack(b, "<u2") for b in rows.many])
     sizes = [len(g) for g in grams]
     distinct, group, chunks = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     kinds = np.zeros(len(group), np.uint8)
@@ -240,9 +252,9 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(group, kind="stable")
         heads = np.cumsum(chunks) - chunks
         s, m = spans[order], many[order]
-        partner = (chunks > 1) | (np.maximum.reduceat(m, heads) > 127)
+        partner = (chunks > 1) | (np.maximum.reduceat(m, heads) > _MANY)
         lo, hi = np.minimum.reduceat(s, heads), np.maximum.reduceat(s, heads)
-        total = np.add.reduceat((m & 127).astype(np.int64), heads)
+        total = np.add.reduceat((m & _MANY).astype(np.int64), heads)
         kind = np.where(~partner, 0, np.where((lo == hi) & (lo > 0), _PURE, np.where(total > HOT, _HOT, _MIXED))).astype(np.uint8)
         kinds = kind[group]
     texts = [_unpack(b, "<u8").reshape(-1, 2) for b in rows.texts]
@@ -256,7 +268,7 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
         first[order] = ids[order][new][np.cumsum(new) - 1]
     g_cuts, t_cuts = np.cumsum([0, *sizes]), np.cumsum([0, *map(len, texts)])
     out = [(c, b, _pack(kinds[g_cuts[i] : g_cuts[i + 1]]), _pack(first[t_cuts[i] : t_cuts[i + 1]])) for i, (c, b) in enumerate(zip(rows.chunk, rows.bucket, strict=True))]
-    return pd.DataFrame(out, columns=["chunk", "bucket", "kinds", "firsts"])
+    return released(pd.DataFrame(out, columns=["chunk", "bucket", "kinds", "firsts"]))
 
 
 # --- runs
@@ -338,7 +350,7 @@ def _sorted_runs(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFra
     answers = answers.sort_values("bucket")
     kinds = np.concatenate([_unpack(b, "u1") for b in answers.kinds]) if len(answers) else np.zeros(0, np.uint8)
     firsts = np.concatenate([_unpack(b, "<i8") for b in answers.firsts]) if len(answers) else np.zeros(0, np.int64)
-    return _run(int(key[0]), chunks.rows.iloc[0], kinds, firsts)
+    return released(_run(int(key[0]), chunks.rows.iloc[0], kinds, firsts))
 
 
 # --- merge
@@ -504,7 +516,7 @@ def _merge_range(cuts: list[bytes]):
         if group:
             close(group, strings)
         out = [(n, zstandard.compress(np.array(a, _ANSWER).tobytes(), 1)) for n, a in zip(numbers, answers, strict=True) if a]
-        return pd.DataFrame(out, columns=["chunk", "answers"])
+        return released(pd.DataFrame(out, columns=["chunk", "answers"]))
 
     return merge
 
@@ -560,12 +572,12 @@ def _finish(texts_schema: StructType | None):
             else:
                 kept_texts.append(left.decode("utf-8", "ignore") if n else None)
         if texts_schema is None:
-            return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+            return released(pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"doc_id": "Int64"}))
         table = c.table.to_pandas(integer_object_nulls=True)
         table["text"] = [t if k is None else k for t, k in zip(table["text"], kept_texts, strict=True)]
         if "n_chars" in table:
             table["n_chars"] = [n if k is None else len(k) for n, k in zip(table["n_chars"], kept_texts, strict=True)]
-        return table
+        return released(table)
 
     return finish
 
@@ -576,8 +588,16 @@ def _deduplicated(docs: DataFrame, texts: bool, chunk_bytes: int) -> DataFrame:
     # The chunks are a table bucketed by their number, so what is known about them comes to them, and texts are not shuffled.
     name = f"suffix_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    _chunked(docs, chunk_bytes).write.format("parquet").bucketBy(partitions, "chunk").option("path", path).saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        _chunked(docs, chunk_bytes).write.format("parquet").bucketBy(partitions, "chunk").option("path", path).saveAsTable(name)
+        return _without(spark.table(name), docs.schema if texts else None, partitions)
+    finally:  # the result stands in a table of its own
+        spark.sql(f"drop table if exists {name}")
+        remove(spark, path)
+
+
+def _without(chunks: DataFrame, texts_schema: StructType | None, partitions: int) -> DataFrame:
+    """The rows of all chunks without what others hold: with their texts, in the schema given, or the numbers of RESULT."""
     n_bytes = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = _bucket_bits(n_bytes, partitions)
     answers = staged(_sent(chunks, bits).groupBy("bucket").applyInPandas(_answered, "chunk bigint, bucket int, kinds binary, firsts binary"), "answers")
@@ -601,11 +621,8 @@ def _deduplicated(docs: DataFrame, texts: bool, chunk_bytes: int) -> DataFrame:
     found = reached.groupBy("part").applyInPandas(_merge_range(cuts), "chunk bigint, answers binary")
     places = runs.where("base < 0").select("chunk", "postings", "copies", F.lit(None).cast("binary").alias("answers"))
     known = places.unionByName(found.select("chunk", F.lit(None).cast("binary").alias("postings"), F.lit(None).cast("binary").alias("copies"), "answers"))
-    schema = docs.schema if texts else RESULT
-    out = staged(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_finish(docs.schema if texts else None), schema), "deduplicated")
+    out = staged(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(_finish(texts_schema), texts_schema or RESULT), "deduplicated")
     drop(runs)
-    drop(chunks)
-    spark.sql(f"drop table {name}")
     return out
 
 
