@@ -118,7 +118,7 @@ _NULL_ID = (1 << 63) - 1
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
-    """(part, ghost, id, doc_id, text): every row once in its slice of the doc_id range, and the first of each slice again
+    """(part, ghost, id, nameless, text): every row once in its slice of the doc_id range, and the first of each slice again
     at the end of the slice before (of the last, after the first), as a ghost. The texts are shuffled once."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(_NULL_ID)))
     cuts = _boundaries(docs)
@@ -137,8 +137,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
         at = np.searchsorted(place, own)
         return pd.Series([[int(p), int(place[k - 1])] if i == first[k] else [int(p)] for i, p, k in zip(ids, own, at, strict=True)])
 
-    spread = docs.withColumn("parts", parts_of("id")).select("id", "doc_id", "text", F.posexplode("parts").alias("ghost", "part"))
-    return spread.repartition("part").sortWithinPartitions("part", "ghost", "id", "text")
+    spread = docs.withColumn("parts", parts_of("id")).select("id", F.col("doc_id").isNull().alias("nameless"), "text", F.posexplode("parts").alias("ghost", "part"))
+    return spread.repartition("part").sortWithinPartitions("part", "ghost", "id", "nameless", "text")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -186,11 +186,11 @@ def compared_with_edits(docs: DataFrame, block: int = 1_000) -> DataFrame:
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], None  # held: the row before, which waits for its next
         for batch in batches:
-            for part, ghost, i, text in zip(batch.part, batch.ghost, batch.id, batch.text, strict=True):
+            for part, ghost, i, nameless, text in zip(batch.part, batch.ghost, batch.id, batch.nameless, batch.text, strict=True):
                 if held and held[4] and (ghost or part != held[0]):
                     if part == held[0]:
                         continue  # further rows of a ghost's id
-                now = (part, None if i == _NULL_ID else i, text, fingerprint(text), ghost)
+                now = (part, None if nameless else i, text, fingerprint(text), ghost)
                 if held and held[0] == part and not held[4]:
                     rows.append((*held[1:4], text, now[3]))
                 held = now
