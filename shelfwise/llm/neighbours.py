@@ -17,10 +17,12 @@ THRESHOLD = 0.95
 LIST, LONGEST_LIST = 12, 48
 #: Random-projection forests that the first lists come from, and vectors to a leaf, about.
 TREES, LEAF = 6, 160
-ROUNDS, LEAST_ROUNDS = 8, 2
+#: Rounds of the descent after each forest, and forests; if the audit still fails then, the lists are made by brute force.
+ROUNDS, LEAST_ROUNDS, FORESTS = 8, 2, 3
 #: The descent ends when a round changes under this share of all entries.
 STILL = 0.002
-#: Vectors of the recall audit, which meet all others by brute force, and the recall that ends the descent.
+#: Vectors of the recall audit, as many again out of those with links, which all meet all others by brute force; and the
+#: mean of their recalls that ends the descent.
 AUDIT, RECALL = 200, 0.99
 #: Vectors to a block of the exact count.
 BLOCK = 512
@@ -118,44 +120,58 @@ def _descend(vectors: DataFrame, lists: DataFrame, blocks: int) -> DataFrame:
     return left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_local_join, _LISTS)
 
 
-def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, seed: int = 5) -> DataFrame:
+def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, seed: int = 5, rounds: int = ROUNDS, forests: int = FORESTS) -> DataFrame:
     """(vec_id, near, k): each vector's list, the most alike first, found by NN-descent from random-projection leaves.
 
-    After each round the vectors of the audit are held against brute force: of their links at the threshold, so
-    many as fit their lists have to be there. The descent goes on until little changes, no list was doubled and the
-    recall is reached, or the rounds are used up. A list that is full of links is doubled, up to LONGEST_LIST.
+    After each round the vectors of the audit are held against brute force: of their links at the threshold, so many
+    as fit their lists have to be there. The descent goes on until little changes, no list was doubled and the recall is
+    reached. A list that is full of links is doubled, up to LONGEST_LIST. If `rounds` are not enough, leaves of another
+    forest come in; if `forests` are not, every vector meets all others in blocks.
     """
     size = len(vectors.select("embedding").first()[0])
-    leaves = _leaves(vectors, n, size, TREES, LEAF, seed)
-    first = leaves.groupBy("tree", "code", "deal").applyInPandas(_in_leaf, _LISTS)
-    lists = staged(_merged(first, F.lit(LIST)).withColumn("k", F.lit(LIST)), "lists")
-    audit = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(AUDIT).toPandas()  # AUDIT rows
-    truth = _links_of(vectors, audit, threshold)
     blocks = max(4, n // 1500)
-    for turn in range(ROUNDS):
-        proposals = _descend(vectors, lists, blocks)
-        k = lists.select("vec_id", "k")
-        both = lists.select("vec_id", "near").unionByName(proposals)
-        merged = both.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("near")).join(k, "vec_id")
-        full = (F.size("near") >= F.col("k")) & (F.element_at("near", F.col("k"))["sim"] >= threshold)
-        merged = merged.withColumn("near", F.sort_array(F.array_distinct("near"), asc=False)).withColumn("k", F.when(full, F.least(F.lit(LONGEST_LIST), F.col("k") * 2)).otherwise(F.col("k")))
-        new = staged(merged.withColumn("near", F.slice("near", F.lit(1), F.col("k"))), "lists")
-        old = lists.select(F.col("vec_id").alias("v"), F.col("near").alias("was"), F.col("k").alias("k_was"))
-        sums = F.sum(F.size(F.array_except("near.id", "was.id"))), F.count_if(F.col("k") > F.col("k_was"))
-        changed, doubled = new.join(old, F.col("vec_id") == F.col("v")).agg(*sums).first()
-        drop(lists)
-        lists = new
-        got = {r[0]: set(r[1]) for r in lists.where(F.col("vec_id").isin([int(i) for i in audit.vec_id])).select("vec_id", F.expr(f"transform(filter(near, x -> x.sim >= {threshold}), x -> x.id)")).collect()}
-        due = sum(min(len(t), LONGEST_LIST) for t in truth.values())
-        recall = sum(min(len(t & got.get(v, set())), LONGEST_LIST) for v, t in truth.items()) / due if due else 1.0
-        if turn + 1 >= LEAST_ROUNDS and not doubled and (changed or 0) < STILL * n * LIST and recall >= RECALL:
-            break
-    return lists
-
-
-def _links_of(vectors: DataFrame, some: pd.DataFrame, threshold: float) -> dict[int, set[int]]:
-    """Brute force: the links of a few vectors with all."""
-    ids, x = some.vec_id.to_numpy(), _unit(some.embedding)
+    lists = truth = None
+    for forest in range(forests):
+        leaves = _leaves(vectors, n, size, TREES, LEAF, seed + forest)
+        first = leaves.groupBy("tree", "code", "deal").applyInPandas(_in_leaf, _LISTS)
+        if lists is None:
+            lists = staged(_merged(first, F.lit(LIST)).withColumn("k", F.lit(LIST)), "lists")
+            truth = _truth(vectors, lists, threshold, seed)
+        else:
+            lists, _, _ = _with_proposals(lists, first, threshold)
+        for turn in range(rounds):
+            lists, changed, doubled = _with_proposals(lists, _descend(vectors, lists, blocks), threshold)
+            if turn + 1 >= LEAST_ROUNDS and not doubled and changed < STILL * n * LIST and audited_recall(lists, truth, threshold) >= RECALL:
+                drop(truth)
+                return lists
+    drop(truth)
+    drop(lists)
+    return staged(_lists_of_all(vectors, BLOCK), "lists")
+
+
+def _with_proposals(lists: DataFrame, proposals: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
+    """(the best of lists and proposals, entries that changed, lists that were doubled). The old lists are deleted."""
+    both = lists.select("vec_id", "near").unionByName(proposals)
+    merged = both.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("near")).join(lists.select("vec_id", "k"), "vec_id")
+    merged = merged.withColumn("near", F.sort_array(F.array_distinct("near"), asc=False))
+    full = (F.size("near") >= F.col("k")) & (F.try_element_at("near", F.col("k"))["sim"] >= threshold)
+    merged = merged.withColumn("k", F.when(full, F.least(F.lit(LONGEST_LIST), F.col("k") * 2)).otherwise(F.col("k")))
+    new = staged(merged.withColumn("near", F.slice("near", F.lit(1), F.col("k"))), "lists")
+    old = lists.select(F.col("vec_id").alias("v"), F.col("near").alias("was"), F.col("k").alias("k_was"))
+    sums = F.sum(F.size(F.array_except("near.id", "was.id"))), F.count_if(F.col("k") > F.col("k_was"))
+    changed, doubled = new.join(old, F.col("vec_id") == F.col("v")).agg(*sums).first()
+    drop(lists)
+    return new, changed or 0, doubled
+
+
+def _truth(vectors: DataFrame, lists: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(a, b): by brute force, the links of AUDIT vectors and of AUDIT of those that have links as far as `lists` say, so
+    that sparse links are audited too."""
+    by_hash = F.xxhash64("vec_id", F.lit(seed))
+    linked = lists.where(F.try_element_at("near", F.lit(1))["sim"] >= threshold).select("vec_id").orderBy(by_hash).limit(AUDIT)
+    some = vectors.select("vec_id").orderBy(by_hash).limit(AUDIT).unionByName(linked).distinct()
+    audit = vectors.join(F.broadcast(some), "vec_id").toPandas()  # 2 x AUDIT rows at most
+    ids, x = audit.vec_id.to_numpy(), _unit(audit.embedding)
 
     def met(batches):
         for rows in batches:
@@ -164,9 +180,36 @@ def _links_of(vectors: DataFrame, some: pd.DataFrame, threshold: float) -> dict[
             keep = np.flatnonzero(v != w)
             yield pd.DataFrame({"a": v[keep], "b": w[keep]})
 
-    # at most LONGEST_LIST links of each can be in its list, so no more are fetched
-    found = vectors.mapInPandas(met, "a bigint, b bigint").groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, 100_000).alias("bs"))
-    return {r[0]: set(r[1]) for r in found.collect()}
+    return staged(vectors.mapInPandas(met, "a bigint, b bigint"), "truth")
+
+
+def audited_recall(lists: DataFrame, truth: DataFrame, threshold: float) -> float:
+    """The mean over the audited vectors with links of the share of them that their lists hold; of more than fit a list,
+    as many as fit are due. 1 without links."""
+    audited = lists.join(F.broadcast(truth.select(F.col("a").alias("vec_id")).distinct()), "vec_id")  # 2 x AUDIT ids
+    held = audited.select(F.col("vec_id").alias("a"), F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select("a", F.col("e.id").alias("b"), F.lit(1).alias("hit"))
+    each = truth.join(held, ["a", "b"], "left").groupBy("a").agg(F.count("*").alias("due"), F.count("hit").alias("hits"))
+    share = F.least(F.col("hits"), F.lit(LONGEST_LIST)) / F.least(F.col("due"), F.lit(LONGEST_LIST))
+    recall = each.agg(F.avg(share)).first()[0]
+    return 1.0 if recall is None else recall
+
+
+def _lists_of_all(vectors: DataFrame, block: int) -> DataFrame:
+    """(vec_id, near, k) by brute force: every block of vectors meets every other; LONGEST_LIST entries each."""
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows.i.iloc[0], rows.j.iloc[0]
+        a, b = rows[rows.own == i], rows[rows.own == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "near": []})
+        sims = _unit(a.embedding) @ _unit(b.embedding).T
+        if i == j:
+            np.fill_diagonal(sims, -np.inf)
+            return _best(a.vec_id.to_numpy(), sims, b.vec_id.to_numpy(), LONGEST_LIST)
+        return pd.concat([_best(a.vec_id.to_numpy(), sims, b.vec_id.to_numpy(), LONGEST_LIST), _best(b.vec_id.to_numpy(), sims.T, a.vec_id.to_numpy(), LONGEST_LIST)])
+
+    pairs = _pairs_of_blocks(vectors.select("vec_id", "embedding", F.lit(0).alias("part")), block)
+    return _merged(pairs.groupBy("part", "i", "j").applyInPandas(best, _LISTS), F.lit(LONGEST_LIST)).withColumn("k", F.lit(LONGEST_LIST))
 
 
 def _pairs_of_blocks(members: DataFrame, block: int) -> DataFrame:
@@ -215,26 +258,45 @@ def _across(full: DataFrame, threshold: float, block: int) -> DataFrame:
         centre = x.sum(0)
         centre /= max(1e-300, math.sqrt(centre @ centre))
         angle = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
-        return pd.DataFrame({"component": [key[0]], "cut": [key[1]], "centre": [centre], "radius": [angle], "ids": [rows.vec_id.to_numpy()], "xs": [x.ravel()]})
+        return pd.DataFrame({"component": [key[0]], "cut": [key[1]], "centre": [centre], "radius": [angle]})
 
-    blocks = staged(dealt.groupBy("component", "cut").applyInPandas(summed, "component bigint, cut bigint, centre array<double>, radius double, ids array<bigint>, xs array<double>"), "blocks")
-    a = blocks.select(*[F.col(c).alias(f"{c}_a") for c in blocks.columns])
-    b = blocks.select(*[F.col(c).alias(f"{c}_b") for c in blocks.columns])
-    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("radius_a") + F.col("radius_b") + math.acos(threshold) + 1e-9
-    met = a.join(b, (F.col("component_a") < F.col("component_b")) & near)
+    dealt = staged(dealt.select("component", "cut", "vec_id", "embedding"), "dealt")
+    centres = staged(dealt.groupBy("component", "cut").applyInPandas(summed, "component bigint, cut bigint, centre array<double>, radius double"), "centres")
+    met = staged(_near_centres(centres, threshold, block), "met")
+    a, b = (met.select(F.monotonically_increasing_id().alias("pair"), F.col(f"component_{x}").alias("component"), F.col(f"cut_{x}").alias("cut"), F.lit(x == "b").alias("second")) for x in "ab")
+    spread = a.unionByName(b).join(dealt, ["component", "cut"])
 
-    def linked(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                s = r.xs_a.reshape(len(r.ids_a), -1) @ r.xs_b.reshape(len(r.ids_b), -1).T
-                i, j = np.unravel_index(s.argmax(), s.shape)
-                if s[i, j] >= threshold:
-                    out.append((r.ids_a[i], r.ids_b[j]))
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    return met.select("ids_a", "xs_a", "ids_b", "xs_b").mapInPandas(linked, "a bigint, b bigint")
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[~rows.second], rows[rows.second]
+        out = []
+        if len(a) and len(b):
+            s = _unit(a.embedding) @ _unit(b.embedding).T
+            i, j = np.unravel_index(s.argmax(), s.shape)
+            if s[i, j] >= threshold:
+                out.append((a.vec_id.iat[i], b.vec_id.iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return spread.groupBy("pair").applyInPandas(linked, "a bigint, b bigint")
+
+
+def _near_centres(centres: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(component_a, cut_a, component_b, cut_b): blocks of different components whose centres are near enough for a link.
+    Only centres meet here, a block of them against a block."""
+    numbered = centres.select("component", "cut", "centre", "radius", F.lit(0).alias("part"), F.xxhash64("component", "cut").alias("vec_id"))
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows.i.iloc[0], rows.j.iloc[0]
+        a, b = rows[rows.own == i], rows[rows.own == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        angle = np.arccos(np.clip(np.stack(list(a.centre)) @ np.stack(list(b.centre)).T, -1, 1))
+        ca, cb = a.component.to_numpy(), b.component.to_numpy()
+        apart = ca[:, None] < cb[None, :] if i == j else ca[:, None] != cb[None, :]
+        x, y = np.nonzero((angle <= a.radius.to_numpy()[:, None] + b.radius.to_numpy()[None, :] + math.acos(threshold) + 1e-9) & apart)
+        return pd.DataFrame(dict(zip(names, (ca[x], a.cut.to_numpy()[x], cb[y], b.cut.to_numpy()[y]), strict=True)))
+
+    names = ["component_a", "cut_a", "component_b", "cut_b"]
+    return _pairs_of_blocks(numbered, block).groupBy("part", "i", "j").applyInPandas(near, ", ".join(f"{x} bigint" for x in names))
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -285,6 +285,27 @@ def test_lists_of_links_only_are_saturated_at_any_length(spark):
     assert {r["vec_id"] for r in rows(neighbours.saturated(lists, 0.95))} == {1, 2}
 
 
+def test_lists_are_made_by_brute_force_if_the_audit_fails(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = [c + 0.05 * rng.normal(size=16) for c in rng.normal(size=(40, 16)) for _ in range(4)]
+    vectors = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id bigint, embedding array<double>")
+    asked = []
+    monkeypatch.setattr(neighbours, "audited_recall", lambda *a: asked.append(1) or 0.5)
+    lists = neighbours.neighbour_lists(vectors, 160, rounds=2, forests=1)
+    assert asked
+    u = np.stack(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in lists.collect():
+        sims = u @ u[r["vec_id"]]
+        assert {e["id"] for e in r["near"] if e["sim"] >= 0.95} == set(np.flatnonzero(sims >= 0.95)) - {r["vec_id"]}
+
+
+def test_recall_is_a_mean_over_vectors_with_links(spark):
+    lists = spark.createDataFrame([(1, [(0.99, 2), (0.97, 3)], 12), (2, [(0.99, 1)], 12), (7, [(0.5, 1)], 12)], "vec_id bigint, near array<struct<sim:double,id:bigint>>, k int")
+    truth = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 3), (7, 8)], "a bigint, b bigint")
+    assert neighbours.audited_recall(lists, truth, 0.95) == pytest.approx(0.5)
+    assert neighbours.audited_recall(lists, truth.limit(0), 0.95) == 1.0
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
