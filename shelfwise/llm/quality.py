@@ -17,6 +17,8 @@ MAX_LABELLED = 3_000
 FIT_LINES = 400_000
 THRESHOLD = 0.3
 STEPS = 150
+#: Characters of text that are scored together, about, and lines whose features are made at once.
+CHARS_AT_ONCE, LINES_AT_ONCE = 1 << 20, 20_000
 
 #: What a line's measures are held against; each bound gives one feature.
 BOUNDS = {
@@ -51,7 +53,7 @@ def line_measures(text: str) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(b == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
     length = ends - starts + 1
-    per = [np.add.reduceat((kinds == k).astype(np.int32), starts) for k in range(6)]
+    per = [np.add.reduceat(kinds == k, starts, dtype=np.int32) for k in range(6)]
     solid = np.maximum(1, length - per[1])
     letters = np.maximum(1, per[0] + per[5])
     seen: set[str] = set()
@@ -65,10 +67,14 @@ def line_measures(text: str) -> tuple[np.ndarray, np.ndarray]:
     return length.astype(float), own.T
 
 
+def _flags(own: np.ndarray) -> np.ndarray:
+    return np.concatenate([own[:, [j]] > np.array(bounds) for j, bounds in enumerate(BOUNDS.values())], axis=1).astype(np.float32)
+
+
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(length, features) of each line; features are 0 or 1."""
     length, own = line_measures(text)
-    flags = np.concatenate([own[:, [j]] > np.array(bounds) for j, bounds in enumerate(BOUNDS.values())], axis=1).astype(np.float32)
+    flags = _flags(own)
     x = np.zeros((len(flags), N_FEATURES), np.float32)
     x[:, :N_OWN] = flags
     x[1:, N_OWN : 2 * N_OWN] = flags[:-1]
@@ -147,7 +153,7 @@ class Field:
                 share = np.repeat(np.add.reduceat(seen, np.cumsum(n) - n) / n, n)
                 # a bad document keeps at least its worse lines as bad
                 bad = np.where(np.repeat(good, n) == 1, 0.0, (seen >= np.minimum(0.5, share)).astype(float))
-        self._calibrate(self.bad_shares(parts), good)
+        self._calibrate(self.bad_shares([(c, self._emit(x)[:, 1]) for c, x in parts]), good)
 
     def _emit(self, x: np.ndarray) -> np.ndarray:
         score = x @ self.w.astype(np.float32)
@@ -189,12 +195,26 @@ class Field:
             theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.w, self.move = theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2)
 
-    def bad_share(self, length: np.ndarray, x: np.ndarray) -> float:
+    def line_scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(length, log odds of being bad by its features alone) of each line. A line's own flags are weighed three times, for
+        itself and its neighbours, LINES_AT_ONCE lines at a time, so a text of very many lines needs little memory."""
+        length, own = line_measures(text)
+        w = self.w[: 3 * N_OWN].reshape(3, N_OWN).T.astype(np.float32)
+        parts = [_flags(own[k : k + LINES_AT_ONCE]) @ w for k in range(0, len(own), LINES_AT_ONCE)]
+        here, before, after = np.concatenate(parts).T.astype(float)
+        score = here + self.w[-1]
+        score[1:] += before[:-1]
+        score[:-1] += after[1:]
+        score[0] += self.w[-3]
+        score[-1] += self.w[-2]
+        return length, score
+
+    def bad_share(self, text: str) -> float:
         """The marginals of being bad, weighted by the lines' lengths."""
-        return float(self.bad_shares([(length, x)])[0])
+        return float(self.bad_shares([self.line_scores(text)])[0])
 
     def bad_shares(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of many documents, those of like numbers of lines at once."""
+        """Of many documents' line_scores, those of like numbers of lines at once."""
         out = np.zeros(len(parts))
         order = np.argsort([len(f) for _, f in parts], kind="stable")
         at = 0
@@ -204,8 +224,8 @@ class Field:
             while stop < len(order) and len(parts[order[stop]][1]) <= few + few // 4 and (stop - at) * few < 20_000:
                 stop += 1
             some = order[at:stop]
-            emit, n = _padded([self._emit(parts[i][1]) for i in some])
-            p = bad_marginals(emit, n, self.move)
+            odds, n = _padded([parts[i][1] for i in some])
+            p = bad_marginals(odds, n, self.move)
             for k, i in enumerate(some):
                 length = parts[i][0]
                 out[i] = (p[k, : n[k]] * length).sum() / length.sum()
@@ -233,11 +253,10 @@ class Field:
         return 1 / (1 + np.exp(-(self.slope * self._odds(share) + self.offset)))
 
 
-def bad_marginals(emit: np.ndarray, n: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """P(bad) of each line, in terms of log odds: with two states a message is one number, so the pass costs a few
-    operations for each line."""
-    chains, lines, _ = emit.shape
-    e = emit[..., 1] - emit[..., 0]
+def bad_marginals(e: np.ndarray, n: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """P(bad) of each line, in terms of log odds `e` (chains, lines): with two states a message is one number, so the pass
+    costs a few operations for each line."""
+    chains, lines = e.shape
     (a, b), (c, d) = move
 
     def passed(m, a, b, c, d):
@@ -262,17 +281,19 @@ def learnable(doc_id):
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of `docs`: the probability that the text is good.
 
-    Every line of the whole text counts. A null text is empty: one line without words; a null id is not held out.
-    Without usable labels all scores are 0.5. One pass without a shuffle; the weights are a few hundred numbers.
+    Every line of the whole text counts. A null text is empty: one line without words; a null id is not held out; rows of
+    equal text score alike, and repeated rows stay. Of an id with several texts the one that sorts first is learnt from;
+    ids with null or contradicting labels are not. Other columns are left out. Without usable labels all scores are 0.5. One pass without a shuffle; the weights are a few hundred numbers.
     """
     spark = docs.sparkSession
     field = spark.sparkContext.broadcast(Field(labelled_sample(docs, labels, "quality", learnable(F.col("doc_id")), max_labelled)))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows = batch.iloc[at : at + 500].copy()
-                share = field.value.bad_shares([line_features(t or "") for t in rows.pop("text")])
+            chars = np.cumsum([len(t or "") for t in batch.text])
+            for some in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(chars // CHARS_AT_ONCE)) + 1):
+                rows = batch.iloc[some].copy()
+                share = field.value.bad_shares([field.value.line_scores(t or "") for t in rows.pop("text")])
                 rows["score"] = field.value.quality(share)
                 rows["predicted"] = (rows["score"] >= threshold).astype("int32")
                 yield rows

@@ -71,7 +71,7 @@ def test_quality_learns_from_late_lines():
     rng = random.Random(2)
     texts = ["\n".join([*rng.choices(LINES, k=40), *rng.choices(JUNK if k % 2 else LINES, k=40)]) for k in range(60)]
     field = quality.Field(pd.DataFrame({"doc_id": range(60), "text": texts, "label": [1 - k % 2 for k in range(60)]}))
-    clean, junk = (field.bad_share(*quality.line_features("\n".join(rng.choices(some, k=20)))) for some in (LINES, JUNK))
+    clean, junk = (field.bad_share("\n".join(rng.choices(some, k=20))) for some in (LINES, JUNK))
     assert clean < 0.1 and junk > 0.9
     assert quality._whole_documents(["a\nb"] * 10, 7).size == 3
 
@@ -87,7 +87,32 @@ def test_marginals_are_those_of_all_labellings():
             weight[t, s] += w
     want = weight[:, 1] / weight.sum(1)
     assert np.allclose(quality.marginals(emit, np.array([5]), move)[0][0], want)
-    assert np.allclose(quality.bad_marginals(emit, np.array([5]), move)[0], want)
+    assert np.allclose(quality.bad_marginals(emit[..., 1] - emit[..., 0], np.array([5]), move)[0], want)
+
+
+def test_quality_score_is_that_of_all_labellings(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choices(JUNK if k % 2 else LINES, k=rng.randint(1, 6))) for k in range(80)]
+    field = quality.Field(pd.DataFrame({"doc_id": range(80), "text": texts, "label": [1 - k % 2 for k in range(80)]}))
+    monkeypatch.setattr(quality, "LINES_AT_ONCE", 2)
+    for text in ["\n".join(rng.choices(JUNK + LINES, k=7)), "", "one line"]:
+        length, x = quality.line_features(text)
+        odds, weight, total = x.astype(float) @ field.w, np.zeros(len(x)), 0.0
+        for code in range(1 << len(x)):
+            states = [code >> t & 1 for t in range(len(x))]
+            w = math.exp(sum(odds[t] for t, s in enumerate(states) if s) + sum(field.move[a, b] for a, b in zip(states, states[1:])))
+            weight, total = weight + w * np.array(states), total + w
+        share = min(max((weight / total * length).sum() / length.sum(), 1e-4), 1 - 1e-4)
+        want = 1 / (1 + math.exp(-(field.slope * math.log(share / (1 - share)) + field.offset)))
+        assert field.quality(np.array([field.bad_share(text)]))[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_of_very_many_lines():
+    field = quality.Field(__import__("pandas").DataFrame({"doc_id": [1, 2], "text": ["\n".join(LINES), "\n".join(JUNK)], "label": [1, 0]}))
+    clean, junk = ("\n".join(some * 170_000) for some in (LINES, JUNK))
+    assert field.bad_share(clean) < 0.5 < field.bad_share(junk)
 
 
 # --- 2 suffixes
