@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 28, 5
 #: Documents to a block where what is left is compared in blocks.
 FAMILY_BLOCK = 512
+#: The filter of ids whose texts are read again has two to this power bits: 2 MB.
+FILTER_BITS = 24
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -164,7 +166,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     weights = shared_keys.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     members = staged(shared_keys.join(weights, "doc_id").select("bucket", "doc_id", "size", "weight"), "members")
     drop(shared_keys)
-    bags = staged(_bags(texts.join(members.select("doc_id").distinct(), "doc_id")), "bags")
+    wanted = staged(members.select("doc_id").distinct(), "wanted")
+    bags = staged(_bags(_perhaps_among(texts, wanted).join(wanted, "doc_id")), "bags")
+    drop(wanted)
 
     # each document against the heaviest of the most central documents of its buckets
     most = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("weight").alias("weight_a")), F.struct("weight", -F.col("doc_id")))
@@ -196,6 +200,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def _perhaps_among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `texts` whose id may be among `wanted`, by a Bloom filter of 2^FILTER_BITS bits, so that the texts of others are
+    not shuffled. Its size is fixed: for so many ids that it fills up it lets more rows through, and the join after it
+    is right all the same."""
+    places = F.expr(f"array(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1}, shiftrightunsigned(xxhash64(doc_id), 32) & {(1 << FILTER_BITS) - 1})")
+    bits = wanted.select(F.explode(places).alias("p")).groupBy(F.expr("p >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("bits"))
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in bits.toArrow().to_batches():  # 2^(FILTER_BITS - 6) rows at most
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    known = texts.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def perhaps(one: pd.Series, other: pd.Series) -> pd.Series:
+        held = [(known.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in (one.to_numpy(), other.to_numpy())]
+        return pd.Series((held[0] & held[1]).astype(bool))
+
+    return texts.where(perhaps(places[0], places[1]))
+
+
 def _named(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members with the component of each; one without links is its own."""
     return members.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -224,10 +247,11 @@ def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, thresho
     docs = open_docs.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
     docs = staged(docs, "families")
     drop(named)
-    largest = docs.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    counts = docs.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sized = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("in_main")).where("n > in_main")
+    blocks = sized.select("family", "main", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("n_to"), F.ceil((F.col("n") - F.col("in_main")) / FAMILY_BLOCK).cast("int").alias("n_from"))
+    blocks = staged(blocks, "sized")
     asked = F.col("component") != F.col("main")
-    sized = largest.join(docs.join(largest, "family").where(asked).groupBy("family").agg(F.count("*").alias("n_asked")), "family")
-    blocks = sized.select("family", "main", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("n_to"), F.ceil(F.col("n_asked") / FAMILY_BLOCK).cast("int").alias("n_from"))
     dealt = docs.join(blocks, "family").join(bags, "doc_id")
     spread = F.xxhash64("doc_id", F.lit(11))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -236,6 +260,7 @@ def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, thresho
     columns = ["family", "from", "to", "asks", "doc_id", "component", "bag"]
     found = staged(to.select(columns).unionByName(from_.select(columns)).groupBy("family", "from", "to").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "across")
     drop(docs)
+    drop(blocks)
     return found
 
 
