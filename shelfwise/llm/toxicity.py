@@ -19,6 +19,8 @@ from shelfwise.llm.sampling import crc, labelled_sample
 MAX_LABELLED = 4_000
 NEIGHBOURS = 25
 BLOCK = 16
+#: Share of the entries from which a term is a common one.
+COMMON = 0.3
 THRESHOLD = 0.7
 #: Share of a vector's squared length that its telling terms take; all its words take the rest.
 TELLING = 0.8
@@ -71,30 +73,29 @@ class Index:
     its greatest weight there.
 
     A vector has two parts, each of TF-IDF weights: the telling terms, and all words. Terms are numbered so: telling
-    terms, words, and last the one that every text has (OTHER, in the first part)."""
+    terms, words, and last the one that every text has (OTHER, in the first part). Terms that many entries hold also have
+    a row with a weight for every entry; what they add is then known for all entries before blocks are chosen."""
 
-    def __init__(self, examples: pd.DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK):
-        self.neighbours, self.block = neighbours, block
+    def __init__(self, examples: pd.DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK, common: float = COMMON):
+        self.neighbours, self.block, self.n_examples = neighbours, block, len(examples)
         texts, labels = examples["text"].tolist(), examples["label"].tolist()
         self.terms = {w: i for i, w in enumerate(telling_terms(texts, labels))}
         self.starts = {t[: STEMS[0]] for t in self.terms}
         self.n_telling = len(self.terms)
-        vocabulary = sorted({w for t in texts for w in words(t)})
-        self.words = {w: (i, *self.telling(w)) for i, w in enumerate(vocabulary, self.n_telling)}
+        self.words = {w: i for i, w in enumerate(sorted({w for t in texts for w in words(t)}), self.n_telling)}
         self.other = self.n_telling + len(self.words)
         counts = [self.counts(t) for t in texts]
-        df = np.bincount([i for c in counts for i, _ in c], minlength=self.other)
-        self.unseen = math.log(1 + len(texts)) + 1  # the IDF of a word that no example has
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(c[0] for c in counts)]), minlength=self.other)
         self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
         entries: dict[tuple, list[int]] = defaultdict(list)
-        for row, c in enumerate(counts):
-            entries[c].append(row)
+        for row, (at, n, strange) in enumerate(counts):
+            entries[(tuple(at.tolist()), tuple(n.tolist()), strange)].append(row)
         order = sorted(entries)  # entries that share terms stand together, telling ones first
         ids = examples["doc_id"].tolist()
         self.votes = np.array([[len(entries[c]), sum(labels[r] for r in entries[c])] for c in order], float).reshape(-1, 2)
         self.evidence = [[ids[r] for r in entries[c][:3]] for c in order]
         self.n_blocks = -(-len(order) // block)
-        vectors = [self.arrays(c) for c in order]
+        vectors = [self.vector(counts[entries[c][0]]) for c in order]
         at = np.concatenate([np.zeros(0, int), *(i for i, _ in vectors)])
         es = np.repeat(np.arange(len(order)), [len(i) for i, _ in vectors])
         xs = np.concatenate([np.zeros(0), *(x for _, x in vectors)])
@@ -106,10 +107,14 @@ class Index:
         self.run_block = self.es[self.runs[:-1]] // block
         self.peaks = np.maximum.reduceat(self.xs, self.runs[:-1]) if len(code) else np.zeros(0)
         self.runs_of = np.searchsorted(at[self.runs[:-1]], np.arange(self.other + 2))
+        held = np.bincount(at, minlength=self.other + 1)
+        self.common = np.flatnonzero((held > common * len(order)) | (np.arange(self.other + 1) == self.other))
+        self.rows: np.ndarray | None = None  # made where the index is used
         self.cuts, self.levels = np.zeros(0), np.array([labels and sum(labels) / len(labels) or 0.0])
         self.memo: dict[bytes, tuple[float, list[int]]] = {}
         if len(order):
-            self._calibrate(order)
+            self._calibrate([counts[entries[c][0]] for c in order])
+        self.rows = None
 
     @property
     def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -117,54 +122,69 @@ class Index:
         cuts = self.runs[self.runs_of]
         return {i: (self.es[a:b], self.xs[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b}
 
+    def _common_rows(self) -> None:
+        cuts = self.runs[self.runs_of]
+        self.row_of = np.full(self.other + 1, -1)
+        self.row_of[self.common] = np.arange(len(self.common))
+        self.rows = np.zeros((len(self.common), self.n_blocks * self.block))
+        for row, i in enumerate(self.common.tolist()):
+            at = slice(cuts[i], cuts[i + 1])
+            self.rows[row, self.es[at]] = self.xs[at]
+
     def telling(self, word: str) -> list[int]:
         return [self.terms[t] for t in terms(word) if t in self.terms] if word[: STEMS[0]] in self.starts else []
 
-    def counts(self, text: str) -> tuple[tuple[int, float], ...]:
-        """(term, count) of a text's telling terms and of all its words, in order of the terms. Words that no example has
-        are one item: -1 and the sum of their squared weights, which only the vector's length depends on."""
-        known = self.words
-        out: dict[int, int] = {}
-        strange = 0.0
-        for w, many in Counter(words(text)).items():
-            ids = known.get(w)
-            if ids is None:
-                strange += ((1 + math.log(many)) * self.unseen) ** 2
-                ids = self.telling(w)
-            for i in ids:
-                out[i] = out.get(i, 0) + many
-        return tuple(sorted(out.items())) + (((-1, strange),) if strange else ())
-
-    def arrays(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """(terms, how often each occurs, strange): a text's telling terms and all its words, in order of the terms. Of words
+        that no example has, only the sum of their squared weights matters, to the vector's length: strange."""
+        many = Counter(words(text))
+        known = list(map(self.words.get, many))
+        told: dict[int, int] = {}
+        cut = STEMS[0]
+        for w in [w for w in many if w[:cut] in self.starts]:
+            for i in self.telling(w):
+                told[i] = told.get(i, 0) + many[w]
+        here = np.array([-1 if i is None else i for i in known], np.int64)
+        n = np.fromiter(many.values(), np.int64, len(many))
+        unseen = math.log(1 + self.n_examples) + 1  # the IDF of a word that no example has
+        strange = float((((1 + np.log(n[here < 0])) * unseen) ** 2).sum())
+        at = np.concatenate((np.fromiter(told, np.int64, len(told)), here[here >= 0]))
+        n = np.concatenate((np.fromiter(told.values(), np.int64, len(told)), n[here >= 0]))
+        order = np.argsort(at)
+        return at[order], n[order], strange
+
+    def vector(self, counts: tuple[np.ndarray, np.ndarray, float]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of the vector: TELLING of its squared length are telling terms, the rest words. A text without
         words has the first part only."""
-        strange = counts[-1][1] if counts and counts[-1][0] == -1 else 0.0
-        pairs = np.array(counts[:-1] if strange else counts, float).reshape(-1, 2)
-        at = pairs[:, 0].astype(int)
-        xs = (1 + np.log(pairs[:, 1])) * self.idf[at]
+        at, n, strange = counts
+        xs = (1 + np.log(n)) * self.idf[at]
         k = np.searchsorted(at, self.n_telling)
         said = math.sqrt((xs[:k] ** 2).sum() + OTHER**2)
         xs[:k] *= math.sqrt(TELLING) / said
         xs[k:] *= math.sqrt((1 - TELLING) / max(1e-300, (xs[k:] ** 2).sum() + strange))
         return np.append(at, self.other), np.append(xs, math.sqrt(TELLING) * OTHER / said)
 
-    def vector(self, counts: tuple) -> list[tuple[int, float]]:
-        at, xs = self.arrays(counts)
-        return list(zip(at.tolist(), xs.tolist(), strict=True))
-
     def nearest(self, counts: tuple, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the nearest examples, the nearest first: as many entries as hold `neighbours` examples,
-        and all that tie with the last. Blocks are read in order of their upper bounds, the best first, then
-        all whose bounds reach what is needed, so the result is exact. `apart`: an entry of which one example is left out."""
-        at, xs = self.arrays(counts)
+        and all that tie with the last. A block's upper bound is the most that common terms give one of its entries, and
+        the other terms' greatest weights there. Blocks are read in order of their bounds, the best first, then all whose
+        bounds reach what is needed, so the result is exact. `apart`: an entry of which one example is left out."""
+        if self.rows is None:
+            self._common_rows()
+        at, xs = self.vector(counts)
+        row = self.row_of[at]
+        some = row >= 0
+        cosines = xs[some] @ self.rows[row[some]]
+        at, xs = at[~some], xs[~some]
         runs, weight = _ranges(self.runs_of[at], self.runs_of[at + 1], xs)
         blocks = self.run_block[runs]
-        bound = np.bincount(blocks, weight * self.peaks[runs], self.n_blocks)
+        bound = np.bincount(blocks, weight * self.peaks[runs], self.n_blocks) + cosines.reshape(-1, self.block).max(1)
         order = np.argsort(-bound, kind="stable")
-        have = self.votes[:, 0].copy()
+        have = self.votes[:, 0]
         if apart is not None:
+            have = have.copy()
             have[apart] -= 1
-        cosines, read = np.zeros(len(have)), np.zeros(self.n_blocks, bool)
+        cosines, read = cosines[: len(have)], np.zeros(self.n_blocks, bool)
         need, step, done = -1.0, 8, 0
         while done < len(order) and bound[order[done]] >= need - 1e-9:
             some = np.zeros(self.n_blocks, bool)
@@ -174,7 +194,7 @@ class Index:
                 step = len(order)
             read |= some
             done += step
-            inside = some[blocks]
+            inside = np.flatnonzero(some[blocks])
             r = runs[inside]
             spots, w = _ranges(self.runs[r], self.runs[r + 1], weight[inside])
             cosines += np.bincount(self.es[spots], w * self.xs[spots], len(have))
@@ -267,7 +287,8 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of `docs` whose score is under `threshold`, as they are, in one pass."""
+    """The rows of `docs` whose score is under `threshold`, as they are, in one pass. A null or empty text is scored as one
+    without words; rows without an id and repeated rows are judged by their text like all others; without labels all stay."""
     index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, **options))
 
     @F.pandas_udf("double")

@@ -232,20 +232,21 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r["score"] for r in rows(toxicity.scores(odd_docs, labels.limit(0)))} == {0.0}
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common", [0.02, toxicity.COMMON, 1.0])
+def test_block_max_search_is_exact(common):
     import pandas as pd
 
     rng = random.Random(1)
     bad, good = ["vile", "awful", "nasty", "rotten"], ["fine", "lovely", "kind", "gentle"]
     texts = [" ".join([*rng.choices(bad if k % 2 else good, k=rng.randint(1, 6)), f"w{k}", f"v{k}"]) for k in range(300)]
-    index = toxicity.Index(pd.DataFrame({"doc_id": range(300), "text": texts, "label": [k % 2 for k in range(300)]}), neighbours=7, block=4)
+    index = toxicity.Index(pd.DataFrame({"doc_id": range(300), "text": texts, "label": [k % 2 for k in range(300)]}), neighbours=7, block=4, common=common)
     vectors = {}
     for i, (es, ws) in index.postings.items():
         for e, w in zip(es, ws):
             vectors.setdefault(e, {})[i] = w
     for text in ["vile awful kind", "fine", "", "nasty nasty nasty lovely"]:
         counts = index.counts(text)
-        q = dict(index.vector(counts))
+        q = dict(zip(*map(np.ndarray.tolist, index.vector(counts))))
         cosines = np.array([sum(w * q.get(i, 0) for i, w in vectors[e].items()) for e in range(len(index.votes))])
         order = np.argsort(-cosines, kind="stable")
         last = cosines[order[np.searchsorted(np.cumsum(index.votes[order, 0]), 7)]]
@@ -264,10 +265,62 @@ def test_toxicity_counts_repeated_sentences_and_every_word():
     assert set(said.split()) <= set(index.terms)  # the inner words of a sentence repeated word by word count, too
     assert index.score("quell mudge fipple")[0] > 0.7 > index.score(" ".join(rng.choices(vocabulary, k=30)))[0]
     for text in texts[:20]:  # each word has a place of its own, and its own text is the nearest
-        assert len({i for i, _ in index.counts(text)} - set(index.terms.values())) == len(set(text.split()))
+        assert len(set(index.counts(text)[0].tolist()) - set(index.terms.values())) == len(set(text.split()))
         assert index.nearest(index.counts(text))[1][0] == pytest.approx(1) and index.score(text)[1][0] == texts.index(text)
 
 
+def test_toxicity_score_is_that_of_brute_force():
+    """Vectors, neighbours and votes from the texts themselves, and the calibration from the votes."""
+    import pandas as pd
+
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(60)]
+    texts = [" ".join([*rng.choices(vocabulary, k=rng.randint(1, 30)), *(rng.choices(["vileness", "awful", "fine"], k=2) if k % 3 else ["nasty"])]) for k in range(90)]
+    texts += texts[:15]
+    labels = [int(k % 105 % 90 % 3 == 0) for k in range(105)]
+    index = toxicity.Index(pd.DataFrame({"doc_id": range(105), "text": texts, "label": labels}), neighbours=9, block=4)
+    n = len(texts)
+
+    def bag(text):
+        ws = text.lower().split()
+        every = Counter(ws)
+        told = Counter(t for w in ws for t in [w, *(w[:k] + "*" for k in (4, 5, 7) if len(w) > k)] if t in index.terms)
+        return told, every
+
+    bags = [bag(t) for t in texts]
+    df = [Counter(t for b in bags for t in b[k]) for k in (0, 1)]
+    weigh = lambda b, k: {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[k][t])) + 1) for t, c in b.items()}
+
+    def vector(b):
+        told, every = weigh(b[0], 0) | {"": toxicity.OTHER}, weigh(b[1], 1)
+        out = {}
+        for k, (part, share) in enumerate(((told, toxicity.TELLING), (every, 1 - toxicity.TELLING))):
+            size = math.sqrt(sum(x * x for x in part.values()) / share) if part else 1
+            out |= {(k, t): x / size for t, x in part.items()}
+        return out
+
+    vectors = [vector(b) for b in bags]
+
+    def vote(v, but=None):
+        sims = sorted(((sum(x * u.get(t, 0) for t, x in v.items()), labels[i]) for i, u in enumerate(vectors) if i != but), reverse=True)
+        some = [(s, y) for s, y in sims if s >= sims[8][0] - 1e-9]
+        w = [1 / (0.05 + max(0, 1 - s)) for s, _ in some]
+        return sum(x * y for x, (_, y) in zip(w, some)) / sum(w)
+
+    own = [vote(v, i) for i, v in enumerate(vectors)]
+    for text in [*texts[:10], "vileness awful zzz", "", "strange words only"]:
+        v = vote(vector(bag(text)))
+        assert index.vote(index.counts(text))[0] == pytest.approx(v)
+        level = np.interp(v, index.cuts, index.levels)
+        assert index.score(text)[0] == pytest.approx(0.99 * level + 0.01 * v)
+    # the calibration: isotonic, and as many toxic examples as there are
+    at = np.searchsorted(index.cuts, np.array(own) - 1e-9)
+    assert (np.diff(index.levels) > -1e-12).all()
+    for k, level in enumerate(index.levels):
+        ys = [labels[i] for i in range(n) if at[i] == k]
+        assert level == pytest.approx((sum(ys) + 0.05) / (len(ys) + 0.1))
+
+
 # --- 4 chat
 
 
