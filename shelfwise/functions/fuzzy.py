@@ -28,18 +28,33 @@ def folded(names: pd.Series) -> pd.Series:
     return names.map(fold)
 
 
-def name_similarity(a, b):
-    """Three fifths of the sequence's ratio and two fifths of the words' overlap."""
-    from shelfwise.operators.graph import jaccard
+#: Words of titles that do not count.
+TITLE_STOP_WORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "at", "for", "is", "with", "by", "as")
 
-    words = lambda x: F.array_distinct(F.split(F.lower(x), " "))
-    return 0.6 * sequence_ratio(F.lower(a), F.lower(b)) + 0.4 * jaccard(words(a), words(b))
 
+def plain(text, separators=r"[._\-]+"):
+    """Folded to lower case letters, digits and single spaces. What `separators` matches parts words."""
+    out = F.regexp_replace(folded(text), separators, " ") if separators else folded(text)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z0-9 ]+", " "), r"\s+", " "))
 
-def title_similarity(a, b):
-    """Half the sequence's ratio, 0.35 of the words' overlap and 0.15 if one holds the other."""
+
+def _overlap(a, b):
     from shelfwise.operators.graph import jaccard
 
-    words = lambda x: F.array_distinct(F.split(F.lower(x), " "))
-    holds = F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
-    return 0.5 * sequence_ratio(F.lower(a), F.lower(b)) + 0.35 * jaccard(words(a), words(b)) + F.when(holds, 0.15).otherwise(0.0)
+    return F.coalesce(jaccard(a, b), F.lit(0.0))
+
+
+def name_similarity(a, b):
+    """Three fifths of the sequence's ratio and two fifths of the words' overlap, of plain names; 0 if one has none."""
+    x, y = plain(a, None), plain(b, None)
+    words = lambda t: F.array_distinct(F.split(t, " "))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(0.6 * sequence_ratio(x, y) + 0.4 * _overlap(words(x), words(y)))
+
+
+def title_similarity(a, b):
+    """Half the sequence's ratio, 0.35 of the words' overlap without stop words and 0.15 if one holds the other, of plain
+    titles; 0 if one has none."""
+    x, y = plain(a), plain(b)
+    words = lambda t: F.filter(F.array_distinct(F.split(t, " ")), lambda w: ~w.isin("", *TITLE_STOP_WORDS))
+    score = 0.5 * sequence_ratio(x, y) + 0.35 * _overlap(words(x), words(y)) + F.when(x.contains(y) | y.contains(x), 0.15).otherwise(0.0)
+    return F.when((x == "") | (y == ""), 0.0).otherwise(score)

@@ -9,28 +9,44 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.paths import found
 
-#: How each profile replaces characters that file systems refuse, the names they reserve, greatest lengths.
+#: How each profile replaces characters that file systems refuse, greatest lengths, what an empty name becomes,
+#: and where reserved names get an underscore.
 PROFILES = {
-    "movie": {"colon": " -", "slash": " ", "angles": ("(", ")"), "limit": 180, "empty": "_"},
-    "tv": {"colon": " - ", "slash": "-", "angles": ("", ""), "limit": 120, "empty": "untitled"},
-    "music": {"colon": " -", "slash": "-", "angles": ("", ""), "limit": 100, "empty": ""},
+    "inventory": {"swaps": {":": " - ", "/": " ", "\\": " ", '"': "'", "|": "-", "·": "-", "…": "..."}, "limit": 180, "empty": "_", "reserved": "after"},
+    "plan": {"swaps": {":": " - ", "/": " ", "\\": " ", '"': "'", "|": "-", "<": "(", ">": ")"}, "limit": None, "empty": "", "reserved": "after"},
+    "music": {"swaps": {"<": "(", ">": ")", ":": " -", '"': "'", "/": " ", "\\": " ", "|": "-"}, "limit": 180, "empty": "", "reserved": None},
+    "leftover": {"swaps": {"<": "(", ">": ")", ":": " -", '"': "'", "/": " ", "\\": " ", "|": "-"}, "limit": 120, "empty": "", "reserved": "before"},
+    "segment": {"swaps": {}, "limit": 100, "empty": "untitled", "reserved": None},
 }
 RESERVED = ("con", "prn", "aux", "nul", *(f"{p}{n}" for p in ("com", "lpt") for n in range(1, 10)))
-STOP_WORDS = ("the", "a", "an", "and", "of", "in", "on", "at", "to", "for", "with")
-QUALITY_WORDS = ("1080p", "720p", "2160p", "480p", "bluray", "webrip", "web", "hdtv", "dvdrip", "x264", "x265", "h264", "hevc", "aac", "dts", "proper", "repack")
+#: Words that say nothing of a series; marks of quality and release; what numbers a folder in front.
+STOP_WORDS = ("the", "a", "an", "and", "of", "in", "on", "at", "to", "for", "complete", "show", "shows", "series", "season", "seasons", "episode", "episodes", "edition", "collection", "collections", "volume", "volumes", "vol")
+QUALITY_TAGS = (
+    *("480p", "576p", "720p", "1080p", "1440p", "2160p", "4k", "uhd", "hd", "sd", r"hdr10\+?", "hdr", "dolby ?vision", "dovi", "sdr"),
+    *("bluray", "blu-?ray", "bdrip", "brrip", "dvdrip", "webrip", "web-?dl", "hdtv", "hdrip", "pdtv", "dsr", "dsrip", "remux", "repack", "proper", "internal", "extended", "director.?s? cut", "unrated", "limited"),
+    *("x264", "x265", r"h\.?264", r"h\.?265", "hevc", "avc", "xvid", "divx", "vp9", "av1"),
+    *("mp3", "aac", r"aac2\.0", "ac3", "eac3", "dts(?:-?hd)?(?:-?ma)?", "flac", "opus", "truehd", "atmos", r"dd5\.1", r"dd2\.0", r"5\.1", r"2\.0", r"7\.1"),
+    *("yify", r"yts(?:\.\w+)?", "rarbg", "ettv", "eztv", "nogrp", "fov", "sva", "killers", "lol", "asap", "fum", "dimension", "immerse"),
+    *(r"disc ?\d+", r"d\d+", r"cd\d+", r"title ?\d+"),
+)
+LEADING_MARKS = (r"\s*\d{1,3}\s*[-._]?\s+", r"\s*disc\s*\d+\s+", r"\s*t\d{2,3}\s+", r"\s*_?title\s*\d+\s*", r"\s*playlist[\s_]*\d+\s*", r"\s*\[[^\]]+\]\s*", r"\s*\([^)]+\)\s*")
+YEARS = r"\((?:19|20)\d{2}(?:[\s\-–—]+(?:(?:19|20)\d{2}|\d{2})?)?\)"
 ARTICLES = ("the", "a", "an", "el", "la", "los", "las", "les")
 
 
-def sanitized(name: Column, profile: str = "movie") -> Column:
-    """A name that any file system takes, by a profile."""
+def sanitized(name: Column, profile: str = "inventory") -> Column:
+    """A name that any file system takes, by a profile: what it has no swap for is deleted."""
     p = PROFILES[profile]
-    out = F.regexp_replace(name, r"\s*:\s*", p["colon"] if p["colon"].endswith(" ") else p["colon"] + " ")
-    out = F.regexp_replace(out, r"[/\\]", p["slash"])
-    out = F.replace(F.replace(out, F.lit("<"), F.lit(p["angles"][0])), F.lit(">"), F.lit(p["angles"][1]))
-    out = F.regexp_replace(out, r'["*?|\x00-\x1f]', "")
-    out = F.regexp_replace(F.trim(F.regexp_replace(out, " +", " ")), r"[. ]+$", "")
-    out = F.regexp_replace(F.substring(out, 1, p["limit"]), r"[. ]+$", "")
-    out = F.when(F.lower(out).isin(*RESERVED), F.concat(out, F.lit("_"))).otherwise(out)
+    out = reduce(lambda c, swap: F.replace(c, F.lit(swap[0]), F.lit(swap[1])), p["swaps"].items(), name)
+    out = F.regexp_replace(out, r'[<>:"/\\|?*\x00-\x1f]', "")
+    out = F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"^[ .]+|[ .]+$" if profile == "segment" else r"[. ]+$", "")
+    if p["reserved"] == "after":
+        out = F.when(F.lower(out).isin(*RESERVED), F.concat(out, F.lit("_"))).otherwise(out)
+    if p["reserved"] == "before":
+        out = F.when(F.substring_index(F.lower(out), ".", 1).isin(*RESERVED), F.concat(F.lit("_"), out)).otherwise(out)
+    if p["limit"]:
+        out = F.substring(out, 1, p["limit"])
+        out = out if profile == "segment" else F.regexp_replace(out, r"[. ]+$", "")
     return F.when(out == "", p["empty"]).otherwise(out)
 
 
@@ -86,19 +102,84 @@ def parsed_episode(name: Column, folder: Column, absolute: bool = False) -> Colu
     return out
 
 
+_TAGS = rf"(?i)(?<![\w'])(?:{'|'.join(QUALITY_TAGS)})(?![\w'])"
+
+
 def series_name(name: Column) -> Column:
-    """The text before the first episode marker, without brackets, quality words, years and separators."""
+    """The text before the first episode marker, without brackets, quality tags, years and separators."""
     out = F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,4}$", "")
-    out = F.regexp_replace(out, r"(?i)[ ._-]*(?:s[0-9]{1,2}[ ._-]*e[0-9]{1,3}|[0-9]{1,2}x[0-9]{1,3}).*$", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\[[^\]]*\]|\([^)]*\)", " "), r"[._]+", " ")
-    out = F.regexp_replace(out, rf"(?i)\b(?:{'|'.join(QUALITY_WORDS)})\b", " ")
-    return F.trim(F.regexp_replace(out, r"[ -]+$|^[ -]+| +(?= )", ""))
+    out = F.regexp_replace(out, r"(?<=\w)[._]+(?=\w)", " ")
+    out = F.regexp_replace(out, r"(?is)(?<![a-z0-9])(?:s[0-9]{1,3}[\s._-]?e[0-9]{1,4}|[0-9]{1,3}x[0-9]{1,4}|(?:episode|ep|e)[\s._-]*[0-9]{1,4})(?![a-z0-9]).*$", "")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\[[^\]]*\]", " "), _TAGS, " "), YEARS, " ")
+    return F.regexp_replace(F.regexp_replace(out, r"[-_.\s]+", " "), r"^[ ,]+|[ ,]+$", "")
 
 
 def folder_tokens(name: Column) -> Column:
-    """A folder's telling words, in order: no years, brackets, quality words, stop words or single letters."""
-    low = F.lower(F.regexp_replace(F.regexp_replace(name, r"\[[^\]]*\]|\([^)]*\)", " "), r"(?i)\.[a-z0-9]{2,4}$", ""))
-    return F.filter(F.split(low, "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS, *QUALITY_WORDS) & ~t.rlike("^(?:19|20)[0-9]{2}$"))
+    """A folder's telling words, in order: without years and brackets, numbers and marks in front (again and again), quality
+    tags, stop words and single letters."""
+    out = F.trim(F.regexp_replace(name, r"[\\/\s]+$", ""))
+    out = F.regexp_replace(F.regexp_replace(out, YEARS, " "), r"\[[^\]]*\]", " ")
+    out = F.regexp_replace(out, r"(?<=\w)[._]+(?=\w)", " ")
+    out = F.regexp_replace(F.regexp_replace(out, rf"(?i)^(?:{'|'.join(LEADING_MARKS)})+", ""), _TAGS, " ")
+    return F.filter(F.split(F.lower(out), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+
+
+#: Tokens of releases, and parts that make any token one; the same for names of episodes.
+RELEASE_TOKENS = (
+    *("complete", "completeseries", "completedvd", "collection", "volume", "vol", "disc", "discs", "dvd", "dvdrip", "bluray", "bd", "brrip", "bdrip", "hdtv", "pdtv", "webrip", "webdl"),
+    *("1080p", "720p", "480p", "576p", "2160p", "4k", "uhd", "x264", "x265", "h264", "h265", "hevc", "xvid", "divx", "aac", "ac3", "mp3", "dts", "dolby", "remastered", "extended", "uncut"),
+    *("directors", "proper", "repack", "internal", "limited", "rerip", "subbed", "dubbed", "uncensored", "censored", "axxo", "yify", "rarbg", "ettv", "fgt", "ntb", "evo", "ftp", "seasons", "series", "pack", "packs", "boxset"),
+)
+RELEASE_PARTS = ("dvdrip", "bluray", "brrip", "bdrip", "hdtv", "pdtv", "webrip", "x264", "x265", "h264", "h265", "hevc", "xvid", "1080p", "720p", "480p", "2160p", "axxo", "yify", "rarbg")
+EPISODE_CRUFT = (
+    *("dvdrip", "bluray", "brrip", "bdrip", "hdtv", "pdtv", "webrip", "webdl", "x264", "x265", "h264", "h265", "hevc", "xvid", "divx", "1080p", "720p", "480p", "576p", "2160p", "4k", "uhd"),
+    *("aac", "ac3", "mp3", "dts", "5.1", "axxo", "yify", "rarbg", "ettv", "fgt", "complete", "remastered", "extended", "uncut", "proper", "repack", "pack", "vol", "volume", "disc"),
+)
+
+
+def _kept_words(words: Column, whole: tuple[str, ...], parts: tuple[str, ...], edges: str) -> Column:
+    """Words that are no release token, hold none of the parts and are no number of four digits or more."""
+    low = lambda t: F.regexp_replace(F.lower(t), rf"^[{edges}]+|[{edges}]+$", "")
+    some = "|".join(p.replace(".", "[.]") for p in parts)
+    return F.array_join(F.filter(words, lambda t: (low(t) != "") & ~low(t).isin(*whole) & ~low(t).rlike(some) & ~low(t).rlike("^[0-9]{4,}$")), " ")
+
+
+def clean_folder(name: Column) -> Column:
+    """(name, year): a folder's name without release tokens, brackets and seasons, and the year that it states."""
+    year = found(name, r"\b((?:19|20)[0-9]{2})\b").try_cast("int")
+    out = F.regexp_replace(F.regexp_replace(name, r"[(\[]?\b(?:19|20)[0-9]{2}\b[)\]]?", " "), r"[\[({][^\])}]*[\])}]", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)\b(?:s|season|series|seasons)\s*[0-9]+(?:[-–][0-9]+)?\b", " "), r"[._\-\s]+", " ")
+    return F.struct(_kept_words(F.split(F.trim(out), " "), RELEASE_TOKENS, RELEASE_PARTS, r"\-.,()").alias("name"), year.alias("year"))
+
+
+def show_hint(file: Column) -> Column:
+    """What an episode's file says of its show: the stem up to the first episode number or " - ", without release tokens."""
+    out = F.regexp_replace(F.regexp_replace(file, r"\.[^.]*$", ""), r"(?is)\b(?:s[0-9]+e[0-9]+|season\s*[0-9]+|episode\s*[0-9]+|[0-9]+x[0-9]+|[0-9]{1,3}\b).*$", "")
+    return clean_folder(F.regexp_replace(out, r"(?s)(?: - | — |_-_).*$", ""))["name"]
+
+
+def title_hint(file: Column) -> Column:
+    """What an episode's file says of the episode's title: without brackets, markers, a number in front and cruft."""
+    out = F.regexp_replace(F.regexp_replace(file, r"\.[^.]*$", ""), r"[\[({][^\])}]*[\])}]", " ")
+    out = F.regexp_replace(out, r"(?i)\b(?:s[0-9]+\s*-?\s*e[0-9]+|season\s*[0-9]+|episode\s*[0-9]+|ep\s*[0-9]+|[0-9]+x[0-9]+)\b", " ")
+    out = F.regexp_replace(out, r"^\s*[0-9]{1,3}\s*[-.]\s*", "")
+    return _kept_words(F.split(F.regexp_replace(out, r"^[\s\-_.]+", ""), r"[\s\-_.]+"), EPISODE_CRUFT, EPISODE_CRUFT, r"\-.,()'\x22")
+
+
+def guessed_title(name: Column) -> Column:
+    """(title, year) of a rip's name: the extension, marks of discs behind and a sequence number in front go (up to 99, or if
+    a year follows), names in capitals and underscores get capitals at words' starts; then what stands before the year."""
+    out = F.regexp_replace(name, r"(?i)\.[a-z0-9]{1,4}$", "")
+    letters = F.regexp_replace(out, "[^A-Za-z]", "")
+    shouted = (F.length(letters) >= 4) & (letters == F.upper(letters)) & out.contains("_")
+    out = F.when(shouted, F.initcap(F.replace(out, F.lit("_"), F.lit(" ")))).otherwise(out)
+    out = F.regexp_replace(out, r"(?i)(?:[-_\s]+(?:t[0-9]{2,3}|title[\s_]*[0-9]+|playlist[\s_]*[0-9]+|disc[\s_]*[0-9]+)\s*)+$", "")
+    number, rest = found(out, r"^([0-9]{1,4})\s*[-.]\s*.+$").try_cast("int"), found(out, r"^[0-9]{1,4}\s*[-.]\s*(.+)$")
+    out = F.when((number <= 99) | rest.rlike(r"\b(?:19|20)[0-9]{2}\b"), rest).otherwise(out)
+    year = found(out, r"\b((?:19|20)[0-9]{2})\b").try_cast("int")
+    before = F.regexp_replace(out, r"[\s._(\[-]*\b(?:19|20)[0-9]{2}\b.*$", "")
+    title = F.trim(F.regexp_replace(F.when(before == "", out).otherwise(before), r"[._\s]+", " "))
+    return F.struct(title.alias("title"), year.alias("year"))
 
 
 def leading_number(name: Column) -> Column:
@@ -119,6 +200,20 @@ def article_sort_key(title: Column) -> Column:
     return F.ltrim(F.ltrim(F.lower(title), F.lit("the ")), F.lit("a "))
 
 
+def weakly_tagged(artist: Column, title: Column) -> Column:
+    return (F.trim(F.coalesce(artist, F.lit(""))) == "") | (F.trim(F.coalesce(title, F.lit(""))) == "")
+
+
+def plausible_artist(name: Column) -> Column:
+    """A real name however short: two characters or more, letters, digits and a few signs."""
+    return F.coalesce((F.length(F.trim(name)) >= 2) & F.trim(name).rlike(r"^[\p{L}\p{N}&+-]+$"), F.lit(False))
+
+
+def single_letter(name: Column) -> Column:
+    """No artist, or one letter: an accident of filing."""
+    return (F.coalesce(name, F.lit("")) == "") | (F.length(F.trim(name)) == 1)
+
+
 def year_of(date: Column) -> Column:
     return found(date, "((?:19|20)[0-9]{2})").try_cast("int")
 
@@ -130,22 +225,44 @@ def track_of(tag: Column) -> Column:
 
 #: Variants by their markers, the first that fits counts.
 VARIANTS = (
-    ("Director's Cut", r"director'?s? cut"),
-    ("Extended", r"extended"),
-    ("Unrated", r"unrated"),
-    ("Theatrical", r"theatrical"),
-    ("Remastered", r"remaster"),
-    ("Final Cut", r"final cut"),
-    ("Special Edition", r"special edition"),
-    ("IMAX", r"imax"),
+    (r"extended[\s_.]+director'?s[\s_.]+cut", "Extended Director's Cut"),
+    (r"director'?s[\s_.]+cut", "Director's Cut"),
+    (r"ultimate[\s_.]+edition", "Ultimate Edition"),
+    (r"special[\s_.]+edition", "Special Edition"),
+    (r"extended[\s_.]+edition", "Extended"),
+    (r"extended[\s_.]+cut", "Extended Cut"),
+    (r"theatrical[\s_.]+cut", "Theatrical Cut"),
+    (r"final[\s_.]+cut", "Final Cut"),
+    ("remastered", "Remastered"),
+    ("unrated", "Unrated"),
+    ("extended", "Extended"),
+    ("theatrical", "Theatrical"),
 )
+FORMATS_3D = ("HSBS", "FSBS", "HOU", "FOU")
 
 
 def variant(name: Column) -> Column:
     """The edition that a tag {edition-…} names, else the first marker in the text."""
-    spaced = F.regexp_replace(F.lower(name), "[._]", " ")
-    marked = reduce(lambda out, v: out.when(spaced.rlike(v[1]), v[0]), VARIANTS[1:], F.when(spaced.rlike(VARIANTS[0][1]), VARIANTS[0][0]))
-    return F.coalesce(found(name, r"(?i)\{edition-([^}]+)\}"), marked)
+    marked = reduce(lambda out, v: out.when(name.rlike(rf"(?i)\b{v[0]}\b"), v[1]), VARIANTS[1:], F.when(name.rlike(rf"(?i)\b{VARIANTS[0][0]}\b"), VARIANTS[0][1]))
+    return F.coalesce(F.initcap(F.trim(F.replace(found(name, r"(?i)\{edition-([^}]+)\}"), F.lit("_"), F.lit(" ")))), marked)
+
+
+def format_3d(name: Column) -> Column:
+    """The format of a film in 3D; HSBS where the name says 3D alone."""
+    return F.coalesce(F.upper(found(name, rf"(?i)\b({'|'.join(FORMATS_3D)})\b")), F.when(name.rlike(r"(?i)\b3D\b"), "HSBS"))
+
+
+def extra_label(stem: Column) -> Column:
+    """"Extra", "Extras" or "Extra 2", if a stem ends so."""
+    mark, number = found(stem, r"(?i)\b(Extras?)(?:\s+[0-9]+)?\s*$"), found(stem, r"(?i)\bExtras?\s+([0-9]+)\s*$")
+    return F.when(number.isNotNull(), F.concat(F.lit("Extra "), number)).when(F.lower(mark) == "extras", "Extras").when(mark.isNotNull(), "Extra")
+
+
+def variant_template(base: Column, edition: Column, format_: Column) -> Column:
+    """A file name's template with the edition before its last id tag and the format in 3D at its end."""
+    tag = F.concat(F.lit("{{edition-"), edition, F.lit("}}"))
+    put = F.when(base.rlike(r".\{\{"), F.regexp_replace(base, F.lit(r"^(.+)(\{\{)"), F.concat(F.lit("$1"), F.regexp_replace(tag, r"([$\\])", r"\\$1"), F.lit(" $2")))).otherwise(F.concat(base, F.lit(" "), tag))
+    return F.concat(F.when(edition.isNotNull(), put).otherwise(base), F.coalesce(F.concat(F.lit(" - 3D."), format_), F.lit("")))
 
 
 def cleaned(title: Column) -> Column:

@@ -13,7 +13,7 @@ EXTENSIONS = {
     "nfo": ("nfo", "xml"),
 }
 #: Words that mark extras.
-EXTRA_WORDS = ("sample", "trailer", "extra", "featurette", "behind the scenes", "deleted", "interview", "making", "scene", "bonus")
+EXTRA_WORDS = ("deleted", "behind", "featurette", "interview", "trailer", "outtake", "making", "extra", "bonus", "commentary", "scene", "bloopers", "gag")
 
 
 def found(column: Column, pattern: str, group: int = 1) -> Column:

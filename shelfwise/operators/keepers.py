@@ -35,33 +35,30 @@ def best(files: DataFrame, group: list[str], order: Column, *fields: str) -> Dat
 
 
 #: Folder names of genre buckets, and parts of names that speak against a copy.
-GENRE_BUCKETS = ("Rock", "Pop", "Jazz", "Blues", "Country", "Classical", "Soundtracks", "Various", "Misc")
-BAD_TOKENS = ("copy", "(1)", "(2)", "backup", "temp", "new folder", "untitled", "duplicate")
+GENRE_BUCKETS = (
+    *("90s", "80s", "70s", "60s", "Oldies", "Country", "Pop", "Rock", "Classical", "Irish", "Gaelic", "Alternative", "Jazz", "Folk", "New Age", "Christmas", "Halloween", "Hip Hop", "Rap", "Blues", "Reggae", "R&B", "Soul", "Indie"),
+    *("Electronic", "Dance", "Metal", "Punk", "Latin", "World", "Disco", "Sound Effects", "Video Game Sounds", "WVUM", "Spanish", "Italian", "French", "German", "Japanese", "Korean", "Chinese"),
+)
+BAD_TOKENS = ("torrent", "www.", "rip-", "compilation", "various", "playlist", "(va)", " va ", "mix-", "mix ", " top ", "top 100", "top 50", " best of ")
 
 
 def path_score(path: Column, buckets=GENRE_BUCKETS, bad_tokens=BAD_TOKENS) -> Column:
     """Lower is better: 1000 for a genre bucket as the top folder, 200 once for any bad token, 200 for a site's name
     as a folder, 5 for each part of the path and 1 for each 20 characters."""
-    low = F.lower(path)
-    bad = F.lit(False)
-    for token in bad_tokens:
-        bad = bad | low.contains(token)
-    return (
-        F.when(F.substring_index(path, "/", 1).isin(*buckets), 1000).otherwise(0)
-        + F.when(bad, 200).otherwise(0)
-        + F.when(low.contains(".com/"), 200).otherwise(0)
-        + 5 * F.size(F.split(path, "/"))
-        + F.floor(F.length(path) / 20)
-    ).cast("int")
+    low, parts = F.lower(path), F.split(path, r"[\\/]")
+    bad = F.exists(F.array(*map(F.lit, bad_tokens)), lambda token: low.contains(token))
+    return (F.when(parts[0].isin(*buckets), 1000).otherwise(0) + F.when(bad, 200).otherwise(0) + F.when(low.rlike(r"\.com[\\/]"), 200).otherwise(0) + 5 * F.size(parts) + F.floor(F.length(path) / 20)).cast("int")
 
 
 def collisions(moves: DataFrame, target: str, source: str) -> DataFrame:
     """Targets that more than one source would go to: how many, and a note with the first three and the number of the
-    rest."""
-    held = moves.groupBy(F.lower(target).alias("target_key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(source)).alias("all"))
-    note = F.concat_ws(", ", F.slice("all", 1, 3))
+    rest. The three are ranked before they are listed, so a target of very many sources makes no long list."""
+    keyed = moves.select(F.lower(target).alias("target_key"), F.col(source).alias("_source"))
+    counts = keyed.groupBy("target_key").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = keyed.withColumn("_place", F.row_number().over(Window.partitionBy("target_key").orderBy("_source"))).where("_place <= 3")
+    first = ranked.groupBy("target_key").agg(F.array_sort(F.collect_list("_source")).alias("some"))
     more = F.when(F.col("n") > 3, F.concat(F.lit(" (+"), F.col("n") - 3, F.lit(" more)"))).otherwise("")
-    return held.where("n > 1").select("target_key", "n", F.concat(note, more).alias("note"))
+    return counts.join(first, "target_key").select("target_key", "n", F.concat(F.concat_ws(", ", "some"), more).alias("note"))
 
 
 def against_library(suspects: DataFrame, library: DataFrame, size: str, hash_: str, name: str) -> DataFrame:

@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing in a query.
-STOP_WORDS = ("the", "and", "you", "that", "was", "for", "are", "with", "his", "they", "this", "have", "from", "one", "had", "not", "but", "what", "all", "were")
+STOP_WORDS = tuple(
+    """
+    a an the and or but if then so as of in on at to for from by with into out off up
+    down over under again is are was were be been being have has had do does did will
+    would can could should may might must shall i you he she it we they me him her us
+    them my your his hers its our their this that these those there here what when
+    where why how which who whom no not yes ok okay yeah right just very really so
+    oh ah uh um hey hi well now then come go come on let lets let's
+    """.split()
+)
 K1, B = 1.2, 0.75
 
 

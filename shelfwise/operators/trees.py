@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import paths
@@ -36,3 +36,33 @@ def files_of_titles(titles: DataFrame, files: DataFrame, folder: str, path: str)
     near = flat.join(side, F.lower(paths.parent(F.col(folder))) == F.col("_parent")).drop("_parent")
     own = F.lower(paths.stem(F.col(path))).startswith(F.lower(paths.stem(F.col(folder))))
     return under.unionByName(near.where(own).select(under.columns)).distinct()
+
+
+def leaves(files: DataFrame, path: str) -> DataFrame:
+    """(folder): the folders of files that hold no folder with files."""
+    folders = files.select(paths.parent(F.col(path)).alias("folder")).distinct()
+    above = folders.select(F.explode(paths.ancestors(F.col("folder"))["folder"]).alias("folder")).distinct()
+    return folders.join(above, "folder", "left_anti")
+
+
+def name_key(name: Column) -> Column:
+    """A folder's or show's name without tags, signs, case and a leading article."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(name), r"[{(][^)}]*[)}]", " "), "[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(out, "^ *the ", ""))
+
+
+def folder_of_each(shows: DataFrame, folders: DataFrame, key: str, name: str, tmdb: str, folder: str, order: str) -> DataFrame:
+    """(key, folder, tier): a folder for each show that has one: by the id in its name (1), by the plain name (2), by one plain
+    name beginning the other (3); in a tier, the name whose length is nearest. Beginnings meet as equal strings: each
+    name is cut at all its lengths, so that no pairs are tried."""
+    s = shows.select(key, F.col(name).alias("_show"), F.col(tmdb).alias("_tmdb"), name_key(F.col(name)).alias("_key"))
+    f = folders.select(F.col(folder).alias("_folder"), F.col(order).alias("_order"), F.nullif(F.regexp_extract(folder, r"\{tmdb-([0-9]+)\}", 1), F.lit("")).alias("_tmdb"), name_key(F.col(folder)).alias("_key"))
+    cut = lambda t: t.withColumn("_cut", F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.substring("_key", 1, n)))).where("_key <> ''")
+    found = lambda pairs, tier: pairs.select(key, "_show", "_folder", "_order", F.lit(tier).alias("tier"))
+    by_id = found(s.drop("_key").join(f.drop("_key"), "_tmdb"), 1)
+    by_name = found(s.where("_key <> ''").drop("_tmdb").join(f.drop("_tmdb"), "_key"), 2)
+    longer = found(cut(s.drop("_tmdb")).join(f.select("_folder", "_order", F.col("_key").alias("_cut")), "_cut"), 3)
+    shorter = found(s.select(key, "_show", F.col("_key").alias("_cut")).where("_cut <> ''").join(cut(f.drop("_tmdb")), "_cut"), 3)
+    every = by_id.unionByName(by_name).unionByName(longer).unionByName(shorter)
+    best = F.min_by(F.struct(F.col("_folder").alias("folder"), "tier"), F.struct("tier", F.abs(F.length("_folder") - F.length("_show")), "_order"))
+    return every.groupBy(key).agg(best.alias("b")).select(key, "b.folder", "b.tier")

@@ -20,24 +20,27 @@ def _first(*rules: tuple[Column, object], otherwise=None) -> Column:
     return out.otherwise(otherwise)
 
 
-def movie_confidence(nfo: Column, similarity: Column, exact: Column, year: Column, found_year: Column, runtime: Column, found_runtime: Column, single: Column, extra: Column) -> Column:
-    """0 to 100 for a title's match; unknown parts are null and give nothing."""
+def movie_confidence(nfo: Column, similarity: Column, exact: Column, year: Column, found_year: Column, runtime: Column, found_runtime: Column, flags: Column, extra: Column) -> Column:
+    """0 to 100 for a title's match; unknown parts are null and give nothing. `flags`: how the match came about, as
+    the cascade says: single-tmdb-match, multi-match-year-filter-failed, multi-match-no-year, year-not-matched."""
     gap = F.abs(year - found_year)
     off = F.abs(runtime - found_runtime) / F.greatest(F.lit(1), found_runtime)
     close = F.coalesce(off <= 0.05, F.lit(False))
     by_name = _first((similarity >= 0.9, 30), (similarity >= 0.75, 18), (similarity >= 0.6, 5), otherwise=0)
     by_year = _first((gap == 0, 30), (gap == 1, 15), otherwise=0)
     by_length = _first((off <= 0.05, 15), (off <= 0.1, 6), otherwise=0)
+    has = lambda flag: F.array_contains(flags, flag)
+    ambiguous = _first((exact, 0), (has("multi-match-year-filter-failed"), -15), (has("multi-match-no-year"), -10), otherwise=0)
     more = _points(
         (nfo, 50),
         (exact, 15),
         (exact & close, 15),
-        (single, 5),
-        (~exact & ~single & year.isNotNull(), -15),
+        (has("single-tmdb-match"), 5),
+        (has("year-not-matched"), -10),
         (year.isNull() & ~nfo & found_year.isNull() & ~(exact & close), -10),
         (extra, -20),
     )
-    return F.greatest(F.lit(0), F.least(F.lit(100), by_name + by_year + by_length + more))
+    return F.greatest(F.lit(0), F.least(F.lit(100), by_name + by_year + by_length + ambiguous + more))
 
 
 def movie_action(confidence: Column, target: Column) -> Column:
@@ -73,6 +76,11 @@ def candidate_score(similarity: Column, year_gap: Column, popularity: Column) ->
     return 0.6 * similarity + 0.2 * near + 0.2 * F.least(F.lit(1.0), popularity / 50)
 
 
+def candidate_verdict(score: Column, votes: Column, margin: Column, n: Column) -> Column:
+    """How sure the best of `n` candidates is: HIGH if it is good, known and well ahead of the next, or good and alone."""
+    return _first(((score >= 0.85) & (votes > 20) & (margin >= 0.2), "HIGH"), ((n == 1) & (score >= 0.75), "HIGH"), (score >= 0.5, "MEDIUM"), otherwise="NONE")
+
+
 def replacement(old_pixels: Column, new_pixels: Column, old_rate: Column, new_rate: Column) -> Column:
     """Whether a new copy replaces the old: by pixels, then by bitrate unless within five hundredths."""
     return _first(
@@ -124,17 +132,20 @@ def pruned_reasons(notes: Column, dropped: tuple[str, ...]) -> Column:
     return F.filter(reasons, lambda r: ~F.regexp_replace(r, r"_\(sim=[^)]*\)$", "").isin(*dropped))
 
 
-def acoustid_class(status: Column, score: Column, title_words: Column, artist_words: Column, title: Column, artist: Column, hint: Column) -> Column:
-    """What to do with a fingerprint's match, by its score and the agreement of words and strings with the hints."""
+def acoustid_class(status: Column, score: Column, named: Column, title_words: Column, artist_words: Column, title: Column, artist: Column, hint: Column) -> Column:
+    """What to do with a fingerprint's match, by its score and the agreement of words and strings with the hints. `named`:
+    it has an artist or a title; `title`, `artist`: similarities of strings."""
+    best_title, best_artist = F.greatest(title, title_words), F.greatest(artist, artist_words)
     return _first(
         (status != "match", F.concat(F.lit("SKIP_"), status)),
+        (~named, "SKIP_empty_match"),
         ((score >= 0.9) & (title_words >= 0.7) & (artist_words >= 0.5), "AUTO_APPLY"),
         ((score >= 0.9) & (title_words >= 0.7), "AUTO_APPLY_OK"),
-        ((score >= 0.9) & (artist_words >= 0.7) & (title >= 0.4), "AUTO_APPLY_OK"),
-        ((score >= 0.95) & (title >= 0.7) & (artist >= 0.5), "AUTO_APPLY"),
-        ((score >= 0.95) & (title >= 0.6), "AUTO_APPLY_OK"),
+        ((score >= 0.9) & (artist_words >= 0.7) & (best_title >= 0.4), "AUTO_APPLY_OK"),
+        ((score >= 0.95) & (best_title >= 0.7) & (best_artist >= 0.5), "AUTO_APPLY"),
+        ((score >= 0.95) & (best_title >= 0.6), "AUTO_APPLY_OK"),
         ((score >= 0.95) & ~hint, "REVIEW_NO_HINT"),
-        ((score >= 0.9) & ((title_words >= 0.4) | (artist_words >= 0.5)), "REVIEW_PARTIAL"),
+        ((score >= 0.9) & ((best_title >= 0.4) | (best_artist >= 0.5)), "REVIEW_PARTIAL"),
         (score >= 0.9, "REVIEW_HIGH"),
         otherwise="REVIEW_LOW",
     )

@@ -187,17 +187,6 @@ def candidate_verdicts(spark, d):
     return best.select("o_custkey", "best.o_orderkey", "best.score", verdict.alias("verdict"))
 
 
-@query("""
-with n as (select p_partkey, p_name || case p_partkey % 5 when 0 then ' Directors.Cut' when 1 then ' Extended' when 2 then ' {edition-Fan Made}' when 3 then ' imax' else '' end as name from part)
-select p_partkey, case p_partkey % 5 when 0 then 'Director''s Cut' when 1 then 'Extended' when 2 then 'Fan Made' when 3 then 'IMAX' end as variant from n
-""")
-def variants(spark, d):
-    """The edition that a name states."""
-    marks = {0: " Directors.Cut", 1: " Extended", 2: " {edition-Fan Made}", 3: " imax", 4: ""}
-    mark = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])[(F.col("p_partkey") % 5).cast("int")]
-    return read(spark, d, "part").select("p_partkey", names.variant(F.concat("p_name", mark)).alias("variant"))
-
-
 @query("""
 with s as (select doc_id, doc_id::varchar || case when doc_id % 3 = 0 then '.en' when doc_id % 3 = 1 then '.de.forced' else '' end || '.srt' as name from labels)
 select s.name as sidecar, d.source || '/Title ' || d.doc_id || case when d.doc_id % 3 = 0 then '.en' when d.doc_id % 3 = 1 then '.de.forced' else '' end || '.srt' as target
