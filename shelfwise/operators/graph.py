@@ -65,15 +65,54 @@ def _kept(spark):
     return lambda df: df.checkpoint()
 
 
-def shared_words(members: DataFrame, group: str, words: str) -> DataFrame:
-    """(group, words): the words that all members of a group have; if there are none, those that at least half have."""
-    n = members.groupBy(group).agg(F.count("*").alias("n"))
-    each = members.select(group, F.explode(F.array_distinct(words)).alias("word")).groupBy(group, "word").agg(F.count("*").alias("held"))
+def merge_groups(items: DataFrame, least: int = 3, most: int = 100, min_chars: int = 6) -> DataFrame:
+    """(id, component) of items (id, tokens, numbered) whose names belong together, groups of `least` to `most` items.
+
+    Two items are linked if their words are equal; if one's words are all in the other, it has a number in front and
+    they share `min_chars` letters; if they share two words, half of the smaller and two letters more; three words; or if
+    their Jaccard similarity is 0.7. Groups whose items share no word stay only if half of them have numbers.
+
+    Items of equal words are one from the start. Two that share two words share one that is not the most frequent of
+    either, so only the others make candidates; single words with a number meet all items that hold the word.
+    """
+    rows = items.select("id", "numbered", F.array_sort(F.array_distinct("tokens")).alias("words"))
+    firsts = rows.groupBy("words").agg(F.min("id").alias("first"), F.bool_or("numbered").alias("numbered"))
+    same = rows.join(firsts.select("words", "first"), "words").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    each = firsts.select(F.col("first").alias("id"), F.size("words").alias("n"), "numbered", F.explode("words").alias("word"))
+    counted = each.groupBy("word").agg(F.count("*").alias("df"))
+    offered = each.where("n > 1").join(counted, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
+    offered = offered.select("id", F.explode(F.slice("by_df", F.lit(1), F.size("by_df") - 1)).alias("o")).select("id", F.col("o.word").alias("word"))
+    pairs = offered.select(F.col("id").alias("a"), "word").join(offered.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b")
+    alone = each.where("n = 1 and numbered").select(F.col("id").alias("x"), "word").join(each.select(F.col("id").alias("y"), "word"), "word").where("x <> y")
+    pairs = pairs.unionByName(alone.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    wa, wb = (firsts.select(F.col("first").alias(x), F.col("words").alias(f"w{x}"), F.col("numbered").alias(f"n{x}")) for x in "ab")
+    both = F.array_intersect("wa", "wb")
+    chars = F.aggregate(both, F.lit(0), lambda s, w: s + F.length(w))
+    n, na, nb = F.size(both), F.size("wa"), F.size("wb")
+    inside = ((n == na) & F.col("na") | (n == nb) & F.col("nb")) & (chars >= min_chars)
+    linked = inside | (n >= 2) & (n / F.least(na, nb) >= 0.5) & (chars >= min_chars + 2) | (n >= 3) | (n / (na + nb - n) >= 0.7)
+    parts = components(same.unionByName(pairs.join(wa, "a").join(wb, "b").where(linked).select("a", "b")))
+    members = parts.join(rows, "id")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.count_if("numbered").alias("leading")).where(F.col("n").between(least, most))
+    common = members.select("component", F.explode("words").alias("word")).groupBy("component", "word").agg(F.count("*").alias("held"))
+    shared = common.join(sizes, "component").where("held = n").select("component").distinct().withColumn("shares", F.lit(True))
+    kept = sizes.join(shared, "component", "left").where("shares or leading * 2 >= n").select("component")
+    return parts.join(kept, "component").select("id", "component")
+
+
+def shared_words(members: DataFrame, group: str, key: str, tokens: str) -> DataFrame:
+    """(group, words): the words that all members of a group have; if there are none, those that at least half have; in the
+    order of the member with the most tokens, others after them by letter, each with a capital in front."""
+    n = members.groupBy(group).agg(F.count("*").alias("n"), F.min_by(tokens, F.struct(-F.size(tokens), key)).alias("longest"))
+    each = members.select(group, F.explode(F.array_distinct(tokens)).alias("word")).groupBy(group, "word").agg(F.count("*").alias("held"))
+    place = F.coalesce(F.nullif(F.array_position("longest", F.col("word")), F.lit(0)), F.lit(1_000_000))
+    word = F.struct(place.alias("place"), "word")
     listed = each.join(n, group).groupBy(group).agg(
-        F.array_sort(F.collect_list(F.when(F.col("held") == F.col("n"), F.col("word")))).alias("every"),
-        F.array_sort(F.collect_list(F.when(F.col("held") >= F.ceil(F.col("n") / 2), F.col("word")))).alias("most"),
+        F.array_sort(F.collect_list(F.when(F.col("held") == F.col("n"), word))).alias("every"),
+        F.array_sort(F.collect_list(F.when(F.col("held") >= F.ceil(F.col("n") / 2), word))).alias("most"),
     )
-    return listed.select(group, F.array_join(F.when(F.size("every") > 0, F.col("every")).otherwise(F.col("most")), " ").alias("words"))
+    some = F.when(F.size("every") > 0, F.col("every")).otherwise(F.col("most"))
+    return listed.select(group, F.array_join(F.transform(some, lambda w: F.concat(F.upper(F.substring(w["word"], 1, 1)), F.substr(w["word"], F.lit(2)))), " ").alias("words"))
 
 
 def bit_error_rate(a: Column, b: Column) -> Column:

@@ -88,20 +88,23 @@ def html_title_fallback(spark, d):
     return read(spark, d, "pages").select("page_id", F.nullif(found["title"], F.lit("")).alias("title"), found["imdb_id"].alias("imdb_id"))
 
 
-@query(f"""
-with p as (select page_id, case page_id % 7 when 0 then 'Movie (1999)/' || page_id || '.mkv' when 1 then 'fanart' || page_id || '.jpg' when 2 then 'Poster.PNG'
-   when 3 then 'x.srt' when 4 then 'movie.nfo' when 5 then 'Extras/cut.mp4' else 'a.txt' end as name from pages)
-select page_id, name, case when lower(name) similar to '.*\\.(mkv|mp4)' then 'video' when lower(name) like '%.srt' then 'subtitle' when lower(name) like '%.nfo' then 'nfo'
-   when lower(name) like '%fanart%' then 'fanart' when lower(name) like '%poster%' then 'poster' else 'other' end as role, lower(name) like '%extra%' as extra from p
+_ROLE_NAMES = """case p_partkey % 4 when 0 then p_type || '/' when 1 then 'Extras/' || p_brand || '/' when 2 then 'The Making Of/' else '' end || case floor(p_partkey / 4) % 7 when 0 then p_name || '-Fanart' when 1 then 'poster' when 2 then 'movie-poster-fanart'
+  when 3 then 'deleted ' || p_name when 4 then p_name || ' commentary' when 5 then 'banner' else p_name end || case floor(p_partkey / 28) % 9 when 0 then '.MKV' when 1 then '.jpg' when 2 then '.PNG' when 3 then '.srt' when 4 then '.nfo' when 5 then '.mp4' when 6 then '.webp' when 7 then '.txt' else '' end"""
+_SETS = {kind: "(" + ", ".join(f"'{x}'" for x in some) + ")" for kind, some in paths.EXTENSIONS.items()}
+
+
+@query(rf"""
+with n as (select p_partkey, {_ROLE_NAMES} as name from part), e as (select *, lower(regexp_extract(name, '\.([^./]+)$', 1)) as ext, lower(regexp_replace(regexp_replace(name, '^.*/', ''), '\.[^.]*$', '')) as stem from n)
+select p_partkey, case when ext in {_SETS["video"]} then 'video' when ext in {_SETS["subtitle"]} then 'subtitle' when ext in {_SETS["nfo"]} then 'nfo' when ext not in {_SETS["image"]} then 'other'
+    when contains(stem, 'fanart') then 'fanart' when contains(stem, 'poster') then 'poster' else 'image' end as role,
+  case when ext in {_SETS["video"]} then 'video' when ext in {_SETS["subtitle"]} then 'subtitle' when ext in {_SETS["nfo"]} then 'nfo' when ext not in {_SETS["image"]} then 'other'
+    when stem in ('fanart', 'poster', 'banner') then stem when contains(stem, 'fanart') then 'fanart' when contains(stem, 'poster') then 'poster' when contains(stem, 'banner') then 'banner' else 'image' end as exact_role,
+  regexp_matches(lower(regexp_replace(name, '\.[^./]*$', '')), '{"|".join(paths.EXTRA_WORDS)}') as extra from e
 """)
 def file_roles(spark, d):
-    """Roles by extension and name, and whether a file looks like an extra."""
-    k = F.col("page_id") % 7
-    name = F.when(k == 0, F.concat(F.lit("Movie (1999)/"), F.col("page_id").cast("string"), F.lit(".mkv"))).when(k == 1, F.concat(F.lit("fanart"), F.col("page_id").cast("string"), F.lit(".jpg")))
-    for n, v in ((2, "Poster.PNG"), (3, "x.srt"), (4, "movie.nfo"), (5, "Extras/cut.mp4")):
-        name = name.when(k == n, v)
-    rows = read(spark, d, "pages").select("page_id", name.otherwise("a.txt").alias("name"))
-    return rows.select("page_id", "name", paths.role(F.col("name")).alias("role"), paths.looks_like_extra(F.col("name")).alias("extra"))
+    """Roles by extension and name, for films and for series, and whether a file looks like an extra."""
+    rows = read(spark, d, "part").select("p_partkey", F.expr(_ROLE_NAMES).alias("name"))
+    return rows.select("p_partkey", paths.role(F.col("name")).alias("role"), paths.role(F.col("name"), exact=True).alias("exact_role"), paths.looks_like_extra(F.col("name")).alias("extra"))
 
 
 @query("""

@@ -4,62 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfwise.functions import names
 from shelfwise.operators import graph, retrieval
+from shelfwise.queries.names import _FOLDERS, tokens_sql
 from shelfwise.registry import query, read
 
-_CLUSTERS = f"""
-with recursive s as (select doc_id, array_to_string(string_split_regex(lower(text), '\\s+')[1:12], ' ') as name from documents where text <> ''),
-t as (select doc_id, list_sort(list_distinct([w for w in string_split(name, ' ') if length(w) > 1])) as words from s),
-e as (select a.doc_id as a, b.doc_id as b from t a join t b on a.doc_id <> b.doc_id and len(a.words) > 0 and len(b.words) > 0
-      and len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.7),
+_CLUSTERS = rf"""
+with recursive s as (select p_partkey as id, {_FOLDERS} as name from part),
+t as (select id, name, {tokens_sql("name")} as tokens, regexp_matches(name, '^\s*[0-9]{{1,4}}\s') and not regexp_matches(name, '^\s*(19|20)[0-9]{{2}}\s') as numbered from s),
+u as (select *, list_distinct(tokens) as words from t where len(tokens) > 0),
+k as (select id, unnest(words) as word from u),
+p as (select distinct a.id as a, b.id as b from k a join k b using (word) where a.id < b.id),
+q as (select p.a, p.b, x.words as wa, y.words as wb, x.numbered as na, y.numbered as nb, list_intersect(x.words, y.words) as held from p join u x on x.id = p.a join u y on y.id = p.b),
+v as (select *, len(held) as n, list_sum([length(w) for w in held]) as chars from q),
+h as (select a, b from v where (n = len(wa) and n = len(wb)) or (n = len(wa) and na and chars >= 6) or (n = len(wb) and nb and chars >= 6) or (n >= 2 and n / least(len(wa), len(wb)) >= 0.5 and chars >= 8) or n >= 3
+  or n / (len(wa) + len(wb) - n) >= 0.7),
+e as (select a, b from h union select b, a from h),
 r as (select a as id, a as peer from e union select r.id, e.b from r join e on r.peer = e.a),
-c as (select id, min(peer) as component from r group by 1)
+g as (select id, min(peer) as component from r group by 1),
+z as (select component, count(*) as n, count(*) filter (where numbered) as ahead from g join u using (id) group by 1 having count(*) between 3 and 100),
+w as (select component, word, count(*) as held from (select component, unnest(words) as word from g join u using (id)) group by all),
+l as (select component, coalesce(list(word) filter (where held = n), []) as every, coalesce(list(word) filter (where held >= ceil(n / 2)), []) as most from w join z using (component) group by 1),
+c as (select component, case when len(every) > 0 then every else most end as words from l join z using (component) where len(every) > 0 or ahead * 2 >= n)
 """
 
 
 def _names(spark, d):
-    words = F.slice(F.split(F.lower("text"), r"\s+"), 1, 12)
-    return read(spark, d, "documents").where("text <> ''").select("doc_id", F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) > 1))).alias("words"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_FOLDERS).alias("name"))
+    leading = F.col("name").rlike(r"^\s*[0-9]{1,4}\s") & ~F.col("name").rlike(r"^\s*(19|20)[0-9]{2}\s")
+    return rows.select("id", names.folder_tokens(F.col("name")).alias("tokens"), leading.alias("numbered")).where(F.size("tokens") > 0)
 
 
-def _clusters(spark, d):
-    return graph.components(graph.similar_pairs(_names(spark, d), "doc_id", "words", 0.7))
-
-
-@query(_CLUSTERS + "select id as doc_id, component from c")
+@query(_CLUSTERS + "select id as p_partkey, component from g join c using (component)")
 def merge_clusters(spark, d):
-    """Names that belong together: pairs by words, then components."""
-    return _clusters(spark, d).select(F.col("id").alias("doc_id"), "component")
+    """Folders of one series: pairs by the words of their names, components of 3 to 100, without chains that share nothing."""
+    return graph.merge_groups(_names(spark, d)).select(F.col("id").alias("p_partkey"), "component")
 
 
 @query(_CLUSTERS + """,
-n as (select component, count(*) as n from c group by 1 having count(*) between 3 and 100),
-w as (select component, word, count(*) as held from (select component, unnest(words) as word from c join t on doc_id = id) group by all),
-l as (select component, list_sort(list(word) filter (where held = n)) as every, list_sort(list(word) filter (where held >= ceil(n / 2))) as most from w join n using (component) group by 1)
-select component, array_to_string(case when len(coalesce(every, [])) > 0 then every else coalesce(most, []) end, ' ') as words from l
+m as (select component, first(tokens order by len(tokens) desc, id) as longest from g join u using (id) group by 1),
+o as (select component, word, coalesce(nullif(list_position(longest, word), 0), 1000000) as place from (select component, unnest(words) as word from c) join m using (component))
+select component, string_agg(upper(word[1]) || word[2:], ' ' order by place, word) as words from o group by 1
 """)
 def cluster_shared_words(spark, d):
-    """The words of groups of 3 to 100 names."""
-    parts = _clusters(spark, d)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where("n between 3 and 100").select("component")
-    members = parts.join(sizes, "component").join(_names(spark, d).withColumnRenamed("doc_id", "id"), "id")
-    return graph.shared_words(members, "component", "words")
+    """A name for each group: the words that all its folders have, or half of them, in the order of the longest."""
+    rows = _names(spark, d)
+    return graph.shared_words(graph.merge_groups(rows).join(rows, "id"), "component", "id", "tokens")
 
 
 @query("""
 with recursive f as (select vec_id, label, [case when x > 0 then 1 else 0 end for x in embedding] as bits from embeddings),
-e as (select a.vec_id as a, b.vec_id as b from f a join f b on a.label = b.label and a.vec_id <> b.vec_id
-      and list_sum([abs(a.bits[i] - b.bits[i]) for i in range(1, 65)]) / 64 <= 0.3),
+e as (select a.vec_id as a, b.vec_id as b from f a join f b on a.label = b.label and a.bits[1:6] = b.bits[1:6] and a.vec_id <> b.vec_id
+      and list_sum([abs(a.bits[i] - b.bits[i]) for i in range(33, 65)]) / 160 <= 0.05),
 r as (select a as id, a as peer from e union select r.id, e.b from r join e on r.peer = e.a)
 select id as vec_id, min(peer) as component from r group by 1
 """)
 def fingerprint_clusters(spark, d):
-    """Fingerprints (signs of embeddings, two 32-bit numbers) in one bucket whose bits differ in up to three tenths."""
-    number = lambda o: F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when(F.element_at("embedding", i + o) > 0, F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    prints = read(spark, d, "embeddings").select("vec_id", "label", F.array(number(0), number(32)).alias("fp"))
-    a, b = prints.select("label", F.col("vec_id").alias("a"), F.col("fp").alias("fa")), prints.select("label", F.col("vec_id").alias("b"), F.col("fp").alias("fb"))
-    links = a.join(b, "label").where((F.col("a") < F.col("b")) & (graph.bit_error_rate(F.col("fa"), F.col("fb")) <= 0.3))
-    return graph.components(links.select("a", "b")).select(F.col("id").alias("vec_id"), "component")
+    """Fingerprints of five 32-bit numbers (signs of embeddings and the label) that share the first four, their bucket, and of
+    which up to a twentieth of the bits differ. Equal fingerprints are one from the start."""
+    signs = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
+    number = lambda bits, n: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(bits, i) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+    numbers = F.array(number(F.slice(signs, 1, 6), 6), F.col("label").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), number(F.slice(signs, 33, 32), 32))
+    prints = read(spark, d, "embeddings").select("vec_id", numbers.alias("fp")).withColumn("bucket", F.slice("fp", 1, 4))
+    firsts = prints.groupBy("bucket", "fp").agg(F.min("vec_id").alias("first"))
+    same = prints.join(firsts, ["bucket", "fp"]).where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
+    a, b = (firsts.select("bucket", F.col("first").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
+    near = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (graph.bit_error_rate(F.col("fa"), F.col("fb")) <= 0.05)).select("a", "b")
+    return graph.components(same.unionByName(near)).select(F.col("id").alias("vec_id"), "component")
 
 
 @query("""
@@ -71,19 +82,37 @@ def dominant_value_ties(spark, d):
     return graph.dominant(read(spark, d, "events"), ["user_id"], "event_type", "event_id")
 
 
-@query("""
-with n as (select source, lang, count(*) as n, min(doc_id) as seen from documents group by all),
-m as (select source, first(lang order by n desc, seen) as dominant, max(n)::bigint as n, (sum(n) - max(n))::bigint as others from n group by 1)
-select *, case when n + others < 2 then 'too_few' when contains(source, substr(dominant, 1, 1)) or n / (n + others) >= 0.6 then 'ok' else 'mixed' end as verdict from m
-""")
-def mixed_content_verdict(spark, d):
-    """Whether a folder's files agree with each other and its name."""
-    found = graph.dominant(read(spark, d, "documents"), ["source"], "lang", "doc_id")
-    agrees = F.col("source").contains(F.substring("dominant", 1, 1)) | (F.col("n") / (F.col("n") + F.col("others")) >= 0.6)
-    return found.withColumn("verdict", F.when(F.col("n") + F.col("others") < 2, "too_few").when(agrees, "ok").otherwise("mixed"))
+_SERIES = """case when l_quantity < 6 then '' when l_orderkey % 5 = 0 then 'zed tale' when l_orderkey % 7 = 0 then 'red widget' else p_name || case when l_linenumber % 3 = 0 then ' tale' else '' end end"""
+_TITLE = """case p_partkey % 13 when 0 then '' when 1 then 'zed tale' when 2 then p_name || ' (1999) complete' when 3 then 'other words altogether' else p_name end"""
 
 
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+@query(f"""
+with f as (select p_partkey, {_TITLE} as folder, {tokens_sql(_TITLE)} as words from part),
+e as (select p_partkey, l_orderkey, l_linenumber, case when l_linenumber = 7 then null else {_SERIES} end as series from part left join lineitem on l_partkey = p_partkey and l_linenumber <> 1),
+k as (select p_partkey, series, {tokens_sql("series")} as words, count(*) as n, min(l_orderkey * 10 + l_linenumber) as seen from e where series <> '' group by all),
+m as (select p_partkey, array_to_string(words, ' ') as key, first(words) as words, sum(n) as n, min(seen) as seen from k where len(words) > 0 group by all),
+d as (select p_partkey, first(words order by n desc, seen) as dominant, max(n)::bigint as n, sum(n)::bigint as parseable from m group by 1),
+c as (select p_partkey, count(l_orderkey) as files from e group by 1)
+select p_partkey, coalesce(n, 0)::bigint as n, (coalesce(parseable, 0) - coalesce(n, 0))::bigint as others, case when len(words) = 0 then 'empty_folder_name' when files = 0 then 'no_episodes' when parseable is null then 'no_parses' when parseable < 2 then 'too_few'
+  when greatest(len(list_intersect(words, dominant)) / len(list_distinct(words)), len(list_intersect(words, dominant)) / len(list_distinct(dominant))) < 0.5 then 'mixed' else 'ok' end as verdict
+from f join c using (p_partkey) left join d using (p_partkey)
+""")
+def mixed_content_verdict(spark, d):
+    """Whether a folder's episodes agree with its name: the most frequent series of those that can be told, against the
+    folder's words."""
+    parts = read(spark, d, "part").withColumn("words", names.folder_tokens(F.expr(_TITLE)))
+    files = read(spark, d, "lineitem").where("l_linenumber <> 1").join(parts.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    told = files.withColumn("series", names.folder_tokens(F.when(F.col("l_linenumber") != 7, F.expr(_SERIES)))).where(F.size("series") > 0)
+    found = graph.dominant(told.withColumn("seen", F.col("l_orderkey") * 10 + F.col("l_linenumber")), ["p_partkey"], "series", "seen")
+    counted = files.groupBy("p_partkey").agg(F.count("*").alias("files"))
+    rows = parts.select("p_partkey", "words").join(counted, "p_partkey", "left").join(found, "p_partkey", "left")
+    known = F.col("n") + F.col("others")
+    agrees = graph.containment(F.array_distinct("words"), F.array_distinct("dominant")) >= 0.5
+    verdict = F.when(F.size("words") == 0, "empty_folder_name").when(F.col("files").isNull(), "no_episodes").when(known.isNull(), "no_parses").when(known < 2, "too_few").when(agrees, "ok").otherwise("mixed")
+    return rows.select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("others", F.lit(0)).alias("others"), verdict.alias("verdict"))
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in retrieval.STOP_WORDS)
 _TERMS = f"[t for t in regexp_extract_all(lower(text), '[a-z]+') if length(t) >= 3 and t not in ({_STOP})]"
 _BM25 = f"""
 with d as (select doc_id, {_TERMS} as ts from documents), l as (select doc_id, len(ts) as dl from d),

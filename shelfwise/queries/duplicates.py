@@ -61,22 +61,23 @@ def id_dups_excluding_hash_dups(spark, d):
     return named.groupBy("source", "quality", "toxic").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper_id")).where("n > 1")
 
 
-@query("""
-with f as (select doc_id, case when doc_id % 3 = 0 then 'Rock/' when doc_id % 3 = 1 then 'Artist/copy/' else 'a.com/' end
-                          || lang || '/' || source || '/' || doc_id as path, sha256(text) as hash, n_chars
-           from documents where n_chars > 0 qualify count(*) over (partition by sha256(text)) > 1),
-s as (select *, (case when split_part(path, '/', 1) in ('Rock') then 1000 else 0 end
-        + case when contains(lower(path), 'copy') then 200 else 0 end
+_AUDIO = """case doc_id % 6 when 0 then 'Rock/' when 1 then 'rock/mix-' when 2 then 'A/www.x.com/' when 3 then 'Hip Hop/Various ' when 4 then 'B/the best of all/' else 'C/' end || lang || '/' || source || '/' || cast(doc_id as string)"""
+_LIST = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"""
+with f as (select doc_id, {_AUDIO} as path, sha256(text) as hash, doc_id % 9 as tags from documents where n_chars > 0 qualify count(*) over (partition by sha256(text)) > 1),
+s as (select *, (case when split_part(path, '/', 1) in {_LIST(keepers.GENRE_BUCKETS)} then 1000 else 0 end
+        + case when {' or '.join(f"contains(lower(path), '{t}')" for t in keepers.BAD_TOKENS)} then 200 else 0 end
         + case when contains(lower(path), '.com/') then 200 else 0 end
         + 5 * len(string_split(path, '/')) + length(path) // 20)::int as score from f)
-select hash, path, score, row_number() over (partition by hash order by score, lower(path))::int as place from s
+select hash, path, score, row_number() over (partition by hash order by score, tags desc, lower(path))::int as place from s
 """)
 def audio_keeper_path_score(spark, d):
-    """Copies of audio files in the order of their paths' scores."""
-    top = F.when(F.col("doc_id") % 3 == 0, "Rock/").when(F.col("doc_id") % 3 == 1, "Artist/copy/").otherwise("a.com/")
-    files = read(spark, d, "documents").withColumn("path", F.concat(top, "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")))
+    """Copies of audio files in the order of their paths' scores, then of how many tags they have."""
+    files = read(spark, d, "documents").withColumn("path", F.expr(_AUDIO))
     copies = keepers.same_content(files, "n_chars", "text").withColumn("score", keepers.path_score(F.col("path")))
-    return keepers.best_first(copies, ["hash"], [F.col("score"), F.lower("path")]).select("hash", "path", "score", "place")
+    return keepers.best_first(copies, ["hash"], [F.col("score"), F.desc(F.col("doc_id") % 9), F.lower("path")]).select("hash", "path", "score", "place")
 
 
 def _subtitle_keeper(order: str, sql_order: str):

@@ -110,7 +110,7 @@ def episode_parse(spark, d):
 
 #: Names of folders in many shapes; `h` is a token that five neighbours share.
 _FOLDERS = """case when p_partkey % 5 = 0 and floor(p_partkey / 5) % 3 <> 0 then '0' || cast(p_size % 9 as string) || ' ' when p_partkey % 11 = 1 then 'Disc 2 T00 ' when p_partkey % 11 = 2 then '[grp] ' when p_partkey % 11 = 3 then '_Title12 '
-    when p_partkey % 11 = 4 then '12 - ' else '' end || case p_partkey % 5 when 0 then '' when 3 then p_brand || ' ' else replace(p_name, ' ', '.') || ' tale' || cast(p_partkey % 3 as string) || '_' end
+    when p_partkey % 11 = 4 then '12 - ' else '' end || case p_partkey % 5 when 0 then '' when 3 then p_brand || ' ' else replace(substr(p_name, 1, 4), ' ', '') || '_' end
   || 'k' || substr(md5(cast(cast(floor(p_partkey / 5) as int) as string)), 1, 8) || case p_partkey % 13 when 0 then ' (1999)' when 1 then ' (2004-2010)' when 2 then '.1080p' when 3 then ' [HD]' when 4 then '.WEB-DL.x264-RARBG' when 5 then ' Complete Series'
     when 6 then ' - Season 2' when 7 then ' Dolby Vision HDR10+ 5.1' when 8 then ' (2001 - )/' else '' end"""
 _QUALITY = "(^|[^\\w'])(?:" + "|".join(names.QUALITY_TAGS) + ")($|[^\\w'])"

@@ -34,32 +34,28 @@ def severity_sort(spark, d):
     return read(spark, d, "events").orderBy(place, F.desc("value"), "event_id").limit(50).select("event_id", kind.alias("kind"), "value")
 
 
-@query("""
-with f as (select o_orderkey, o_orderkey % 9 = 0 as nfo, (o_orderkey % 101) / 100.0::double as sim, o_orderkey % 4 = 0 as exact,
+_FLAGS = """case o_orderkey % 7 when 0 then 'single-tmdb-match' when 1 then 'multi-match-year-filter-failed' when 2 then 'multi-match-no-year' when 3 then 'year-not-matched' when 4 then 'single-tmdb-match;year-not-matched' else '' end"""
+
+
+@query(f"""
+with f as (select o_orderkey, o_orderkey % 9 = 0 as nfo, (o_orderkey % 101) / 100.0::double as sim, o_orderkey % 4 = 0 as exact, string_split({_FLAGS}, ';') as flags,
   case when o_orderkey % 5 > 0 then 1990 + o_orderkey % 3 end as year, case when o_orderkey % 11 > 0 then 1991 end as fy,
-  (80 + o_orderkey % 50)::double as rt, 100.0::double as frt, o_orderkey % 7 = 0 as single, o_orderkey % 13 = 0 as extra from orders),
+  (80 + o_orderkey % 50)::double as rt, 100.0::double as frt, o_orderkey % 13 = 0 as extra from orders),
 g as (select *, abs(year - fy) as gap, abs(rt - frt) / greatest(1, frt) as off from f),
 s as (select o_orderkey, greatest(0, least(100,
    case when sim >= 0.9 then 30 when sim >= 0.75 then 18 when sim >= 0.6 then 5 else 0 end + case when gap = 0 then 30 when gap = 1 then 15 else 0 end
  + case when off <= 0.05 then 15 when off <= 0.1 then 6 else 0 end + case when nfo then 50 else 0 end + case when exact then 15 else 0 end
- + case when exact and off <= 0.05 then 15 else 0 end + case when single then 5 else 0 end + case when not exact and not single and year is not null then -15 else 0 end
+ + case when exact and off <= 0.05 then 15 else 0 end + case when list_contains(flags, 'single-tmdb-match') then 5 else 0 end
+ + case when exact then 0 when list_contains(flags, 'multi-match-year-filter-failed') then -15 when list_contains(flags, 'multi-match-no-year') then -10 else 0 end
+ + case when list_contains(flags, 'year-not-matched') then -10 else 0 end
  + case when year is null and not nfo and fy is null and not (exact and off <= 0.05) then -10 else 0 end + case when extra then -20 else 0 end))::int as confidence from g)
 select *, case when confidence >= 75 and o_orderkey % 6 > 0 then 'AUTO' when confidence >= 30 then 'REVIEW' else 'UNRESOLVED' end as action from s
 """)
 def confidence_rubric(spark, d):
     """Confidence and action of movie matches."""
     k = F.col("o_orderkey")
-    confidence = scoring.movie_confidence(
-        k % 9 == 0,
-        (k % 101) / 100.0,
-        k % 4 == 0,
-        F.when(k % 5 > 0, 1990 + k % 3),
-        F.when(k % 11 > 0, 1991),
-        (80 + k % 50).cast("double"),
-        F.lit(100.0),
-        k % 7 == 0,
-        k % 13 == 0,
-    )
+    flags = F.split(F.expr(_FLAGS), ";")
+    confidence = scoring.movie_confidence(k % 9 == 0, (k % 101) / 100.0, k % 4 == 0, F.when(k % 5 > 0, 1990 + k % 3), F.when(k % 11 > 0, 1991), (80 + k % 50).cast("double"), F.lit(100.0), flags, k % 13 == 0)
     rows = read(spark, d, "orders").select("o_orderkey", confidence.cast("int").alias("confidence"))
     return rows.withColumn("action", scoring.movie_action(F.col("confidence"), F.when(k % 6 > 0, "target").otherwise("")))
 
@@ -167,26 +163,27 @@ def preflight_issues(spark, d):
 
 
 @query("""
-select conv_id, turn, case when conv_id % 5 = 0 then 'SKIP_error' when s >= 0.9 and tw >= 0.7 and aw >= 0.5 then 'AUTO_APPLY' when s >= 0.9 and tw >= 0.7 then 'AUTO_APPLY_OK'
-  when s >= 0.9 and aw >= 0.7 then 'AUTO_APPLY_OK' when s >= 0.95 and aw >= 0.5 and tw >= 0.7 then 'AUTO_APPLY' when s >= 0.9 and (tw >= 0.4 or aw >= 0.5) then 'REVIEW_PARTIAL' when s >= 0.9 then 'REVIEW_HIGH' else 'REVIEW_LOW' end as class
-from (select *, (conv_id % 21) / 20.0::double as s, (turn % 11) / 10.0::double as tw, (conv_id % 11) / 10.0::double as aw from conversations)
+with c as (select conv_id, turn, case conv_id % 11 when 0 then 'error' when 1 then 'no_match' else 'match' end as status, (85 + turn % 16) / 100.0::double as s, conv_id % 9 > 0 as named, (conv_id % 11) / 10.0::double as tw, (turn % 7) / 6.0::double as aw,
+  (conv_id % 13) / 12.0::double as t, ((conv_id + turn) % 5) / 4.0::double as a, conv_id % 4 > 0 as hint from conversations), b as (select *, greatest(t, tw) as bt, greatest(a, aw) as ba from c)
+select conv_id, turn, case when status <> 'match' then 'SKIP_' || status when not named then 'SKIP_empty_match' when s >= 0.9 and tw >= 0.7 and aw >= 0.5 then 'AUTO_APPLY' when s >= 0.9 and tw >= 0.7 then 'AUTO_APPLY_OK'
+  when s >= 0.9 and aw >= 0.7 and bt >= 0.4 then 'AUTO_APPLY_OK' when s >= 0.95 and bt >= 0.7 and ba >= 0.5 then 'AUTO_APPLY' when s >= 0.95 and bt >= 0.6 then 'AUTO_APPLY_OK' when s >= 0.95 and not hint then 'REVIEW_NO_HINT'
+  when s >= 0.9 and (bt >= 0.4 or ba >= 0.5) then 'REVIEW_PARTIAL' when s >= 0.9 then 'REVIEW_HIGH' else 'REVIEW_LOW' end as class from b
 """)
 def acoustid_class(spark, d):
-    """Classes of fingerprint matches; string similarities are fixed here, so that the rules have an SQL form."""
+    """Classes of fingerprint matches; similarities are columns here, so that the rules have an SQL form."""
     k, t = F.col("conv_id"), F.col("turn")
-    status = F.when(k % 5 == 0, "error").otherwise("match")
-    kind = scoring.acoustid_class(status, (k % 21) / 20.0, (t % 11) / 10.0, (k % 11) / 10.0, F.lit(0.5), F.lit(0.4), F.lit(True))
+    status = F.when(k % 11 == 0, "error").when(k % 11 == 1, "no_match").otherwise("match")
+    kind = scoring.acoustid_class(status, (85 + t % 16) / 100.0, k % 9 > 0, (k % 11) / 10.0, (t % 7) / 6.0, (k % 13) / 12.0, ((k + t) % 5) / 4.0, k % 4 > 0)
     return read(spark, d, "conversations").select("conv_id", "turn", kind.alias("class"))
 
 
 @query()
 def title_similarity_best(spark, d):
-    """For each kind of part, the part of another brand whose name is most like it, and the margin to the next; candidates
-    share a word."""
-    names = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    word = names.select("name", "id", F.explode(F.split("name", " ")).alias("word"))
-    left, right = word.select(F.col("name").alias("a"), F.col("id").alias("ia"), "word"), word.select(F.col("name").alias("b"), F.col("id").alias("ib"), "word")
-    pairs = left.join(right, "word").where("ia <> ib").select("a", "ia", "b", "ib").distinct()
+    """For each kind of part the other kind whose name is most like it, and the margin to the next. All are scored: distinct
+    names are few (64 at any size of the table), and each meets all others from a broadcast list of bounded size."""
+    titles = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    left, right = titles.select(F.col("name").alias("a"), F.col("id").alias("ia")), titles.select(F.col("name").alias("b"), F.col("id").alias("ib"))
+    pairs = left.join(right, F.col("ia") != F.col("ib"))
     scored = pairs.withColumn("score", F.round(fuzzy.title_similarity(F.col("a"), F.col("b")), 6))
     order = Window.partitionBy("ia").orderBy(F.desc("score"), "ib")
     best = scored.withColumn("place", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score", 1, 0.0).over(order)).where("place = 1")
@@ -196,10 +193,9 @@ def title_similarity_best(spark, d):
 
 @query()
 def name_similarity_top5(spark, d):
-    """The five most similar names of each supplier's nation, by names folded to plain letters."""
-    nations = read(spark, d, "nation").select("n_nationkey", fuzzy.folded("n_name").alias("n_name"), "n_regionkey")
-    other = nations.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("o_name"), "n_regionkey")
-    pairs = nations.join(other, "n_regionkey").where("n_nationkey <> other")
+    """The five nations whose names are most like each nation's, of all others; nations are a list of bounded size."""
+    nations = read(spark, d, "nation").select("n_nationkey", "n_name")
+    pairs = nations.join(nations.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("o_name")), F.col("n_nationkey") != F.col("other"))
     scored = pairs.withColumn("score", F.round(fuzzy.name_similarity(F.col("n_name"), F.col("o_name")), 6))
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))), 1, 5)
     return scored.groupBy("n_nationkey").agg(F.transform(top, lambda x: x["other"]).alias("others"))
