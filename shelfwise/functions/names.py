@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.paths import found
@@ -72,36 +72,63 @@ def episode_key(season: Column, episode: Column, last: Column | None = None) ->
     return key if last is None else F.when(last > episode, F.concat(key, F.lit("-E"), two(last))).otherwise(key)
 
 
-def parsed_episode(name: Column, folder: Column, absolute: bool = False) -> Column:
-    """(season, episode, last, pattern, confidence) of a file's name, by the first pattern that fits: S01E02 with an optional
-    range, 1x02, "ep 2" or a bare number in a season's folder, and, if asked for, an absolute number. Numbers that are years
-    are no episodes; a range that falls is cut to its first episode. `last` is null without a range."""
-    low = F.lower(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,4}$", ""))
-    se = r"(?:^|[^a-z0-9])s([0-9]{1,2})[ ._-]*e([0-9]{1,3})(?:[ ._-]*(?:e|-e?)([0-9]{1,3}))?(?:[^0-9]|$)"
-    x = r"(?:^|[^a-z0-9])([0-9]{1,2})x([0-9]{1,3})(?:-(?:[0-9]{1,2}x)?([0-9]{1,3}))?(?:[^0-9]|$)"
-    season_of_folder = F.when(F.lower(folder).rlike("^specials?$"), 0).otherwise(found(F.lower(folder), r"^(?:season|series|s)[ ._-]*([0-9]{1,2})$").try_cast("int"))
-    word = r"(?:^|[^a-z])(?:episode|ep|e)[ ._-]*([0-9]{1,3})(?:[^0-9]|$)"
-    numbers = F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9])([0-9]{1,4})(?=[^a-z0-9]|$)"), F.lit(1)), lambda n: n.try_cast("int")), lambda n: (n < 1900) | (n > 2099))
-    bare = F.try_element_at(numbers, F.lit(1))
-
-    def number(pattern: str, group: int) -> Column:
-        return found(low, pattern, group).try_cast("int")
+#: Season and episode in names, by patterns of falling certainty. Java's lookarounds keep them off longer words.
+_S_E = r"(?<![a-z0-9])s([0-9]{1,3})[\s._-]?e([0-9]{1,4})(?:[\s._-]*[e-][\s._-]*([0-9]{1,4}))?(?![a-z0-9])"
+_X_FORM = r"(?<![a-z0-9])([0-9]{1,3})x([0-9]{1,4})(?:[\s._-]*-[\s._-]*(?:[0-9]{1,3}x)?([0-9]{1,4}))?(?![a-z0-9])"
+_EP_WORD = r"(?<![a-z0-9])(?:episode|ep|e)[\s._-]*()([0-9]{1,4})(?:[\s._-]*-[\s._-]*([0-9]{1,4}))?(?![a-z0-9])"
+_BARE = r"(?<![a-z0-9])([0-9]{1,4})(?![a-z0-9])"
+_SPECIAL = r"\b(?:specials?|ova|oad|extras?|christmas|holiday|new ?year|behind the scenes|making of|deleted scenes?|gag reel|bloopers?)\b"
+
+
+def _episode(low: Column, season: Column, se: Column, x: Column, word: Column, bare: Column, absolute: bool) -> Column:
+    def group(match: Column, pattern: str, k: int) -> Column:
+        return found(match, pattern, k).try_cast("int")
 
     def result(season, episode, last, pattern, confidence, several):
         kept = F.when(last > episode, last)
         sure = F.when(kept.isNotNull(), several).otherwise(confidence)
-        return F.struct(season.alias("season"), episode.alias("episode"), kept.alias("last"), F.lit(pattern).alias("pattern"), sure.alias("confidence"))
+        special = (season == 0) | low.rlike(_SPECIAL)
+        return F.struct(season.alias("season"), episode.alias("episode"), kept.alias("last"), F.lit(pattern).alias("pattern"), sure.alias("confidence"), F.coalesce(special, F.lit(False)).alias("special"), F.coalesce(last < episode, F.lit(False)).alias("falling"))
 
     none = F.lit(None).cast("int")
-    out = F.when(low.rlike(se), result(number(se, 1), number(se, 2), number(se, 3), "s_e", F.lit(95), F.lit(90)))
-    out = out.when(low.rlike(x), result(number(x, 1), number(x, 2), number(x, 3), "x_form", F.lit(88), F.lit(82)))
-    out = out.when(season_of_folder.isNotNull() & low.rlike(word), result(season_of_folder, number(word, 1), none, "season_ep", F.lit(80), F.lit(75)))
-    out = out.when(season_of_folder.isNotNull() & bare.isNotNull(), result(season_of_folder, bare, none, "season_bare", F.lit(65), F.lit(65)))
+    three = lambda m, p: [group(m, p, k) for k in (1, 2, 3)]
+    out = F.when(se != "", result(*three(se, _S_E), "s_e", F.lit(95), F.lit(90)))
+    out = out.when(x != "", result(*three(x, _X_FORM), "x_form", F.lit(88), F.lit(82)))
+    out = out.when(season.isNotNull() & (word != ""), result(season, *three(word, _EP_WORD)[1:], "season_ep", F.lit(80), F.lit(75)))
+    out = out.when(season.isNotNull() & bare.isNotNull(), result(season, bare, none, "season_bare", F.lit(65), F.lit(65)))
     if absolute:
         out = out.when(bare >= 2, result(F.lit(0), bare, none, "absolute", F.lit(40), F.lit(40)))
     return out
 
 
+def _stem(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,4}$", ""))
+
+
+def _episode_parts(low: Column, folder: Column) -> dict[str, Column]:
+    of = F.lower(folder)
+    season = F.when(of.rlike(r"^\s*specials?\s*(?:\([0-9]{4}\))?\s*$"), 0).otherwise(found(of, r"^\s*season\s*([0-9]{1,3})\s*(?:\([0-9]{4}\))?\s*$").try_cast("int"))
+    numbers = F.filter(F.transform(F.regexp_extract_all(low, F.lit(_BARE), F.lit(1)), lambda n: n.try_cast("int")), lambda n: (n < 1900) | (n > 2099))
+    return {"low": low, "season": season, "se": F.regexp_extract(low, _S_E, 0), "x": F.regexp_extract(low, _X_FORM, 0), "word": F.regexp_extract(low, _EP_WORD, 0), "bare": F.try_element_at(numbers, F.lit(1))}
+
+
+def parsed_episode(name: Column, folder: Column, absolute: bool = False) -> Column:
+    """(season, episode, last, pattern, confidence, special, falling) of a file's name, by the first pattern that fits: S01E02
+    with an optional range, 1x02, "ep 2" or a bare number in a season's folder, and, if asked for, an absolute number. Numbers
+    that are years are no episodes; a range that falls is cut to its first episode. `last` is null without a range."""
+    return _episode(**_episode_parts(_stem(name), folder), absolute=absolute)
+
+
+def with_episode(files: DataFrame, name: Column, folder: Column, into: str = "episode", absolute: bool = False) -> DataFrame:
+    """`files` with parsed_episode in a column: each pattern runs once over a name, and groups are taken out of what it
+    found."""
+    rest = ("season", "se", "x", "word", "bare")
+    out = files.withColumn("_low", _stem(name))
+    parts = _episode_parts(F.col("_low"), folder)
+    out = out.withColumns({f"_{k}": parts[k] for k in rest})
+    return out.withColumn(into, _episode(F.col("_low"), *[F.col(f"_{k}") for k in rest], absolute)).drop("_low", *[f"_{k}" for k in rest])
+
+
 _TAGS = rf"(?i)(?<![\w'])(?:{'|'.join(QUALITY_TAGS)})(?![\w'])"
 
 

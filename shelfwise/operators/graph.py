@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.staging import drop, staged
+
 
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
@@ -39,30 +41,25 @@ def similar_pairs(items: DataFrame, key: str, words: str, threshold: float) -> D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that the links (a, b) reach. Each round hands every id the smallest label around it
-    and cuts the lineage by a checkpoint where the session has a folder for it."""
-    spark = links.sparkSession
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    keep = _kept(spark)
-    both = keep(both)
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    """(id, component): the smallest id that the links (a, b) reach. Each round, the components so far that a link joins are
+    points of a smaller graph; each takes the smallest that it meets, and that one's smallest in turn, so chains shrink by
+    half or more. Tables of a round are written to the shared folder and deleted when the next stands."""
+    both = links.select("a", "b").where("a <> b")
+    edges = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = staged(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
     while True:
-        around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        stepped = labels.join(around, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = keep(stepped.join(jump, "component").select("id", F.least("component", "further").alias("component"), "was"))
-        if new.where("component <> was").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
-
-
-def _kept(spark):
-    """checkpoint() into spark.checkpoint.dir; a folder of its own only where that is unset."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
-    return lambda df: df.checkpoint()
+        of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        meets = staged(edges.join(of_a, "a").join(of_b, "b").where("ca > cb").groupBy("ca").agg(F.min("cb").alias("cb")), "meets")
+        if meets.isEmpty():
+            drop(edges)
+            drop(meets)
+            return labels
+        hop = meets.select(F.col("ca").alias("cb"), F.col("cb").alias("next"))
+        moved = meets.join(hop, "cb", "left").select(F.col("ca").alias("component"), F.coalesce("next", "cb").alias("to"))
+        new = staged(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        drop(labels)
+        drop(meets)
+        labels = new
 
 
 def merge_groups(items: DataFrame, least: int = 3, most: int = 100, min_chars: int = 6) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.staging import staged
+
 #: Words that say nothing in a query.
 STOP_WORDS = tuple(
     """
@@ -41,9 +43,12 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, q
     Only postings of the queries' terms are built; document lengths and their mean are over all documents.
     """
     tokens = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
-    wanted = queries.select(F.col(query).alias("query"), F.explode(query_terms(F.col(query_text))).alias("term"))
+    wanted = staged(queries.select(F.col(query).alias("query"), F.explode(query_terms(F.col(query_text))).alias("term")), "wanted")
+    # postings are made once and read twice
+    asked = wanted.select("term").distinct()
+    found = tokens.select("doc", "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = staged(found, "postings")
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    postings = tokens.select("doc", "dl", F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -52,9 +57,19 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, q
 
 
 def with_margin(scores: DataFrame, low_score: float, low_margin: float) -> DataFrame:
-    """Each query's best document, its margin over the next (0 counts as the next's score where there is none) and a status."""
-    order = F.struct(-F.col("score"), F.col("doc"))
-    top = scores.groupBy("query").agg(F.min_by("doc", order).alias("doc"), F.max("score").alias("score"))
-    rest = scores.join(top.select("query", F.col("doc").alias("best")), "query").where("doc <> best").groupBy("query").agg(F.max("score").alias("next"))
-    both = top.join(rest, "query", "left").withColumn("margin", F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 6)).drop("next")
+    """Each query's best document, its margin over the next (0 counts as the next's score where there is none) and a status.
+    Only two rows of a query are ranked; Spark keeps no more of them before the shuffle, too."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    two = scores.withColumn("place", place).where("place <= 2").groupBy("query")
+    both = two.agg(F.min_by("doc", "place").alias("doc"), F.max("score").alias("score"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("next"))
+    both = both.withColumn("margin", F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 6)).drop("next")
     return both.withColumn("status", F.when((F.col("score") < low_score) | (F.col("margin") < low_margin), "low_confidence").otherwise("ok"))
+
+
+def in_show_first(inside: DataFrame, across: DataFrame, queries: DataFrame, low_score: float, low_margin: float) -> DataFrame:
+    """(query, doc, score, margin, status) of every query: the best of its own show, else the best of all shows
+    (cross_show_match), else none (no_match). `inside`, `across`: scores (query, doc, score); `queries`: (query)."""
+    own = with_margin(inside, low_score, low_margin)
+    other = with_margin(across.join(own, "query", "left_anti"), low_score, low_margin).withColumn("status", F.lit("cross_show_match"))
+    found = queries.select("query").distinct().join(own.unionByName(other), "query", "left")
+    return found.withColumn("status", F.coalesce("status", F.lit("no_match")))

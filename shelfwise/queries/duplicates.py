@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.operators import keepers
+from shelfwise.operators.staging import staged
 from shelfwise.registry import query, read
 
 
@@ -40,10 +41,11 @@ window w as (partition by n_chars, hash order by (lang is not null) desc, length
 """.replace("row_number() over w", "row_number() over (partition by n_chars, hash order by (lang is not null) desc, length(source) desc, source, doc_id)"))
 def dup_keepers(spark, d):
     """Each copy's decision: tagged copies first, then the longer folder, then names and ids."""
-    copies = keepers.same_content(read(spark, d, "documents"), "n_chars", "text")
+    hashed = keepers.sharing_size(read(spark, d, "documents"), "n_chars").select("doc_id", "n_chars", "lang", "source", F.sha2("text", 256).alias("hash"))
+    hashed = staged(hashed, "hashed")  # texts are read and hashed once
     order = F.struct(F.col("lang").isNull(), -F.length("source"), "source", "doc_id")
-    best = keepers.best(copies, ["n_chars", "hash"], order, "doc_id").withColumnRenamed("doc_id", "keeper_id")
-    decided = copies.join(best, ["n_chars", "hash"])
+    best = hashed.groupBy("n_chars", "hash").agg(F.min_by("doc_id", order).alias("keeper_id"), F.count("*").alias("copies")).where("copies > 1")
+    decided = hashed.join(best, ["n_chars", "hash"])
     return decided.select("hash", "doc_id", F.when(F.col("doc_id") == F.col("keeper_id"), "KEEP").otherwise("DUPLICATE").alias("decision"), "keeper_id")
 
 

@@ -34,10 +34,11 @@ def rollback_plan(spark, d):
     return best_first(steps, ["title_id"], [F.desc("ts"), F.desc("event_id")]).select("title_id", "event_id", "inverse", "place")
 
 
-@query("select user_id as title_id, count(*)::bigint as n, max(value) as top from events where ts >= timestamp '2024-01-05' and user_id % 2 = 0 group by 1")
+@query("select user_id as title_id, count(*)::bigint as n, max(value) as top from events where ts >= timestamp '2024-01-05' and user_id in (select c_custkey from customer where c_mktsegment <> 'BUILDING') group by 1")
 def run_filter(spark, d):
     """Lines of some titles since a time."""
-    rows = _journal(spark, d).where("ts >= timestamp '2024-01-05' and title_id % 2 = 0")
+    wanted = read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("title_id"))
+    rows = _journal(spark, d).where("ts >= timestamp '2024-01-05'").join(wanted, "title_id", "left_semi")
     return rows.groupBy("title_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
 
@@ -104,3 +105,15 @@ def props_nested_json(spark, d):
     """Fields of nested JSON."""
     k = F.from_json("props", "k bigint")["k"]
     return read(spark, d, "events").select("event_id", k.alias("k"), F.when(k > 50, "high").otherwise("low").alias("band"))
+
+
+_MOVE = """select l_orderkey, l_linenumber, l_quantity as src_size, case when l_linenumber % 4 = 0 then null when l_linenumber % 4 = 1 then l_quantity else l_suppkey end as dst_size, cast(l_partkey % 3 as string) as src_hash, cast(l_suppkey % 3 as string) as dst_hash from lineitem"""
+
+
+@query(f"""
+select l_orderkey, l_linenumber, case when dst_size is null or (src_size = dst_size and src_size > 0) then 'no_conflict' when src_hash = dst_hash then 'use_target' when src_size >= dst_size then 'use_source' else 'use_target' end as decision from ({_MOVE})
+""")
+def cross_run_conflicts(spark, d):
+    """Which file stays where an earlier run has left one."""
+    read(spark, d, "lineitem").createOrReplaceTempView("_moves_lineitem")
+    return spark.sql(_MOVE.replace("from lineitem", "from _moves_lineitem")).select("l_orderkey", "l_linenumber", journal.across_runs().alias("decision"))

@@ -80,31 +80,32 @@ def article_sort(spark, d):
     return rows.withColumn("own", own).join(before, "key").select("p_partkey", (F.col("before") + F.col("own")).cast("int").alias("place"))
 
 
-_NAME = """case l_orderkey % 6
- when 0 then 'My.Show.S' || lpad((l_partkey % 30)::varchar, 2, '0') || 'E' || lpad(l_linenumber::varchar, 2, '0') || '.720p.mkv'
- when 1 then 'My Show ' || (l_partkey % 30) || 'x' || lpad(l_linenumber::varchar, 2, '0') || '.avi'
- when 2 then 'Episode ' || l_linenumber || '.mp4' when 3 then l_linenumber || ' - Name.mkv'
- when 4 then 'My.Show.S01E' || lpad(l_linenumber::varchar, 2, '0') || '-E' || lpad((l_linenumber + 1)::varchar, 2, '0') || '.mkv'
- else 'Nothing here.mkv' end"""
-_SPARK_NAME = _NAME.replace("::varchar", "")
-
-
-def _named(spark, d):
-    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_SPARK_NAME).alias("name"), F.concat(F.lit("Season "), (F.col("l_partkey") % 30).cast("string")).alias("folder"))
-
-
-@query(f"""
-select l_orderkey, l_linenumber, l_partkey, {_NAME} as name,
-  case l_orderkey % 6 when 4 then 1 when 5 then null else l_partkey % 30 end::int as season,
-  case when l_orderkey % 6 < 5 then l_linenumber end::int as episode, case when l_orderkey % 6 = 4 then l_linenumber + 1 end::int as last,
-  case l_orderkey % 6 when 0 then 's_e' when 1 then 'x_form' when 2 then 'season_ep' when 3 then 'season_bare' when 4 then 's_e' end as pattern,
-  case l_orderkey % 6 when 0 then 95 when 1 then 88 when 2 then 80 when 3 then 65 when 4 then 90 end::int as confidence
-from lineitem
+_NAME = """case l_orderkey % 12 when 0 then 'My.Show.S' || cast(l_partkey % 30 as string) || 'E0' || cast(l_linenumber as string) || '.720p.mkv' when 1 then 'My Show ' || cast(l_partkey % 30 as string) || 'x0' || cast(l_linenumber as string) || '.avi'
+  when 2 then 'Episode ' || cast(l_linenumber as string) || '-' || cast(l_suppkey % 9 as string) || '.mp4' when 3 then cast(l_linenumber as string) || ' - Name.mkv' when 4 then 'show s01 e' || cast(l_linenumber as string) || '-E' || cast(l_suppkey % 9 as string) || ' x264.mkv'
+  when 5 then '1999 story ' || cast(l_suppkey as string) || ' 1080p.mkv' when 6 then '2x03-2x0' || cast(l_linenumber as string) || '.mkv' when 7 then 'Christmas Special.E' || cast(l_suppkey as string) || '.mkv' when 8 then 'h264 2001.mkv'
+  when 9 then 'Show3x4b s1e2c.mkv' when 10 then 'Ep.' || cast(l_suppkey as string) || ' behind the scenes.mkv' else 'Nothing here.mkv' end"""
+_SEASON = "case l_partkey % 5 when 0 then 'Specials' when 1 then 'Season ' || cast(l_partkey % 30 as string) when 2 then 'season 07 (2004)' when 3 then 'Season' else 'Season ' || cast(l_partkey % 12 as string) end"
+
+
+@query(rf"""
+with n as (select l_orderkey, l_linenumber, l_partkey, {_NAME} as name, lower(regexp_replace(name, '\.[a-zA-Z0-9]{{2,4}}$', '')) as low, lower({_SEASON}) as of from lineitem),
+p as (select *, case when regexp_matches(of, '^\s*specials?\s*(\([0-9]{{4}}\))?\s*$') then 0 else try_cast(regexp_extract(of, '^\s*season\s*([0-9]{{1,3}})\s*(?:\([0-9]{{4}}\))?\s*$', 1) as int) end as fs,
+  regexp_extract(low, '(?:^|[^a-z0-9])s([0-9]{{1,3}})[\s._-]?e([0-9]{{1,4}})(?:[\s._-]*[e-][\s._-]*([0-9]{{1,4}}))?(?:[^a-z0-9]|$)', ['s', 'e', 'l']) as a,
+  regexp_extract(low, '(?:^|[^a-z0-9])([0-9]{{1,3}})x([0-9]{{1,4}})(?:[\s._-]*-[\s._-]*(?:[0-9]{{1,3}}x)?([0-9]{{1,4}}))?(?:[^a-z0-9]|$)', ['s', 'e', 'l']) as b,
+  regexp_extract(low, '(?:^|[^a-z0-9])(?:episode|ep|e)[\s._-]*([0-9]{{1,4}})(?:[\s._-]*-[\s._-]*([0-9]{{1,4}}))?(?:[^a-z0-9]|$)', ['e', 'l']) as w,
+  [z for z in [try_cast(y as int) for y in string_split_regex(low, '[^a-z0-9]+') if regexp_full_match(y, '[0-9]{{1,4}}')] if z < 1900 or z > 2099][1] as bare from n),
+r as (select *, case when a.e <> '' then 's_e' when b.e <> '' then 'x_form' when fs is not null and w.e <> '' then 'season_ep' when fs is not null and bare is not null then 'season_bare' end as pattern from p),
+v as (select *, case pattern when 's_e' then try_cast(a.s as int) when 'x_form' then try_cast(b.s as int) else fs end as season, case pattern when 's_e' then try_cast(a.e as int) when 'x_form' then try_cast(b.e as int) when 'season_ep' then try_cast(w.e as int) else bare end as episode,
+  try_cast(case pattern when 's_e' then a.l when 'x_form' then b.l when 'season_ep' then w.l end as int) as upto from r)
+select l_orderkey, l_linenumber, l_partkey, name, pattern, case when pattern is not null then season end as season, case when pattern is not null then episode end as episode, case when upto > episode then upto end as last,
+  case pattern when 's_e' then case when upto > episode then 90 else 95 end when 'x_form' then case when upto > episode then 82 else 88 end when 'season_ep' then case when upto > episode then 75 else 80 end when 'season_bare' then 65 end::int as confidence,
+  case when pattern is not null then coalesce(season = 0 or regexp_matches(low, '\b(?:specials?|ova|oad|extras?|christmas|holiday|new ?year|behind the scenes|making of|deleted scenes?|gag reel|bloopers?)\b'), false) end as special,
+  case when pattern is not null then coalesce(upto < episode, false) end as falling from v
 """)
 def episode_parse(spark, d):
     """Episodes out of names, every pattern."""
-    rows = _named(spark, d).withColumn("e", names.parsed_episode(F.col("name"), F.col("folder")))
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_NAME).alias("name"), F.expr(_SEASON).alias("folder"))
+    rows = names.with_episode(lines, F.col("name"), F.col("folder"), "e")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "name", "e.*")
 
 

@@ -39,11 +39,11 @@ def identify_cascade(spark, d):
 
 _PLAN_FILES = """select l_partkey as title_id, 'old/' || l_returnflag || '/' || cast(l_partkey as string) || '/f' || cast(l_orderkey as string) || '_' || cast(l_linenumber as string) || case l_linenumber when 2 then '.en.srt' when 3 then '.nfo' when 5 then '.en.forced.ass' else '.mkv' end as path,
   'f' || cast(l_orderkey as string) || '_' || cast(l_linenumber as string) || case l_linenumber when 2 then '.en.srt' when 3 then '.nfo' when 5 then '.en.forced.ass' else '.mkv' end as name,
-  case l_linenumber when 2 then 'srt' when 3 then 'nfo' when 5 then 'ass' else 'mkv' end as ext, case when l_linenumber = 1 then 'main_video' when l_linenumber in (2, 5) then 'sidecar' when l_linenumber = 3 then 'nfo' else 'extra' end as role from lineitem where l_partkey % 4 > 0 or l_linenumber > 1"""
+  case l_linenumber when 2 then 'srt' when 3 then 'nfo' when 5 then 'ass' else 'mkv' end as ext, case when l_linenumber = 1 and l_partkey % 4 > 0 then 'main_video' when l_linenumber in (2, 5) then 'sidecar' when l_linenumber = 3 then 'nfo' else 'extra' end as role from lineitem"""
 
 
 @query(f"""
-with f as ({_PLAN_FILES}), t as (select p_partkey as title_id, 'Films/' || p_name || ' (' || p_partkey || ')' as target, p_name || ' (' || p_partkey || ')' as stem from part where p_size % 3 > 0),
+with f as ({_PLAN_FILES}), t as (select p_partkey as title_id, 'Films/' || p_name || ' (' || p_partkey || ')' as target, p_name || ' (' || p_partkey || ')' as stem from part),
 m as (select title_id, min(path) as path, 'mkv' as ext from f where role = 'main_video' group by 1), r as (select * from t join m using (title_id)),
 w as (select f.*, r.target, r.stem from f join r using (title_id))
 select title_id, 'A' as stage, 'fail' as op, null as source, null as target from t where title_id not in (select title_id from m)
@@ -61,7 +61,7 @@ def stage_actions(spark, d):
     read(spark, d, "lineitem").createOrReplaceTempView("_plan_lineitem")
     files = spark.sql(_PLAN_FILES.replace("from lineitem", "from _plan_lineitem"))
     name = F.concat("p_name", F.lit(" ("), F.col("p_partkey").cast("string"), F.lit(")"))
-    titles = read(spark, d, "part").where("p_size % 3 > 0").select(F.col("p_partkey").alias("title_id"), F.concat(F.lit("Films/"), name).alias("target"), name.alias("stem"))
+    titles = read(spark, d, "part").select(F.col("p_partkey").alias("title_id"), F.concat(F.lit("Films/"), name).alias("target"), name.alias("stem"))
     return stages.actions(titles, files)
 
 
@@ -145,8 +145,8 @@ def music_routes(spark, d):
 
 
 _LEFT = """select doc_id as id, 'old/' || lang || '/' || cast(doc_id as string) || '.mp3' as path, case doc_id % 4 when 0 then 'flac' when 1 then 'wav' else 'mp3' end as ext, case when doc_id % 17 > 0 then md5(text) end as hash, doc_id % 320 as bitrate, doc_id % 6 as tags,
-  case when doc_id % 8 > 0 then 'A' else ' ' end as artist, case when doc_id % 9 > 0 then 't' end as title, 'N/' || cast(n_chars % 400 as string) as target from documents where doc_id % 3 > 0"""
-_NEW = "select md5(text) as hash, 'n/' || cast(n_chars % 900 as string) as path from documents where doc_id % 3 = 0"
+  case when doc_id % 8 > 0 then 'A' else ' ' end as artist, case when doc_id % 9 > 0 then 't' end as title, 'N/' || cast(n_chars % 400 as string) as target from documents where lang <> 'en'"""
+_NEW = "select md5(text) as hash, 'n/' || cast(n_chars % 900 as string) as path from documents where lang = 'en'"
 
 
 @query(f"""

@@ -7,39 +7,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.operators.staging import shared_dir
 from shelfwise.plans import scoring
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="shelfwise-")
-
-
 def classified(rows: DataFrame) -> DataFrame:
     """Each file with its class and whether it goes in by itself."""
     kind = scoring.duration_class(F.col("value"))
     return rows.select("event_id", "user_id", kind.alias("kind"), F.when(scoring.duration_severity(kind) == "ok", "auto").otherwise("review").alias("action"))
 
 
-def take_in(spark: SparkSession, source: str, store: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def take_in(spark: SparkSession, source: str, store: str | None = None, checkpoint: str | None = None, schema: str | None = None) -> DataFrame:
     """Reads what is new at `source` (a file or folder of Parquet) since the last call with the same `checkpoint`, and appends
-    it, classified, to `store`; returns the store. A batch that is tried again replaces what it wrote before, so
-    each file is in once."""
-    base = shared_folder(spark)
-    store = store or f"{base}/intake-{uuid.uuid4().hex}"
+    it, classified, to `store`; returns the store. A batch that is tried again replaces what it wrote before, so each file is
+    in once. `schema` is needed where the folder holds no file yet; without any the store is empty."""
+    store = store or f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     checkpoint = checkpoint or f"{store}-state"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source if not source.endswith(".parquet") else source + "*")
+    fields = spark.createDataFrame([], schema).schema if schema else spark.read.parquet(source).schema
+    folder, _, name = source.rstrip("/").rpartition("/")
+    single = name.endswith(".parquet")
+    stream = spark.readStream.schema(fields)
+    stream = stream.option("pathGlobFilter", name).parquet(folder) if single and _is_file(spark, source) else stream.parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         classified(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(store).drop("batch")
+    kept = classified(spark.createDataFrame([], fields)).schema
+    return spark.read.schema(kept).parquet(store) if _exists(spark, store) else spark.createDataFrame([], kept)
+
+
+def _status(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file, system = _status(spark, path)
+    return system.exists(file)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    file, system = _status(spark, path)
+    return system.exists(file) and system.getFileStatus(file).isFile()
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
