@@ -20,7 +20,9 @@ MAX_LABELLED = 4_000
 NEIGHBOURS = 25
 BLOCK = 16
 #: Share of the entries from which a term is a common one.
-COMMON = 0.3
+COMMON = 0.05
+#: Texts that meet the common terms at once; texts and words that a worker remembers.
+TOGETHER, MEMO = 64, 200_000
 THRESHOLD = 0.7
 #: Share of a vector's squared length that its telling terms take; all its words take the rest.
 TELLING = 0.8
@@ -81,6 +83,7 @@ class Index:
         texts, labels = examples["text"].tolist(), examples["label"].tolist()
         self.terms = {w: i for i, w in enumerate(telling_terms(texts, labels))}
         self.starts = {t[: STEMS[0]] for t in self.terms}
+        self.told: dict[str, tuple[int, ...]] = {}
         self.n_telling = len(self.terms)
         self.words = {w: i for i, w in enumerate(sorted({w for t in texts for w in words(t)}), self.n_telling)}
         self.other = self.n_telling + len(self.words)
@@ -114,7 +117,7 @@ class Index:
         self.memo: dict[bytes, tuple[float, list[int]]] = {}
         if len(order):
             self._calibrate([counts[entries[c][0]] for c in order])
-        self.rows = None
+        self.rows, self.told = None, {}
 
     @property
     def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -131,8 +134,13 @@ class Index:
             at = slice(cuts[i], cuts[i + 1])
             self.rows[row, self.es[at]] = self.xs[at]
 
-    def telling(self, word: str) -> list[int]:
-        return [self.terms[t] for t in terms(word) if t in self.terms] if word[: STEMS[0]] in self.starts else []
+    def telling(self, word: str) -> tuple[int, ...]:
+        found = self.told.get(word)
+        if found is None:
+            if len(self.told) > MEMO:
+                self.told.clear()
+            found = self.told[word] = tuple(self.terms[t] for t in terms(word) if t in self.terms)
+        return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
         """(terms, how often each occurs, strange): a text's telling terms and all its words, in order of the terms. Of words
@@ -164,18 +172,30 @@ class Index:
         xs[k:] *= math.sqrt((1 - TELLING) / max(1e-300, (xs[k:] ** 2).sum() + strange))
         return np.append(at, self.other), np.append(xs, math.sqrt(TELLING) * OTHER / said)
 
+    def common_parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosines of some vectors with all entries: a row for each vector."""
+        if self.rows is None:
+            self._common_rows()
+        weights = np.zeros((len(vectors), len(self.common)))
+        for k, (at, xs) in enumerate(vectors):
+            row = self.row_of[at]
+            some = row >= 0
+            weights[k, row[some]] = xs[some]
+        return weights @ self.rows
+
     def nearest(self, counts: tuple, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As _nearest, of one text."""
+        vector = self.vector(counts)
+        return self._nearest(vector, self.common_parts([vector])[0], apart)
+
+    def _nearest(self, vector: tuple, cosines: np.ndarray, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the nearest examples, the nearest first: as many entries as hold `neighbours` examples,
         and all that tie with the last. A block's upper bound is the most that common terms give one of its entries, and
         the other terms' greatest weights there. Blocks are read in order of their bounds, the best first, then all whose
         bounds reach what is needed, so the result is exact. `apart`: an entry of which one example is left out."""
-        if self.rows is None:
-            self._common_rows()
-        at, xs = self.vector(counts)
-        row = self.row_of[at]
-        some = row >= 0
-        cosines = xs[some] @ self.rows[row[some]]
-        at, xs = at[~some], xs[~some]
+        at, xs = vector
+        rare = self.row_of[at] < 0
+        at, xs = at[rare], xs[rare]
         runs, weight = _ranges(self.runs_of[at], self.runs_of[at + 1], xs)
         blocks = self.run_block[runs]
         bound = np.bincount(blocks, weight * self.peaks[runs], self.n_blocks) + cosines.reshape(-1, self.block).max(1)
@@ -199,7 +219,9 @@ class Index:
             spots, w = _ranges(self.runs[r], self.runs[r + 1], weight[inside])
             cosines += np.bincount(self.es[spots], w * self.xs[spots], len(have))
             es = np.flatnonzero(np.repeat(read, self.block)[: len(have)])
-            rank = es[np.argsort(-cosines[es], kind="stable")]
+            best = -cosines[es]
+            few = np.argpartition(best, self.neighbours)[: self.neighbours + 1] if len(es) > self.neighbours + 1 else np.arange(len(es))
+            rank = es[few[np.argsort(best[few])]]  # entries hold an example each at least, but for the one left apart
             held = np.cumsum(have[rank])
             last = min(np.searchsorted(held, self.neighbours), len(rank) - 1)
             need = cosines[rank[last]] if held[-1] >= self.neighbours else -1.0
@@ -209,7 +231,9 @@ class Index:
 
     def vote(self, counts: tuple, apart: int | None = None, label: int = 0) -> tuple[float, np.ndarray]:
         """The share of toxic examples among the nearest, each weighted by 1 / (0.05 + distance)."""
-        es, cs = self.nearest(counts, apart)
+        return self._vote(*self.nearest(counts, apart), apart, label)
+
+    def _vote(self, es: np.ndarray, cs: np.ndarray, apart: int | None = None, label: int = 0) -> tuple[float, np.ndarray]:
         n, toxic = self.votes[es, 0].copy(), self.votes[es, 1].copy()
         if apart is not None:
             n[es == apart] -= 1
@@ -221,11 +245,14 @@ class Index:
     def _calibrate(self, order: list[tuple]) -> None:
         """Isotonic levels of the votes, from each example's vote by all others."""
         pairs = []
-        for e, c in enumerate(order):
-            n, toxic = self.votes[e]
-            for label, many in ((0, n - toxic), (1, toxic)):
-                if many:
-                    pairs.append((self.vote(c, e, label)[0], label * many, many))
+        for low in range(0, len(order), TOGETHER):
+            vectors = [self.vector(c) for c in order[low : low + TOGETHER]]
+            for e, (vector, cosines) in enumerate(zip(vectors, self.common_parts(vectors), strict=True), low):
+                n, toxic = self.votes[e]
+                nearest = self._nearest(vector, cosines, e)
+                for label, many in ((0, n - toxic), (1, toxic)):
+                    if many:
+                        pairs.append((self._vote(*nearest, e, label)[0], label * many, many))
         pairs.sort()
         pools: list[list[float]] = []  # highest vote, toxic, all
         for vote, toxic, many in pairs:
@@ -237,19 +264,26 @@ class Index:
         self.levels = np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
     def score(self, text: str) -> tuple[float, list[int]]:
-        """(probability, ids of the nearest examples). Between the levels of the calibration it runs straight, and a
-        hundredth of the vote itself is mixed in, so that the order of votes is kept inside a level."""
-        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            if len(self.votes):
-                vote, es = self.vote(self.counts(text))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """(probability, ids of the nearest examples) of each text. Between the levels of the calibration it runs straight, and
+        a hundredth of the vote itself is mixed in, so that the order of votes is kept inside a level."""
+        if not len(self.votes):
+            return [(0.0, [])] * len(texts)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.memo}
+        names = list(new)
+        for low in range(0, len(names), TOGETHER):
+            some = names[low : low + TOGETHER]
+            vectors = [self.vector(self.counts(new[k])) for k in some]
+            for k, vector, cosines in zip(some, vectors, self.common_parts(vectors), strict=True):
+                vote, es = self._vote(*self._nearest(vector, cosines))
                 level = float(np.interp(vote, self.cuts, self.levels))
-                self.memo[key] = min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), [i for e in es[:3].tolist() for i in self.evidence[e]][:3]
-            else:
-                self.memo[key] = 0.0, []
-        return self.memo[key]
+                self.memo[k] = min(1.0, max(0.0, 0.99 * level + 0.01 * vote)), [i for e in es[:3].tolist() for i in self.evidence[e]][:3]
+        return [self.memo[k] for k in keys]
 
 
 SCORES = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>"
@@ -274,9 +308,8 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
     index = spark.sparkContext.broadcast(fitted(docs, labels, **options))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = index.value.score
         for rows in batches:
-            found = [score(t or "") for t in rows.pop("text")]
+            found = index.value.scores([t or "" for t in rows.pop("text")])
             rows["score"] = [s for s, _ in found]
             rows["predicted"] = (rows["score"] >= threshold).astype("int32")
             rows["evidence"] = [e for _, e in found]
@@ -293,6 +326,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([index.value.score(t or "")[0] for t in texts])
+        return pd.Series([s for s, _ in index.value.scores([t or "" for t in texts])], dtype=float)
 
     return docs.where(score("text") < threshold)
