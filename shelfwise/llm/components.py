@@ -5,34 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.tables import drop, staged
+from shelfwise.operators import graph
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in the links (a, b); component is the smallest id that can be reached.
-
-    Each round takes an id's smallest neighbouring label and then that label's own label, so that chains shrink by
-    half or more; what is known is written to the shared folder after each round. Hubs meet partial aggregation and joins
-    that Spark splits, and links inside what is already one component are left out of the next round.
-    """
-    both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
-    while True:
-        of_b = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        of_a = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        # links between labels: the components so far as points, those that still meet as links
-        meets = edges.join(of_a, "a").join(of_b, "b").where("ca > cb").groupBy("ca").agg(F.min("cb").alias("cb"))
-        meets = staged(meets, "meets")
-        if meets.isEmpty():
-            drop(edges)
-            drop(meets)
-            return labels
-        # each point takes the smallest that it meets, and that one's smallest in turn
-        hop = meets.select(F.col("ca").alias("cb"), F.col("cb").alias("next"))
-        moved = meets.join(hop, "cb", "left").select(F.col("ca").alias("component"), F.coalesce("next", "cb").alias("to"))
-        after = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        new = staged(after, "labels")
-        drop(labels)
-        drop(meets)
-        labels = new
+    """(id, component) of every id in the links (a, b) that links with another; component is the smallest id in reach."""
+    return graph.components(links.select(F.col("a").cast("long"), F.col("b").cast("long")))

@@ -12,7 +12,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is read at most so many times.
 MAX_EPOCHS = 3.0
 #: Rows of one source that share a bin of hash keys, about; each bin is one window partition.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -1,47 +1,12 @@
-"""Staged tables in the folder that the cluster shares."""
+"""Tables of a folder, and staged tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (local runs, tests), a folder of this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if "dir" not in _local:
-        _local["dir"] = tempfile.mkdtemp(prefix="shelfwise-")
-        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
-    return "file://" + _local["dir"]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: the lineage ends there, so a lost
-    executor costs no more than the tasks that it ran."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        remove(df.sparkSession, file.rpartition("/")[0])
-
+from shelfwise.operators.staging import drop, remove, shared_dir, staged
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the shared ones."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "remove", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
