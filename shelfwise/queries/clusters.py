@@ -148,7 +148,7 @@ i as (select *, row_number() over (partition by item_id order by score desc, doc
 x as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place, lead(score, 1, 0) over (partition by item_id order by score desc, doc_id) as follow from s where item_id not in (select item_id from o)),
 a2 as (select item_id, doc_id, score, round(score - follow, 6) as margin, case when score < 15 or round(score - follow, 6) < 5 then 'low_confidence' else 'ok' end as status from i where place = 1
   union all select item_id, doc_id, score, round(score - follow, 6), 'cross_show_match' from x where place = 1)
-select item_id, doc_id, round(score, 4) as score, round(margin, 4) as margin, coalesce(status, 'no_match') as status from (select distinct item_id from q) left join a2 using (item_id)
+select item_id, doc_id, round(score, 2) as score, round(margin, 2) as margin, coalesce(status, 'no_match') as status from (select distinct item_id from q) left join a2 using (item_id)
 """)
 def content_identification(spark, d):
     """Which document each transcript is from: in its own folder first, then in all; some have none."""
@@ -158,7 +158,7 @@ def content_identification(spark, d):
     scores = staged(retrieval.bm25(docs, said, "doc_id", "text", "item_id", "said"), "scores")
     own = scores.join(docs.select(F.col("doc_id").alias("doc"), "source"), "doc").where(F.col("source") == F.concat(F.lit("src"), F.pmod("query", F.lit(5)).cast("string"))).drop("source")
     found = retrieval.in_show_first(own, scores, said.withColumnRenamed("item_id", "query"), 15.0, 5.0)
-    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), "status")
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 2).alias("score"), F.round("margin", 2).alias("margin"), "status")
 
 
 @query(f"""
