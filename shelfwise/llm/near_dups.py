@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
+from shelfwise.llm.memory import give_back
 from shelfwise.llm.tables import drop, staged
 
 SHINGLE_WORDS = 5
@@ -33,7 +34,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return h
@@ -125,6 +126,8 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = band_hashes(bag_minhash(*bag, bands * rows), bands, rows) if ws else np.zeros(0, np.int64)
                 out.append((doc, xxhash.xxh128_digest(" ".join(ws).encode("utf-8", "replace")), int(bag[1].sum()), keys))
             yield pd.DataFrame(out, columns=["doc_id", "same", "size", "bands"])
+        _hash_of.clear()
+        give_back()
 
     return docs.mapInPandas(signed, "doc_id bigint, same binary, size bigint, bands array<bigint>")
 
@@ -133,6 +136,8 @@ def _bags(docs: DataFrame) -> DataFrame:
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch.doc_id, "bag": [bag_set(*shingle_bag(words(t))) for t in batch.text]})
+        _hash_of.clear()
+        give_back()
 
     return docs.mapInPandas(bags, "doc_id bigint, bag array<bigint>")
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.memory import give_back
 from shelfwise.llm.tables import staged
 from shelfwise.llm.tokens import encoder
 
@@ -43,6 +44,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                         part = own[k : k + 4 * capacity]
                         out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.memory import give_back
 from shelfwise.llm.sampling import crc, labelled_sample
 
 #: Labelled documents that the field is fitted on, at most.
@@ -297,6 +298,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max
                 rows["score"] = field.value.quality(share)
                 rows["predicted"] = (rows["score"] >= threshold).astype("int32")
                 yield rows
+        give_back()
 
     held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
     return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInPandas(scored, SCORES)

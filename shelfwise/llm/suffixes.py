@@ -22,8 +22,6 @@ whole documents are equal by 128 bits.)
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -37,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shelfwise.llm.memory import give_back
 from shelfwise.llm.tables import drop, remove, shared_dir, staged
 
 LENGTH, GRAM = 50, 20
@@ -71,11 +70,8 @@ def _unpack(blob: bytes, dtype: str) -> np.ndarray:
 
 
 def released(result: pd.DataFrame) -> pd.DataFrame:
-    """`result`, after what Arrow and the allocator hold for later has gone back to the system: workers wait for their next
-    task with small memory."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
+    """`result`, after memory was given back."""
+    give_back()
     return result
 
 

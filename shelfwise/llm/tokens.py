@@ -23,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.memory import give_back
+
 #: Texts longer than this many characters are encoded in overlapping chunks.
 HUGE_CHARS = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 #: Distinct pieces that a worker remembers, which changes no result.
-MEMO = 1_000_000
+MEMO = 600_000
 
 #: Without U+0130, whose lower case has a combining mark.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -82,7 +84,7 @@ _NO_LETTERS = tuple(c.encode() for c in "×÷İ")
 #: What white space beyond _SPACE begins with in UTF-8.
 _ODD_SPACE = re.compile(rb"[\x0b\x0c\x1c-\x1f\xc2\xe1-\xe3]")
 #: Characters of text that are cut at once, about; the longest pieces that are compared as numbers; words encoded as one text.
-CUT_CHARS, SHORT, TOGETHER = 4 << 20, 24, 2_000
+CUT_CHARS, SHORT, TOGETHER = 2 << 20, 24, 2_000
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -359,6 +361,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, huge_chars: int =
             rows["n_tokens"] = counts([t or "" for t in rows.pop("text")])
             rows["over_limit"] = rows.n_tokens > limit
             yield rows
+        give_back()
 
     picked = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text").cast("long"), F.lit(0)).alias("n_bytes"), "text")
     return picked.mapInPandas(counted, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.memory import give_back
 from shelfwise.llm.sampling import crc, labelled_sample
 
 #: Labelled documents that the index is made of, at most.
@@ -22,7 +23,7 @@ BLOCK = 16
 #: Share of the entries from which a term is a common one.
 COMMON = 0.05
 #: Texts that meet the common terms at once; texts and words that a worker remembers.
-TOGETHER, MEMO = 64, 200_000
+TOGETHER, MEMO = 64, 50_000
 THRESHOLD = 0.7
 #: Share of a vector's squared length that its telling terms take; all its words take the rest.
 TELLING = 0.8
@@ -103,10 +104,10 @@ class Index:
         es = np.repeat(np.arange(len(order)), [len(i) for i, _ in vectors])
         xs = np.concatenate([np.zeros(0), *(x for _, x in vectors)])
         by = np.lexsort((es, at))
-        at, self.es, self.xs = at[by], es[by], xs[by]
+        at, self.es, self.xs = at[by], es[by].astype(np.int32), xs[by]
         # runs of one term in one block: where they start in the postings, their block and their peak
         code = at * max(1, self.n_blocks) + self.es // block
-        self.runs = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+        self.runs = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)).astype(np.int32)
         self.run_block = self.es[self.runs[:-1]] // block
         self.peaks = np.maximum.reduceat(self.xs, self.runs[:-1]) if len(code) else np.zeros(0)
         self.runs_of = np.searchsorted(at[self.runs[:-1]], np.arange(self.other + 2))
@@ -294,7 +295,9 @@ def learnable(doc_id):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **options) -> Index:
-    return Index(labelled_sample(docs, labels, "toxic", learnable(F.col("doc_id")), max_labelled), **options)
+    index = Index(labelled_sample(docs, labels, "toxic", learnable(F.col("doc_id")), max_labelled), **options)
+    give_back()
+    return index
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -314,6 +317,7 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
             rows["predicted"] = (rows["score"] >= threshold).astype("int32")
             rows["evidence"] = [e for _, e in found]
             yield rows
+        give_back()
 
     held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
     return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInPandas(scored, SCORES)
@@ -325,7 +329,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, **options))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in index.value.scores([t or "" for t in texts])], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([s for s, _ in index.value.scores([t or "" for t in texts])], dtype=float)
+        give_back()
 
     return docs.where(score("text") < threshold)
