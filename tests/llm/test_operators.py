@@ -180,6 +180,25 @@ def test_hot_grams_and_short_periods():
         assert got == [r[2] for r in removed(docs)]
 
 
+def test_grams_are_counted_far_over_hot_and_spread_over_buckets():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    core = "".join(rng.choices("abcd", k=20))
+    many = suffixes.HOT + 500
+    texts = ["".join(rng.choices("efgh", k=40)) + core + "".join(rng.choices("efgh", k=40)) for _ in range(many)]
+    table = pa.table({"doc_id": list(range(many)), "text": texts})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    c = suffixes.Chunk(sink.getvalue().to_pybytes())
+    c.anchors()
+    grams, _, counts, _ = c.fingerprints()
+    at = [c.data[p : p + 20].decode() for p in c.at.tolist()]
+    assert (counts & suffixes._MANY).max() == max(Counter(at).values())
+    assert np.bincount((grams >> np.uint64(60)).astype(int), minlength=16).max() < 2 * len(grams) / 16
+
+
 @pytest.mark.parametrize("step", [1, 7, 64, 1 << 20])
 def test_steps_cover_all_strings(step, monkeypatch):
     import pyarrow as pa
