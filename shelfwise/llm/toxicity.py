@@ -91,6 +91,10 @@ class Index:
         counts = [self.counts(t) for t in texts]
         df = np.bincount(np.concatenate([np.zeros(0, np.int64), *(c[0] for c in counts)]), minlength=self.other)
         self.idf = np.log((1 + len(texts)) / (1 + df)) + 1
+        # telling terms weigh more the more toxic examples hold them for each clean one
+        toxic = np.bincount(np.concatenate([np.zeros(0, np.int64), *(c[0] for c, y in zip(counts, labels, strict=True) if y)]), minlength=self.other)
+        k = slice(0, self.n_telling)
+        self.idf[k] *= np.log2(2 + toxic[k] / np.maximum(1, df[k] - toxic[k]))
         entries: dict[tuple, list[int]] = defaultdict(list)
         for row, (at, n, strange) in enumerate(counts):
             entries[(tuple(at.tolist()), tuple(n.tolist()), strange)].append(row)

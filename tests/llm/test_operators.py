@@ -308,7 +308,9 @@ def test_toxicity_score_is_that_of_brute_force():
 
     bags = [bag(t) for t in texts]
     df = [Counter(t for b in bags for t in b[k]) for k in (0, 1)]
-    weigh = lambda b, k: {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[k][t])) + 1) for t, c in b.items()}
+    toxic = Counter(t for b, y in zip(bags, labels) if y for t in b[0])
+    telling = lambda t: math.log2(2 + toxic[t] / max(1, df[0][t] - toxic[t]))
+    weigh = lambda b, k: {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[k][t])) + 1) * (1 if k else telling(t)) for t, c in b.items()}
 
     def vector(b):
         told, every = weigh(b[0], 0) | {"": toxicity.OTHER}, weigh(b[1], 1)
