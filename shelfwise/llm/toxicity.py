@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ class Index:
         self.memo: dict[bytes, tuple[float, list[int]]] = {}
         if len(order):
             self._calibrate([counts[entries[c][0]] for c in order])
-        self.rows, self.told = None, {}
+        self.rows, self.told, self.memo = None, {}, {}
 
     @property
     def postings(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -304,6 +306,15 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return index
 
 
+def _packed(index: Index) -> bytes:
+    """Small, as workers keep what is broadcast; each task unpacks it and drops it at its end."""
+    return zstandard.compress(pickle.dumps(index, protocol=5), 3)
+
+
+def _unpacked(data: bytes) -> Index:
+    return pickle.loads(zstandard.decompress(data))
+
+
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """SCORES rows, one for each row of `docs`: the probability that the text is toxic, whether it reaches `threshold`, and
     the ids of its nearest labelled examples. Whole texts count; ids only say what may be learnt from.
@@ -311,16 +322,17 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
     The index of at most `max_labelled` examples goes to every task; scoring is one pass without a shuffle. A null text is
     empty and scored as such; a null id is not held out. Without labels all scores are 0.
     """
-    spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(fitted(docs, labels, **options))
+    packed = docs.sparkSession.sparkContext.broadcast(_packed(fitted(docs, labels, **options)))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _unpacked(packed.value)
         for rows in batches:
-            found = index.value.scores([t or "" for t in rows.pop("text")])
+            found = index.scores([t or "" for t in rows.pop("text")])
             rows["score"] = [s for s, _ in found]
             rows["predicted"] = (rows["score"] >= threshold).astype("int32")
             rows["evidence"] = [e for _, e in found]
             yield rows
+        del index
         give_back()
 
     held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
@@ -330,12 +342,14 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of `docs` whose score is under `threshold`, as they are, in one pass. A null or empty text is scored as one
     without words; rows without an id and repeated rows are judged by their text like all others; without labels all stay."""
-    index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, **options))
+    packed = docs.sparkSession.sparkContext.broadcast(_packed(fitted(docs, labels, **options)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _unpacked(packed.value)
         for texts in batches:
-            yield pd.Series([s for s, _ in index.value.scores([t or "" for t in texts])], dtype=float)
+            yield pd.Series([s for s, _ in index.scores([t or "" for t in texts])], dtype=float)
+        del index
         give_back()
 
     return docs.where(score("text") < threshold)
