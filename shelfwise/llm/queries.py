@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, fingerprints, mixing, near_dups, neighbours, packing, quality, suffixes, tokens, toxicity
+from shelfwise.llm import chat, codebooks, divergence, fingerprints, forest, mixing, near_dups, neighbours, packing, quality, suffixes, tokens, toxicity
 from shelfwise.llm.tables import table
 
 #: A conversation that tries the template's escapes.
@@ -52,6 +53,18 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_nearest_neighbours(spark, sf_dir):
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).found
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,7 +78,10 @@ QUERIES = {
         op8_document_fingerprints,
         op9_mixing_sources,
         op10_best_fit_packing,
+        op11_nearest_neighbours,
+        op12_source_divergence,
+        op13_vector_codes,
     )
 }
 
-ORACLE_SQL = {"op9_mixing_sources": mixing.SQL}
+ORACLE_SQL = {"op9_mixing_sources": mixing.SQL, "op12_source_divergence": divergence.SQL, "op13_vector_codes": codebooks.SQL}
