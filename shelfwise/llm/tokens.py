@@ -173,6 +173,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.shape = _shape(path)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.huge, self.chunk, self.overlap = huge_chars, chunk_chars, overlap_chars
         # the ids of the pieces met lately, and of those met before them
         self.fresh: dict[bytes, bytes] = {}
@@ -201,7 +202,11 @@ class Encoder:
                 at += 1
 
     def _alone(self, text: str) -> bool:
-        return not self.shape or len(text) > min(self.huge, CUT_CHARS) or (self.shape == "spaced" and _ODD_SPACE.search(text.encode("utf-8", "replace")) is not None)
+        """Not with others: what cut_texts has no rule for. White space before an added token ends a segment, and stays one
+        piece, so texts that hold one are cut by PIECES."""
+        if not self.shape or len(text) > min(self.huge, CUT_CHARS):
+            return True
+        return self.shape == "spaced" and (any(t in text for t in self.added) or _ODD_SPACE.search(text.encode("utf-8", "replace")) is not None)
 
     def _by_itself(self, text: str) -> np.ndarray:
         if not self.shape or len(text) > self.huge:

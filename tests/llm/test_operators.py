@@ -458,6 +458,22 @@ def test_texts_encoded_together(path, chars, monkeypatch):
     assert encode.counts(texts).tolist() == [len(ids) for ids in want]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_white_space_around_added_tokens(path, monkeypatch):
+    """Every pair of a run of white space and an added token, one text at a time and together, short and in chunks."""
+    library = Tokenizer.from_file(path)
+    runs = ["", " ", "  ", "\n", "\n\n", "\r\n\n", "\t ", " \n", "\n ", "\n \n", "\xa0\n", "   "]
+    added = [t.content for t in library.get_added_tokens_decoder().values()] + ["<|other|>", "<"]
+    texts = [f"{head}{a}{token}{b}{tail}" for a in runs for b in runs for token in added for head, tail in (("", ""), ("a", "x"), ("1.", "\n"))]
+    texts += ["a" * 30 + t + " b c" * 9 for t in texts[::7]]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [library.encode(t, add_special_tokens=False).ids for t in texts] == want
+    for encode in (tokens.Encoder(path), tokens.Encoder(path, 16, 12, 3)):
+        assert [part.tolist() for _, ids, ends in encode.encoded(texts) for part in np.split(ids, ends[:-1])] == want
+        for text, ids in zip(texts, want, strict=True):
+            assert np.frombuffer(encode.ids(text), "<u4").tolist() == ids, text
+
+
 def test_token_counts(odd_docs, no_docs):
     library = Tokenizer.from_file(BYTE)
     out = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows(tokens.count_tokens(odd_docs, BYTE)))
