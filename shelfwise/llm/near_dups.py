@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.memory import give_back
+from shelfwise.llm.memory import give_back, slices
 from shelfwise.llm.tables import drop, staged
 
 SHINGLE_WORDS = 5
@@ -117,29 +118,43 @@ def bag_set(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, same, size, bands): what equal word sequences share, the number of shingles, the bands' hashes."""
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out = []
-            for doc, text in zip(batch.doc_id, batch.text, strict=True):
+            for text in batch.column("text").to_pylist():
                 ws = words(text)
                 bag = shingle_bag(ws)
                 keys = band_hashes(bag_minhash(*bag, bands * rows), bands, rows) if ws else np.zeros(0, np.int64)
-                out.append((doc, xxhash.xxh128_digest(" ".join(ws).encode("utf-8", "replace")), int(bag[1].sum()), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "same", "size", "bands"])
+                out.append((xxhash.xxh128_digest(" ".join(ws).encode("utf-8", "replace")), int(bag[1].sum()), keys))
+            same, sizes, keys = zip(*out, strict=True)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "size", "bands"])
         _hash_of.clear()
         give_back()
 
-    return docs.mapInPandas(signed, "doc_id bigint, same binary, size bigint, bands array<bigint>")
+    return docs.mapInArrow(signed, "doc_id bigint, same binary, size bigint, bands array<bigint>")
 
 
-def _bags(docs: DataFrame) -> DataFrame:
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "bag": [bag_set(*shingle_bag(words(t))) for t in batch.text]})
+def _bags(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, bag) of the texts whose id may be among `wanted`, by a Bloom filter of 2^FILTER_BITS bits, so that of the others
+    nothing is made or shuffled. Its size is fixed: for so many ids that it fills up it lets more rows through, and the join
+    after it is right all the same."""
+    places = F.expr(f"array(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1}, shiftrightunsigned(xxhash64(doc_id), 32) & {(1 << FILTER_BITS) - 1})")
+    bits = wanted.select(F.explode(places).alias("p")).groupBy(F.expr("p >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("bits"))
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in bits.toArrow().to_batches():  # 2^(FILTER_BITS - 6) rows at most
+        filled[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    known = texts.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = [(known.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in (batch.column(k).to_numpy() for k in ("one", "other"))]
+            some = batch.filter(pa.array((held[0] & held[1]).astype(bool)))
+            made = [bag_set(*shingle_bag(words(t))) for t in some.column("text").to_pylist()]
+            yield pa.record_batch([some.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "bag"])
         _hash_of.clear()
         give_back()
 
-    return docs.mapInPandas(bags, "doc_id bigint, bag array<bigint>")
+    return texts.select("doc_id", "text", places[0].alias("one"), places[1].alias("other")).mapInArrow(bags, "doc_id bigint, bag array<bigint>").join(wanted, "doc_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -172,7 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = staged(shared_keys.join(weights, "doc_id").select("bucket", "doc_id", "size", "weight"), "members")
     drop(shared_keys)
     wanted = staged(members.select("doc_id").distinct(), "wanted")
-    bags = staged(_bags(_perhaps_among(texts, wanted).join(wanted, "doc_id")), "bags")
+    bags = staged(_bags(texts, wanted), "bags")
     drop(wanted)
 
     # each document against the heaviest of the most central documents of its buckets
@@ -205,25 +220,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def _perhaps_among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `texts` whose id may be among `wanted`, by a Bloom filter of 2^FILTER_BITS bits, so that the texts of others are
-    not shuffled. Its size is fixed: for so many ids that it fills up it lets more rows through, and the join after it
-    is right all the same."""
-    places = F.expr(f"array(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1}, shiftrightunsigned(xxhash64(doc_id), 32) & {(1 << FILTER_BITS) - 1})")
-    bits = wanted.select(F.explode(places).alias("p")).groupBy(F.expr("p >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("bits"))
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for batch in bits.toArrow().to_batches():  # 2^(FILTER_BITS - 6) rows at most
-        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    known = texts.sparkSession.sparkContext.broadcast(words.view(np.uint8))
-
-    @F.pandas_udf("boolean")
-    def perhaps(one: pd.Series, other: pd.Series) -> pd.Series:
-        held = [(known.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 for p in (one.to_numpy(), other.to_numpy())]
-        return pd.Series((held[0] & held[1]).astype(bool))
-
-    return texts.where(perhaps(places[0], places[1]))
-
-
 def _named(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members with the component of each; one without links is its own."""
     return members.join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

@@ -9,10 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.memory import give_back
+from shelfwise.llm.memory import give_back, slices
 from shelfwise.llm.tables import staged
 from shelfwise.llm.tokens import encoder
 
@@ -31,22 +32,24 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     """PIECES rows: each text's ids and `end_id`, cut into pieces of `capacity`, the last may be shorter. A null text has
     the end alone; null and repeated ids stay."""
     end = np.array([end_id], "<u4").tobytes()
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = encoder(path, sys.maxsize).encoded
-        for rows in batches:
-            docs = rows.doc_id.tolist()
-            for first, ids, ends in encoded([t or "" for t in rows.text]):
+        for rows in slices(batches, 1024):
+            docs = rows.column("doc_id").to_pylist()
+            for first, ids, ends in encoded([t or "" for t in rows.column("text").to_pylist()]):
                 out, blob, at = [], ids.tobytes(), 0
                 for doc, to in zip(docs[first:], (4 * ends).tolist(), strict=False):
                     own, at = blob[at:to] + end, to
                     for k in range(0, len(own), 4 * capacity):
                         part = own[k : k + 4 * capacity]
                         out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.memory import give_back
+from shelfwise.llm.memory import give_back, slices
 from shelfwise.llm.sampling import crc, labelled_sample
 
 #: Labelled documents that the index is made of, at most.
@@ -324,19 +325,20 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
     """
     packed = docs.sparkSession.sparkContext.broadcast(_packed(fitted(docs, labels, **options)))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _unpacked(packed.value)
-        for rows in batches:
-            found = index.scores([t or "" for t in rows.pop("text")])
-            rows["score"] = [s for s, _ in found]
-            rows["predicted"] = (rows["score"] >= threshold).astype("int32")
-            rows["evidence"] = [e for _, e in found]
-            yield rows
+        for rows in slices(batches):
+            found = index.scores([t or "" for t in rows.column("text").to_pylist()])
+            score = np.array([s for s, _ in found])
+            evidence = pa.array([e for _, e in found], pa.list_(pa.int64()))
+            yield pa.record_batch([rows.column("doc_id"), rows.column("held_out"), pa.array(score), pa.array((score >= threshold).astype("int32")), evidence], names)
         del index
         give_back()
 
+    names = [c.split()[0] for c in SCORES.split(", ")]
+
     held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInPandas(scored, SCORES)
+    return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInArrow(scored, SCORES)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -344,11 +346,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     without words; rows without an id and repeated rows are judged by their text like all others; without labels all stay."""
     packed = docs.sparkSession.sparkContext.broadcast(_packed(fitted(docs, labels, **options)))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = _unpacked(packed.value)
         for texts in batches:
-            yield pd.Series([s for s, _ in index.scores([t or "" for t in texts])], dtype=float)
+            found = []
+            for at in range(0, len(texts), TOGETHER):
+                found += [s for s, _ in index.scores([t or "" for t in texts.slice(at, TOGETHER).to_pylist()])]
+            yield pa.array(found, pa.float64())
         del index
         give_back()
 
