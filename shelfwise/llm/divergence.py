@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.memory import give_back
-from shelfwise.llm.tables import drop, staged
+from shelfwise.llm.tables import staged
 
 #: Documents of its language that a kept term is in; ranks of the terms of a group.
 LEAST_DOCS, TOP_TERMS = 30, 50
@@ -28,8 +28,8 @@ SMOOTH, UNIT = 5, 1_000_000_000
 AUTOMATON_TERMS, AUTOMATON_BYTES = 400_000, 8 << 20
 #: Counts that a task holds before it hands them on, and bytes of text that it cuts at once.
 HELD, SLICE = 500_000, 1 << 20
-#: Terms and sources to a block of the pairs.
-TERMS, SOURCES = 4096, 64
+#: Numbers of terms whose counts are added up together; terms and sources to a block of the pairs.
+RUN, TERMS, SOURCES = 1024, 2048, 64
 
 #: Bytes of UTF-8: letters of ASCII in lower case and all beyond it stay, anything else is a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -81,37 +81,41 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
-def _automata(terms: dict[str, list[bytes]]) -> dict:
+def _automata(terms: dict[str, list[tuple[bytes, int]]]) -> dict:
     """An automaton for each language, over its terms between delimiters; a byte is a letter of it."""
     import ahocorasick
 
     found = {}
     for lang, words in terms.items():
-        found[lang] = a = ahocorasick.Automaton()
-        for w in words:
-            a.add_word(f" {w.decode('latin-1')} ", w)
+        found[lang] = a = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for word, number in words:
+            a.add_word(f" {word.decode('latin-1')} ", number)
         a.make_automaton()
     return found
 
 
 def _occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) of the terms (lang, term) in `kept`, which fit one automaton; parts of sums."""
-    terms: dict[str, list[bytes]] = defaultdict(list)
-    for lang, term in kept.select("lang", F.col("term").cast("binary")).toPandas().itertuples(index=False):  # AUTOMATON_TERMS, about
-        terms[lang].append(bytes(term))
+    """(lang, source, run, at, n): parts of the counts of the terms in `kept`, which fit one automaton. A row has the counts of a
+    run of RUN numbers, those that are not 0: `at` their places in it, `n` the counts."""
+    terms: dict[str, list[tuple[bytes, int]]] = defaultdict(list)
+    for lang, word, number in kept.select("lang", F.col("term").cast("binary"), "number").toPandas().itertuples(index=False):  # AUTOMATON_TERMS, about
+        terms[lang].append((bytes(word), number))
     shared = docs.sparkSession.sparkContext.broadcast(dict(terms))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata, held = _automata(shared.value), defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            columns: tuple = [], [], [], []
+            rows = []
             for (lang, source), c in held.items():
-                for column, values in zip(columns, ([lang] * len(c), [source] * len(c), c.keys(), c.values()), strict=True):
-                    column.extend(values)
+                numbers, n = (np.fromiter(x, np.int64, len(c)) for x in (c.keys(), c.values()))
+                order = np.argsort(numbers)
+                numbers, n = numbers[order], n[order]
+                for some in np.split(np.arange(len(c)), np.flatnonzero(np.diff(numbers // RUN)) + 1):
+                    if len(some):
+                        rows.append((lang, source, int(numbers[some[0]] // RUN), (numbers[some] % RUN).astype("<i4").tobytes(), n[some].astype("<i8").tobytes()))
             held.clear()
-            langs, sources, words, counts = columns
-            return pa.record_batch([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "source", "term", "n"])
+            return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "source", "run", "at", "n"])
 
         for b in batches:
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
@@ -123,18 +127,40 @@ def _occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
         yield out()
         give_back()
 
-    return _rows(docs).mapInArrow(counted, "lang string, source string, term string, n bigint")
+    return _rows(docs).mapInArrow(counted, "lang string, source string, run bigint, at binary, n binary")
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of rows that stand next to each other with equal (lang, source, run); only one run is held."""
+    total, last = np.zeros(RUN, np.int64), None
+
+    def out() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        lang, source, run = last
+        return pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(run * RUN + at, pa.int64()), pa.array(total[at], pa.int64())], ["lang", "source", "number", "n"])
+
+    for b in batches:
+        for *key, at, n in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "run", "at", "n")), strict=True):
+            if key != last:
+                if last is not None:
+                    yield out()
+                    total[:] = 0
+                last = key
+            total[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+    if last is not None:
+        yield out()
 
 
 def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): how often each kept term occurs in each source, where it does."""
+    """(lang, source, number, n): how often each of the terms (lang, term, number) occurs in each source, where it does."""
     n, size = kept.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
     blocks = max(1, math.ceil(n / AUTOMATON_TERMS), math.ceil((size or 0) / AUTOMATON_BYTES))
     parts = None
     for k in range(blocks):
         one = _occurrences(docs, kept.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    keys = ["lang", "source", "run"]
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added_up, "lang string, source string, number bigint, n bigint")
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -149,7 +175,7 @@ def _pair_sums(key, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     groups = groups.sort_values("source", ignore_index=True)
     names, none, own = groups.source.to_numpy(object), groups.none.to_numpy(), groups.own.to_numpy()
     row = pd.Index(names).get_indexer(terms.source)
-    column, seen = pd.factorize(terms.term)
+    column, seen = pd.factorize(terms.number)
     shares = np.repeat(none[:, None], len(seen), axis=1)
     shares[row, column] = terms.share.to_numpy()
     kept = int(groups.kept.iloc[0]) if len(groups) and block == 0 else 0
@@ -167,13 +193,13 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     that neither has differs by what no occurrence gives, so terms that a block lacks are counted, not listed."""
     sizes = staged(groups.groupBy("lang").agg(F.ceil(F.max("kept") / TERMS).alias("cuts"), F.ceil(F.count("*") / SOURCES).alias("heaps")), "audit-sizes")
     own = F.pmod(F.xxhash64("source"), F.col("heaps"))
-    block = F.pmod(F.xxhash64("term"), F.greatest(F.col("cuts"), F.lit(1)))
+    block = F.pmod(F.xxhash64("number"), F.greatest(F.col("cuts"), F.lit(1)))
 
     def met(rows: DataFrame) -> DataFrame:
         spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)))
         return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "heaps", "cuts")
 
-    left = met(shares.join(sizes, "lang").select("lang", "source", "term", "share", block.alias("block"), own.alias("own"), "heaps"))
+    left = met(shares.join(sizes, "lang").select("lang", "source", "number", "share", block.alias("block"), own.alias("own"), "heaps"))
     right = groups.join(sizes, "lang").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("cuts") - 1, F.lit(0)))))
     right = met(right.select("lang", "source", "none", "kept", "block", "own", "heaps", "cuts"))
     keys = ["lang", "block", "i", "j"]
@@ -192,30 +218,29 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
     group without terms has its pairs; a language that keeps none has pairs of value 0. Without rows the result is
     empty. Other columns are left out.
     """
-    kept = staged(document_frequencies(docs).where(F.col("docs") >= least_docs).select("lang", "term"), "audit-terms")
+    kept = staged(document_frequencies(docs).where(F.col("docs") >= least_docs).select("lang", "term", F.monotonically_increasing_id().alias("number")), "audit-terms")
     counts = staged(postings(docs, kept), "audit-counts")
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = _rows(docs).select("lang", "source").distinct().join(vocabulary, "lang", "left").join(totals, ["lang", "source"], "left")
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("kept", "total")))
     groups = staged(groups.withColumn("none", _share(F.lit(0), F.col("total"), F.col("kept"))), "audit-groups")
-    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("kept")).alias("share"))
+    shares = counts.join(groups, ["lang", "source"]).select("lang", "source", "number", _share(F.col("n"), F.col("total"), F.col("kept")).alias("share"))
     shares = staged(shares, "audit-shares")
 
     pairs = staged(_pairs(shares, groups), "audit-pairs")
     pairs = pairs.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("p"), "value").select("lang", "p.*", "value")
 
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("lang", "number").agg(F.sum("n").alias("n"))
     overall = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("kept").alias("kept"))
-    usual = whole.join(overall, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("kept")).alias("usual"))
-    more = shares.join(usual, ["lang", "term"]).where("share > usual").select("lang", "source", F.col("term").alias("item"), (F.col("share") - F.col("usual")).alias("value"))
+    usual = whole.join(overall, "lang").select("number", _share(F.col("n"), F.col("total"), F.col("kept")).alias("usual"))
+    more = shares.join(usual, "number").where("share > usual").withColumn("value", F.col("share") - F.col("usual"))
+    more = more.join(kept.select("number", F.col("term").alias("item")), "number").select("lang", "source", "item", "value")
 
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     ranked = pairs.withColumn("rank", rank).withColumn("part", F.lit("pair")).select(*columns)
-    out = ranked.unionByName(more.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("part", F.lit("term")).select(*columns))
-    drop(kept)
-    return out
+    return ranked.unionByName(more.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("part", F.lit("term")).select(*columns))
 
 
 def _share_sql(n: str, total: str) -> str:
