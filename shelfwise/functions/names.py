@@ -34,6 +34,11 @@ YEARS = r"\((?:19|20)\d{2}(?:[\s\-–—]+(?:(?:19|20)\d{2}|\d{2})?)?\)"
 ARTICLES = ("the", "a", "an", "el", "la", "los", "las", "les")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value made once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sanitized(name: Column, profile: str = "inventory") -> Column:
     """A name that any file system takes, by a profile: what it has no swap for is deleted."""
     p = PROFILES[profile]
@@ -196,13 +201,23 @@ def title_hint(file: Column) -> Column:
 def guessed_title(name: Column) -> Column:
     """(title, year) of a rip's name: the extension, marks of discs behind and a sequence number in front go (up to 99, or if
     a year follows), names in capitals and underscores get capitals at words' starts; then what stands before the year."""
-    out = F.regexp_replace(name, r"(?i)\.[a-z0-9]{1,4}$", "")
+    out = let(F.regexp_replace(name, r"(?i)\.[a-z0-9]{1,4}$", ""), _unshouted)
+    out = let(F.regexp_replace(out, r"(?i)(?:[-_\s]+(?:t[0-9]{2,3}|title[\s_]*[0-9]+|playlist[\s_]*[0-9]+|disc[\s_]*[0-9]+)\s*)+$", ""), _unnumbered)
+    return let(out, _title_and_year)
+
+
+def _unshouted(out: Column) -> Column:
     letters = F.regexp_replace(out, "[^A-Za-z]", "")
     shouted = (F.length(letters) >= 4) & (letters == F.upper(letters)) & out.contains("_")
-    out = F.when(shouted, F.initcap(F.replace(out, F.lit("_"), F.lit(" ")))).otherwise(out)
-    out = F.regexp_replace(out, r"(?i)(?:[-_\s]+(?:t[0-9]{2,3}|title[\s_]*[0-9]+|playlist[\s_]*[0-9]+|disc[\s_]*[0-9]+)\s*)+$", "")
+    return F.when(shouted, F.initcap(F.replace(out, F.lit("_"), F.lit(" ")))).otherwise(out)
+
+
+def _unnumbered(out: Column) -> Column:
     number, rest = found(out, r"^([0-9]{1,4})\s*[-.]\s*.+$").try_cast("int"), found(out, r"^[0-9]{1,4}\s*[-.]\s*(.+)$")
-    out = F.when((number <= 99) | rest.rlike(r"\b(?:19|20)[0-9]{2}\b"), rest).otherwise(out)
+    return F.when((number <= 99) | rest.rlike(r"\b(?:19|20)[0-9]{2}\b"), rest).otherwise(out)
+
+
+def _title_and_year(out: Column) -> Column:
     year = found(out, r"\b((?:19|20)[0-9]{2})\b").try_cast("int")
     before = F.regexp_replace(out, r"[\s._(\[-]*\b(?:19|20)[0-9]{2}\b.*$", "")
     title = F.trim(F.regexp_replace(F.when(before == "", out).otherwise(before), r"[._\s]+", " "))
