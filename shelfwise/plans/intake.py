@@ -80,25 +80,25 @@ def identified(titles: DataFrame, films: DataFrame) -> DataFrame:
     return kept.select("*", "film.*").drop("film")
 
 
-def _leaf() -> Column:
-    tag = F.when(F.col("imdb").isNotNull(), F.concat(F.lit("{imdb-"), "imdb", F.lit("}"))).otherwise(F.concat(F.lit("{tmdb-"), F.col("film_id").cast("string"), F.lit("}")))
-    return F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(") "), tag)
-
-
 def targeted(found: DataFrame) -> DataFrame:
     """`found` with folder, target and role: where the video goes. Editions and formats in 3D share the film's folder under
     names of their own; extras go below it; 3D films as .mkv to an archive (role "archive"). Null without a film or year."""
     ext = F.concat(F.lit("."), paths.extension(F.col("name")))
-    home = F.concat_ws("/", F.lit(FOLDER), names.sanitized(F.col("collection"), "plan"), names.sanitized(_leaf(), "plan"))
-    archive = F.col("extra").isNull() & F.col("format_3d").isNotNull() & (ext == ".mkv")
+    archive = F.col("extra").isNull() & F.col("format_3d").isNotNull() & (F.lower("name").endswith(".mkv"))
     role = F.when(F.col("extra").isNotNull(), "extra").when(archive, "archive").otherwise("film")
-    folder = F.when(F.col("extra").isNotNull(), F.concat(home, F.lit("/Extras"))).when(archive, ARCHIVE_3D).otherwise(home)
-    tagged = F.when(F.col("edition").isNotNull(), F.regexp_replace(_leaf(), F.lit(r"\{(imdb|tmdb)-"), F.concat(F.lit("{edition-"), "edition", F.lit("} {$1-")))).otherwise(_leaf())
-    tagged = F.concat(tagged, F.coalesce(F.concat(F.lit(" - 3D."), "format_3d"), F.lit("")))
-    extra = F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(") - "), "extra")
-    file = F.concat(names.sanitized(F.when(F.col("extra").isNotNull(), extra).otherwise(tagged), "plan"), ext)
+    tag = F.when(F.col("imdb").isNotNull(), F.concat(F.lit("{imdb-"), "imdb", F.lit("}"))).otherwise(F.concat(F.lit("{tmdb-"), F.col("film_id").cast("string"), F.lit("}")))
+    dated = F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")"))
+    edition = F.coalesce(F.concat(F.lit(" {edition-"), "edition", F.lit("}")), F.lit(""))
+    file = F.when(F.col("extra").isNotNull(), F.concat(dated, F.lit(" - "), "extra")).otherwise(F.concat(dated, edition, F.lit(" "), tag, F.coalesce(F.concat(F.lit(" - 3D."), "format_3d"), F.lit(""))))
+    clean = F.transform(F.array("collection", F.concat(dated, F.lit(" "), tag), file), lambda x: names.sanitized(x, "plan"))
+
+    def placed(parts: Column) -> Column:
+        home = F.concat_ws("/", F.lit(FOLDER), parts[0], parts[1])
+        folder = F.when(F.col("extra").isNotNull(), F.concat(home, F.lit("/Extras"))).when(archive, ARCHIVE_3D).otherwise(home)
+        return F.struct(folder.alias("folder"), F.concat(folder, F.lit("/"), parts[2], ext).alias("target"))
+
     known = F.col("title").isNotNull() & F.col("year").isNotNull()
-    return found.withColumn("role", role).withColumn("folder", F.when(known, folder)).withColumn("target", F.when(known, F.concat(folder, F.lit("/"), file)))
+    return found.withColumn("role", role).withColumn("at", F.when(known, names.let(clean, placed))).select("*", "at.*").drop("at")
 
 
 def outcomes(targets: DataFrame, library: DataFrame, force: bool = False, replace_existing: bool = False) -> DataFrame:

@@ -176,3 +176,53 @@ def test_versions(spark, tmp_path):
     assert store.version() == 3 and store.read("b").count() == 1
     other = VersionedStore(spark, f"file://{tmp_path}/v", store.tables, buckets=4)
     assert other.commit("s", 2, {"a": df([("z", 1, None)])}) and store.read("a").count() == 1
+
+
+def test_matching_resumes_where_it_died(spark, tmp_path):
+    """A run that dies between two commits leaves, once resumed, the rows of a run in one go; resets keep transcripts."""
+    from shelfwise.streaming import matching
+
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    index = spark.createDataFrame([(k, f"show{k % 3}", " ".join(words[k * 10 : k * 10 + 14])) for k in range(28)], "doc bigint, show string, text string")
+    files = [(f"f{k}", f"show{k % 3}" if k % 4 else "elsewhere", " ".join(words[k * 10 : k * 10 + 10])) for k in range(28)]
+    files += [("silent", "show1", None), ("strange", "show1", "nothing known"), ("both", "show0", words[0] + " " + words[31]), ("f1", "show0", "again"), (None, "show0", "x")]
+    df = spark.createDataFrame(files, "path string, show string, transcript string")
+
+    def run(folder, dies):
+        store = matching.states(spark, f"file://{tmp_path}/{folder}")
+        assert matching.prepare(store, df, 0) and not matching.prepare(store, df, 0)
+        if dies:
+            commit, calls = VersionedStore.commit, []
+
+            def once(self, *args):
+                if len(calls) == 2:
+                    raise RuntimeError("lost")
+                calls.append(1)
+                return commit(self, *args)
+
+            VersionedStore.commit = once
+            try:
+                with pytest.raises(RuntimeError, match="lost"):
+                    matching.identify(store, index, "r", 4)
+            finally:
+                VersionedStore.commit = commit
+        left = matching.identify(store, index, "r", 4)
+        assert left == (2 if dies else 4)
+        return store
+
+    whole, resumed = run("a", False), run("b", True)
+    rows = tables(whole)["states"]
+    assert rows == tables(resumed)["states"]
+    status = {r.path: (r.status, r.doc, r.score) for r in whole.read("states").collect()}
+    assert status["silent"] == ("error", None, None) and status["strange"] == ("no_match", None, 0.0)
+    assert status["f5"][:2] == ("ok", 5) and status["f8"][:2] == ("cross_show_match", 8) and status["both"][0] == "low_confidence"
+    before = whole.version()
+    matching.identify(whole, index, "next", 2)
+    assert tables(whole)["states"] == rows and whole.version() == before + 2  # matches across shows were looked at again
+    matching.reset(whole, 0)
+    again = {r.path: (r.status, r.transcript is None, r.doc) for r in whole.read("states").collect()}
+    assert again["f5"] == ("prepared", False, None) and again["silent"] == ("error", True, None)
+    matching.reset(whole, 1, include_errors=True)
+    assert "silent" not in {r.path for r in whole.read("states").collect()}
+    matching.identify(whole, index, "third", 1)
+    assert [r for r in tables(whole)["states"] if "silent" not in r] == [r for r in rows if "silent" not in r]
