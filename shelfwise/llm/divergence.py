@@ -28,8 +28,8 @@ SMOOTH, UNIT = 5, 1_000_000_000
 AUTOMATON_TERMS, AUTOMATON_BYTES = 400_000, 8 << 20
 #: Counts that a task holds before it hands them on, and bytes of text that it cuts at once.
 HELD, SLICE = 500_000, 1 << 20
-#: Numbers of terms whose counts are added up together; terms and sources to a block of the pairs.
-RUN, TERMS, SOURCES = 1024, 2048, 64
+#: Terms, about, whose counts are added up together; terms and sources to a block of the pairs.
+RUN, TERMS, SOURCES = 8192, 2048, 64
 
 #: Bytes of UTF-8: letters of ASCII in lower case and all beyond it stay, anything else is a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -50,6 +50,29 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         yield part.split()
 
 
+def _grouped(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """(values of `columns`, texts in UTF-8) of a batch, equal values together, so that one group's counts are at hand at a time."""
+    keys, texts = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True)), batch.column("text").cast(pa.binary())
+    groups: dict[tuple, list[int]] = defaultdict(list)
+    for row, key in enumerate(keys):
+        groups[key].append(row)
+    for key in sorted(groups):
+        yield key, (texts[row].as_py() for row in groups[key])
+
+
+def _joined(texts: Iterator[bytes]) -> Iterator[bytes]:
+    """Texts between spaces, short ones together, about SLICE bytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        for part in _slices(text.translate(_KEEP)):
+            held.append(part)
+            size += len(part)
+            if size >= SLICE:
+                yield b" %b " % b" ".join(held)
+                held, size = [], 0
+    yield b" %b " % b" ".join(held)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
@@ -70,8 +93,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "term", "docs"])
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                held[lang].update(set().union(*terms_of(text.as_py())))
+            for (lang,), texts in _grouped(b, "lang"):
+                for text in texts:
+                    held[lang].update(set().union(*terms_of(text)))
             if sum(map(len, held.values())) > HELD:
                 yield out()
         yield out()
@@ -81,6 +105,14 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
+def _numbered(kept: DataFrame) -> DataFrame:
+    """(lang, term, number): runs of about RUN terms, by hash; a number's low 32 bits are the place in its run."""
+    runs = max(1, kept.count() // RUN)
+    run = F.pmod(F.xxhash64("lang", "term"), F.lit(runs))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("lang", "term")) - 1
+    return kept.withColumn("run", run).withColumn("number", F.shiftleft("run", 32) + place).drop("run")
+
+
 def _automata(terms: dict[str, list[tuple[bytes, int]]]) -> dict:
     """An automaton for each language, over its terms between delimiters; a byte is a letter of it."""
     import ahocorasick
@@ -96,7 +128,7 @@ def _automata(terms: dict[str, list[tuple[bytes, int]]]) -> dict:
 
 def _occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, run, at, n): parts of the counts of the terms in `kept`, which fit one automaton. A row has the counts of a
-    run of RUN numbers, those that are not 0: `at` their places in it, `n` the counts."""
+    run of numbers, those that are not 0: `at` their places in it, `n` the counts."""
     terms: dict[str, list[tuple[bytes, int]]] = defaultdict(list)
     for lang, word, number in kept.select("lang", F.col("term").cast("binary"), "number").toPandas().itertuples(index=False):  # AUTOMATON_TERMS, about
         terms[lang].append((bytes(word), number))
@@ -111,17 +143,17 @@ def _occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 numbers, n = (np.fromiter(x, np.int64, len(c)) for x in (c.keys(), c.values()))
                 order = np.argsort(numbers)
                 numbers, n = numbers[order], n[order]
-                for some in np.split(np.arange(len(c)), np.flatnonzero(np.diff(numbers // RUN)) + 1):
+                for some in np.split(np.arange(len(c)), np.flatnonzero(np.diff(numbers >> 32)) + 1):
                     if len(some):
-                        rows.append((lang, source, int(numbers[some[0]] // RUN), (numbers[some] % RUN).astype("<i4").tobytes(), n[some].astype("<i8").tobytes()))
+                        rows.append((lang, source, int(numbers[some[0]] >> 32), numbers[some].astype("<u4").tobytes(), n[some].astype("<i8").tobytes()))
             held.clear()
             return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "source", "run", "at", "n"])
 
         for b in batches:
-            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+            for (lang, source), texts in _grouped(b, "lang", "source"):
                 if lang in automata:
-                    for part in _slices(text.as_py().translate(_KEEP)):
-                        held[lang, source].update(map(itemgetter(1), automata[lang].iter(f" {part.decode('latin-1')} ")))
+                    for part in _joined(texts):
+                        held[lang, source].update(map(itemgetter(1), automata[lang].iter(part.decode("latin-1"))))
             if sum(map(len, held.values())) > HELD:
                 yield out()
         yield out()
@@ -132,12 +164,12 @@ def _occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of rows that stand next to each other with equal (lang, source, run); only one run is held."""
-    total, last = np.zeros(RUN, np.int64), None
+    total, last = np.zeros(0, np.int64), None
 
     def out() -> pa.RecordBatch:
         at = np.flatnonzero(total)
         lang, source, run = last
-        return pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(run * RUN + at, pa.int64()), pa.array(total[at], pa.int64())], ["lang", "source", "number", "n"])
+        return pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array((run << 32) + at, pa.int64()), pa.array(total[at], pa.int64())], ["lang", "source", "number", "n"])
 
     for b in batches:
         for *key, at, n in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "run", "at", "n")), strict=True):
@@ -146,7 +178,10 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out()
                     total[:] = 0
                 last = key
-            total[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+            places = np.frombuffer(at, "<u4")
+            if places[-1] >= len(total):
+                total = np.append(total, np.zeros(places[-1] + 1, np.int64))
+            total[places] += np.frombuffer(n, "<i8")
     if last is not None:
         yield out()
 
@@ -218,7 +253,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
     group without terms has its pairs; a language that keeps none has pairs of value 0. Without rows the result is
     empty. Other columns are left out.
     """
-    kept = staged(document_frequencies(docs).where(F.col("docs") >= least_docs).select("lang", "term", F.monotonically_increasing_id().alias("number")), "audit-terms")
+    kept = staged(document_frequencies(docs).where(F.col("docs") >= least_docs).select("lang", "term"), "audit-kept")
+    kept = staged(_numbered(kept), "audit-terms")
     counts = staged(postings(docs, kept), "audit-counts")
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
