@@ -15,6 +15,10 @@ TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 #: Strings of other templates that are kept from standing whole inside a text.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 EXAMPLES = "conv_id bigint, example int, text string, n_context int, loss_start bigint, loss_end bigint"
+PACKED = "conv_id bigint, example int, text string, n_context int, length bigint, loss_start bigint, loss_end bigint"
+READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+#: Code points of text to a batch of examples, about.
+BATCH_CHARS = 4 << 20
 
 
 def escape(text: str) -> str:
@@ -45,27 +49,38 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
+def spans_of(formatted: str) -> Iterator[tuple[str, int, int, int]]:
+    """(role, start, end, after) of each turn of a formatted text, found by its marks alone: where its content stands, and where
+    what follows its end mark does."""
+    at = 0
+    while formatted.startswith(TURN, at):
+        says = formatted.index(SAYS, at)
+        end = formatted.index(END, says)
+        yield unescape(formatted[at + len(TURN) : says]), says + len(SAYS), end, end + len(END)
+        at = end + len(END)
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns, read back from a formatted text."""
-    turns = []
-    for part in formatted.split(TURN)[1:]:
-        role, body = part.split(SAYS, 1)
-        turns.append((unescape(role), unescape(body.removesuffix(END))))
-    return turns
+    return [(role, unescape(formatted[a:b])) for role, a, b, _ in spans_of(formatted)]
 
 
-def expand(turns: list[tuple[str, str]]) -> Iterator[tuple[int, str, int, int, int]]:
-    """(example, text, n_context, loss_start, loss_end): one for each assistant turn, all turns before it as
-    context. Turns after the last assistant turn go into one more example with an empty loss span (-1, -1), so
-    that the output holds every turn."""
+def prefixes(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The formatted conversation, and (n_context, length, loss_start, loss_end) of each example, which is its beginning of that
+    length: one for each assistant turn, all turns before it as context. Turns after the last assistant turn go into
+    one more example with an empty loss span (-1, -1), so that the output holds every turn."""
     text, spans = render(turns)
-    n = 0
-    for k, (role, _) in enumerate(turns):
-        if role == "assistant":
-            yield n, text[: spans[k][1] + len(END)], k, *spans[k]
-            n += 1
+    out = [(k, end + len(END), start, end) for k, ((role, _), (start, end)) in enumerate(zip(turns, spans, strict=True)) if role == "assistant"]
     if turns and turns[-1][0] != "assistant":
-        yield n, text, len(turns), -1, -1
+        out.append((len(turns), len(text), -1, -1))
+    return text, out
+
+
+def expand(turns: list[tuple[str, str]]) -> Iterator[tuple[int, str, int, int, int]]:
+    """(example, text, n_context, loss_start, loss_end) of each example, written out."""
+    text, examples = prefixes(turns)
+    for n, (n_context, length, *loss) in enumerate(examples):
+        yield n, text[:length], n_context, *loss
 
 
 def _turns(rows: pd.DataFrame) -> list[tuple[str, str]]:
@@ -74,73 +89,109 @@ def _turns(rows: pd.DataFrame) -> list[tuple[str, str]]:
 
 
 def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
-    """Whole conversations out of a partition sorted by conv_id; only the one at hand is held."""
+    """Whole conversations out of a partition sorted by conv_id; only the one at hand is held. A row without an id is one."""
     held: list[pd.DataFrame] = []
     last = object()
     for rows in batches:
-        ids = rows.conv_id
-        for conv, part in rows.groupby(ids, sort=False, dropna=False):
-            conv = None if pd.isna(conv) else int(conv)
+        alone = rows.conv_id.isna()
+        for k in alone.to_numpy().nonzero()[0]:
+            yield None, _turns(rows.iloc[k : k + 1])
+        for conv, part in rows[~alone].groupby("conv_id", sort=False):
             if held and conv != last:
-                yield last, _turns(pd.concat(held))
+                yield int(last), _turns(pd.concat(held))
                 held = []
             held.append(part)
             last = conv
     if held:
-        yield last, _turns(pd.concat(held))
+        yield int(last), _turns(pd.concat(held))
 
 
 def _together(conversations: DataFrame) -> DataFrame:
-    """A conversation's turns, next to each other in one partition; distinct conversations spread over all."""
+    """A conversation's turns, next to each other in one partition; distinct conversations, and rows without an id, spread over
+    all."""
     picked = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    return picked.repartition("conv_id", spread).sortWithinPartitions("conv_id", "turn")
 
 
-def training_examples(conversations: DataFrame) -> DataFrame:
-    """EXAMPLES rows: every assistant turn with all preceding turns as context. loss_start and loss_end bound, in
-    code points of text, what is trainable (-1: nothing).
+def packed_examples(conversations: DataFrame) -> DataFrame:
+    """PACKED rows: every assistant turn with all preceding turns as context. An example is the first `length` code points of its
+    conversation's longest one, which alone has its text written out and comes last; so contexts, whose sum grows with the
+    square of a conversation's length, are stored once. loss_start and loss_end bound what is trainable (-1: nothing).
 
-    Null roles and texts are empty; rows of a null conv_id are one conversation; turns of equal number go by role,
-    then text, null turns last; repeated rows stay. Other columns are left out.
+    Null roles and texts are empty; a row without a conv_id is a conversation of its own; turns of equal number go by role,
+    then text, null turns last; repeated rows stay; an empty table gives none. Other columns are left out.
     """
 
     def examples(batches):
+        out, size = [], 0
         for conv, turns in _conversations(batches):
-            yield pd.DataFrame([(conv, *e) for e in expand(turns)], columns=[c.split()[0] for c in EXAMPLES.split(", ")]).astype({"conv_id": "Int64"})
+            text, found = prefixes(turns)
+            out += [(conv, n, text if n + 1 == len(found) else None, *e) for n, e in enumerate(found)]
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield _frame(out, PACKED)
+                out, size = [], 0
+        yield _frame(out, PACKED)
+
+    return _together(conversations).mapInPandas(examples, PACKED)
+
+
+def training_examples(conversations: DataFrame) -> DataFrame:
+    """EXAMPLES rows: the same examples with every text written out."""
+
+    def examples(batches):
+        for conv, turns in _conversations(batches):
+            yield _frame([(conv, *e) for e in expand(turns)], EXAMPLES)
 
     return _together(conversations).mapInPandas(examples, EXAMPLES)
 
 
-def read_back(conversations: DataFrame) -> DataFrame:
-    """What the formatted output says, one row for each conversation: its turns by parsing the longest example, the
-    trained text by cutting every example at its loss span. formatted_chars counts the code points of all examples.
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"conv_id": "Int64"})
 
-    The digests are made next to the examples, so that contexts, whose sum grows with the square of a
-    conversation's length, are never shuffled.
-    """
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """READ rows, one for each conversation of PACKED rows as packed_examples leaves them: its turns by parsing the longest
+    example, and the trained text by cutting every example at its loss span. An example whose loss span is not the content
+    of its last turn, as the marks say, raises an error. formatted_chars counts the code points of all examples."""
 
     def digests(batches):
-        rows = []
-        for conv, turns in _conversations(batches):
-            said, loss_chars, loss, chars = hashlib.sha256(), 0, hashlib.sha256(), 0
-            full, spans = render(turns)  # each example is a beginning of the longest, so none is copied
-            for (role, _), (start, end) in zip(turns, spans, strict=True):
-                if role == "assistant":
-                    chars += end + len(END)
-                    trained = unescape(full[start:end])
-                    loss_chars += len(trained)
-                    loss.update(trained.encode("utf-8", "replace"))
-            if turns and turns[-1][0] != "assistant":
-                chars += len(full)
-            found = parse(full)
-            for role, text in found:
-                said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-            rows.append((conv, len(found), said.hexdigest(), loss_chars, loss.hexdigest(), chars))
-            if len(rows) == 5000:
-                yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-                rows = []
-        yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return _together(conversations).mapInPandas(digests, schema)
+        held: list[tuple[int, int, int, int]] = []
+        for rows in batches:
+            out = []
+            for conv, text, *example in zip(rows.conv_id, rows.text, rows.n_context, rows.length, rows.loss_start, rows.loss_end, strict=True):
+                held.append(tuple(example))
+                if text is not None:
+                    out.append((None if pd.isna(conv) else int(conv), *_read(text, held)))
+                    held = []
+            yield _frame(out, READ)
+
+    return examples.mapInPandas(digests, READ)
+
+
+def _read(text: str, examples: list[tuple[int, int, int, int]]) -> tuple[int, str, int, str, int]:
+    said, trained, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+    left = iter(examples)
+    n_context, length, *loss = next(left)
+    for role, start, end, after in spans_of(text):
+        said.update(f"{role}\n{unescape(text[start:end])}\n".encode("utf-8", "replace"))
+        n += 1
+        if after == length:  # the last turn of the example at hand
+            if loss != [-1, -1]:
+                if loss != [start, end] or n_context != n - 1:
+                    raise ValueError(f"the loss span {loss} is not the content of turn {n}")
+                part = unescape(text[loss[0] : loss[1]])
+                loss_chars += len(part)
+                trained.update(part.encode("utf-8", "replace"))
+            chars += length
+            n_context, length, *loss = next(left, (-1, -1, -1, -1))
+    if length >= 0:
+        raise ValueError("an example ends inside a turn")
+    return n, said.hexdigest(), loss_chars, trained.hexdigest(), chars
+
+
+def read_back(conversations: DataFrame) -> DataFrame:
+    """What the formatted examples of all conversations say; see packed_examples and read_examples. The digests are made in the
+    partitions of the examples, so no example is shuffled."""
+    return read_examples(packed_examples(conversations))

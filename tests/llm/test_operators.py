@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfwise.llm import chat, components, fingerprints, mixing, near_dups, neighbours, packing, quality, suffixes, tokens, toxicity
@@ -354,6 +355,9 @@ def test_chat(spark):
     by = defaultdict(list)
     for c, t, r, x in said:
         by[c].append((math.inf if t is None else t, r or "", x or ""))
+    alone = sorted(r["n_turns"] for r in rows(chat.read_back(df)) if r["conv_id"] is None)
+    assert alone == [1, 1] and by.pop(None)  # rows without an id are conversations of their own
+    df = df.where("conv_id is not null")
     out = {r["conv_id"]: r for r in rows(chat.read_back(df))}
     examples = defaultdict(list)
     for e in rows(chat.training_examples(df)):
@@ -373,6 +377,31 @@ def test_chat(spark):
             assert chat.parse(e["text"]) == turns[: e["n_context"] + 1]
             assert chat.unescape(e["text"][e["loss_start"] : e["loss_end"]]) == turns[e["n_context"]][1]
     assert chat.read_back(df.limit(0)).count() == 0
+    packed = rows(chat.packed_examples(df))
+    longest = {e["conv_id"]: e["text"] for e in packed if e["text"] is not None}
+    assert set(longest) == set(by)
+    written = {(e["conv_id"], e["example"]): e for es in examples.values() for e in es}
+    for e in packed:
+        other = written[e["conv_id"], e["example"]]
+        assert longest[e["conv_id"]][: e["length"]] == other["text"]
+        assert (e["loss_start"], e["loss_end"], e["n_context"]) == (other["loss_start"], other["loss_end"], other["n_context"])
+    wrong = chat.packed_examples(df.where("conv_id = 7")).withColumn("loss_end", F.col("loss_end") - F.when(F.col("loss_end") > 0, 1).otherwise(0))
+    if any(r == "assistant" for r, _ in [(r, x) for _, r, x in by[7]]):
+        with pytest.raises(Exception, match="loss span"):
+            rows(chat.read_examples(wrong))
+
+
+def test_chat_of_a_very_long_conversation_and_other_columns(spark):
+    """20 MB in 4,000 turns, whose contexts written out would be 20 GB; columns named like those made inside."""
+    body = "word <|turn|> \\ [INST] " * 200
+    schema = "conv_id int, turn int, role string, text string, example int, length string, loss_start int"
+    said = [(1, t, "assistant" if t % 2 else "user", f"{t} {body}", 5, "x", 6) for t in range(4_000)] + [(2, 0, "assistant", None, None, None, None)]
+    out = {r["conv_id"]: r for r in rows(chat.read_back(spark.createDataFrame(said, schema).repartition(4)))}
+    loss = "".join(x for c, _, r, x, *_ in said if r == "assistant" and c == 1)
+    assert out[1]["n_turns"] == 4_000 and out[1]["loss_chars"] == len(loss)
+    assert out[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert out[1]["formatted_chars"] > 2_000 * len(loss)
+    assert (out[2]["n_turns"], out[2]["loss_chars"]) == (1, 0)
 
 
 # --- 5 neighbours
