@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import fuzzy
+from shelfwise.functions import fuzzy, names
+from shelfwise.operators import titles
 from shelfwise.plans import scoring
 from shelfwise.registry import query, read
 
@@ -179,16 +179,48 @@ def acoustid_class(spark, d):
 
 @query()
 def title_similarity_best(spark, d):
-    """For each kind of part the other kind whose name is most like it, and the margin to the next. All are scored: distinct
-    names are few (64 at any size of the table), and each meets all others from a broadcast list of bounded size."""
-    titles = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    left, right = titles.select(F.col("name").alias("a"), F.col("id").alias("ia")), titles.select(F.col("name").alias("b"), F.col("id").alias("ib"))
-    pairs = left.join(right, F.col("ia") != F.col("ib"))
-    scored = pairs.withColumn("score", F.round(fuzzy.title_similarity(F.col("a"), F.col("b")), 6))
-    order = Window.partitionBy("ia").orderBy(F.desc("score"), "ib")
-    best = scored.withColumn("place", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score", 1, 0.0).over(order)).where("place = 1")
-    sure = F.when((F.col("score") >= 0.85) & (F.col("margin") >= 0.2), "HIGH").when(F.col("score") >= 0.55, "MEDIUM").otherwise("NONE")
-    return best.select("ia", "ib", "score", F.round("margin", 6).alias("margin"), sure.alias("sure"))
+    """For each kind of part the other kind whose name is most like it, and the margin to the next. Distinct names meet in blocks,
+    where only those are scored whose letters and words leave enough possible."""
+    kinds = [read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").cast("long").alias(i)).select(F.lit(0).alias("key"), i, fuzzy.plain(F.col("p_name")).alias("name")) for i in ("id", "other")]
+    best = titles.with_gap(titles.two_best_in_group(*kinds))
+    score, margin = F.round("score", 6), F.round(F.col("gap"), 6)
+    sure = F.when((score >= 0.85) & (margin >= 0.2), "HIGH").when(score >= 0.55, "MEDIUM").otherwise("NONE")
+    return best.select(F.col("id").alias("ia"), F.col("other").alias("ib"), score.alias("score"), margin.alias("margin"), sure.alias("sure"))
+
+
+def _named_parts(spark, d):
+    """Titles of some length out of parts: (p_partkey, p_brand, p_size, title)."""
+    letters = F.translate(F.col("p_partkey").cast("string"), "0123456789", "aeioudntrs")
+    return read(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", F.lit("The"), "p_name", letters, F.lower("p_type")).alias("title"))
+
+
+def _mistaken(title, k):
+    """A title as somebody typed it: with dots, a letter too many, without its first words, with more at its end, or another."""
+    cut = F.regexp_replace(title, r"^\S+ \S+ ", "")
+    return F.when(k % 6 == 0, F.upper(F.replace(title, F.lit(" "), F.lit(".")))).when(k % 6 == 1, F.regexp_replace(title, "([aeiou])([^aeiou]*)$", "$1$1$2")).when(k % 6 == 2, cut).when(k % 6 == 3, F.concat(title, F.lit(" uncut"))).when(k % 6 == 4, F.reverse(title)).otherwise(F.concat(F.lit("Thé "), F.substring(title, 5, 100)))
+
+
+@query()
+def series_plan_match(spark, d):
+    """The row of a plan that each new name means: one of the same plain name, else the most like it if it is like enough."""
+    plan = _named_parts(spark, d)
+    k = F.col("o_orderkey")
+    named = read(spark, d, "orders").join(plan.select("p_partkey", "title"), F.col("o_custkey") == F.col("p_partkey"))
+    guesses = named.select(k.alias("id"), _mistaken(F.col("title"), k).alias("name"))
+    found = titles.best_in_plan(guesses, plan.select(F.col("p_partkey").alias("row"), F.col("title").alias("name")))
+    return found.select(F.col("id").alias("o_orderkey"), F.col("row").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+@query()
+def episode_title_match(spark, d):
+    """Which episode of its series a file's title means, and how sure that is; all files and titles of a brand meet."""
+    plan = _named_parts(spark, d)
+    k = F.col("o_orderkey")
+    named = read(spark, d, "orders").join(plan, F.col("o_custkey") == F.col("p_partkey"))
+    file = F.concat(F.lpad((k % 40).cast("string"), 2, "0"), F.lit(" - "), _mistaken(F.col("title"), k), F.lit(" [720p].mkv"))
+    files = named.select(F.col("p_brand").alias("key"), k.alias("id"), names.title_hint(file).alias("hint"))
+    found = titles.episode_of_hint(files, plan.select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("other"), "title"))
+    return found.select(F.col("id").alias("o_orderkey"), F.col("other").alias("p_partkey"), F.round("score", 6).alias("score"), "verdict")
 
 
 @query()
