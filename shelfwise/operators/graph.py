@@ -40,23 +40,24 @@ def similar_pairs(items: DataFrame, key: str, words: str, threshold: float) -> D
     return same.unionByName(scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that the links (a, b) reach. Each round, the components so far that a link joins are
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(id, component): the smallest id that the links (a, b) reach. `rows`: a bound on their number, if one is known. Each round, the components so far that a link joins are
     points of a smaller graph; each takes the smallest that it meets, and that one's smallest in turn, so chains shrink by
     half or more. Tables of a round are written to the shared folder and deleted when the next stands."""
     both = links.select("a", "b").where("a <> b")
-    edges = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
+    edges = staged(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows and 2 * rows)
+    rows = edges.count()
+    labels = staged(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels", rows)
     while True:
         of_a, of_b = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        meets = staged(edges.join(of_a, "a").join(of_b, "b").where("ca > cb").groupBy("ca").agg(F.min("cb").alias("cb")), "meets")
+        meets = staged(edges.join(of_a, "a").join(of_b, "b").where("ca > cb").groupBy("ca").agg(F.min("cb").alias("cb")), "meets", rows)
         if meets.isEmpty():
             drop(edges)
             drop(meets)
             return labels
         hop = meets.select(F.col("ca").alias("cb"), F.col("cb").alias("next"))
         moved = meets.join(hop, "cb", "left").select(F.col("ca").alias("component"), F.coalesce("next", "cb").alias("to"))
-        new = staged(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        new = staged(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels", rows)
         drop(labels)
         drop(meets)
         labels = new

@@ -25,11 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local["dir"]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of numbers to a file, about.
+FILE_ROWS = 1_000_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: it is made once however often it is read, and the
-    lineage ends there, so a lost executor costs no more than the tasks that it ran."""
+    lineage ends there, so a lost executor costs no more than the tasks that it ran. `rows`: a bound on the number of its rows,
+    where one is known; a table of few small rows then goes into few files, though no fewer than tasks run at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
