@@ -128,7 +128,7 @@ def compressed(embeddings: DataFrame, parts: int = PARTS, entries: int = ENTRIES
         change = _changes(assigned, parts, books.shape[1], width)
         named = [c for c in change.columns if c not in ("part", "entry")]
         both = change if sums is None else change.unionByName(sums)
-        running = staged(both.groupBy("part", "entry").agg(*(F.sum(c).alias(c) for c in named)), "code-sums")
+        running = staged(both.groupBy("part", "entry").agg(*(F.sum(c).alias(c) for c in named)), "code-sums", parts * entries)
         if sums is not None:
             drop(sums)
         rows, sums = assigned, running

@@ -201,7 +201,7 @@ def _searched(vectors: DataFrame, kind: str, size: int, k: int, recall: float, s
     levels = min(60 // BITS, top + 2)
     coded = staged(_coded(vectors, kind, size, longest, levels, seed), "forest")
     strings = coded.select("vec_id", F.posexplode("strings").alias("tree", "string"))
-    sizes = staged(strings.groupBy("tree", "string").agg(F.count("*").alias("n")), "forest-sizes")
+    sizes = staged(strings.groupBy("tree", "string").agg(F.count("*").alias("n")), "forest-sizes", n * TREES)
     below = sizes.select("tree", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), "string", "n")
     below = below.groupBy("tree", "level", _prefix("string", "level", levels).alias("prefix")).agg(F.sum("n").alias("n"))
     asked = coded.where("asked").select(F.col("vec_id").alias("query"), F.posexplode("own").alias("tree", "string"))
@@ -209,7 +209,7 @@ def _searched(vectors: DataFrame, kind: str, size: int, k: int, recall: float, s
     step = ((F.lit(levels) - F.col("level")) * TREES + F.col("tree")).alias("step")
     steps = spread.join(below, ["tree", "level", "prefix"], "left").select("query", "tree", "level", "prefix", step, F.coalesce("n", F.lit(0)).alias("n"))
     whole = coded.where("asked").select(F.col("vec_id").alias("query"), F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"), F.lit(levels * TREES).alias("step"), F.lit(n).alias("n"))
-    steps = staged(steps.unionByName(whole), "forest-steps")
+    steps = staged(steps.unionByName(whole), "forest-steps", n * TREES * levels)
     need, reached = _candidates_needed(steps, coded, kind, k, levels, recall)
 
     # the ascent of a query ends with the step at which it has met `need` candidates; within a tree, the shortest beginning
@@ -221,7 +221,7 @@ def _searched(vectors: DataFrame, kind: str, size: int, k: int, recall: float, s
     runs = runs.withColumn("shift", (F.lit(BITS) * (levels - F.col("level"))).cast("long"))
 
     blocks = sizes.groupBy("tree", _prefix("string", str(top), levels).alias("block")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("deals"))
-    blocks = staged(blocks, "forest-blocks")
+    blocks = staged(blocks, "forest-blocks", n)
     met = None
     for level in range(top + 1):  # a run of fewer symbols than a block shares meets several blocks, a longer one is inside one
         mine = runs.where(F.col("level") == level if level < top else F.col("level") >= level)
@@ -239,7 +239,7 @@ def _searched(vectors: DataFrame, kind: str, size: int, k: int, recall: float, s
     keys = ["tree", "block", "deal", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _scored(a, b, kind, k), _FOUND)
     rank = F.dense_rank().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))  # one that several trees find has one rank
-    best = staged(found.withColumn("rank", rank).where(F.col("rank") <= k).distinct(), "forest-found")
+    best = staged(found.withColumn("rank", rank).where(F.col("rank") <= k).distinct(), "forest-found", n * k)
     for table in (coded, sizes, steps, blocks, met, busy):
         drop(table)
     return best, reached, need

@@ -22,6 +22,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 28, 5
 #: Documents to a block where what is left is compared in blocks.
 FAMILY_BLOCK = 512
+#: Rows of numbers that a pair of bags weighs as much as.
+PAIR_ROWS = 20
 #: The filter of ids whose texts are read again has two to this power bits: 2 MB.
 FILTER_BITS = 24
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -175,18 +177,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = staged(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     signed = staged(_signed(texts, bands, rows), "signed")
+    n = signed.count()  # bounds what follows; a pair with its bags counts as PAIR_ROWS
     copied = signed.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    copied = staged(copied, "copied")  # a table of its own, so that Spark can split the join at a group of very many copies
-    reps = staged(signed.join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep")), "reps")
+    copied = staged(copied, "copied", n)  # a table of its own, so that Spark can split the join at a group of very many copies
+    reps = staged(signed.join(copied, "same", "left").select("doc_id", F.coalesce("first", "doc_id").alias("rep")), "reps", n)
     drop(copied)
     keys = signed.join(reps.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "size", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared_keys = staged(keys.join(shared, "bucket"), "keys")
+    shared_keys = staged(keys.join(shared, "bucket"), "keys", n * bands)
     drop(signed)
     weights = shared_keys.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    members = staged(shared_keys.join(weights, "doc_id").select("bucket", "doc_id", "size", "weight"), "members")
+    members = staged(shared_keys.join(weights, "doc_id").select("bucket", "doc_id", "size", "weight"), "members", n * bands)
     drop(shared_keys)
-    wanted = staged(members.select("doc_id").distinct(), "wanted")
+    wanted = staged(members.select("doc_id").distinct(), "wanted", n)
     bags = staged(_bags(texts, wanted), "bags")
     drop(wanted)
 
@@ -195,27 +198,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     fits = F.least("size_a", "size") >= threshold * F.greatest("size_a", "size")
     centres = members.groupBy("bucket").agg(most.alias("c")).select("bucket", "c.*")
     met = members.join(centres, "bucket").where((F.col("doc_id") != F.col("a")) & fits)
-    tried = staged(met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("weight_a", -F.col("a"))).alias("a")), "pairs")
-    links = staged(_alike(tried, bags, threshold), "links")
-    parts = components(links)
+    tried = staged(met.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("a", F.struct("weight_a", -F.col("a"))).alias("a")), "pairs", n)
+    links = staged(_alike(tried, bags, threshold), "links", n * PAIR_ROWS)
+    parts = components(links, n)
 
     # what is left of the buckets that hold several components, against the most central document of each
     named = _named(members, parts)
     here = F.max_by(F.struct(F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a")), F.struct("weight", -F.col("doc_id")))
     centres = named.groupBy("bucket").agg(here.alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "c.*")
     met = named.join(centres, "bucket").where((F.col("component") != F.col("component_a")) & fits)
-    again = staged(met.select(F.col("doc_id").alias("b"), "a").distinct().join(tried, ["b", "a"], "left_anti"), "pairs")
-    links = links.unionByName(staged(_alike(again, bags, threshold), "links"))
+    again = staged(met.select(F.col("doc_id").alias("b"), "a").distinct().join(tried, ["b", "a"], "left_anti"), "pairs", n * bands)
+    links = links.unionByName(staged(_alike(again, bags, threshold), "links", n * PAIR_ROWS))
     drop(tried)
     drop(again)
     drop(parts)
-    parts = components(links)
+    parts = components(links, 2 * n)
 
-    links = links.unionByName(_links_across(members, bags, parts, threshold))
+    links = links.unionByName(_links_across(members, bags, parts, threshold, n))
     drop(members)
     drop(bags)
     drop(parts)
-    parts = components(links).select(F.col("id").alias("rep"), "component")
+    parts = components(links, 3 * n).select(F.col("id").alias("rep"), "component")
     out = reps.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
@@ -233,7 +236,7 @@ def _alike(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(bag_b, "b").join(bag_a, "a").where(alike).select("a", "b")
 
 
-def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, threshold: float, n: int) -> DataFrame:
     """Links between documents of a bucket that are still in different components.
 
     Buckets that share documents make up families. In a family, the documents outside its largest component are
@@ -241,17 +244,17 @@ def _links_across(members: DataFrame, bags: DataFrame, parts: DataFrame, thresho
     out of products of matrices that say which document holds which shingle, and of the pairs found only those that
     join two components become rows.
     """
-    named = staged(_named(members, parts).select("bucket", "doc_id", "component"), "named")
+    named = staged(_named(members, parts).select("bucket", "doc_id", "component"), "named", n * BANDS)
     several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("first")).where("lo < hi").select("bucket", "first")
     open_docs = named.join(several, "bucket")
-    families = components(open_docs.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+    families = components(open_docs.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), n)
     docs = open_docs.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    docs = staged(docs, "families")
+    docs = staged(docs, "families", n)
     drop(named)
     counts = docs.groupBy("family", "component").agg(F.count("*").alias("n"))
     sized = counts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("in_main")).where("n > in_main")
     blocks = sized.select("family", "main", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("n_to"), F.ceil((F.col("n") - F.col("in_main")) / FAMILY_BLOCK).cast("int").alias("n_from"))
-    blocks = staged(blocks, "sized")
+    blocks = staged(blocks, "sized", n)
     asked = F.col("component") != F.col("main")
     dealt = docs.join(blocks, "family").join(bags, "doc_id")
     spread = F.xxhash64("doc_id", F.lit(11))
