@@ -316,5 +316,8 @@ def cleaned(title: Column) -> Column:
 
 
 def repaired(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read again; other texts as they are."""
-    return F.when(text.rlike("[Ã-Ä][\\x80-\\xBF]"), F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
+    """UTF-8 that was read as Latin-1, read again: texts of Latin-1 characters alone that hold a letter of damage before a
+    continuation byte, if their bytes are UTF-8. Others stay as they are."""
+    damaged = text.rlike("[\u00c0-\u00c3][\u0080-\u00bf]") & text.rlike("^[\u0000-\u00ff]*$")
+    raw = F.encode(F.when(damaged, text), "ISO-8859-1")
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), text)

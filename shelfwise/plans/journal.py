@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.ordering import running
+
 
 def latest(journal: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """The last value of each key."""
@@ -27,6 +29,45 @@ def rollback(journal: DataFrame) -> DataFrame:
     return journal.where("result = 'ok'").withColumn("inverse", inverse).where("inverse is not null")
 
 
+def selected(journal: DataFrame, run: str | None = None, title: int | None = None, since: str | None = None) -> DataFrame:
+    """The lines (line, ts, run_id, title_id, ...) of a run, of a title in the latest run that has it, or from a time on: exactly
+    one of the three is given. Lines without a time are in no `since`."""
+    if (run is not None) + (title is not None) + (since is not None) != 1:
+        raise ValueError("one of run, title and since is needed")
+    if run is not None:
+        return journal.where(F.col("run_id") == run)
+    if since is not None:
+        return journal.where(F.col("ts") >= F.to_timestamp(F.lit(since)))
+    return latest_runs(journal.where(F.col("title_id") == title))
+
+
+def latest_runs(journal: DataFrame) -> DataFrame:
+    """Each title's lines of the run that its last line is of."""
+    last = journal.groupBy(F.col("title_id").alias("__title")).agg(F.max_by("run_id", "line").alias("__run"))
+    same = F.col("title_id").eqNullSafe(F.col("__title")) & F.col("run_id").eqNullSafe(F.col("__run"))
+    return journal.join(last, same).drop("__title", "__run")
+
+
+def rollback_steps(journal: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """(place, line, inverse, source, target) of lines (line, ts, op, result, from_, to), for each `group`: what undoes them, in an
+    order in which it can be done.
+
+    Folders that were removed come back first, outer ones before inner ones. Then files go back, the newest step first, the later
+    line first where times are equal; copies are put back and removed in one step, so a line that deleted the original
+    after a copy needs none of its own. Folders that were made go last, inner ones first, if nothing is left in them.
+    Lines that did not succeed, markers and checks have no step; unknown operations come as "unknown"."""
+    steps = rollback(journal)
+    inverse = F.col("inverse")
+    phase = F.when(inverse == "mkdir", 0).when(inverse == "rmdir_if_empty", 2).otherwise(1)
+    source = F.when(inverse.isin("move_back", "restore_and_delete", "restore", "delete", "rmdir_if_empty"), F.col("to"))
+    target = F.when(inverse.isin("move_back", "restore_and_delete", "restore", "mkdir"), F.col("from_"))
+    depth = F.size(F.split(F.coalesce("from_", "to"), "/"))
+    nested = F.when(phase == 0, depth).when(phase == 2, -depth).otherwise(0)
+    rows = steps.select(*group, "line", "inverse", source.alias("source"), target.alias("target"), phase.alias("phase"), nested.alias("nested"), "ts")
+    placed = running(rows, [F.col("phase"), F.col("nested"), F.desc("ts"), F.desc("line")], group)
+    return placed.select(*group, F.col("place").cast("int").alias("place"), "line", "inverse", "source", "target")
+
+
 def move_decision(same_path="from_ = to", source="src_size", target="dst_size"):
     """What a move comes to, by the sizes at both ends (null: not there)."""
     s, t = F.col(source), F.col(target)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import completeness
+from shelfwise.operators import completeness, lookups
 from shelfwise.registry import query, read
 
 _EXPECTED = "sequence(1, cast(7 - o_orderkey % 3 as int))"
@@ -123,6 +123,53 @@ def near_miss_top15(spark, d):
     return _collections(spark, d).orderBy(order, F.desc(F.try_divide("owned", "total")), F.desc("total"), "collection").limit(15).select("collection", "owned", "total")
 
 
+#: Films out of parts: every size is a collection, some films are in none, some answers are refusals and some are not kept.
+_DATE = "case p_partkey % 12 when 0 then '' when 1 then '2031-05-01' else concat(cast(1950 + p_partkey % 70 as string), '-01-15') end"
+_ANSWERS = f"""
+select concat('/find/tt', cast(p_partkey as string), '?{{"external_source": "imdb_id", "language": "en-US"}}') as key, 1 as asked, case when p_partkey % 9 = 0 then 404 when p_partkey % 10 = 1 then 500 else 200 end as status,
+  concat('{{"movie_results": [', case when p_partkey % 14 > 0 then concat('{{"id": ', cast(p_partkey as string), ', "title": "', p_name, '"}}') else '' end, ']}}') as body from part
+union all select concat('/movie/', cast(p_partkey as string), '?{{"language": "en-US"}}'), 1, case when p_partkey % 8 = 3 then 503 else 200 end,
+  case when p_partkey % 5 > 0 then concat('{{"belongs_to_collection": {{"id": ', cast(p_size as string), ', "name": "Size ', cast(p_size as string), '"}}}}') else '{{"belongs_to_collection": null}}' end from part
+union all select concat('/collection/', cast(p_size as string), '?{{"language": "en-US"}}'), 1, case when p_size % 10 = 7 then 404 else 200 end,
+  concat('{{"parts": [', array_join(collect_list(concat('{{"id": ', cast(p_partkey as string), ', "title": "', case when p_partkey % 6 > 0 then p_name else '' end, '", "original_title": "', p_brand, '", "release_date": "', {_DATE}, '"}}')), ', '), ']}}') from part where p_partkey % 5 > 0 group by p_size
+union all select concat('/movie/', cast(p_partkey as string), '/external_ids?{{"language": "en-US"}}'), 1, case when p_partkey % 13 = 0 then 500 else 200 end, concat('{{"imdb_id": ', case when p_partkey % 16 > 0 then concat('"TT', cast(p_partkey as string), '"') else 'null' end, '}}') from part"""
+_CLOSED = f"""
+with s as (select distinct c_mktsegment as folder, c_custkey as film from customer join part on p_partkey = c_custkey where p_partkey % 9 > 0 and p_partkey % 10 <> 1 and p_partkey % 14 > 0),
+m as (select s.*, p_size as collection from s join part on p_partkey = film where p_partkey % 8 <> 3 and p_partkey % 5 > 0),
+c as (select collection, string_agg(distinct folder, ' | ' order by folder) as folders from m group by 1),
+p as (select p_size as collection, p_partkey as film, case when p_partkey % 6 > 0 then p_name else p_brand end as title, {_DATE.replace("as string)", "as varchar)")} as release_date, case when p_partkey % 13 > 0 and p_partkey % 16 > 0 then concat('tt', cast(p_partkey as varchar)) end as imdb
+  from part join c on collection = p_size where p_partkey % 5 > 0 and p_size % 10 <> 7),
+h as (select collection, film from m union select collection, film from p where imdb in (select concat('tt', cast(s_suppkey * 3 as varchar)) from supplier))"""
+
+
+def _closed(spark, d):
+    for t in ("part", "customer", "supplier"):
+        read(spark, d, t).createOrReplaceTempView(f"_films_{t}")
+    cache = lookups.kept(spark.sql(_ANSWERS.replace("from part", "from _films_part")))
+    series = spark.sql("select c_mktsegment as folder, concat('tt', cast(c_custkey as string)) as imdb from _films_customer")
+    alone = spark.sql("select concat('tt', cast(s_suppkey * 3 as string)) as imdb from _films_supplier")
+    return lookups.collections(series, alone, cache, "2024-01-01")
+
+
+@query(_CLOSED + """
+select p.collection as collection_id, 'Size ' || p.collection as name, folders, p.film as film_id, title, imdb, release_date from p join c on c.collection = p.collection
+where (p.collection, p.film) not in (select (collection, film) from h) and release_date <> '' and release_date <= '2024-01-01'
+""")
+def collection_closure(spark, d):
+    """Parts that the library lacks of collections its series folders open, through kept answers of the film service."""
+    return _closed(spark, d)[0]
+
+
+@query(_CLOSED + """
+select concat('/find/tt', cast(c_custkey as varchar), '?{"external_source": "imdb_id", "language": "en-US"}') as key from customer left join part on p_partkey = c_custkey where p_partkey is null or p_partkey % 10 = 1 and p_partkey % 9 > 0
+union select concat('/movie/', cast(film as varchar), '?{"language": "en-US"}') from s where film % 8 = 3
+union select concat('/movie/', cast(film as varchar), '/external_ids?{"language": "en-US"}') from p where film % 13 = 0
+""")
+def answers_to_fetch(spark, d):
+    """What that closure asked for and no kept answer says."""
+    return _closed(spark, d)[1]
+
+
 @query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def not_in_plan(spark, d):
     """Shows without a file."""

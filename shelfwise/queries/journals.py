@@ -34,6 +34,26 @@ def rollback_plan(spark, d):
     return best_first(steps, ["title_id"], [F.desc("ts"), F.desc("event_id")]).select("title_id", "event_id", "inverse", "place")
 
 
+_LINES = f"""select event_id as line, ts, user_id as title_id, concat('run', cast(event_id % 97 % 5 as string)) as run_id, case event_id % 11 when 10 then 'delete' when 9 then 'rmdir' when 8 then 'backup' else {_OP} end as op, {_OK} as result,
+  concat('old/', event_type, '/', cast(user_id as string), '/f', cast(event_id as string)) as from_, concat('new/', cast(user_id % 7 as string), '/', repeat('deep/', cast(event_id % 3 as int)), 'f', cast(event_id as string)) as to_ from events"""
+
+
+@query(rf"""
+with j as ({_LINES.replace("as string)", "as varchar)")}),
+l as (select title_id, first(run_id order by line desc) as run_id from j group by 1),
+s as (select j.*, case when op = 'rename' then 'move_back' when op = 'copy' then 'restore_and_delete' when op = 'mkdir' then 'rmdir_if_empty' when op = 'write_file' then 'delete' when op = 'backup' then 'restore' when op = 'rmdir' then 'mkdir' end as inverse
+  from j join l on j.title_id = l.title_id and j.run_id = l.run_id where result = 'ok'),
+p as (select *, case inverse when 'mkdir' then 0 when 'rmdir_if_empty' then 2 else 1 end as phase, len(string_split(from_, '/')) as depth from s where inverse is not null)
+select title_id, cast(row_number() over (partition by title_id order by phase, case phase when 0 then depth when 2 then -depth else 0 end, ts desc, line desc) as integer) as place, line, inverse,
+  case when inverse <> 'mkdir' then to_ end as source, case when inverse in ('move_back', 'restore_and_delete', 'restore', 'mkdir') then from_ end as target from p
+""")
+def rollback_latest_runs(spark, d):
+    """What undoes the latest run of each title, in an order in which it can be done."""
+    read(spark, d, "events").createOrReplaceTempView("_journal_events")
+    lines = spark.sql(_LINES.replace("from events", "from _journal_events")).withColumnRenamed("to_", "to")
+    return journal.rollback_steps(journal.latest_runs(lines), ("title_id",))
+
+
 @query("select user_id as title_id, count(*)::bigint as n, max(value) as top from events where ts >= timestamp '2024-01-05' and user_id in (select c_custkey from customer where c_mktsegment <> 'BUILDING') group by 1")
 def run_filter(spark, d):
     """Lines of some titles since a time."""

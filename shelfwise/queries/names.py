@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names
+from shelfwise.operators import ordering
 from shelfwise.registry import query, read
 
 _RAW = """case p_partkey % 7 when 0 then p_name || ': ' || p_brand when 1 then p_brand || '/' || p_name when 2 then '<' || p_name || '>?' when 3 then 'con' when 4 then '"' || p_name || '" | ' || p_brand || '…'
@@ -70,14 +71,16 @@ def letter_bucket(spark, d):
 select p_partkey, row_number() over (order by ltrim(ltrim(lower(p_name), 'the '), 'a '), p_partkey)::int as place from part
 """)
 def article_sort(spark, d):
-    """Places in a list that sorts without articles: names are few and counted first; places inside a name are ranked apart."""
-    from pyspark.sql import Window
-
+    """Places in a list that sorts without articles."""
     rows = read(spark, d, "part").select("p_partkey", names.article_sort_key(F.col("p_name")).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))  # a row for each distinct name
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("key").orderBy("p_partkey"))
-    return rows.withColumn("own", own).join(before, "key").select("p_partkey", (F.col("before") + F.col("own")).cast("int").alias("place"))
+    return ordering.running(rows, [F.col("key"), F.col("p_partkey")]).select("p_partkey", F.col("place").cast("int").alias("place"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(dense_rank() over (order by l_shipdate, l_returnflag) as bigint) as batch_id from lineitem")
+def dense_ids(spark, d):
+    """Numbers without gaps for dates and flags, in their order."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    return ordering.dense(lines, ["l_shipdate", "l_returnflag"], "batch_id").drop("l_shipdate", "l_returnflag")
 
 
 _NAME = """case l_orderkey % 12 when 0 then 'My.Show.S' || cast(l_partkey % 30 as string) || 'E0' || cast(l_linenumber as string) || '.720p.mkv' when 1 then 'My Show ' || cast(l_partkey % 30 as string) || 'x0' || cast(l_linenumber as string) || '.avi'
@@ -246,3 +249,15 @@ def variants(spark, d):
     rows = read(spark, d, "part").select("p_partkey", F.expr(_STEMS).alias("s"))
     rows = rows.select("p_partkey", names.variant(F.col("s")).alias("variant"), names.format_3d(F.col("s")).alias("format"), names.extra_label(F.col("s")).alias("extra"))
     return rows.withColumn("template", names.variant_template(F.lit("N {{imdb-x}}"), F.col("variant"), F.col("format")))
+
+
+#: Words as they are and as they look when their UTF-8 was read as Latin-1, some of them beyond repair.
+_DAMAGED = "case c_custkey % 7 when 0 then concat('Caf\u00e9 ', c_name) when 1 then concat('Caf\u00c3\u00a9 ', c_name) when 2 then concat('\u00c3\u00a9 \u00c4 ', c_name) when 3 then concat('\u00c3\u00a9 \u4e2d ', c_name) when 4 then concat('Alegr\u00c3\u00ada ', c_name, ' \u00c2\u00bf') when 5 then concat('\u00c4\u00a9 ', c_name) else c_name end"
+
+
+@query("""
+select c_custkey, case c_custkey % 7 when 0 then concat('Caf\u00e9 ', c_name) when 1 then concat('Caf\u00e9 ', c_name) when 2 then concat('\u00c3\u00a9 \u00c4 ', c_name) when 3 then concat('\u00c3\u00a9 \u4e2d ', c_name) when 4 then concat('Alegr\u00eda ', c_name, ' \u00bf') when 5 then concat('\u00c4\u00a9 ', c_name) else c_name end as name from customer
+""")
+def repaired_names(spark, d):
+    """Names whose letters were read in the wrong encoding, where that can be told and undone."""
+    return read(spark, d, "customer").select("c_custkey", names.repaired(F.expr(_DAMAGED)).alias("name"))

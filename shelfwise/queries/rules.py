@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names
-from shelfwise.operators import keepers
+from shelfwise.operators import collisions, keepers, ordering
 from shelfwise.plans import scoring
 from shelfwise.registry import query, read
 
@@ -89,9 +89,29 @@ select p_partkey, p_name || case when n > 1 then '.' || n else '' end as name fr
 """)
 def collision_suffixes(spark, d):
     """Names made distinct: the second of equal ones gets .2, the third .3."""
-    n = F.row_number().over(Window.partitionBy(F.lower("p_name")).orderBy("p_partkey"))
-    rows = read(spark, d, "part").select("p_partkey", "p_name", n.alias("n"))
-    return rows.select("p_partkey", F.when(F.col("n") > 1, F.concat_ws(".", "p_name", "n")).otherwise(F.col("p_name")).alias("name"))
+    wants = read(spark, d, "part").select(F.lit("").alias("folder"), F.col("p_partkey").alias("place"), F.col("p_name").alias("name"))
+    return collisions.distinct_names(wants).select(F.col("place").alias("p_partkey"), F.col("final").alias("name"))
+
+
+_WANTED = "case l_suppkey % 7 when 0 then 'film.en.srt' when 1 then 'Film.en.srt' when 2 then 'film.en.2.srt' when 3 then 'film.en.3.srt' when 4 then 'film.en.2.2.srt' when 5 then 'film.nfo' else 'film.en.srt' end"
+
+
+@query(f"""
+with recursive w as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as place, {_WANTED} as name from lineitem),
+r as (select l_orderkey, 1 as place, name, case when lower(name) = 'film.nfo' then 'film.2.nfo' else name end as final, ['film.nfo', case when lower(name) = 'film.nfo' then 'film.2.nfo' else lower(name) end] as seen from w where place = 1
+  union all select l_orderkey, place, name, final, list_append(seen, lower(final)) from (
+    select w.l_orderkey, w.place, w.name, seen, case when not list_contains(seen, lower(w.name)) then w.name
+      else regexp_replace(w.name, '\.[^.]*$', '') || '.' || list_min([i for i in range(2, 60) if not list_contains(seen, lower(regexp_replace(w.name, '\.[^.]*$', '') || '.' || i || regexp_extract(w.name, '\.[^.]*$')))]) || regexp_extract(w.name, '\.[^.]*$') end as final
+    from r join w on w.l_orderkey = r.l_orderkey and w.place = r.place + 1))
+select l_orderkey, cast(place as bigint) as place, name, final from r
+""")
+def collision_chains(spark, d):
+    """Names of an order's files beside a film.nfo that is there: numbered ones never meet files that bear such a name."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.expr(_WANTED).alias("name"))
+    placed = ordering.running(lines, [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")], ("l_orderkey",))
+    wants = placed.select(F.col("l_orderkey").alias("folder"), "place", "name")
+    there = wants.select("folder", F.lit("film.nfo").alias("name")).distinct()
+    return collisions.distinct_names(wants, there).select(F.col("folder").alias("l_orderkey"), "place", "name", "final")
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 import json
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +58,17 @@ def test_names(spark):
     assert values(spark, names.leading_number(F.col("x")), "07 - x", "1999 x", "x 7") == [7, None, None]
     assert values(spark, names.folder_tokens(F.col("x")), "The Big Show (1999) [x264] 720p", "Disc 2 T00 Mr. Bean's 1080p", "") == [["big"], ["mr", "bean"], [""]][:2] + [[]]
     assert values(spark, names.series_name(F.col("x")), "My.Show.S01E02.720p.mkv", "My Show 1x02.avi") == ["My Show", "My Show"]
-    assert values(spark, names.repaired(F.col("x")), "CafÃ©", "Café") == ["Café", "Café"]
+    damage = ["CafÃ©", "Café", "Ã© Ä", "Ã© 中", "AlegrÃ\xada", "Ä©", "", "Ã\xa9\nÃ¼", "Â", "Ã\x80 x"]
+
+    def by_python(s):
+        if not re.search("[\u00c0-\u00c3][\u0080-\u00bf]", s):
+            return s
+        try:
+            return s.encode("latin-1").decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return s
+
+    assert values(spark, names.repaired(F.col("x")), *damage) == [by_python(s) for s in damage]
     assert values(spark, names.article_sort_key(F.col("x")), "The Hat") == ["t"]
 
 
