@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.memory import give_back, slices
 from shelfwise.llm.tables import staged
-from shelfwise.llm.tokens import encoder
+from shelfwise.llm.tokens import CHUNK_CHARS, OVERLAP_CHARS, encoder
 
 CAPACITY = 4_096
 #: The id that ends every document.
@@ -23,6 +23,8 @@ END_ID = 1
 #: Pieces to a partition of the packing, about.
 GROUP_ROWS = 50_000
 ROUNDS = 6
+#: Distinct pieces of text that a worker remembers here, where other workers wait beside it.
+MEMO = 240_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 FIELDS = PACKED + ", salt bigint, released boolean"
@@ -36,7 +38,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = encoder(path, sys.maxsize).encoded
+        encoded = encoder(path, sys.maxsize, CHUNK_CHARS, OVERLAP_CHARS, MEMO).encoded
         for rows in slices(batches, 1024):
             docs = rows.column("doc_id").to_pylist()
             for first, ids, ends in encoded([t or "" for t in rows.column("text").to_pylist()]):

@@ -165,7 +165,7 @@ def distinct_pieces(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple
 class Encoder:
     """Ids of whole texts as the `tokenizers` library gives them without added special tokens."""
 
-    def __init__(self, path: str, huge_chars: int = HUGE_CHARS, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS):
+    def __init__(self, path: str, huge_chars: int = HUGE_CHARS, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, memo: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,7 +174,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.shape = _shape(path)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.huge, self.chunk, self.overlap = huge_chars, chunk_chars, overlap_chars
+        self.huge, self.chunk, self.overlap, self.memo = huge_chars, chunk_chars, overlap_chars, memo
         # the ids of the pieces met lately, and of those met before them
         self.fresh: dict[bytes, bytes] = {}
         self.stale: dict[bytes, bytes] = {}
@@ -253,7 +253,7 @@ class Encoder:
                     fresh[p] = known
         self._learn(new)
         out = list(map(fresh.__getitem__, pieces))
-        if len(fresh) > MEMO // 2:
+        if len(fresh) > (self.memo or MEMO) // 2:
             self.fresh, self.stale = {}, fresh
         return out
 

@@ -26,7 +26,7 @@ BLOCK = 16
 #: Share of the entries from which a term is a common one.
 COMMON = 0.05
 #: Texts that meet the common terms at once; texts and words that a worker remembers.
-TOGETHER, MEMO = 64, 50_000
+TOGETHER, MEMO = 64, 10_000
 THRESHOLD = 0.7
 #: Share of a vector's squared length that its telling terms take; all its words take the rest.
 TELLING = 0.8
