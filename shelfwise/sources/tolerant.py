@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
+import contextlib
+import csv
+import io
+import itertools
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JOURNAL = "ts timestamp, run_id string, title_id bigint, stage string, op string, from_ string, to string, size bigint, result string, reason string"
 
 
+csv.field_size_limit(min(sys.maxsize, 2**31 - 1))  # a cell may be long
+
+
 def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
     """(path, size_bytes, mtime) of all files below a folder, without those under a folder named in `skip`; contents are
     not read."""
@@ -18,35 +26,52 @@ def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataF
     return found.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*skip))) if skip else found
 
 
-def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of a path by their encodings, each by its whole content: UTF-16 by a byte order mark, else UTF-8 if all
-    bytes decode, else Latin-1. Only names come to the driver."""
-    found = spark.read.format("binaryFile").load(path)
-    marked = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
-    encoding = F.when(marked, "UTF-16").when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1")
-    by: dict[str, list[str]] = {}
-    for name, e in found.select("path", encoding).orderBy("path").collect():
-        by.setdefault(e, []).append(name)
-    return by
+def decoded(content: bytes) -> str:
+    """A file's text: UTF-16 by a byte order mark, else UTF-8 if all bytes decode, else Windows-1252 if they do, else Latin-1."""
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return content.decode("utf-16", "replace")
+    for encoding in ("utf-8-sig", "cp1252"):
+        with contextlib.suppress(UnicodeDecodeError):
+            return content.decode(encoding)
+    return content.decode("latin-1")
 
 
-#: Windows-1252 has characters where Latin-1 has controls.
-_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
-_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+def _records(content: bytes, sep: str) -> tuple[list[str], Iterator[list[str]]]:
+    """(names of the header, rows) of a CSV file; zero characters are dropped."""
+    rows = csv.reader(io.StringIO(decoded(content).replace("\0", ""), newline=""), delimiter=sep)
+    return next(rows, []), rows
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as strings, quoted line ends kept, zero characters dropped, blank cells null."""
-    by = encodings(spark, path)
-    parts = [_read_csv(spark, [path] if len(by) == 1 else [re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in names], sep, e) for e, names in by.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts or [_read_csv(spark, [path], sep, "UTF-8")])
-
-
-def _read_csv(spark: SparkSession, paths: list[str], sep: str, encoding: str) -> DataFrame:
-    rows = spark.read.csv(paths, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
-    left, right = (_CONTROLS, _WINDOWS) if encoding == "ISO-8859-1" else ("", "")
-    clean = lambda c: F.nullif(F.trim(F.translate(F.translate(F.col(f"`{c}`"), left, right), "\x00", "")), F.lit(""))
-    return rows.select(*[clean(c).alias(c.replace("\x00", "").lstrip("\ufeff")) for c in rows.columns])
+    """All columns as strings, quoted line ends kept, zero characters dropped, blank cells null, of a file or a folder of files in
+    any mixture of encodings. Each file is decoded where it is read, by its whole content; only the names of columns come to
+    the driver. Files may differ in their columns: the result has those of all, in the order of the first file that has
+    them. Cells beyond a file's header are left out; a name that occurs twice in a header counts where it comes last.
+    A file is a row of the scan, so one of more than 2 GB raises an error."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for name, content in zip(files.path, files.content, strict=True):
+                header, _ = _records(content, sep)
+                yield pd.DataFrame({"name": header, "path": name, "place": range(len(header))})
+
+    named = found.mapInPandas(headers, "name string, path string, place int")
+    names = [r.name for r in named.groupBy("name").agg(F.min(F.struct("path", "place")).alias("first")).orderBy("first").collect()]  # the columns
+    if not names:
+        return spark.createDataFrame([], "value string").limit(0)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for content in files.content:
+                header, records = _records(content, sep)
+                at = [{n: k for k, n in enumerate(header)}.get(n) for n in names]
+                records = (r for r in records if r)
+                while some := list(itertools.islice(records, 10_000)):
+                    yield pd.DataFrame([[(r[k].strip() or None) if k is not None and k < len(r) else None for k in at] for r in some], columns=range(len(names)), dtype=object)
+
+    numbered = found.select("path", "content").mapInPandas(rows, ", ".join(f"`{k}` string" for k in range(len(names))))
+    return numbered.toDF(*names)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

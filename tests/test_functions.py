@@ -225,3 +225,21 @@ def test_csv_encoding_is_each_files_own_over_all_its_bytes(spark, tmp_path):
     found = {r["n"]: r["name"] for r in tolerant.read_csv(spark, str(tmp_path)).distinct().collect()}
     assert found == {"1": "plain", "2": "café “x”", "3": "naïve"}
     assert tolerant.read_csv(spark, str(tmp_path / "a.csv")).where("n = 2").first()["name"] == "café “x”"
+
+
+def test_csv_of_many_files_in_three_encodings(spark, tmp_path):
+    """Columns of all files, quoted line ends, ragged rows, bytes that no Windows character has, and one plan for the folder."""
+    for k in range(30):
+        text = f"name,n{',more' if k % 5 == 0 else ''}\n\"caf\u00e9, {k}\",{k}{',x' if k % 5 == 0 else ''}\n\n\"two\nlines\",\n short\n"
+        encoding = ("utf-8-sig", "cp1252", "utf-16")[k % 3]
+        (tmp_path / f"f{k:02}.csv").write_bytes(text.encode(encoding))
+    (tmp_path / "z.csv").write_bytes("n,name\n1,\u20acuro\n".encode("cp1252") + b"2,\x81\x80\n3,a\x00b,beyond\n")
+    (tmp_path / "zz.csv").write_bytes(b"")
+    df = tolerant.read_csv(spark, str(tmp_path))
+    assert df.columns == ["name", "n", "more"]
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == 30 * 3 + 3
+    assert sorted(r for r in rows if r[0] and r[0].startswith("caf")) == sorted((f"caf\u00e9, {k}", str(k), "x" if k % 5 == 0 else None) for k in range(30))
+    assert rows.count(("two\nlines", None, None)) == 30 and rows.count(("short", None, None)) == 30
+    assert {r for r in rows if r[1] in ("1", "2", "3") and not r[0].startswith("caf")} == {("\x80uro", "1", None), ("\x81\x80", "2", None), ("ab", "3", None)}
+    assert tolerant.read_csv(spark, str(tmp_path / "zz.csv")).count() == 0
