@@ -111,3 +111,69 @@ def leftovers(files: DataFrame, new_tree: DataFrame) -> DataFrame:
     out = out.join(first, "key", "left")
     last = F.when((F.col("decision") == "NEEDS_RENAME") & (F.col("first") != F.col("id")), "NEEDS_RENAME_LOSER").otherwise(F.col("decision"))
     return out.select("id", last.alias("decision"), F.when(last.isin("NEEDS_RENAME", "NEEDS_RENAME_LOSER"), F.col("target")).alias("place"))
+
+
+#: Review reasons by what becomes of them: dropped as the folder is trusted, a sign of an artist that is too short, a
+#: sign that the old place was right, and dropped if it is the only one.
+TRUST_FOLDER, SHORT_ARTIST, KEEP_OLD, ALONE = ("artist_tag_disagrees", "album_tag_disagrees"), ("artist_too_short",), ("album_looks_like_compilation", "album_is_just_a_year", "album_unknown"), ("many_changes",)
+#: From so many changes on a row is an improvement; beginnings that are no artists.
+MANY_CHANGES, NO_ARTIST = 3, ("the album", "track")
+
+
+def artist_of_file(path: Column) -> Column:
+    """The artist that "Artist - Title" or "01 Artist - Album - Title" names, of two characters or more; null if none does."""
+    name = F.substring_index(F.rtrim(F.translate(path, "/", "\\"), F.lit("\\")), "\\", -1)
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"^\s*[0-9]{1,3}[\s\-_.]+", "")
+    artist = F.trim(F.substring_index(stem, " - ", 1))
+    no_artist = F.lower(artist).rlike("^(?:" + "|".join(NO_ARTIST) + ")")
+    return F.when(stem.contains(" - ") & (F.length(artist) >= 2) & ~no_artist, artist)
+
+
+def _transitions(recover: bool) -> tuple:
+    """What becomes of a reason, as rules in order: (when it applies, what it does). A rule sees the reason, how many there are, and
+    the state so far; it drops the reason, keeps it, sets the row to keep the old, or puts the file's artist in place."""
+    short = lambda r, n, s: r.isin(*SHORT_ARTIST)
+    single = lambda s: names.single_letter(s["artist"])
+    rules = [(lambda r, n, s: r.isin(*TRUST_FOLDER), "drop")]
+    if recover:
+        rules.append((lambda r, n, s: short(r, n, s) & single(s) & s["file"].isNotNull(), "recover"))
+    return (
+        *rules,
+        (lambda r, n, s: short(r, n, s) & single(s), "keep_old"),
+        (lambda r, n, s: short(r, n, s) & names.plausible_artist(s["artist"]), "drop"),
+        (lambda r, n, s: r.isin(*KEEP_OLD), "keep_old"),
+        (lambda r, n, s: r.isin(*ALONE) & (n == 1), "drop"),
+        (lambda r, n, s: F.lit(True), "keep"),
+    )
+
+
+def reviewed(notes: Column, artist: Column, path: Column, changes: Column, recover: bool = False) -> Column:
+    """(classification, notes, artist, artist_source) of a row in review, by folding its reasons ("; " apart, in order) over the
+    transitions: REVIEW if a reason is left, KEEP_OLD if one says so or nothing changes, IMPROVEMENT if much does, else
+    AUTO_APPLY. A measure behind a reason, _(sim=0.5), does not matter for what becomes of it; `recover` lets the file's name
+    give an artist of one letter a better one, which later reasons see. Null notes are none; changes that are no number are 0."""
+    reasons = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), ";"), lambda r: F.trim(r)), lambda r: r != "")
+
+    def state(kept, keep_old, artist, source, file):
+        return F.struct(kept.alias("kept"), keep_old.alias("keep_old"), artist.alias("artist"), source.alias("source"), file.alias("file"))
+
+    def folded(all_reasons: Column) -> Column:
+        n = F.size(all_reasons)
+        start = state(F.array().cast("array<string>"), F.lit(False), artist, F.lit(None).cast("string"), artist_of_file(path))
+
+        def step(s: Column, raw: Column) -> Column:
+            plain = F.regexp_replace(raw, r"_\(sim=[0-9.]+\)", "")
+            effect = None
+            for rule, name in _transitions(recover):
+                effect = F.when(rule(plain, n, s), name) if effect is None else effect.when(rule(plain, n, s), name)
+            return names.let(effect, lambda e: state(F.when(e == "keep", F.concat(s["kept"], F.array(raw))).otherwise(s["kept"]), s["keep_old"] | (e == "keep_old"), F.when(e == "recover", s["file"]).otherwise(s["artist"]), F.when(e == "recover", "filename_recovered").otherwise(s["source"]), s["file"]))
+
+        return F.aggregate(all_reasons, start, step)
+
+    changed = F.coalesce(F.trim(changes.cast("string")).try_cast("int"), F.lit(0))
+
+    def outcome(s: Column) -> Column:
+        kind = F.when(F.size(s["kept"]) > 0, "REVIEW").when(s["keep_old"] | (changed == 0), "KEEP_OLD").when(changed >= MANY_CHANGES, "IMPROVEMENT").otherwise("AUTO_APPLY")
+        return F.struct(kind.alias("classification"), F.array_join(s["kept"], ";").alias("notes"), s["artist"].alias("artist"), s["source"].alias("artist_source"))
+
+    return names.let(names.let(reasons, folded), outcome)

@@ -161,3 +161,25 @@ def leftover_plan(spark, d):
     read(spark, d, "documents").createOrReplaceTempView("_left_documents")
     files, tree = (spark.sql(q.replace("from documents", "from _left_documents")) for q in (_LEFT, _NEW))
     return music.leftovers(files, tree)
+
+
+_REVIEWED = """select o_orderkey, concat_ws('; ', case when o_orderkey % 2 = 1 then 'artist_tag_disagrees_(sim=0.31)' end, case when o_orderkey % 3 = 0 then 'artist_too_short' end, case when o_orderkey % 5 = 0 then 'album_unknown' end,
+    case when o_orderkey % 7 = 0 then 'many_changes' end, case when o_orderkey % 11 = 0 then 'odd_one_(sim=0.5)' end) as notes,
+  case o_orderkey % 4 when 0 then 'U2' when 1 then 'A' when 2 then null else 'x y' end as artist, case when o_custkey % 2 = 1 then 'A/B/01 - Cher - Song.mp3' else 'A/02 Track one - x.mp3' end as path,
+  case when o_orderkey % 13 = 0 then 'x' else cast(o_orderkey % 5 as string) end as changes from orders"""
+
+
+@query(f"""
+with n as ({_REVIEWED.replace("as string)", "as varchar)")}),
+r as (select *, o_orderkey % 3 = 0 as short, coalesce(artist, 'A') = 'A' as single, path like '%Cher%' as named, o_orderkey % 7 = 0 and o_orderkey % 2 = 0 and o_orderkey % 3 > 0 and o_orderkey % 5 > 0 and o_orderkey % 11 > 0 as alone,
+  case when o_orderkey % 13 = 0 then 0 else o_orderkey % 5 end as n from n),
+k as (select *, concat_ws(';', case when short and artist = 'x y' then 'artist_too_short' end, case when o_orderkey % 7 = 0 and not alone then 'many_changes' end, case when o_orderkey % 11 = 0 then 'odd_one_(sim=0.5)' end) as kept from r)
+select o_orderkey, case when kept <> '' then 'REVIEW' when o_orderkey % 5 = 0 or (short and single and not named) or n = 0 then 'KEEP_OLD' when n >= 3 then 'IMPROVEMENT' else 'AUTO_APPLY' end as classification, kept as notes,
+  case when short and single and named then 'Cher' else artist end as artist, case when short and single and named then 'filename_recovered' end as artist_source from k
+""")
+def review_outcomes(spark, d):
+    """What becomes of rows in review, by folding their reasons over the rules."""
+    read(spark, d, "orders").createOrReplaceTempView("_review_orders")
+    rows = spark.sql(_REVIEWED.replace("from orders", "from _review_orders"))
+    found = music.reviewed(F.col("notes"), F.col("artist"), F.col("path"), F.col("changes"), recover=True)
+    return rows.select("o_orderkey", found.alias("r")).select("o_orderkey", "r.*")
