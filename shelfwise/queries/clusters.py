@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names
-from shelfwise.operators import graph, retrieval
+from shelfwise.operators import graph, prints, retrieval
 from shelfwise.operators.staging import staged
 from shelfwise.queries.names import _FOLDERS, tokens_sql
 from shelfwise.registry import query, read
@@ -66,12 +66,8 @@ def fingerprint_clusters(spark, d):
     signs = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
     number = lambda bits, n: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(bits, i) > 0, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
     numbers = F.array(number(F.slice(signs, 1, 6), 6), F.col("label").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), number(F.slice(signs, 33, 32), 32))
-    prints = read(spark, d, "embeddings").select("vec_id", numbers.alias("fp")).withColumn("bucket", F.slice("fp", 1, 4))
-    firsts = prints.groupBy("bucket", "fp").agg(F.min("vec_id").alias("first"))
-    same = prints.join(firsts, ["bucket", "fp"]).where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
-    a, b = (firsts.select("bucket", F.col("first").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab")
-    near = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (graph.bit_error_rate(F.col("fa"), F.col("fb")) <= 0.05)).select("a", "b")
-    return graph.components(same.unionByName(near)).select(F.col("id").alias("vec_id"), "component")
+    found = prints.groups(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), numbers.alias("fp")))
+    return found.select(F.col("id").alias("vec_id"), "component")
 
 
 @query("""
