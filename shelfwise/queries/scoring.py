@@ -133,35 +133,6 @@ def reason_pruning(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.array_join(scoring.pruned_reasons(notes, ("tag-disagree",)), "; ").alias("reasons"))
 
 
-_ISSUES = """
-select doc_id, unnest(list_filter([case when n_chars < 200 then 'too_small' end, case when lang <> 'en' then 'other_language' end, case when text like '%Licensed%' then 'license' end,
-  case when source = 'src0' then 'hot_folder' end], lambda c: c is not null)) as code from documents
-"""
-
-
-@query(_ISSUES.replace("list_filter([", "[c for c in [").replace("], lambda c: c is not null)", "] if c is not null]"))
-def verify_issues(spark, d):
-    """A row for each rule that a file breaks."""
-    rules = (F.col("n_chars") < 200, "too_small"), (F.col("lang") != "en", "other_language"), (F.col("text").contains("Licensed"), "license"), (F.col("source") == "src0", "hot_folder")
-    return read(spark, d, "documents").select("doc_id", F.explode(scoring.codes(*rules)).alias("code"))
-
-
-@query("""
-with t as (select o_custkey, o_orderdate, count(*) as n from orders group by all)
-select o_orderkey, 'no_files' as code from orders where o_orderkey not in (select l_orderkey from lineitem)
-union all select o_orderkey, 'target_collision' from orders join t using (o_custkey, o_orderdate) where n > 1
-union all select o_orderkey, 'unknown_owner' from orders where o_custkey not in (select c_custkey from customer)
-""")
-def preflight_issues(spark, d):
-    """What stands against carrying a plan out."""
-    orders = read(spark, d, "orders")
-    none = orders.join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", F.lit("no_files").alias("code"))
-    several = orders.groupBy("o_custkey", "o_orderdate").count().where("count > 1")
-    twice = orders.join(several, ["o_custkey", "o_orderdate"]).select("o_orderkey", F.lit("target_collision").alias("code"))
-    unknown = orders.join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("o_orderkey", F.lit("unknown_owner").alias("code"))
-    return none.unionByName(twice).unionByName(unknown)
-
-
 @query("""
 with c as (select conv_id, turn, case conv_id % 11 when 0 then 'error' when 1 then 'no_match' else 'match' end as status, (85 + turn % 16) / 100.0::double as s, conv_id % 9 > 0 as named, (conv_id % 11) / 10.0::double as tw, (turn % 7) / 6.0::double as aw,
   (conv_id % 13) / 12.0::double as t, ((conv_id + turn) % 5) / 4.0::double as a, conv_id % 4 > 0 as hint from conversations), b as (select *, greatest(t, tw) as bt, greatest(a, aw) as ba from c)

@@ -27,4 +27,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from shelfwise.queries import catalogue, clusters, curation, duplicates, episodes, intake, journals, names, planning, rules, scoring  # noqa: E402, F401
+from shelfwise.queries import catalogue, checks, clusters, curation, duplicates, episodes, intake, journals, names, planning, rules, scoring  # noqa: E402, F401
