@@ -32,6 +32,7 @@ _LISTS = "vec_id bigint, near array<struct<sim:double,id:bigint>>"
 
 def _unit(vectors) -> np.ndarray:
     x = np.stack(list(vectors)).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)  # squares of the largest and smallest numbers are not finite
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

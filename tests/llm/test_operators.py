@@ -456,6 +456,12 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_whose_squares_are_not_finite(spark):
+    given = [(0, [1e200, 1e200, 0.0]), (1, [1e-200, 1.01e-200, 0.0]), (2, [1e300, -1e300, 1.0]), (3, [5e-324, 0.0, 0.0]), (4, [1.0, 1.0, 0.0])]
+    out = {r["vec_id"]: r for r in rows(neighbours.near_vectors(spark.createDataFrame(given, "vec_id bigint, embedding array<double>")))}
+    assert {i: r["component_id"] for i, r in out.items()} == {0: 0, 1: 0, 4: 0, 2: 2, 3: 3} and out[0]["n_links"] == 2
+
+
 # --- 6 tokens
 
 
