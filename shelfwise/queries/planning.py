@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.plans import identify, music, stages
+from shelfwise.plans import identify, music, series, stages
 from shelfwise.registry import query, read
 
 
@@ -183,3 +183,35 @@ def review_outcomes(spark, d):
     rows = spark.sql(_REVIEWED.replace("from orders", "from _review_orders"))
     found = music.reviewed(F.col("notes"), F.col("artist"), F.col("path"), F.col("changes"), recover=True)
     return rows.select("o_orderkey", found.alias("r")).select("o_orderkey", "r.*")
+
+
+_TV_PLAN = """select s_suppkey as series_id, concat('I:/S', cast(s_suppkey as string)) as source_folder, concat('H:/TV/T', cast(s_suppkey % 40 as string)) as target_folder,
+  s_suppkey % 40 + case when s_suppkey % 7 = 3 then 1000 else 0 end as tmdb_series_id, concat('Show ', cast(s_suppkey as string)) as matched_series from supplier"""
+_TV_FILES = """select distinct l_suppkey as series_id, concat('I:/S', cast(l_suppkey as string), '/s', cast(l_linenumber % 3 as string), '/f', cast(l_orderkey as string), '_', cast(l_partkey as string), '_', cast(l_linenumber as string), '.mkv') as path, cast(l_quantity as bigint) as size,
+  concat('h', cast(l_partkey % 50 as string), '_', cast(l_linenumber % 3 as string), case when l_discount > 0.07 then 'x' else '' end) as hash, l_linenumber % 3 as season, l_partkey % 50 as episode from lineitem where l_linestatus = 'F'"""
+
+
+@query(f"""
+with p as ({_TV_PLAN.replace("as string)", "as varchar)")}), g as (select target_folder, min(series_id) as first, count(distinct tmdb_series_id) as ids from p group by 1),
+m as (select p.series_id, source_folder, p.target_folder as target, g.first as head, p.tmdb_series_id as tmdb from p join g on g.target_folder = p.target_folder where ids = 1),
+f as (select x.*, target, head, tmdb, 'S' || lpad(season::varchar, 2, '0') || 'E' || lpad(episode::varchar, 2, '0') as key, regexp_extract(path, '[^/]*$') as name from ({_TV_FILES.replace("as string)", "as varchar)")}) x join m on m.series_id = x.series_id),
+k as (select head, key, count(distinct hash) = 1 as same from f group by 1, 2),
+r as (select f.*, same, row_number() over (partition by f.head, f.key order by case when same then 0 else -size end, series_id, path) as place from f join k on k.head = f.head and k.key = f.key),
+kept as (select *, target || '/' || case when season = 0 then 'Specials' else 'Season 0' || season || ' ()' end as dir from r where place = 1)
+select m.series_id, 'A' as stage, 'fail' as op, cast(null as varchar) as source, target, 'no parseable episodes' as reason from m where head not in (select head from f)
+union all select series_id, 'B', 'quarantine', path, 'duplicates/' || target[7:] || '/sid' || series_id || '_' || key || '_' || name, case when same then 'duplicate_identical' else 'duplicate_smaller_size=' || size end from r where place > 1
+union all select distinct head, 'C', 'look_up', null, null, tmdb || ' season ' || season from kept
+union all select distinct head, 'E', 'mkdir', null, target, null from kept
+union all select distinct head, 'E', 'mkdir', null, dir, null from kept
+union all select series_id, 'F', 'move', path, dir || '/Show ' || head || ' ' || key || ' -.mkv', null from kept
+union all select distinct series_id, 'J', 'rmdir', 'I:/S' || series_id || '/s' || season, null, '0997' from f
+union all select distinct series_id, 'J', 'rmdir', 'I:/S' || series_id, null, '0998' from f
+""")
+def series_actions(spark, d):
+    """What carrying out a plan of series would do, sources that share a target merged."""
+    read(spark, d, "supplier").createOrReplaceTempView("_tv_supplier")
+    read(spark, d, "lineitem").createOrReplaceTempView("_tv_lineitem")
+    plan = spark.sql(_TV_PLAN.replace("from supplier", "from _tv_supplier"))
+    files = spark.sql(_TV_FILES.replace("from lineitem", "from _tv_lineitem")).withColumn("episode_end", F.lit(None).cast("int"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    return series.actions(plan, files, none("tmdb_series_id bigint, season int, year int"), none("tmdb_series_id bigint, season int, episode int, title string"), none("path string, size bigint, hash string"))
