@@ -609,6 +609,45 @@ def test_edit_distances():
     assert fingerprints._edit_distances(a, b).tolist() == [distance(x, y) for x, y in zip(a, b)]
 
 
+def slow_fingerprint(text):
+    """Byte by byte: the last eight bytes as a little-endian number, mixed, end a chunk where its top bits are zero; a chunk's character
+    is that of the sum of its windows' numbers, and what is left after the last character's chunk begins goes into it."""
+    data, mask, window, hashes = text.encode(), 2**64 - 1, 0, []
+    if not data:
+        return "0::"
+    for byte in data:
+        window = (window >> 8) | (byte << 56)
+        h = window * 0x9E3779B97F4A7C15 & mask
+        hashes.append((h ^ (h >> 29)) * 0xD6E8FEB86659FD93 & mask)
+
+    def chunks(bits):
+        out, total, n = [], None, 0
+        for h in hashes:
+            total = (total or 0) + h & mask
+            n += 1
+            if h >> (64 - bits) == 0 and len(out) < fingerprints.LENGTH - 1:
+                out.append(total)
+                total, n = None, 0
+        return out + ([total] if n else [])
+
+    def signature(bits):
+        return "".join(fingerprints.ALPHABET[(t * 0x9E3779B97F4A7C15 & mask) >> 58] for t in chunks(bits))
+
+    k = max(1, math.ceil(math.log2(len(data) / fingerprints.LENGTH)) + 1)
+    while k > 1 and sum(h >> (64 - k) == 0 for h in hashes) < fingerprints.LENGTH // 2:
+        k -= 1
+    return f"{k}:{signature(k)}:{signature(k + 1)}"
+
+
+def test_signatures_byte_by_byte():
+    rng = random.Random(12)
+    texts = ["a", "ab" * 400, "é" * 77, "\0" * 300, " ".join(str(rng.random()) for _ in range(900))]
+    texts += ["".join(rng.choices("abc dé中🙂", k=rng.randint(1, 4_000))) for _ in range(60)]
+    for t in texts:
+        assert fingerprints.fingerprint(t) == slow_fingerprint(t), t[:50]
+    assert len({fingerprints.fingerprint(t) for t in texts}) == len(texts)
+
+
 def test_fingerprints(corpus, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(fingerprints, "PART_ROWS", 13)
     for docs in (corpus, odd_docs):
