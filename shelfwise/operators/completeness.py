@@ -55,3 +55,18 @@ def with_edits(rows: DataFrame, edits: DataFrame, key: list[str], columns: list[
     for c in columns:
         joined = joined.withColumn(c, F.coalesce(F.nullif(F.trim(F.col(f"_was_{c}").cast("string")), F.lit("")), F.col(c).cast("string"))).drop(f"_was_{c}")
     return joined
+
+
+def episodes_on_disk(files: DataFrame) -> DataFrame:
+    """(series, season, episodes, videos) of video files (series, season_folder, name): the distinct episodes that names in season
+    folders give each season, a name with several all of them, in either order; and the number of videos in the season's folders,
+    null where no folder is of it. Names decide where they differ from their folder; "Specials" is season 0."""
+    folder = F.when(F.col("season_folder").rlike(r"(?i)^Specials\s*$"), 0).otherwise(F.regexp_extract("season_folder", r"(?i)^Season\s*([0-9]{1,3})(?:\s*\([0-9]{4}\))?\s*$", 1).try_cast("int"))
+    inside = files.withColumn("in_folder", folder).where("in_folder is not null")
+    pattern = r"(?i)S([0-9]{1,3})E([0-9]{1,4})(?:[-eE]+([0-9]{1,4}))?"
+    first, last = F.regexp_extract("name", pattern, 2).try_cast("int"), F.regexp_extract("name", pattern, 3).try_cast("int")
+    named = inside.select("series", F.regexp_extract("name", pattern, 1).try_cast("int").alias("season"), first.alias("a"), F.coalesce(last, first).alias("b")).where("season is not null")
+    each = named.select("series", "season", F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b"))).alias("episode")).distinct()
+    found = each.groupBy("series", "season").agg(F.count("*").alias("episodes"))
+    videos = inside.groupBy("series", F.col("in_folder").alias("season")).agg(F.count("*").alias("videos"))
+    return found.join(videos, ["series", "season"], "full_outer").select("series", "season", F.coalesce("episodes", F.lit(0).cast("long")).alias("episodes"), "videos")

@@ -68,3 +68,31 @@ def against_library(suspects: DataFrame, library: DataFrame, size: str, hash_: s
     joined = suspects.join(held, F.col(hash_) == F.col("_h"), "left").drop("_h")
     status = F.when(F.col(hash_).isNull(), "hash_failed").when(F.col("matches").isNotNull(), "duplicate").otherwise("unique")
     return joined.withColumn("status", status)
+
+
+def film_order(root: str) -> list:
+    """The order of a film's copies (unresolved, path, height, bitrate, size, confidence, title_id), the one to keep first: resolved, in a
+    folder with a year in brackets, not loose in `root`, then the greater height, bitrate, size and confidence, the longer path, and
+    the first title."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    number = lambda c: F.desc(F.coalesce(F.col(c), F.lit(0)))
+    return [
+        F.coalesce("unresolved", F.lit("")) != "",
+        ~F.substring_index(folder, "/", -1).rlike(r"\([0-9]{4}\)"),
+        folder == root.rstrip("/"),
+        *(number(c) for c in ("height", "bitrate", "size", "confidence")),
+        F.desc(F.length("path")),
+        F.col("title_id"),
+    ]
+
+
+#: Names that say season and episode and no more.
+CANONICAL = r"(?i)^S[0-9]{2}E[0-9]{2,3}\.srt$"
+
+
+def subtitle_order(ranker: str) -> list:
+    """The order of copies of a subtitle (path, size, mtime) by "largest", "canonical" or "newest": a name that is nothing but season and
+    episode counts first or second, the name decides last."""
+    name = F.substring_index("path", "/", -1)
+    size, plain = F.desc(F.coalesce("size", F.lit(0))), ~name.rlike(CANONICAL)
+    return {"largest": [size, plain, name], "canonical": [plain, size, name], "newest": [F.desc(F.coalesce("mtime", F.lit(0))), plain, name]}[ranker]

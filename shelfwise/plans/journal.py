@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions import names, paths
 from shelfwise.operators.ordering import running
 
 
@@ -93,3 +94,38 @@ def patched(manifest: DataFrame, moves: DataFrame, dropped: DataFrame, path: str
     left = manifest.join(dropped.select(F.col(path).alias("_d")), F.col(path) == F.col("_d"), "left_anti")
     renamed = left.join(moves.select(F.col("from_").alias("_f"), F.col("to").alias("_t")), F.col(path) == F.col("_f"), "left")
     return renamed.withColumn(path, F.coalesce("_t", path)).drop("_f", "_t")
+
+
+#: What image names add to a video's stem.
+DECORATIONS = ("-thumb", "-poster", "-fanart", "-banner", "-landscape", "-clearart", "-clearlogo", "-logo")
+SIDECARS = ("nfo", "xml", "srt", "sub", "idx", "ass", "ssa", "vtt", "sup", "smi", "jpg", "jpeg", "png", "tbn", "webp", "gif")
+
+
+def decoration(stem: Column) -> Column:
+    """What a sidecar's stem adds to its video's: the mark of an image, else a language of two or three letters; "" for none."""
+    mark = F.regexp_extract(stem, "(?i)(" + "|".join(DECORATIONS) + ")$", 1)
+    return F.when(mark != "", mark).otherwise(F.regexp_extract(stem, r"(\.\p{L}{2,3})$", 1))
+
+
+def swept(journal: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
+    """(source, path, outcome, to) of the sidecars among `files` (source, path) left in source folders: "video_present" where
+    their video is still there, "no_match" where no journal says where it went, "already_there" where the new name is
+    taken (`existing`: path), else "swept".
+
+    journal: written (when its file was), line, op, result, episode_key, from_, to. Of the successful renames and copies of
+    episodes with one stem, whatever its case, the last one says where the video is now."""
+    plain = lambda c: F.translate(c, "\\", "/")
+    stem = lambda c: F.regexp_replace(F.substring_index(plain(c), "/", -1), r"\.[^.]*$", "")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    done = journal.where(F.col("op").isin("rename", "copy") & (F.col("result") == "ok") & given("episode_key") & given("from_") & given("to"))
+    went = done.groupBy(F.lower(stem(F.col("from_"))).alias("base")).agg(F.max_by("to", F.struct("written", "line")).alias("video")).where("base <> ''")
+    named = files.select("source", "path", F.substring_index(plain(F.col("path")), "/", -1).alias("name")).withColumn("stem", stem(F.col("name")))
+    videos = named.where(paths.extension(F.col("name")).isin(*paths.EXTENSIONS["video"])).select("source", F.lower("stem").alias("base"), F.lit(True).alias("present")).distinct()
+    sides = named.where(paths.extension(F.col("name")).isin(*SIDECARS)).withColumn("mark", decoration(F.col("stem")))
+    sides = sides.withColumn("base", F.lower(F.substring(F.col("stem"), F.lit(1), F.length("stem") - F.length("mark"))))
+    found = sides.join(videos, ["source", "base"], "left").join(went, "base", "left")
+    clean = names.sanitized(F.concat(stem(F.col("video")), "mark", F.regexp_extract("name", r"(\.[^.]*)$", 1)), "plan")
+    found = found.withColumn("to", F.concat(F.regexp_extract(plain(F.col("video")), "^(.*/)[^/]*$", 1), clean))
+    found = found.join(existing.select(F.col("path").alias("to"), F.lit(True).alias("taken")).distinct(), "to", "left")
+    outcome = F.when(F.col("present"), "video_present").when(F.col("video").isNull(), "no_match").when(F.col("taken"), "already_there").otherwise("swept")
+    return found.select("source", "path", outcome.alias("outcome"), F.when(outcome.isin("already_there", "swept"), F.col("to")).alias("to"))

@@ -98,7 +98,6 @@ qualify row_number() over (partition by lang, source order by {sql_order}) = 1
 #: Rankings of copies of a subtitle, by name.
 RANKERS = {
     "largest": ("struct(-n_chars, doc_id)", "n_chars desc, doc_id"),
-    "canonical": ("struct(length(text) % 7, length(source), doc_id)", "length(text) % 7, length(source), doc_id"),
     "newest": ("struct(-doc_id)", "doc_id desc"),
 }
 for _name, _orders in RANKERS.items():
@@ -107,6 +106,36 @@ for _name, _orders in RANKERS.items():
     query(_sql)(_keep)
 
 
+_SRT = "case when l_partkey % 3 = 0 then concat('s01e', lpad(cast(l_partkey % 90 as string), 2, '0'), '.SRT') when l_partkey % 3 = 1 then concat('Show S01E', lpad(cast(l_partkey % 90 as string), 2, '0'), '.srt') else concat('S1E', cast(l_partkey as string), '.srt') end"
+
+
+@query(f"""
+with s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as size, {_SRT.replace("as string)", "as varchar)")} as name from lineitem)
+select l_orderkey, name, size, cast(row_number() over (partition by l_orderkey order by l_partkey % 3 > 0, size desc, name, l_linenumber, l_partkey, l_suppkey) as integer) as place from s
+qualify place = 1
+""".replace("\nqualify place = 1", "\nqualify row_number() over (partition by l_orderkey order by l_partkey % 3 > 0, size desc, name, l_linenumber, l_partkey, l_suppkey) = 1"))
+def subtitle_keeper_canonical(spark, d):
+    """Of each order's subtitles the one whose name is season and episode alone, then the largest, then the first by name."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("size"), F.expr(_SRT).alias("path"))
+    placed = keepers.best_first(rows, ["l_orderkey"], [*keepers.subtitle_order("canonical"), "l_linenumber", "l_partkey", "l_suppkey"])
+    return placed.where("place = 1").select("l_orderkey", F.col("path").alias("name"), "size", "place")
+
+
+_COPY = """select o_orderkey as title_id, o_custkey as film, case when o_orderkey % 6 = 0 then 'no match' end as unresolved, concat('H:/Movies', case o_orderkey % 4 when 0 then '' when 1 then concat('/Film (', cast(1990 + o_custkey % 30 as string), ')') when 2 then '/Film' else concat('/Set/Film ', cast(o_orderkey as string), ' (20)') end, '/f', cast(o_orderkey as string), '.mkv') as path,
+  case when o_orderkey % 5 > 0 then o_orderkey % 3 * 360 end as height, o_orderkey % 7 * 1000 as bitrate, cast(floor(o_totalprice) as bigint) as size, o_orderkey % 100 as confidence from orders"""
+
+
+@query(f"""
+with c as ({_COPY.replace("as string)", "as varchar)")})
+select title_id, film, cast(row_number() over (partition by film order by unresolved is not null, title_id % 4 <> 1, title_id % 4 = 0, coalesce(height, 0) desc, bitrate desc, size desc, confidence desc, length(path) desc, title_id) as integer) as place from c
+""")
+def film_keepers(spark, d):
+    """A film's copies in the order in which they are kept."""
+    read(spark, d, "orders").createOrReplaceTempView("_copies_orders")
+    copies = spark.sql(_COPY.replace("from orders", "from _copies_orders"))
+    return keepers.best_first(copies, ["film"], keepers.film_order("H:/Movies/")).select("title_id", "film", "place")
+
+
 @query("""
 with e as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice as size,
                   case when l_returnflag = 'R' then null else l_returnflag end as hash from lineitem),

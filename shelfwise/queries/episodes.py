@@ -212,3 +212,21 @@ def stamp_executed(spark, d):
     done = read(spark, d, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"))
     stamped = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
     return read(spark, d, "orders").join(done, "o_orderkey", "left").select("o_orderkey", F.coalesce(stamped, "last").alias("executed_at"))
+
+
+_DISK = """select l_suppkey as series, case l_partkey % 5 when 0 then 'Specials' when 1 then 'Season 01 (2001)' when 2 then 'season 2' when 3 then 'Extras' else 'Season03' end as season_folder,
+  case when l_linenumber % 4 = 0 then concat('x s', cast(l_partkey % 5 as string), 'e', cast(l_orderkey % 30 as string), '-E', cast(l_orderkey % 37 as string), '.mkv') when l_linenumber % 4 = 1 then 'trailer.mkv'
+    else concat('Show S0', cast(l_partkey % 4 as string), 'E', lpad(cast(l_orderkey % 40 as string), 2, '0'), ' - t.mkv') end as name from lineitem"""
+
+
+@query(f"""
+with f as (select l_suppkey as series, case l_partkey % 5 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end as folder, case when l_linenumber % 4 = 0 then l_partkey % 5 when l_linenumber % 4 > 1 then l_partkey % 4 end as season,
+    case when l_linenumber % 4 = 0 then least(l_orderkey % 30, l_orderkey % 37) else l_orderkey % 40 end as lo, case when l_linenumber % 4 = 0 then greatest(l_orderkey % 30, l_orderkey % 37) else l_orderkey % 40 end as hi from lineitem where l_partkey % 5 <> 3),
+e as (select series, season, count(distinct episode) as episodes from (select series, season, unnest(range(lo, hi + 1)) as episode from f where season is not null) group by 1, 2),
+v as (select series, folder as season, count(*) as videos from f group by 1, 2)
+select coalesce(e.series, v.series) as series, cast(coalesce(e.season, v.season) as integer) as season, coalesce(episodes, 0) as episodes, videos from e full join v on e.series = v.series and e.season = v.season
+""")
+def episodes_on_disk(spark, d):
+    """Distinct episodes of each season that files hold, several in one name included, and the videos in its folders."""
+    read(spark, d, "lineitem").createOrReplaceTempView("_disk_lineitem")
+    return completeness.episodes_on_disk(spark.sql(_DISK.replace("from lineitem", "from _disk_lineitem")))

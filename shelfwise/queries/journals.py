@@ -137,3 +137,24 @@ def cross_run_conflicts(spark, d):
     """Which file stays where an earlier run has left one."""
     read(spark, d, "lineitem").createOrReplaceTempView("_moves_lineitem")
     return spark.sql(_MOVE.replace("from lineitem", "from _moves_lineitem")).select("l_orderkey", "l_linenumber", journal.across_runs().alias("decision"))
+
+
+_SWEEP = """select event_id as line, cast(user_id % 5 as bigint) as written, case when event_id % 9 = 0 then 'mkdir' else 'rename' end as op, case when event_id % 7 = 0 then 'error' else 'ok' end as result, case when event_id % 11 > 0 then 'S01E01' end as episode_key,
+  concat('I:\\\\in\\\\', event_type, '\\\\Ep', cast(event_id % 400 as string), '.avi') as from_, concat('H:/TV/', event_type, '/Show ', cast(event_id as string), '.avi') as to_ from events"""
+_SIDES = """select concat('src', cast(o_custkey % 3 as string)) as source, concat('I:/src', cast(o_custkey % 3 as string), '/eP', cast(o_orderkey % 500 as string), case o_orderkey % 4 when 0 then '.en.srt' when 1 then '-Thumb.jpg' when 2 then '.nfo' else '.avi' end) as path from orders"""
+
+
+@query(rf"""
+with j as ({_SWEEP.replace("as string)", "as varchar)").replace(chr(92) * 4, "/")}), w as (select line % 400 as n, first(to_ order by written desc, line desc) as video from j where op = 'rename' and result = 'ok' and episode_key is not null group by 1),
+s as (select concat('src', o_custkey % 3) as source, o_orderkey % 500 as n, o_orderkey % 4 as kind, {_SIDES[_SIDES.index("concat('I:/src'") : _SIDES.index(" as path")].replace("as string)", "as varchar)")} as path from orders),
+v as (select distinct source, n from s where kind = 3)
+select s.source, path, case when v.n is not null then 'video_present' when video is null then 'no_match' when video like '%view%' and kind = 0 then 'already_there' else 'swept' end as outcome,
+  case when v.n is null then replace(video, '.avi', case kind when 0 then '.en.srt' when 1 then '-Thumb.jpg' else '.nfo' end) end as "to" from s left join v on v.source = s.source and v.n = s.n left join w on w.n = s.n where kind < 3
+""")
+def orphan_sidecars(spark, d):
+    """What becomes of sidecars left behind when their videos went."""
+    read(spark, d, "events").createOrReplaceTempView("_sweep_events")
+    read(spark, d, "orders").createOrReplaceTempView("_sweep_orders")
+    lines = spark.sql(_SWEEP.replace("from events", "from _sweep_events")).withColumnRenamed("to_", "to")
+    there = lines.where("to like '%view%'").select(F.regexp_replace("to", "[.]avi$", ".en.srt").alias("path"))
+    return journal.swept(lines, spark.sql(_SIDES.replace("from orders", "from _sweep_orders")), there)
