@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.plans import identify, music, series, stages
+from shelfwise.plans import identify, music, proposals, series, stages
 from shelfwise.registry import query, read
 
 
@@ -215,3 +215,47 @@ def series_actions(spark, d):
     files = spark.sql(_TV_FILES.replace("from lineitem", "from _tv_lineitem")).withColumn("episode_end", F.lit(None).cast("int"))
     none = lambda schema: spark.createDataFrame([], schema)
     return series.actions(plan, files, none("tmdb_series_id bigint, season int, year int"), none("tmdb_series_id bigint, season int, episode int, title string"), none("path string, size bigint, hash string"))
+
+
+_SKIPPED = """select s_suppkey as series_id, concat('I:/', p_name, case when s_suppkey % 3 = 0 then concat(' (', cast(1990 + p_size % 12 as string), ')') else '' end, ' complete') as source_folder, case when s_suppkey % 7 = 6 then 'AUTO' else 'SKIP' end as action,
+  case s_suppkey % 4 when 0 then 'no_tmdb_results' when 1 then 'x;multi_result_3' when 2 then 'no_tmdb_results;retmdb_attempted' else 'no_tmdb_results;y' end as flags, case when s_suppkey % 4 = 1 then s_suppkey end as tmdb_series_id,
+  cast(null as string) as matched_series, cast(null as int) as matched_year, cast(null as string) as target_folder, '10' as confidence, case when s_suppkey % 5 = 0 then 'seen' end as notes from supplier join part on p_partkey = s_suppkey"""
+_HEARD = """select query, year, cast(row_number() over (partition by query, year order by id) as int) as rank, id, name, first_year, votes, popularity from (
+  select p_name as query, y as year, min(p_partkey) as id, concat(p_name, case when p_brand like '%1' then '' else concat(' ', p_brand) end) as name, cast(min(1990 + p_size % 12) as int) as first_year, count(*) as votes, cast(count(*) * 3 as double) as popularity
+  from part lateral view explode(array(cast(null as int), 1990 + p_size % 12)) t as y where y is null or y = 1990 + p_size % 12 group by p_name, y, p_brand)"""
+
+
+def _skipped(spark, d):
+    for t in ("supplier", "part"):
+        read(spark, d, t).createOrReplaceTempView(f"_skipped_{t}")
+    return spark.sql(_SKIPPED.replace("from supplier join part", "from _skipped_supplier join _skipped_part"))
+
+
+@query()
+def series_proposals(spark, d):
+    """Candidates for series that no search settled, by one search after the other."""
+    plan = proposals.eligible(_skipped(spark, d), several=True)
+    hints = plan.where("series_id % 5 = 1").select("series_id", F.reverse(F.regexp_extract("source_folder", "^I:/(.*?)( [(].*)? complete$", 1)).alias("hint"))
+    found = proposals.proposed(plan, hints, spark.sql(_HEARD.replace("from part", "from _skipped_part")))
+    return found.select("series_id", "verdict", "strategy", "query", "year", F.to_json("candidates").alias("candidates"), "pick")
+
+
+@query(f"""
+with p as ({_SKIPPED.replace("as string)", "as varchar)")}),
+k as (select *, series_id % 6 < 5 as was_proposed, series_id % 6 as pick, 'n ' || series_id || ': x' as title, 2000 + series_id % 9 as yr from p),
+o as (select *, case when not was_proposed then null when pick = 0 then 'rejected' when pick > 2 then 'error' else 'accepted' end as outcome from k)
+select series_id, source_folder, case when outcome = 'accepted' then 'AUTO' else action end as action,
+  case when outcome = 'rejected' then case series_id % 4 when 0 then 'no_tmdb_results;retmdb_attempted' when 1 then 'x;multi_result_3;disambig_attempted' when 2 then flags else 'no_tmdb_results;y;retmdb_attempted' end
+    when outcome = 'accepted' then case series_id % 4 when 0 then 'retmdb_committed' when 1 then 'x;disambig_committed' when 2 then 'retmdb_attempted;retmdb_committed' else 'y;retmdb_committed' end else flags end as flags,
+  case when outcome = 'accepted' then series_id * 10 + pick else tmdb_series_id end as tmdb_series_id, case when outcome = 'accepted' then title end as matched_series, case when outcome = 'accepted' and pick = 1 then cast(yr as integer) end as matched_year,
+  case when outcome = 'accepted' then 'H:/TV/n ' || series_id || ' - x (' || case when pick = 1 then yr::varchar else '' end || ') {{tmdb-' || (series_id * 10 + pick) || '}}' end as target_folder, case when outcome = 'accepted' then '70' else confidence end as confidence,
+  case when outcome = 'accepted' then coalesce(notes || '; ', '') || case when series_id % 4 = 1 then 'disambig' else 'retmdb' end || ': matched via folder_clean (cand=' || pick || ')' else notes end as notes, outcome from o
+""".replace("{{", "{").replace("}}", "}"))
+def committed_proposals(spark, d):
+    """A plan after a user picked among two proposals for most of its rows, and a third that is not there for some."""
+    plan = _skipped(spark, d)
+    label = lambda n, year: F.concat((F.col("series_id") * 10 + n).cast("string"), F.lit("|n "), F.col("series_id").cast("string"), F.lit(": x"), year)
+    first = label(1, F.concat(F.lit(" ("), (2000 + F.col("series_id") % 9).cast("string"), F.lit(")")))
+    offered = F.array(F.struct(first.alias("label"), F.lit(0.9).alias("score")), F.struct(label(2, F.lit("")).alias("label"), F.lit(0.8).alias("score")))
+    picked = plan.where("series_id % 6 < 5").select("series_id", F.lit("folder_clean").alias("strategy"), offered.alias("candidates"), (F.col("series_id") % 6).cast("string").alias("pick"))
+    return proposals.committed(plan, picked, "H:/TV")
