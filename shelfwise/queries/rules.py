@@ -96,7 +96,7 @@ def collision_suffixes(spark, d):
 _WANTED = "case l_suppkey % 7 when 0 then 'film.en.srt' when 1 then 'Film.en.srt' when 2 then 'film.en.2.srt' when 3 then 'film.en.3.srt' when 4 then 'film.en.2.2.srt' when 5 then 'film.nfo' else 'film.en.srt' end"
 
 
-@query(f"""
+@query(rf"""
 with recursive w as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as place, {_WANTED} as name from lineitem),
 r as (select l_orderkey, 1 as place, name, case when lower(name) = 'film.nfo' then 'film.2.nfo' else name end as final, ['film.nfo', case when lower(name) = 'film.nfo' then 'film.2.nfo' else lower(name) end] as seen from w where place = 1
   union all select l_orderkey, place, name, final, list_append(seen, lower(final)) from (
