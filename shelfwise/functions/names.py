@@ -85,9 +85,8 @@ _BARE = r"(?<![a-z0-9])([0-9]{1,4})(?![a-z0-9])"
 _SPECIAL = r"\b(?:specials?|ova|oad|extras?|christmas|holiday|new ?year|behind the scenes|making of|deleted scenes?|gag reel|bloopers?)\b"
 
 
-def _episode(low: Column, season: Column, se: Column, x: Column, word: Column, bare: Column, absolute: bool) -> Column:
-    def group(match: Column, pattern: str, k: int) -> Column:
-        return found(match, pattern, k).try_cast("int")
+def _episode(low: Column, season: Column, absolute: bool) -> Column:
+    """The struct of parsed_episode. A pattern is tried where those before it found nothing, and its groups are taken in one go."""
 
     def result(season, episode, last, pattern, confidence, several):
         kept = F.when(last > episode, last)
@@ -96,42 +95,48 @@ def _episode(low: Column, season: Column, se: Column, x: Column, word: Column, b
         return F.struct(season.alias("season"), episode.alias("episode"), kept.alias("last"), F.lit(pattern).alias("pattern"), sure.alias("confidence"), F.coalesce(special, F.lit(False)).alias("special"), F.coalesce(last < episode, F.lit(False)).alias("falling"))
 
     none = F.lit(None).cast("int")
-    three = lambda m, p: [group(m, p, k) for k in (1, 2, 3)]
-    out = F.when(se != "", result(*three(se, _S_E), "s_e", F.lit(95), F.lit(90)))
-    out = out.when(x != "", result(*three(x, _X_FORM), "x_form", F.lit(88), F.lit(82)))
-    out = out.when(season.isNotNull() & (word != ""), result(season, *three(word, _EP_WORD)[1:], "season_ep", F.lit(80), F.lit(75)))
-    out = out.when(season.isNotNull() & bare.isNotNull(), result(season, bare, none, "season_bare", F.lit(65), F.lit(65)))
-    if absolute:
-        out = out.when(bare >= 2, result(F.lit(0), bare, none, "absolute", F.lit(40), F.lit(40)))
-    return out
+
+    def tried(pattern, found_, otherwise):
+        def groups(match):
+            parts = F.split(F.regexp_replace(match, pattern, "$1\u0001$2\u0001$3"), "\u0001")
+            return F.when(match != "", let(F.transform(parts, lambda g: g.try_cast("int")), found_)).otherwise(otherwise)
+
+        return let(F.regexp_extract(low, pattern, 0), groups)
+
+    numbers = F.filter(F.transform(F.regexp_extract_all(low, F.lit(_BARE), F.lit(1)), lambda n: n.try_cast("int")), lambda n: (n < 1900) | (n > 2099))
+
+    def bare(n):
+        out = F.when(season.isNotNull() & n.isNotNull(), result(season, n, none, "season_bare", F.lit(65), F.lit(65)))
+        return out.when(n >= 2, result(F.lit(0), n, none, "absolute", F.lit(40), F.lit(40))) if absolute else out
+
+    out = let(F.try_element_at(numbers, F.lit(1)), bare)
+    if not absolute:
+        out = F.when(season.isNotNull(), out)
+    in_folder = tried(_EP_WORD, lambda g: result(season, g[1], g[2], "season_ep", F.lit(80), F.lit(75)), out)
+    out = F.when(season.isNotNull(), in_folder).otherwise(out)
+    out = tried(_X_FORM, lambda g: result(g[0], g[1], g[2], "x_form", F.lit(88), F.lit(82)), out)
+    return tried(_S_E, lambda g: result(g[0], g[1], g[2], "s_e", F.lit(95), F.lit(90)), out)
 
 
 def _stem(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,4}$", ""))
 
 
-def _episode_parts(low: Column, folder: Column) -> dict[str, Column]:
+def _season_of(folder: Column) -> Column:
     of = F.lower(folder)
-    season = F.when(of.rlike(r"^\s*specials?\s*(?:\([0-9]{4}\))?\s*$"), 0).otherwise(found(of, r"^\s*season\s*([0-9]{1,3})\s*(?:\([0-9]{4}\))?\s*$").try_cast("int"))
-    numbers = F.filter(F.transform(F.regexp_extract_all(low, F.lit(_BARE), F.lit(1)), lambda n: n.try_cast("int")), lambda n: (n < 1900) | (n > 2099))
-    return {"low": low, "season": season, "se": F.regexp_extract(low, _S_E, 0), "x": F.regexp_extract(low, _X_FORM, 0), "word": F.regexp_extract(low, _EP_WORD, 0), "bare": F.try_element_at(numbers, F.lit(1))}
+    return F.when(of.rlike(r"^\s*specials?\s*(?:\([0-9]{4}\))?\s*$"), 0).otherwise(found(of, r"^\s*season\s*([0-9]{1,3})\s*(?:\([0-9]{4}\))?\s*$").try_cast("int"))
 
 
 def parsed_episode(name: Column, folder: Column, absolute: bool = False) -> Column:
     """(season, episode, last, pattern, confidence, special, falling) of a file's name, by the first pattern that fits: S01E02
     with an optional range, 1x02, "ep 2" or a bare number in a season's folder, and, if asked for, an absolute number. Numbers
     that are years are no episodes; a range that falls is cut to its first episode. `last` is null without a range."""
-    return _episode(**_episode_parts(_stem(name), folder), absolute=absolute)
+    return let(F.struct(_stem(name).alias("low"), _season_of(folder).alias("season")), lambda p: _episode(p["low"], p["season"], absolute))
 
 
 def with_episode(files: DataFrame, name: Column, folder: Column, into: str = "episode", absolute: bool = False) -> DataFrame:
-    """`files` with parsed_episode in a column: each pattern runs once over a name, and groups are taken out of what it
-    found."""
-    rest = ("season", "se", "x", "word", "bare")
-    out = files.withColumn("_low", _stem(name))
-    parts = _episode_parts(F.col("_low"), folder)
-    out = out.withColumns({f"_{k}": parts[k] for k in rest})
-    return out.withColumn(into, _episode(F.col("_low"), *[F.col(f"_{k}") for k in rest], absolute)).drop("_low", *[f"_{k}" for k in rest])
+    """`files` with parsed_episode in a column."""
+    return files.withColumn(into, parsed_episode(name, folder, absolute))
 
 
 _TAGS = rf"(?i)(?<![\w'])(?:{'|'.join(QUALITY_TAGS)})(?![\w'])"
