@@ -23,22 +23,20 @@ END_ID = 1
 #: Pieces to a partition of the packing, about.
 GROUP_ROWS = 50_000
 ROUNDS = 6
-#: Distinct pieces of text that a worker remembers here, where other workers wait beside it.
-MEMO = 240_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 FIELDS = PACKED + ", salt bigint, released boolean"
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, memo: int | None = None) -> DataFrame:
     """PIECES rows: each text's ids and `end_id`, cut into pieces of `capacity`, the last may be shorter. A null text has
-    the end alone; null and repeated ids stay."""
+    the end alone; null and repeated ids stay. `memo`: distinct pieces of text that a worker remembers, tokens.MEMO by default."""
     end = np.array([end_id], "<u4").tobytes()
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = encoder(path, sys.maxsize, CHUNK_CHARS, OVERLAP_CHARS, MEMO).encoded
+        encoded = encoder(path, sys.maxsize, CHUNK_CHARS, OVERLAP_CHARS, memo).encoded
         for rows in slices(batches, 1024):
             docs = rows.column("doc_id").to_pylist()
             for first, ids, ends in encoded([t or "" for t in rows.column("text").to_pylist()]):
@@ -156,7 +154,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     return reduce(DataFrame.unionByName, done)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, memo: int | None = None, **options) -> DataFrame:
     """PACKED rows of whole documents; the texts are read once and only the pieces' numbers are shuffled. An empty table
     gives an empty one; columns other than doc_id and text are left out."""
-    return pack(cut_pieces(docs, path, capacity, end_id), capacity, **options)
+    return pack(cut_pieces(docs, path, capacity, end_id, memo), capacity, **options)
