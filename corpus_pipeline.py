@@ -7,6 +7,9 @@ import public_tokenizers
 from shelfwise.llm import mixing, near_dups, packing, suffixes, toxicity
 from shelfwise.llm.tables import staged, table
 
+#: Distinct pieces of text that a packing worker remembers, where workers of other stages wait beside it.
+MEMO = 240_000
+
 
 def reject_toxic(spark, docs, sf_dir):
     """Documents under the toxicity threshold."""
@@ -30,7 +33,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of documents with their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
 STAGES = [
