@@ -31,13 +31,15 @@ def best_in_plan(guesses: DataFrame, plan: DataFrame, threshold: float = PLAN_SC
     greatest similarity if that is `threshold` or more, the first of them on ties. Guesses without letters or digits, and
     those that nothing fits, have null row and score.
 
-    Each plain name is matched once. Of 0.5 x the ratio + 0.35 x the words' overlap + 0.15 for one inside the other, at
-    least (threshold - 0.65) / 0.35 has to come from the words, so two names that match share many of them. For two
-    sizes of word sets that says how many, and that one of the rarest words of each is shared; names meet by these only.
-    Pairs whose lengths and words leave too little for the ratio are dropped before it is taken."""
-    least = (threshold - SEQUENCE - INSIDE) / WORDS
-    if least <= 0:
-        raise ValueError("below 0.65 names need not share a word")
+    Each plain name is matched once. A score is 0.5 x the ratio + 0.35 x the words' overlap + 0.15 for one inside the other. Of two
+    names apart, nearly all words are shared then, so one of the rarest few of each is, and they meet by these. Of a name
+    inside another, all words are in the other, but for its first and last, which may be parts of words there: they meet by
+    such runs of words. How many words are shared bounds the size of the other's words, which is part of what they meet by, so a word that
+    very many names have makes few pairs. Pairs whose lengths and words leave too little for the ratio are dropped before
+    it is taken."""
+    apart, inside = (threshold - SEQUENCE) / WORDS, (threshold - SEQUENCE - INSIDE) / WORDS
+    if inside <= 0:
+        raise ValueError("at 0.65 and below, names need not share a word")
     named = staged(guesses.select("id", plain(F.col("name")).alias("name")), "guesses")
     rows = staged(plan.select("row", plain(F.col("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.min("row").alias("row")), "plan-names")
     asked = named.where("name <> ''").select("name").distinct()
@@ -45,10 +47,14 @@ def best_in_plan(guesses: DataFrame, plan: DataFrame, threshold: float = PLAN_SC
     missed = asked.join(rows.select("name"), "name", "left_anti")
     left, right = (staged(df.select("name", _words(F.col("name")).alias("words")).where("size(words) > 0"), "title-words") for df in (missed, rows))
     often = left.unionByName(right).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    pairs = _keyed(left, often, least, "a", "b").join(_keyed(right, often, least, "b", "a"), ["word", "size_a", "size_b"]).select("name_a", "name_b", "words_a", "words_b").dropDuplicates(["name_a", "name_b"])
+    columns = ["name_a", "name_b", "words_a", "words_b"]
+    pairs = _keyed(left, often, apart, "a", "b").join(_keyed(right, often, apart, "b", "a"), ["word", "size_a", "size_b"]).select(columns)
+    for short, long, a, b in ((left, right, "a", "b"), (right, left, "b", "a")):
+        pairs = pairs.unionByName(_inner_runs(short, inside, a).join(_runs(long, b), ["run", "more", "size"]).select(columns))
+    pairs = pairs.dropDuplicates(["name_a", "name_b"])
     both = F.size(F.array_intersect("words_a", "words_b"))
-    inside = F.when(F.col("name_b").contains(F.col("name_a")) | F.col("name_a").contains(F.col("name_b")), INSIDE).otherwise(0.0)
-    pairs = pairs.withColumn("overlap", WORDS * (both / (F.size("words_a") + F.size("words_b") - both))).withColumn("inside", inside)
+    held = F.when(F.col("name_b").contains(F.col("name_a")) | F.col("name_a").contains(F.col("name_b")), INSIDE).otherwise(0.0)
+    pairs = pairs.withColumn("overlap", WORDS * (both / (F.size("words_a") + F.size("words_b") - both))).withColumn("inside", held)
     longest = 2 * F.least(F.length("name_a"), F.length("name_b")) / (F.length("name_a") + F.length("name_b"))
     pairs = pairs.where(SEQUENCE * longest + F.col("overlap") + F.col("inside") >= threshold - 1e-9)
     score = SEQUENCE * sequence_ratio("name_a", "name_b") + F.col("overlap") + F.col("inside")
@@ -72,6 +78,32 @@ def _keyed(names: DataFrame, often: DataFrame, least: float, own: str, other: st
     return keyed.select("r.word", F.col("n").alias(f"size_{own}"), F.col("m").alias(f"size_{other}"), F.col("name").alias(f"name_{own}"), F.col("words").alias(f"words_{own}"))
 
 
+def _inner_runs(names: DataFrame, least: float, own: str) -> DataFrame:
+    """(run, more, size, name, words): what a longer name which holds this one has, for each size of its words at which the overlap can
+    be `least`. It has a run of all tokens or of those without the first, the last or both, which may be parts of tokens there; and
+    either no more of the words (more is empty, and the run's words are all that is shared), or one of those left out as well."""
+    tokens = F.split("name", " ")
+    n = F.size(tokens)
+    cuts = F.transform(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))), lambda c: F.slice(tokens, c["a"] + 1, F.greatest(F.lit(0), n - c["a"] - c["b"])))
+    each = names.select("name", "words", F.explode(cuts).alias("cut")).where("size(cut) > 0")
+    shared = F.size(F.array_intersect("cut", "words"))
+    alone = F.when(shared > 0, F.floor(shared / least - F.size("words") + shared + F.lit(1e-9))).otherwise(0)
+    widest = F.floor(F.size("words") / least + F.lit(1e-9))
+    more = F.concat(F.array(F.struct(F.lit("").alias("more"), alone.cast("int").alias("most"))), F.transform(F.array_except("words", "cut"), lambda w: F.struct(w.alias("more"), widest.cast("int").alias("most"))))
+    spread = each.withColumn("m", F.explode(more)).where("m.most > 0").withColumn("size", F.explode(F.sequence(F.lit(1), F.col("m.most"))))
+    return spread.select(F.array_join("cut", " ").alias("run"), F.col("m.more").alias("more"), "size", F.col("name").alias(f"name_{own}"), F.col("words").alias(f"words_{own}"))
+
+
+def _runs(names: DataFrame, own: str) -> DataFrame:
+    """(run, more, size, name, words): all runs of a name's tokens, alone and with each of its other words, and how many words it has."""
+    tokens = F.split("name", " ")
+    n = F.size(tokens)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.slice(tokens, i, j - i + 1))))
+    each = names.select("name", "words", F.explode(F.array_distinct(runs)).alias("cut"))
+    more = F.explode(F.concat(F.array(F.lit("")), F.array_except("words", "cut")))
+    return each.select(F.array_join("cut", " ").alias("run"), more.alias("more"), F.size("words").alias("size"), F.col("name").alias(f"name_{own}"), F.col("words").alias(f"words_{own}"))
+
+
 class _Titles:
     """Plain titles of a block: how often each has each letter, their words."""
 
