@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions import paths
+from shelfwise.functions import paths, records
 from shelfwise.operators import trees
 from shelfwise.registry import query, read
 
@@ -119,3 +119,49 @@ def folder_ids(spark, d):
     tag = F.when(key % 2 == 0, F.concat(F.lit("{imdb-tt"), F.lpad(key.cast("string"), 7, "0"), F.lit("}"))).otherwise(F.concat(F.lit("{tmdb-"), key.cast("string"), F.lit("}")))
     name = F.concat(F.lit("Show ("), (1990 + key % 30).cast("string"), F.lit(") "), tag)
     return read(spark, d, "orders").select("o_orderkey", name.alias("n")).select("o_orderkey", paths.ids_in_name(F.col("n")).alias("i")).select("o_orderkey", "i.*")
+
+
+#: Records of films and metadata files out of parts, as the film service and people write them.
+_RECORD = """concat('{"id": ', cast(p_partkey as string), ', "title": "', p_name, ' & co", "release_date": "', case when p_partkey % 4 > 0 then '1999-01-02' else '' end, '", "vote_count": ', cast(p_partkey % 3 as string), ', "vote_average": ', cast(p_partkey % 5 as string), '.5',
+  ', "genres": [', case p_partkey % 3 when 0 then '' when 1 then concat('{"name": "', p_type, '"}') else concat('{"name": "', p_type, '"}, {"id": 5, "name": "Two"}') end, '], "belongs_to_collection": ', case when p_partkey % 5 > 1 then concat('{"name": "', p_brand, case when p_partkey % 2 = 0 then ' Collection' else '' end, '"}') else 'null' end,
+  ', "credits": {"cast": [', array_join(transform(sequence(1, cast(1 + p_partkey % 13 as int)), n -> concat('{"name": "A', cast(n as string), '", "character": "', case when n % 2 = 0 then '<c>' else '' end, '"}')), ', '), '], "crew": [{"name": "Ed", "job": "Editor"}', case when p_partkey % 7 > 0 then concat(', {"name": "Di', cast(p_partkey % 9 as string), '", "job": "Director"}, {"name": "Second", "job": "Director"}') else '' end, ']}',
+  ', "release_dates": {"results": [{"iso_3166_1": "DE", "release_dates": [{"certification": "16"}]}', case p_partkey % 4 when 0 then '' when 1 then ', {"iso_3166_1": "US", "release_dates": [{"certification": " "}, {"certification": " PG "}]}' else ', {"iso_3166_1": "US", "release_dates": [{"certification": ""}]}, {"iso_3166_1": "US", "release_dates": [{"certification": "R"}]}' end, ']}}')"""
+
+
+@query("""
+select p_partkey, case p_partkey % 4 when 0 then null when 1 then 'PG' else 'R' end as certification, case when p_partkey % 4 = 1 then 'PG' end as first_certification, case when p_partkey % 7 > 0 then 'Di' || (p_partkey % 9) end as director,
+  case p_partkey % 3 when 0 then null when 1 then p_type else p_type || ', Two' end as genres, case when p_partkey % 5 > 1 then p_brand end as collection,
+  '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<movie>' || chr(10) || '  <title>' || p_name || ' &amp; co</title>' || chr(10) || '  <year>1999</year>' || chr(10) || '  <tmdbid>' || p_partkey || '</tmdbid>' || chr(10)
+  || case when p_partkey % 5 > 1 then '  <set>' || chr(10) || '    <name>' || p_brand || case when p_partkey % 2 = 0 then ' Collection' else '' end || '</name>' || chr(10) || '  </set>' || chr(10) else '' end
+  || case when p_partkey % 4 > 0 then '  <premiered>1999-01-02</premiered>' || chr(10) else '' end || case p_partkey % 3 when 0 then '' when 1 then '  <genre>' || p_type || '</genre>' || chr(10) else '  <genre>' || p_type || '</genre>' || chr(10) || '  <genre>Two</genre>' || chr(10) end
+  || '  <rating>' || (p_partkey % 5) || '.5</rating>' || chr(10) || case when p_partkey % 3 > 0 then '  <votes>' || (p_partkey % 3) || '</votes>' || chr(10) else '' end || case p_partkey % 4 when 0 then '' when 1 then '  <mpaa>PG</mpaa>' || chr(10) else '  <mpaa>R</mpaa>' || chr(10) end
+  || array_to_string(['  <actor>' || chr(10) || '    <name>A' || n || '</name>' || chr(10) || case when n % 2 = 0 then '    <role>&lt;c&gt;</role>' else '    <role />' end || chr(10) || '  </actor>' || chr(10) for n in range(1, least(11, 2 + p_partkey % 13))], '')
+  || case when p_partkey % 7 > 0 then '  <director>Di' || (p_partkey % 9) || '</director>' || chr(10) || '  <director>Second</director>' || chr(10) else '' end || '</movie>' as nfo from part
+""")
+def film_records(spark, d):
+    """What nested records of films say by the rules for their lists, and the metadata file for each."""
+    f, none = F.col("f"), F.lit(None).cast("string")
+    rows = read(spark, d, "part").select("p_partkey", F.from_json(F.expr(_RECORD), records.FILM).alias("f"))
+    return rows.select(
+        "p_partkey",
+        records.certification(f).alias("certification"),
+        records.certification(f, all_entries=False).alias("first_certification"),
+        F.get(records.directors(f), F.lit(0)).alias("director"),
+        records.genres(f).alias("genres"),
+        records.collection(f).alias("collection"),
+        records.nfo_file(f["title"], F.lit(1999), f["id"], none, F.lit(None).cast("int"), f["belongs_to_collection"]["name"], f).alias("nfo"),
+    )
+
+
+_XML = """case p_partkey % 5 when 0 then concat('<movie><title> ', p_name, ' </title><year>c. 1999</year><imdbid> </imdbid><id>tt', lpad(cast(p_partkey as string), 7, '0'), '</id><tmdbid>no ', cast(p_partkey as string), '</tmdbid></movie>')
+  when 1 then concat('<movie><imdb_id>tt0000001</imdb_id><uniqueid type="IMDB">tt', lpad(cast(p_partkey as string), 8, '0'), '</uniqueid><uniqueid type="tmdb">', cast(p_partkey as string), '</uniqueid><tmdbid>1</tmdbid><runtime>90 min</runtime></movie>')
+  when 2 then concat('see https://www.themoviedb.org/movie/', cast(p_partkey as string), '-x or tt', lpad(cast(p_partkey as string), 7, '0')) when 3 then concat('<movie><title>broken ', p_name) else concat('<movie><originaltitle>', p_name, ' &amp; co</originaltitle><title/></movie>') end"""
+
+
+@query("""
+select p_partkey, case p_partkey % 5 when 0 then 'tt' || lpad(p_partkey::varchar, 7, '0') when 1 then 'tt' || lpad(p_partkey::varchar, 8, '0') when 2 then 'tt' || lpad(p_partkey::varchar, 7, '0') end as imdb_id, case when p_partkey % 5 < 3 then p_partkey end as tmdb_id,
+  case p_partkey % 5 when 0 then p_name when 4 then p_name || ' & co' end as title, case when p_partkey % 5 = 0 then 1999 end as year, case when p_partkey % 5 = 1 then 90 end as runtime from part
+""")
+def metadata_files(spark, d):
+    """What metadata files say: by tags where they are XML, by patterns where they are not."""
+    return read(spark, d, "part").select("p_partkey", records.nfo(F.expr(_XML)).alias("n")).select("p_partkey", "n.*")
