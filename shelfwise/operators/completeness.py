@@ -70,3 +70,31 @@ def episodes_on_disk(files: DataFrame) -> DataFrame:
     found = each.groupBy("series", "season").agg(F.count("*").alias("episodes"))
     videos = inside.groupBy("series", F.col("in_folder").alias("season")).agg(F.count("*").alias("videos"))
     return found.join(videos, ["series", "season"], "full_outer").select("series", "season", F.coalesce("episodes", F.lit(0).cast("long")).alias("episodes"), "videos")
+
+
+def show_summaries(seasons: DataFrame, capped: bool = True) -> DataFrame:
+    """A row for each show of seasons (show, season, expected, have; null: not there): seasons and episodes expected and owned of regular
+    seasons, the percentage, specials (season 0) apart, and lists of missing, incomplete and unexpected seasons.
+
+    `capped` counts no more of a season than is expected and leaves out what nobody expects; without it all that is owned of
+    seasons that are known counts, so a show may have more than a hundred per cent. Incomplete seasons read S02(3/8)."""
+    expected, have = F.coalesce("expected", F.lit(0)), F.coalesce("have", F.lit(0))
+    regular, known = F.col("season") > 0, F.col("expected").isNotNull()
+    wanted = regular & (expected > 0)
+    counted = F.when(wanted, F.least(have, expected)) if capped else F.when(regular & known, have)
+    listed = lambda rule, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(rule, F.struct("season", text.alias("text"))))), lambda x: x["text"]), ", ")
+    number = F.col("season").cast("string")
+    part = F.concat(F.lit("S"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit("("), have.cast("string"), F.lit("/"), expected.cast("string"), F.lit(")"))
+    sums = seasons.groupBy("show").agg(
+        F.count_if(wanted).alias("seasons_expected"),
+        F.count_if(regular & (have > 0) if capped else regular & known & (have > 0)).alias("seasons_have"),
+        F.sum(F.when(regular, expected).otherwise(0)).cast("long").alias("episodes_expected"),
+        F.coalesce(F.sum(counted), F.lit(0)).cast("long").alias("episodes_have"),
+        F.sum(F.when(F.col("season") == 0, expected).otherwise(0)).cast("long").alias("specials_expected"),
+        F.sum(F.when(F.col("season") == 0, have).otherwise(0)).cast("long").alias("specials_have"),
+        listed(wanted & (have == 0), number).alias("missing"),
+        listed(wanted & (have > 0) & (have < expected), part).alias("incomplete"),
+        listed(~known & (have > 0) & (regular if capped else F.lit(True)), number).alias("unexpected"),
+    )
+    share = F.round(F.coalesce(F.try_divide(100.0 * F.col("episodes_have"), F.col("episodes_expected")), F.lit(0.0)), 1)
+    return sums.withColumn("percent", share)

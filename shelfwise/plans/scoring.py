@@ -93,6 +93,13 @@ def replacement(old_pixels: Column, new_pixels: Column, old_rate: Column, new_ra
     )
 
 
+def episode_replacement(same_path: Column, exists: Column, old: tuple[Column, Column, Column], new: tuple[Column, Column, Column]) -> Column:
+    """What becomes of a new copy of an episode: "skip" where it is its own target, "move" where nothing is there, else by height,
+    bitrate and size (null: 0), the first that differs: "replace", "discard_new" or "tie"."""
+    key = lambda parts: F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(f"k{n}") for n, c in enumerate(parts)))
+    return _first((same_path, "skip"), (~exists, "move"), (key(new) > key(old), "replace"), (key(new) < key(old), "discard_new"), otherwise="tie")
+
+
 def duration_class(minutes: Column) -> Column:
     return _first((minutes < 10, "trivial"), (minutes < 25, "tv_short"), (minutes < 50, "tv_episode"), (minutes < 75, "tv_special"), (minutes < 240, "movie"), otherwise="oversized")
 

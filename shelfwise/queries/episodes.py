@@ -230,3 +230,23 @@ def episodes_on_disk(spark, d):
     """Distinct episodes of each season that files hold, several in one name included, and the videos in its folders."""
     read(spark, d, "lineitem").createOrReplaceTempView("_disk_lineitem")
     return completeness.episodes_on_disk(spark.sql(_DISK.replace("from lineitem", "from _disk_lineitem")))
+
+
+_SEASONS = """select o_custkey, o_orderkey % 5 as season, max(case when o_orderkey % 7 > 0 then o_orderkey % 10 end) as expected, max(case when o_orderkey % 3 > 0 then o_orderkey % 12 end) as have from orders group by 1, 2"""
+
+
+@query(f"""
+with s as ({_SEASONS}), t as (select *, coalesce(expected, 0) as e, coalesce(have, 0) as h from s),
+r as (select o_custkey, count(*) filter (where season > 0 and e > 0) as seasons_expected, count(*) filter (where season > 0 and h > 0) as seasons_have, coalesce(sum(e) filter (where season > 0), 0) as episodes_expected,
+  coalesce(sum(least(h, e)) filter (where season > 0 and e > 0), 0) as episodes_have, coalesce(sum(e) filter (where season = 0), 0) as specials_expected, coalesce(sum(h) filter (where season = 0), 0) as specials_have,
+  coalesce(string_agg(season::varchar, ', ' order by season) filter (where season > 0 and e > 0 and h = 0), '') as missing,
+  coalesce(string_agg('S0' || season || '(' || h || '/' || e || ')', ', ' order by season) filter (where season > 0 and h > 0 and h < e), '') as incomplete,
+  coalesce(string_agg(season::varchar, ', ' order by season) filter (where season > 0 and expected is null and h > 0), '') as unexpected from t group by 1)
+select o_custkey, seasons_expected, seasons_have, cast(episodes_expected as bigint) as episodes_expected, cast(episodes_have as bigint) as episodes_have, cast(specials_expected as bigint) as specials_expected, cast(specials_have as bigint) as specials_have, missing, incomplete, unexpected,
+  case when episodes_expected > 0 then round(100.0::double * episodes_have / episodes_expected, 1) else 0 end as percent from r
+""")
+def show_summaries(spark, d):
+    """Each show's seasons and episodes against what is expected, specials apart, with lists of seasons."""
+    read(spark, d, "orders").createOrReplaceTempView("_seasons_orders")
+    rows = spark.sql(_SEASONS.replace("from orders", "from _seasons_orders")).withColumnRenamed("o_custkey", "show")
+    return completeness.show_summaries(rows).withColumnRenamed("show", "o_custkey")

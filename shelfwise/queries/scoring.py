@@ -91,6 +91,24 @@ def quality_decision(spark, d):
     return rows.select("l_orderkey", "l_linenumber", scoring.replacement(F.col("op"), F.col("np"), F.col("o"), F.col("n")).alias("decision"))
 
 
+_EPISODE_COPIES = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey % 9 = 0 as same_path, l_partkey % 4 > 0 as there, l_partkey % 3 * 360 as old_height, l_suppkey % 3 * 360 as new_height,
+  case when l_partkey % 5 > 0 then l_linenumber % 2 end as old_rate, l_suppkey % 2 as new_rate, cast(floor(l_quantity / 10) as bigint) as old_size, cast(l_linenumber as bigint) as new_size from lineitem"""
+
+
+@query(f"""
+with c as ({_EPISODE_COPIES})
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when same_path then 'skip' when not there then 'move'
+  when new_height <> old_height then case when new_height > old_height then 'replace' else 'discard_new' end when new_rate <> coalesce(old_rate, 0) then case when new_rate > coalesce(old_rate, 0) then 'replace' else 'discard_new' end
+  when new_size > old_size then 'replace' when new_size < old_size then 'discard_new' else 'tie' end as decision from c
+""")
+def episode_quality_decision(spark, d):
+    """Whether a new copy of an episode replaces the one that is there, by height, then bitrate, then size."""
+    read(spark, d, "lineitem").createOrReplaceTempView("_copies_lineitem")
+    rows = spark.sql(_EPISODE_COPIES.replace("from lineitem", "from _copies_lineitem"))
+    keys = [tuple(F.col(f"{when}_{what}") for what in ("height", "rate", "size")) for when in ("old", "new")]
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scoring.episode_replacement(F.col("same_path"), F.col("there"), *keys).alias("decision"))
+
+
 _ALBUMS = "select p_partkey, p_name, p_brand, p_type, count(distinct l_suppkey) as artists from part join lineitem on l_partkey = p_partkey group by all"
 
 

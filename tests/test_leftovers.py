@@ -55,3 +55,13 @@ def test_episodes_in_season_folders(spark):
     got = completeness.episodes_on_disk(spark.createDataFrame([("x", *r) for r in rows], "series string, season_folder string, name string"))
     assert {(r.season, r.episodes, r.videos) for r in got.collect()} == {(0, 1, 1), (1, 5, 3), (2, 0, 2), (3, 1, None)}
     assert got.where(F.col("series").isNull()).count() == 0
+
+
+def test_summaries_of_shows(spark):
+    rows = [("a", 0, 3, 5), ("a", 1, 8, 8), ("a", 2, 8, 9), ("a", 3, 8, 3), ("a", 4, 5, None), ("a", 5, None, 2), ("a", 6, 0, 1), ("b", 1, None, None), ("c", 12, 2, 1)]
+    df = spark.createDataFrame(rows, "show string, season int, expected int, have int")
+    capped = {r.show: tuple(r)[1:] for r in completeness.show_summaries(df).collect()}
+    assert capped["a"] == (4, 5, 29, 19, 3, 5, "4", "S03(3/8)", "5", 65.5)
+    assert capped["b"] == (0, 0, 0, 0, 0, 0, "", "", "", 0.0) and capped["c"] == (1, 1, 2, 1, 0, 0, "", "S12(1/2)", "", 50.0)
+    whole = {r.show: (r.seasons_have, r.episodes_have, r.percent) for r in completeness.show_summaries(df, capped=False).collect()}
+    assert whole["a"] == (4, 21, 72.4)
