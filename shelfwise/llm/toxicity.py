@@ -313,7 +313,8 @@ def _packed(index: Index) -> bytes:
 
 
 def _unpacked(data: bytes) -> Index:
-    return pickle.loads(zstandard.decompress(data))
+    with zstandard.ZstdDecompressor().stream_reader(data) as stream:  # the unpacked bytes are never held whole
+        return pickle.load(stream)
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
