@@ -96,3 +96,22 @@ def subtitle_order(ranker: str) -> list:
     name = F.substring_index("path", "/", -1)
     size, plain = F.desc(F.coalesce("size", F.lit(0))), ~name.rlike(CANONICAL)
     return {"largest": [size, plain, name], "canonical": [plain, size, name], "newest": [F.desc(F.coalesce("mtime", F.lit(0))), plain, name]}[ranker]
+
+
+def image_order(kind: str, language: str = "en") -> list:
+    """The order of a title's images, the best first: by whether they are in `language` or in none, then
+
+    "poster" and "wide" by votes, then the narrower or wider in thousandths (lang, vote, width, height); "logo" by likes (lang, likes);
+    "series" by votes, then width, where images of the best class of languages alone count, null being the second (lang, vote,
+    width). Missing numbers are 0, a missing height is 1."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    if kind == "logo":
+        low = F.lower(F.coalesce("lang", F.lit("")))
+        return [F.when(low == language, 0).when(low.isin("", "00"), 1).otherwise(2), F.desc(number("likes"))]
+    if kind == "series":
+        return [F.when(F.col("lang") == language, 0).when(F.col("lang").isNull(), 1).otherwise(2), F.desc(number("vote")), F.desc(number("width"))]
+    known = F.coalesce("lang", F.lit(""))
+    rank = F.when(known == language, 0).when(known == "", 1).otherwise(2)
+    height = F.when(number("height") == 0, 1).otherwise(F.col("height"))
+    aspect = number("width") / F.greatest(height, F.lit(1))
+    return [rank, F.desc(number("vote")), ((-aspect if kind == "wide" else aspect) * 1000).cast("int")]

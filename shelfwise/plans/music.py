@@ -177,3 +177,35 @@ def reviewed(notes: Column, artist: Column, path: Column, changes: Column, recov
         return F.struct(kind.alias("classification"), F.array_join(s["kept"], ";").alias("notes"), s["artist"].alias("artist"), s["source"].alias("artist_source"))
 
     return names.let(names.let(reasons, folded), outcome)
+
+
+def file_hint(path: Column) -> Column:
+    """(artist, title, folder) that a music file's path names: "Artist - Title" after a track number, else the title alone; and the
+    folder under "Music", else the file's own."""
+    plain = F.translate(path, "/", "\\")
+    stem = F.regexp_replace(F.regexp_replace(F.substring_index(plain, "\\", -1), r"(?<=.)\.[^.]*$", ""), r"^\s*[0-9]{1,3}[\s\-_.]+", "")
+    parts = F.split(plain, r"\\")
+    at = F.array_position(parts, "Music").cast("int")
+    under = F.when((at > 0) & (at < F.size(parts)), F.get(parts, at)).when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).otherwise("")
+    split = stem.contains(" - ")
+    return F.struct(F.when(split, F.trim(F.substring_index(stem, " - ", 1))).otherwise("").alias("artist"), F.trim(F.when(split, F.regexp_replace(stem, "^.*? - ", "")).otherwise(stem)).alias("title"), under.alias("folder"))
+
+
+def held_share(a: Column, b: Column) -> Column:
+    """If one plain text holds the other, the shorter's share of the longer's length; else 0."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when((a != "") & (b != "") & (a.contains(b) | b.contains(a)), shorter / longer).otherwise(0.0)
+
+
+def first_acoustid_class(status: Column, score: Column, title: Column, artist: Column, hint: Column) -> Column:
+    """What to do with a fingerprint's match by its score, the better similarity of its title to the file's and of its artist to the
+    file's or the folder's, and whether there is any such hint."""
+    return (
+        F.when(F.trim(F.coalesce(status, F.lit(""))) != "match", F.concat(F.lit("SKIP_"), F.trim(F.coalesce(status, F.lit("")))))
+        .when((score >= 0.95) & (title >= 0.7) & (artist >= 0.5), "AUTO_APPLY")
+        .when((score >= 0.95) & (title >= 0.6), "AUTO_APPLY_OK")
+        .when((score >= 0.95) & ~hint, "REVIEW_NO_HINT")
+        .when((score >= 0.9) & ((title >= 0.4) | (artist >= 0.6)), "REVIEW_PARTIAL")
+        .when(score >= 0.9, "REVIEW_HIGH")
+        .otherwise("REVIEW_LOW")
+    )

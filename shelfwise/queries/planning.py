@@ -259,3 +259,25 @@ def committed_proposals(spark, d):
     offered = F.array(F.struct(first.alias("label"), F.lit(0.9).alias("score")), F.struct(label(2, F.lit("")).alias("label"), F.lit(0.8).alias("score")))
     picked = plan.where("series_id % 6 < 5").select("series_id", F.lit("folder_clean").alias("strategy"), offered.alias("candidates"), (F.col("series_id") % 6).cast("string").alias("pick"))
     return proposals.committed(plan, picked, "H:/TV")
+
+
+_HEARD_FILES = """select o_orderkey, case o_orderkey % 9 when 0 then 'error' else ' match' end as status, (85 + o_orderkey % 16) / 100.0D as score, concat(case o_orderkey % 4 when 0 then 'E:/Music/Top Artist/x/' when 1 then 'F:/other/' when 2 then 'E:/Music/' else '' end,
+  case o_orderkey % 3 when 0 then '01 - Some One - A Song - Live.mp3' when 1 then '7. Song.ogg' else 'Song.flac' end) as path, case o_orderkey % 5 when 0 then 'song' when 1 then 'a song - live (demo)' when 2 then 'other' when 3 then '' else 'song' end as title from orders"""
+
+
+@query("""
+with f as (select o_orderkey, o_orderkey % 9 = 0 as failed, (85 + o_orderkey % 16) / 100.0::double as score, case o_orderkey % 3 when 0 then 'Some One' else '' end as artist, case o_orderkey % 3 when 0 then 'A Song - Live' else 'Song' end as hint,
+    case o_orderkey % 4 when 0 then 'Top Artist' when 1 then 'other' when 2 then case o_orderkey % 3 when 0 then '01 - Some One - A Song - Live.mp3' when 1 then '7. Song.ogg' else 'Song.flac' end else '' end as folder,
+    case o_orderkey % 5 when 1 then 'a song - live (demo)' when 2 then 'other' when 3 then '' else 'song' end as title from orders),
+s as (select *, case when title = '' or not (contains(title, lower(hint)) or contains(lower(hint), title)) then 0.0 else least(length(title), length(hint)) / greatest(length(title), length(hint)) end as held from f)
+select o_orderkey, artist, hint as title, folder, round(held, 6) as held, case when failed then 'SKIP_error' when score >= 0.95 and held >= 0.7 and artist <> '' then 'AUTO_APPLY' when score >= 0.95 and held >= 0.6 then 'AUTO_APPLY_OK'
+  when score >= 0.9 and (held >= 0.4 or artist <> '') then 'REVIEW_PARTIAL' when score >= 0.9 then 'REVIEW_HIGH' else 'REVIEW_LOW' end as class from s
+""")
+def acoustid_first_class(spark, d):
+    """What a file's path says of its artist and title, and what to do with a fingerprint's match by it."""
+    read(spark, d, "orders").createOrReplaceTempView("_heard_orders")
+    rows = spark.sql(_HEARD_FILES.replace("from orders", "from _heard_orders")).withColumn("h", music.file_hint(F.col("path")))
+    held = music.held_share(F.col("title"), F.lower("h.title"))
+    hint = (F.col("h.artist") != "") | (F.col("h.title") != "") | (F.col("h.folder") != "")
+    kind = music.first_acoustid_class(F.col("status"), F.col("score"), held, F.when(F.col("h.artist") != "", 0.9).otherwise(0.0), hint)
+    return rows.select("o_orderkey", F.col("h.artist").alias("artist"), F.col("h.title").alias("title"), F.col("h.folder").alias("folder"), F.round(held, 6).alias("held"), kind.alias("class"))

@@ -37,6 +37,33 @@ def best_image(spark, d):
     return keepers.best(read(spark, d, "lineitem"), ["l_partkey"], F.struct(rank, -F.col("l_quantity"), "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 
+_IMAGES = """select l_partkey, l_orderkey, l_linenumber, l_suppkey, case l_suppkey % 4 when 0 then 'en' when 1 then null when 2 then '' else 'de' end as lang, case when l_partkey % 5 > 0 then cast(l_linenumber % 3 as double) end as vote, case when l_orderkey % 6 > 0 then l_orderkey % 9 * 100 end as width,
+  l_suppkey % 3 * 150 as height, l_orderkey % 7 as likes from lineitem"""
+_IMAGE_TIES = "l_orderkey, l_linenumber, l_suppkey"
+_IMAGE_SQL = {
+    "poster": "case coalesce(lang, '') when 'en' then 0 when '' then 1 else 2 end, coalesce(vote, 0) desc, trunc(coalesce(width, 0) / greatest(case when height = 0 then 1 else height end, 1) * 1000)",
+    "wide": "case coalesce(lang, '') when 'en' then 0 when '' then 1 else 2 end, coalesce(vote, 0) desc, trunc(-(coalesce(width, 0) / greatest(case when height = 0 then 1 else height end, 1)) * 1000)",
+    "logo": "case lower(coalesce(lang, '')) when 'en' then 0 when '' then 1 when '00' then 1 else 2 end, likes desc",
+    "series": "case when lang = 'en' then 0 when lang is null then 1 else 2 end, coalesce(vote, 0) desc, coalesce(width, 0) desc",
+}
+
+
+def _image_query(kind: str):
+    def best(spark, d):
+        read(spark, d, "lineitem").createOrReplaceTempView("_images_lineitem")
+        rows = spark.sql(_IMAGES.replace("from lineitem", "from _images_lineitem"))
+        placed = keepers.best_first(rows, ["l_partkey"], [*keepers.image_order(kind), *_IMAGE_TIES.split(", ")])
+        return placed.where("place = 1").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+
+    best.__name__ = f"best_{kind}_image"
+    best.__doc__ = f"The {kind} image of each title that its ranking puts first."
+    query(f"with i as ({_IMAGES}) select l_partkey, l_orderkey, l_linenumber, l_suppkey from i qualify row_number() over (partition by l_partkey order by {_IMAGE_SQL[kind]}, {_IMAGE_TIES}) = 1")(best)
+
+
+for _kind in _IMAGE_SQL:
+    _image_query(_kind)
+
+
 @query("select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by value desc nulls last, event_id) = 1")
 def most_downloaded(spark, d):
     """The most downloaded subtitle of each episode; the first of equals."""
