@@ -55,6 +55,19 @@ def sanitized(name: Column, profile: str = "inventory") -> Column:
     return F.when(out == "", p["empty"]).otherwise(out)
 
 
+def show_folder(name: Column) -> Column:
+    """A folder's name of ASCII letters, digits, spaces, dots, underscores and hyphens alone; "show" if nothing is left."""
+    out = F.regexp_replace(F.trim(F.regexp_replace(name, r"[^A-Za-z0-9 ._-]", "")), r"\s+", " ")
+    return F.when(out == "", "show").otherwise(out)
+
+
+def swept_name(name: Column) -> Column:
+    """A file's name as a sweep of sidecars writes it: like the profile "plan", but control characters and dots at its end stay."""
+    swaps = (*PROFILES["plan"]["swaps"].items(), ("?", ""), ("*", ""))
+    out = reduce(lambda c, swap: F.replace(c, F.lit(swap[0]), F.lit(swap[1])), swaps, name)
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def movie_target(title: Column, year: Column, imdb_id: Column) -> Column:
     """"Title (Year) {imdb-id}"; empty where one of the three is missing."""
     known = title.isNotNull() & year.isNotNull() & imdb_id.isNotNull()

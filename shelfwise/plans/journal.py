@@ -124,7 +124,7 @@ def swept(journal: DataFrame, files: DataFrame, existing: DataFrame) -> DataFram
     sides = named.where(paths.extension(F.col("name")).isin(*SIDECARS)).withColumn("mark", decoration(F.col("stem")))
     sides = sides.withColumn("base", F.lower(F.substring(F.col("stem"), F.lit(1), F.length("stem") - F.length("mark"))))
     found = sides.join(videos, ["source", "base"], "left").join(went, "base", "left")
-    clean = names.sanitized(F.concat(stem(F.col("video")), "mark", F.regexp_extract("name", r"(\.[^.]*)$", 1)), "plan")
+    clean = names.swept_name(F.concat(stem(F.col("video")), "mark", F.regexp_extract("name", r"(\.[^.]*)$", 1)))
     found = found.withColumn("to", F.concat(F.regexp_extract(plain(F.col("video")), "^(.*/)[^/]*$", 1), clean))
     found = found.join(existing.select(F.col("path").alias("to"), F.lit(True).alias("taken")).distinct(), "to", "left")
     outcome = F.when(F.col("present"), "video_present").when(F.col("video").isNull(), "no_match").when(F.col("taken"), "already_there").otherwise("swept")

@@ -38,6 +38,20 @@ def sanitize_profiles(spark, d):
     return rows.select("p_partkey", *[names.sanitized(F.col("raw"), p).alias(p) for p in names.PROFILES])
 
 
+_SHOWN = "case p_partkey % 6 when 0 then concat('  ', p_name, ' (', p_brand, ')') when 1 then '??' when 2 then concat(p_name, ': \u00e9t\u00e9 & co.') when 3 then concat(p_name, '   _', p_type, '-1.') when 4 then '<a|b>/c*' else '' end"
+
+
+@query(f"""
+with n as (select p_partkey, {_SHOWN} as name from part)
+select p_partkey, coalesce(nullif(regexp_replace(trim(regexp_replace(name, '[^A-Za-z0-9 ._-]', '', 'g')), '\\s+', ' ', 'g'), ''), 'show') as folder,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(name, ':', ' - '), '/', ' '), '|', '-'), '<', '('), '>', ')'), '?', ''), '*', ''), '\\s+', ' ', 'g')) as file from n
+""")
+def other_sanitizers(spark, d):
+    """Folder names for downloads, and names of sidecars that a sweep moves."""
+    rows = read(spark, d, "part").select("p_partkey", F.expr(_SHOWN).alias("name"))
+    return rows.select("p_partkey", names.show_folder(F.col("name")).alias("folder"), names.swept_name(F.col("name")).alias("file"))
+
+
 @query("""
 select p_partkey, case when p_size > 45 then '' else p_name || ' (' || (1950 + p_size) || ') {imdb-tt' || lpad(p_partkey::varchar, 7, '0') || '}' end as folder,
   case when p_size % 10 = 0 then 'Specials' else 'Season ' || lpad((p_size % 10)::varchar, 2, '0') end as season,
