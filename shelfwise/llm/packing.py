@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.memory import give_back, slices
 from shelfwise.llm.tables import staged
-from shelfwise.llm.tokens import CHUNK_CHARS, OVERLAP_CHARS, encoder
+from shelfwise.llm.tokens import CHUNK_CHARS, OVERLAP_CHARS, encoder, forget
 
 CAPACITY = 4_096
 #: The id that ends every document.
@@ -30,7 +30,8 @@ FIELDS = PACKED + ", salt bigint, released boolean"
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, memo: int | None = None) -> DataFrame:
     """PIECES rows: each text's ids and `end_id`, cut into pieces of `capacity`, the last may be shorter. A null text has
-    the end alone; null and repeated ids stay. `memo`: distinct pieces of text that a worker remembers, tokens.MEMO by default."""
+    the end alone; null and repeated ids stay. `memo`: distinct pieces of text that a worker remembers until its task ends;
+    by default it remembers tokens.MEMO of them, and from task to task."""
     end = np.array([end_id], "<u4").tobytes()
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [c.split()[0] for c in PIECES.split(", ")]
@@ -47,6 +48,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                         part = own[k : k + 4 * capacity]
                         out.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        if memo is not None:  # other stages use this worker next
+            del encoded
+            forget()
         give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)

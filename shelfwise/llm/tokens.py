@@ -356,6 +356,11 @@ def encoder(*key) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker, with what they remember."""
+    _encoders.clear()
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, huge_chars: int = HUGE_CHARS, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row; `path` is a tokenizers .json file that every
     executor has. One pass without a shuffle. A null text is empty and has 0 bytes and tokens; a null doc_id stays."""
