@@ -8,7 +8,7 @@ from shelfwise.llm import mixing, near_dups, packing, suffixes, toxicity
 from shelfwise.llm.tables import staged, table
 
 #: Distinct pieces of text that a packing worker remembers, where workers of other stages wait beside it.
-MEMO = 240_000
+MEMO = 120_000
 
 
 def reject_toxic(spark, docs, sf_dir):
