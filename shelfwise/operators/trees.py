@@ -54,15 +54,21 @@ def name_key(name: Column) -> Column:
 def folder_of_each(shows: DataFrame, folders: DataFrame, key: str, name: str, tmdb: str, folder: str, order: str) -> DataFrame:
     """(key, folder, tier): a folder for each show that has one: by the id in its name (1), by the plain name (2), by one plain
     name beginning the other (3); in a tier, the name whose length is nearest. Beginnings meet as equal strings: each
-    name is cut at all its lengths, so that no pairs are tried."""
+    name is cut at all its lengths, so that no pairs are tried; and shows and folders of one plain name whose own names are as long
+    are one class, of whose folders only the first by `order` can be taken, so that neither do the members of two classes meet."""
     s = shows.select(key, F.col(name).alias("_show"), F.col(tmdb).alias("_tmdb"), name_key(F.col(name)).alias("_key"))
     f = folders.select(F.col(folder).alias("_folder"), F.col(order).alias("_order"), F.nullif(F.regexp_extract(folder, r"\{tmdb-([0-9]+)\}", 1), F.lit("")).alias("_tmdb"), name_key(F.col(folder)).alias("_key"))
     cut = lambda t: t.withColumn("_cut", F.explode(F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.substring("_key", 1, n)))).where("_key <> ''")
-    found = lambda pairs, tier: pairs.select(key, "_show", "_folder", "_order", F.lit(tier).alias("tier"))
-    by_id = found(s.drop("_key").join(f.drop("_key"), "_tmdb"), 1)
-    by_name = found(s.where("_key <> ''").drop("_tmdb").join(f.drop("_tmdb"), "_key"), 2)
-    longer = found(cut(s.drop("_tmdb")).join(f.select("_folder", "_order", F.col("_key").alias("_cut")), "_cut"), 3)
-    shorter = found(s.select(key, "_show", F.col("_key").alias("_cut")).where("_cut <> ''").join(cut(f.drop("_tmdb")), "_cut"), 3)
-    every = by_id.unionByName(by_name).unionByName(longer).unionByName(shorter)
-    best = F.min_by(F.struct(F.col("_folder").alias("folder"), "tier"), F.struct("tier", F.abs(F.length("_folder") - F.length("_show")), "_order"))
-    return every.groupBy(key).agg(best.alias("b")).select(key, "b.folder", "b.tier")
+    shown = s.where("_key <> ''").select("_key", F.length("_show").alias("_n")).distinct()
+    held = f.withColumn("_m", F.length("_folder"))
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min(F.struct("_order", "_folder")).alias("o")).select(*by, "o.*")
+    keyed = first(held.where("_key <> ''"), "_key", "_m")
+    found = lambda pairs, tier, *by: pairs.groupBy(*by).agg(F.min(F.struct(F.lit(tier).alias("tier"), F.abs(F.col("_m") - F.col("_n")).alias("_apart"), "_order", "_folder")).alias("b"))
+    by_id = found(s.withColumn("_n", F.length("_show")).join(first(held.where("_tmdb is not null"), "_tmdb", "_m"), "_tmdb"), 1, key)
+    classes = ["_key", "_n"]
+    by_name = found(shown.join(keyed, "_key"), 2, *classes)
+    longer = found(cut(shown).join(keyed.withColumnRenamed("_key", "_cut"), "_cut"), 3, *classes)
+    shorter = found(shown.join(first(cut(keyed), "_cut", "_m").withColumnRenamed("_cut", "_key"), "_key"), 3, *classes)
+    by_class = by_name.unionByName(longer).unionByName(shorter).groupBy(*classes).agg(F.min("b").alias("b"))
+    every = by_id.unionByName(s.withColumn("_n", F.length("_show")).join(by_class, classes).select(key, "b"))
+    return every.groupBy(key).agg(F.min("b").alias("b")).select(key, F.col("b._folder").alias("folder"), "b.tier")

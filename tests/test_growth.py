@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import titles
+from shelfwise.operators import titles, trees
 
 
 def nodes(df):
@@ -33,3 +33,16 @@ def test_names_of_a_plan_are_not_collected(spark):
     found = titles.best_in_plan(names.select(F.col("row").alias("id"), F.concat("name", F.lit(" uncut")).alias("name")), names)
     assert found.where("row = id").count() == 50
     assert not [n for n in nodes(found) if n.getClass().getSimpleName() == "BroadcastHashJoinExec"]
+
+
+def test_shows_and_folders_of_one_name_make_no_pairs(spark):
+    n = 2000
+    shows = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("Show"), F.when(F.col("id") % 2 == 0, " X").otherwise("")).alias("name"), F.when(F.col("id") % 50 == 0, F.col("id").cast("string")).alias("tmdb"))
+    folders = spark.range(n).select(F.col("id").alias("o"), F.concat(F.lit("The Show"), F.when(F.col("id") % 3 == 0, F.lit(" X (1999)")).when(F.col("id") % 3 == 1, F.concat(F.lit(" {tmdb-"), F.col("id").cast("string"), F.lit("}"))).otherwise("")).alias("folder"))
+    got = trees.folder_of_each(shows, folders, "k", "name", "tmdb", "folder", "o")
+    assert most_rows(got) <= 20 * n
+    for r in got.collect():
+        by_id = r.k % 50 == 0 and r.k % 3 == 1
+        want = (f"The Show {{tmdb-{r.k}}}", 1) if by_id else ("The Show X (1999)", 2) if r.k % 2 == 0 else ("The Show", 2)
+        assert (r.folder, r.tier) == want
+    assert got.count() == n
