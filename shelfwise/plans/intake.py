@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names, paths
+from shelfwise.operators.staging import shuffled
 from shelfwise.plans import scoring
 
 #: The confidence from which a title goes in by itself, and the most that one keeps whose target others want too.
@@ -24,10 +25,10 @@ def titles(files: DataFrame) -> DataFrame:
     videos = named.where(kind == "video").select("path", "name", "folder", paths.stem(F.col("name")).alias("stem"), "pixels", "bitrate")
     others = named.where(kind != "video").select(F.col("path").alias("sidecar"), F.lower("name").alias("low"), kind.alias("kind"), "content", "folder")
     begins = F.transform(F.sequence(F.lit(1), F.length("low")), lambda n: F.substring(F.col("low"), F.lit(1), n))
-    met = others.where("low <> ''").withColumn("begin", F.explode(begins)).join(videos.select("path", "folder", F.lower("stem").alias("begin")), ["folder", "begin"])
+    met = others.where("low <> ''").withColumn("begin", F.explode(begins)).join(shuffled(videos.select("path", "folder", F.lower("stem").alias("begin"))), ["folder", "begin"])
     content = F.when(F.col("kind") == "nfo", F.struct("sidecar", "content"))
     found = met.groupBy("path").agg(F.sort_array(F.collect_list("sidecar")).alias("sidecars"), F.min(content)["content"].alias("nfo"))
-    return videos.join(found, "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.array().cast("array<string>")))
+    return videos.join(shuffled(found), "path", "left").withColumn("sidecars", F.coalesce("sidecars", F.array().cast("array<string>")))
 
 
 def identified(titles: DataFrame, films: DataFrame) -> DataFrame:
@@ -51,11 +52,11 @@ def identified(titles: DataFrame, films: DataFrame) -> DataFrame:
     by_imdb = films.where("imdb is not null").groupBy("imdb").agg(one.alias("f")).select(F.col("imdb").alias("key"), "f")
     yearly = films.groupBy(F.lower("title").alias("guess"), F.col("year").alias("guess_year")).agg(one.alias("year_film"), F.count("*").alias("year_n"))
     named = films.groupBy(F.lower("title").alias("guess")).agg(one.alias("any_film"), F.count("*").alias("any_n"))
-    out = marks.join(by_imdb.select(F.col("key").alias("name_imdb"), F.col("f").alias("name_film")), F.col("ids.imdb_id") == F.col("name_imdb"), "left")
+    out = marks.join(shuffled(by_imdb.select(F.col("key").alias("name_imdb"), F.col("f").alias("name_film"))), F.col("ids.imdb_id") == F.col("name_imdb"), "left")
     by_id = films.groupBy("film_id").agg(one.alias("id_film"))
-    out = out.join(by_id.withColumnRenamed("film_id", "name_tmdb"), F.col("ids.tmdb_id") == F.col("name_tmdb"), "left")
-    out = out.join(by_imdb.select(F.col("key").alias("nfo_imdb"), F.col("f").alias("nfo_film")), "nfo_imdb", "left")
-    out = out.join(yearly, ["guess", "guess_year"], "left").join(named, "guess", "left")
+    out = out.join(shuffled(by_id.withColumnRenamed("film_id", "name_tmdb")), F.col("ids.tmdb_id") == F.col("name_tmdb"), "left")
+    out = out.join(shuffled(by_imdb.select(F.col("key").alias("nfo_imdb"), F.col("f").alias("nfo_film"))), "nfo_imdb", "left")
+    out = out.join(shuffled(yearly), ["guess", "guess_year"], "left").join(shuffled(named), "guess", "left")
 
     dated = F.col("year_film").isNotNull()
     searched, n = F.coalesce("year_film", "any_film"), F.coalesce("year_n", "any_n")
@@ -111,7 +112,7 @@ def outcomes(targets: DataFrame, library: DataFrame, force: bool = False, replac
     keyed = targets.withColumn("key", F.lower("target"))
     wanted = keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("wanted"))
     held = library.select("key", F.col("path").alias("held"), F.col("pixels").alias("held_pixels"), F.col("bitrate").alias("held_bitrate"))
-    rows = keyed.join(wanted, "key", "left").join(held, "key", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0).cast("long")))
+    rows = keyed.join(shuffled(wanted), "key", "left").join(shuffled(held), "key", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0).cast("long")))
     quality = scoring.replacement(F.col("held_pixels"), F.col("pixels"), F.col("held_bitrate").cast("double"), F.col("bitrate").cast("double"))
     rows = rows.withColumn("confidence", F.when(F.col("wanted") > 1, F.least("confidence", F.lit(CONTESTED))).otherwise(F.col("confidence")))
     undecided = F.lit("replace" if replace_existing else "undecided")

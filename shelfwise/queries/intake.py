@@ -58,7 +58,7 @@ def _tables(spark, d):
     for t in ("part", "customer", "supplier"):
         read(spark, d, t).createOrReplaceTempView(f"_intake_{t}")
     named = lambda sql: spark.sql(sql.replace("from part", "from _intake_part").replace("from customer", "from _intake_customer").replace("from supplier", "from _intake_supplier"))
-    return named(_FILMS), named(_FILES.replace("{{", "{").replace("}}", "}") + _ROWS), named(f"with f as ({_FILMS}) {_LIBRARY}")
+    return named(_FILMS), named(_FILES.replace("{{", "{").replace("}}", "}").replace("t as (select d.*", "t as (select /*+ MERGE(f) */ d.*") + _ROWS), named(f"with f as ({_FILMS}) {_LIBRARY}")
 
 
 @query(_duck(_OUTCOMES.replace("{{", "{").replace("}}", "}").replace("LIBRARY", _LIBRARY)))
