@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import fuzzy, names
 from shelfwise.operators import keepers, trees
+from shelfwise.operators.staging import spread
 from shelfwise.registry import query, read
 
 
@@ -16,7 +17,7 @@ from lineitem where l_partkey in (select l_partkey from lineitem group by 1 havi
 """)
 def video_cluster_rank(spark, d):
     """The copies of each cluster by height, bitrate and size (quantity, price and tax), the best first and kept."""
-    rows = read(spark, d, "lineitem")
+    rows = spread(read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax"), "l_partkey")
     several = rows.groupBy("l_partkey").count().where("count > 1").select("l_partkey")
     order = [F.desc("l_quantity"), F.desc("l_extendedprice"), F.desc("l_tax"), F.asc("l_orderkey"), F.asc("l_linenumber")]
     ranked = keepers.best_first(rows.join(several, "l_partkey"), ["l_partkey"], order)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import titles, trees
+from shelfwise import registry
+from shelfwise.operators import completeness, retrieval, staging, titles, trees
 from shelfwise.plans import intake
+from shelfwise.streaming import matching
 
 
 def nodes(df):
@@ -57,3 +59,28 @@ def test_films_of_an_intake_are_not_collected(spark):
     out = intake.planned(files, films, library)
     assert out.where("outcome = 'install'").count() == 20
     assert not [n for n in nodes(out) if n.getClass().getSimpleName() == "BroadcastHashJoinExec"]
+
+
+def test_partitions_follow_the_files(spark, monkeypatch, tmp_path):
+    """Where files ask for more partitions than the session has, ranks, gaps and actions are dealt into them, once."""
+    monkeypatch.setattr(staging, "PART_BYTES", 1000)
+    spark.range(20000).selectExpr("id % 50 as l_partkey", "id as l_orderkey", "cast(1 as int) as l_linenumber", "double(id) as l_quantity", "0d as l_extendedprice", "0d as l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ranked = registry.QUERIES["video_cluster_rank"](spark, str(tmp_path))
+    assert ranked.where("rank = 0 and keep = 'KEEP'").count() == 50
+    source = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    gaps = completeness.lacking(spark.range(40).selectExpr("id % 4 as s", "id as e"), spark.range(0, 40, 2).selectExpr("id % 4 as s", "id as e"), ["s"], "e", source)
+    assert sorted(r.e for r in gaps.collect()) == list(range(1, 40, 2))
+    for df in (ranked, completeness.compacted(gaps, ["s"], "e")):
+        dealt = [n.outputPartitioning().numPartitions() for n in nodes(df) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        assert dealt and min(dealt) > 4
+
+
+def test_texts_of_an_index_are_cut_into_terms_once(spark, monkeypatch, tmp_path):
+    cut, terms = [], retrieval.terms
+    monkeypatch.setattr(retrieval, "terms", lambda *a, **k: cut.append(1) or terms(*a, **k))
+    store = matching.states(spark, f"file://{tmp_path}/states")
+    texts = [(k, "s", f"alpha beta word{'abcdefghij'[k]}") for k in range(10)]
+    matching.prepare(store, spark.createDataFrame([(str(k), "s", t) for k, _, t in texts], "path string, show string, transcript string"), 0)
+    assert matching.identify(store, spark.createDataFrame([*texts, (10, "s", None)], "doc long, show string, text string"), "first", 3) == 3
+    assert {int(r.path): r.doc for r in store.read("states").collect()} == {k: k for k in range(10)}
+    assert len(cut) == 2  # the texts, and the transcripts
