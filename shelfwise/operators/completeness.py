@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.staging import spread
+
 
 def compacted(numbers: DataFrame, group: list[str], number: str, name: str = "ranges") -> DataFrame:
     """A group's distinct numbers as "1-3, 5, 7-9": numbers less their rank are equal inside a run."""
@@ -16,6 +18,13 @@ def compacted(numbers: DataFrame, group: list[str], number: str, name: str = "ra
     return runs.groupBy(*group).agg(F.array_join(listed, ", ").alias(name))
 
 
+def lacking(wanted: DataFrame, owned: DataFrame, group: list[str], number: str, source: DataFrame) -> DataFrame:
+    """(group, number): what is wanted and not owned. Both are dealt once, by the group alone, into partitions for the files of
+    `source`; all that goes by the group afterwards finds its rows there."""
+    both = wanted.select(*group, number, F.lit(False).alias("held")).unionByName(owned.select(*group, number, F.lit(True).alias("held")))
+    return spread(both, *group, source=source).groupBy(*group, number).agg(F.bool_or("held").alias("held")).where("not held").select(*group, number)
+
+
 def season_status(expected: Column, owned: Column) -> Column:
     """Of two arrays of episode numbers (null: no such season)."""
     missing, extra = F.size(F.array_except(expected, owned)), F.size(F.array_except(owned, expected))

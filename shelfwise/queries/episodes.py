@@ -36,7 +36,7 @@ select o_orderkey, string_agg(case when lo = hi then lo::varchar else lo || '-'
 def missing_ranges(spark, d):
     """Expected episodes that no file holds."""
     wanted = _shows(spark, d).select("o_orderkey", F.explode("expected").alias("episode"))
-    return completeness.compacted(wanted.join(_owned(spark, d), ["o_orderkey", "episode"], "left_anti"), ["o_orderkey"], "episode")
+    return completeness.compacted(completeness.lacking(wanted, _owned(spark, d), ["o_orderkey"], "episode", read(spark, d, "lineitem")), ["o_orderkey"], "episode")
 
 
 @query(_SQL + _RANGES.format(rows="select * from owned where o_orderkey in (select o_orderkey from x) except select * from wanted"))
