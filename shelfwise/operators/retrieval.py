@@ -42,13 +42,29 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, q
 
     Only postings of the queries' terms are built; document lengths and their mean are over all documents.
     """
+    wanted = asked_terms(queries, query, query_text)
+    return bm25_of(postings_of(docs, wanted, doc, text), wanted)
+
+
+def asked_terms(queries: DataFrame, query: str, query_text: str) -> DataFrame:
+    """(query, term), staged."""
+    return staged(queries.select(F.col(query).alias("query"), F.explode(query_terms(F.col(query_text))).alias("term")), "wanted")
+
+
+def postings_of(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, dl, term, tf), staged: postings of the wanted terms, and one of the term '' for each document, so that texts are cut
+    into terms once for postings and lengths."""
     tokens = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
-    wanted = staged(queries.select(F.col(query).alias("query"), F.explode(query_terms(F.col(query_text))).alias("term")), "wanted")
-    # postings are made once and read twice
-    asked = wanted.select("term").distinct()
-    found = tokens.select("doc", "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = staged(found, "postings")
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    each = tokens.select("doc", "dl", F.explode(F.concat(F.coalesce("ts", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    asked = wanted.select("term").unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    return staged(each.join(asked, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25_of(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query, doc, score) of wanted terms (query, term) by an index of postings_of, which may hold other terms as well."""
+    lengths, postings = index.where("term = ''"), index.where("term <> ''")
+    many = F.when(F.col("dl").isNotNull(), F.col("tf"))
+    stats = lengths.agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(many)).alias("avgdl"))  # one row
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

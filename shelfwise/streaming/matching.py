@@ -40,15 +40,19 @@ def identify(store: VersionedStore, index: DataFrame, run: str, parts: int = 8)
 
     The open files are dealt into parts by a hash of their paths, and each part is a commit of its own. A run that dies and is
     called again by its name goes on with the parts that are not in; scores count over the whole index, so the
-    rows are those of a run in one go."""
+    rows are those of a run in one go. The index's texts are read once a call, for the terms of all open parts."""
     done = 0
     part = F.pmod(F.xxhash64("path", F.lit(17)), F.lit(parts))
-    for k in range(parts):
-        if store.committed(f"identify-{run}", k):
-            continue
+    left = [k for k in range(parts) if not store.committed(f"identify-{run}", k)]
+    if not left:
+        return done
+    said = lambda rows: rows.select(F.col("path").alias("query"), "show", F.coalesce("transcript", F.lit("")).alias("said"))
+    every = retrieval.asked_terms(said(store.read("states").where(~F.col("status").isin(*TERMINAL) & part.isin(left))), "query", "said")
+    postings = retrieval.postings_of(index, every, "doc", "text")
+    for k in left:
         mine = staged(store.read("states").where(~F.col("status").isin(*TERMINAL) & (part == k)), "open")
-        asked = mine.select(F.col("path").alias("query"), "show", F.coalesce("transcript", F.lit("")).alias("said"))
-        scores = staged(retrieval.bm25(index, asked, "doc", "text", "query", "said"), "scores")
+        asked = said(mine)
+        scores = staged(retrieval.bm25_of(postings, every.join(asked.select("query"), "query", "left_semi")), "scores")
         shows = index.select("doc", F.col("show").alias("doc_show"))
         own = scores.join(asked.select("query", "show"), "query").join(shows, "doc").where("show = doc_show").select("query", "doc", "score")
         found = retrieval.in_show_first(own, scores, asked, LEAST_SCORE, LEAST_MARGIN)
@@ -59,6 +63,8 @@ def identify(store: VersionedStore, index: DataFrame, run: str, parts: int = 8)
         done += store.commit(f"identify-{run}", k, {"states": rows.select("path", "show", "transcript", "doc", score, "margin", "status", detail)})
         drop(mine)
         drop(scores)
+    drop(postings)
+    drop(every)
     return done
 
 
