@@ -31,9 +31,11 @@ c as (select component, case when len(every) > 0 then every else most end as wor
 
 
 def _names(spark, d):
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_FOLDERS).alias("name"))
+    """Names cut into words, once and in as many tasks as the session asks for: the files are small beside the work on their rows."""
+    parts = read(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    rows = parts.select(F.col("p_partkey").alias("id"), F.expr(_FOLDERS).alias("name"))
     leading = F.col("name").rlike(r"^\s*[0-9]{1,4}\s") & ~F.col("name").rlike(r"^\s*(19|20)[0-9]{2}\s")
-    return rows.select("id", names.folder_tokens(F.col("name")).alias("tokens"), leading.alias("numbered")).where(F.size("tokens") > 0)
+    return staged(rows.select("id", names.folder_tokens(F.col("name")).alias("tokens"), leading.alias("numbered")).where(F.size("tokens") > 0), "names")
 
 
 @query(_CLUSTERS + "select id as p_partkey, component from g join c using (component)")

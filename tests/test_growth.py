@@ -1,9 +1,11 @@
 """What grows no faster than the input: rows inside a plan, and tables that are not collected at the driver."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from shelfwise import registry
-from shelfwise.operators import completeness, retrieval, staging, titles, trees
+from shelfwise.operators import completeness, graph, retrieval, staging, titles, trees
 from shelfwise.plans import intake
 from shelfwise.streaming import matching
 
@@ -84,3 +86,40 @@ def test_texts_of_an_index_are_cut_into_terms_once(spark, monkeypatch, tmp_path)
     assert matching.identify(store, spark.createDataFrame([*texts, (10, "s", None)], "doc long, show string, text string"), "first", 3) == 3
     assert {int(r.path): r.doc for r in store.read("states").collect()} == {k: k for k in range(10)}
     assert len(cut) == 2  # the texts, and the transcripts
+
+
+def test_names_that_share_words_make_no_pairs(spark):
+    """Every second name holds the same two words, every third two others; the links are as few as the sets of words."""
+    n = 1500
+    names = spark.range(n).select("id", F.array(F.lit("often"), F.lit("brands"), F.when(F.col("id") % 2 == 0, "even").otherwise("odds"), F.concat(F.lit("k"), (F.col("id") / 5).cast("int").cast("string"))).alias("tokens"), (F.col("id") % 7 == 0).alias("numbered"))
+    made = []
+    kept, graph.components = graph.components, lambda links, rows=None: made.append(links) or kept(links, rows)
+    try:
+        assert graph.merge_groups(names).count() == 0  # one group of more than a hundred
+    finally:
+        graph.components = kept
+    assert made[0].count() <= 20 * n
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["ab", "abc", "abcd", "abcdef", "ghijk", "lmnopqr", "st", "uvw", *(f"w{k}" for k in range(40))]
+    items = [(k, rng.choices(words, k=rng.randint(1, 6)), rng.random() < 0.3) for k in range(160)]
+    top = list(range(len(items)))
+    for a, wa, na in items:
+        for b, wb, nb in items[:a]:
+            x, y = set(wa), set(wb)
+            both = x & y
+            m, chars = len(both), sum(map(len, both))
+            inside = (both == x and na or both == y and nb) and chars >= 6
+            if both and (x == y or inside or m >= 2 and m / min(len(x), len(y)) >= 0.5 and chars >= 8 or m >= 3 or m / len(x | y) >= 0.7):
+                low, high = sorted((top[a], top[b]))
+                top = [low if t == high else t for t in top]
+    want = {}
+    for k, t in enumerate(top):
+        want.setdefault(t, []).append(k)
+    shared = lambda g: set.intersection(*(set(items[k][1]) for k in g))
+    want = {k: t for t, g in want.items() if 2 <= len(g) <= 200 and (shared(g) or 2 * sum(items[k][2] for k in g) >= len(g)) for k in g}
+    got = graph.merge_groups(spark.createDataFrame(items, "id long, tokens array<string>, numbered boolean"), 2, 200)
+    assert {r.id: r.component for r in got.collect()} == want
+    assert want
