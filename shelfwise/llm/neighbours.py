@@ -101,8 +101,9 @@ def _local_join(key, lists: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(found, columns=["vec_id", "near"])
 
 
-def _descend(vectors: DataFrame, lists: DataFrame, blocks: int) -> DataFrame:
-    """One round: each vector's list and a sample of those that list it are joined among themselves."""
+def _descend(vectors: DataFrame, lists: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """One round: each vector's list and a sample of those that list it are joined among themselves. (what that proposes, the
+    staged table that it is made of)"""
     k = F.size("near")
     floor = F.when(k >= F.col("k"), F.element_at("near", -1)["sim"]).otherwise(-2.0)
     heads = lists.select("vec_id", F.col("near")[0]["id"].alias("first"), floor.alias("floor"), "k")
@@ -113,12 +114,12 @@ def _descend(vectors: DataFrame, lists: DataFrame, blocks: int) -> DataFrame:
     around = edges.unionByName(back).distinct()
     # vectors that share a first neighbour go to one block, so that a block needs few vectors from outside
     block = heads.select(F.col("vec_id").alias("u"), F.pmod(F.xxhash64(F.least("first", "vec_id")), F.lit(blocks)).alias("block"))
-    around = around.join(block, "u")
+    around = staged(around.join(block, "u").select("block", "u", "v"), "around")  # both sides of the join are made of it
     left = around.groupBy("block", "u").agg(F.collect_list("v").alias("around"))
     wanted = around.select("block", F.col("v").alias("vec_id")).distinct()
     right = wanted.join(vectors, "vec_id").join(heads.select("vec_id", "floor"), "vec_id")
     right = right.select(F.col("block").alias("to"), F.col("vec_id").alias("vec_id"), "embedding", "floor")
-    return left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_local_join, _LISTS)
+    return left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_local_join, _LISTS), around
 
 
 def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, seed: int = 5, rounds: int = ROUNDS, forests: int = FORESTS) -> DataFrame:
@@ -141,7 +142,9 @@ def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, se
         else:
             lists, _, _ = _with_proposals(lists, first, threshold)
         for turn in range(rounds):
-            lists, changed, doubled = _with_proposals(lists, _descend(vectors, lists, blocks), threshold)
+            found, around = _descend(vectors, lists, blocks)
+            lists, changed, doubled = _with_proposals(lists, found, threshold)
+            drop(around)
             if turn + 1 >= LEAST_ROUNDS and not doubled and changed < STILL * n * LIST and audited_recall(lists, truth, threshold) >= RECALL:
                 drop(truth)
                 return lists
@@ -152,17 +155,18 @@ def neighbour_lists(vectors: DataFrame, n: int, threshold: float = THRESHOLD, se
 
 def _with_proposals(lists: DataFrame, proposals: DataFrame, threshold: float) -> tuple[DataFrame, int, int]:
     """(the best of lists and proposals, entries that changed, lists that were doubled). The old lists are deleted."""
-    both = lists.select("vec_id", "near").unionByName(proposals)
-    merged = both.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("near")).join(lists.select("vec_id", "k"), "vec_id")
-    merged = merged.withColumn("near", F.sort_array(F.array_distinct("near"), asc=False))
-    full = (F.size("near") >= F.col("k")) & (F.try_element_at("near", F.col("k"))["sim"] >= threshold)
-    merged = merged.withColumn("k", F.when(full, F.least(F.lit(LONGEST_LIST), F.col("k") * 2)).otherwise(F.col("k")))
-    new = staged(merged.withColumn("near", F.slice("near", F.lit(1), F.col("k"))), "lists")
-    old = lists.select(F.col("vec_id").alias("v"), F.col("near").alias("was"), F.col("k").alias("k_was"))
-    sums = F.sum(F.size(F.array_except("near.id", "was.id"))), F.count_if(F.col("k") > F.col("k_was"))
-    changed, doubled = new.join(old, F.col("vec_id") == F.col("v")).agg(*sums).first()
+    found = proposals.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("found"))
+    merged = lists.select("vec_id", F.col("near").alias("was"), F.col("k").alias("k_was")).join(found, "vec_id", "left")
+    merged = merged.withColumn("near", F.sort_array(F.array_distinct(F.concat("was", F.coalesce("found", F.slice("was", 1, 0)))), asc=False))
+    full = (F.size("near") >= F.col("k_was")) & (F.try_element_at("near", F.col("k_was"))["sim"] >= threshold)
+    merged = merged.withColumn("k", F.when(full, F.least(F.lit(LONGEST_LIST), F.col("k_was") * 2)).otherwise(F.col("k_was")))
+    merged = merged.withColumn("near", F.slice("near", F.lit(1), F.col("k")))
+    # what changed is told as the lists are made, so the old and the new ones need not meet again
+    merged = merged.withColumns({"changed": F.size(F.array_except("near.id", "was.id")), "doubled": F.col("k") > F.col("k_was")})
+    new = staged(merged.select("vec_id", "near", "k", "changed", "doubled"), "lists")
+    changed, doubled = new.agg(F.sum("changed"), F.count_if("doubled")).first()
     drop(lists)
-    return new, changed or 0, doubled
+    return new.select("vec_id", "near", "k"), changed or 0, doubled
 
 
 def _truth(vectors: DataFrame, lists: DataFrame, threshold: float, seed: int) -> DataFrame:

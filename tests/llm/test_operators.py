@@ -413,6 +413,25 @@ def test_lists_of_links_only_are_saturated_at_any_length(spark):
     assert {r["vec_id"] for r in rows(neighbours.saturated(lists, 0.95))} == {1, 2}
 
 
+def test_a_round_of_the_descent_makes_its_edges_once(spark):
+    """Both sides of the local join came from one recipe that was run twice, and old and new lists met once more to be counted."""
+    x = np.random.default_rng(3).normal(size=(40, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    sims = unit @ unit.T
+    near = lambda i, js: sorted([(float(sims[i, j]), j) for j in js], reverse=True)
+    rows = [(i, near(i, [j % 40 for j in (i + 1, i + 2, i + 3)]), 3) for i in range(40)]
+    lists = neighbours.staged(spark.createDataFrame(rows, "vec_id bigint, near array<struct<sim:double,id:bigint>>, k int"), "lists")
+    found, around = neighbours._descend(vectors, lists, 4)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    proposed = {r.vec_id: {e.id: e.sim for e in r.near} for r in found.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("near")).collect()}
+    new, changed, doubled = neighbours._with_proposals(lists, found, 2.0)
+    neighbours.drop(around)
+    want = {i: sorted({*old, *((s, j) for j, s in proposed.get(i, {}).items())}, reverse=True)[:3] for i, old, _ in rows}
+    assert {r.vec_id: [(e.sim, e.id) for e in r.near] for r in new.collect()} == want
+    assert changed == sum(len({j for _, j in want[i]} - {j for _, j in old}) for i, old, _ in rows) > 0 == doubled
+
+
 def test_lists_are_made_by_brute_force_if_the_audit_fails(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = [c + 0.05 * rng.normal(size=16) for c in rng.normal(size=(40, 16)) for _ in range(4)]
