@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import paths
+from shelfwise.operators.staging import shuffled
 
 
 def with_ancestors(files: DataFrame, path: str) -> DataFrame:
@@ -29,13 +30,15 @@ def nearest(files: DataFrame, folders: DataFrame, path: str, max_hops: int = 8)
 
 def files_of_titles(titles: DataFrame, files: DataFrame, folder: str, path: str) -> DataFrame:
     """Titles (folder may be a file's own path) with the files in or under them; a title that is itself a file has the
-    files next to it whose names start with its stem."""
-    under = titles.join(with_ancestors(files, path), F.lower(folder) == F.lower("folder")).drop("depth", "folder")
+    files next to it whose names start with its stem. Starts meet as equal strings: each name is cut at all its lengths, so
+    titles and files of one folder make no pairs but those that are a result."""
+    under = titles.join(shuffled(with_ancestors(files, path)), F.lower(folder) == F.lower("folder")).drop("depth", "folder")
     flat = titles.where(F.lower(F.col(folder)).rlike(r"\.(?:mkv|mp4|avi|html)$"))
-    side = files.withColumn("_parent", F.lower(paths.parent(F.col(path))))
-    near = flat.join(side, F.lower(paths.parent(F.col(folder))) == F.col("_parent")).drop("_parent")
-    own = F.lower(paths.stem(F.col(path))).startswith(F.lower(paths.stem(F.col(folder))))
-    return under.unionByName(near.where(own).select(under.columns)).distinct()
+    flat = flat.withColumns({"_parent": F.lower(paths.parent(F.col(folder))), "_cut": F.lower(paths.stem(F.col(folder)))})
+    side = files.withColumns({"_parent": F.lower(paths.parent(F.col(path))), "_stem": F.lower(paths.stem(F.col(path)))})
+    cuts = F.transform(F.sequence(F.lit(0), F.length("_stem")), lambda n: F.substring("_stem", 1, n))
+    near = flat.join(shuffled(side.withColumn("_cut", F.explode(cuts)).drop("_stem")), ["_parent", "_cut"])
+    return under.unionByName(near.select(under.columns)).distinct()
 
 
 def leaves(files: DataFrame, path: str) -> DataFrame:

@@ -123,3 +123,16 @@ def test_groups_are_those_of_all_pairs(spark):
     got = graph.merge_groups(spark.createDataFrame(items, "id long, tokens array<string>, numbered boolean"), 2, 200)
     assert {r.id: r.component for r in got.collect()} == want
     assert want
+
+
+def test_files_of_a_folder_meet_titles_by_the_starts_of_names(spark):
+    """A join by folder alone tries all titles of a folder with all its files and holds their names against each other after that."""
+    names = ["10.html", "1.html", "100.txt", "2.html", "A.HTML", "abc.html", ".html", "b"]
+    files = spark.createDataFrame([(k, f"{folder}/{n}") for k, (folder, n) in enumerate((f, n) for f in ("h/x", "H/X", "h/y") for n in names)], "id long, path string")
+    titles = files.where("lower(path) like '%.html'").select(F.col("path").alias("title"))
+    got = trees.files_of_titles(titles, files, "title", "path")
+    low = lambda p: (p.rpartition("/")[0].lower(), p.rpartition("/")[2].rpartition(".")[0].lower() if "." in p else p.rpartition("/")[2].lower())
+    held = [(r.id, r.path) for r in files.collect()]
+    want = {(t, k) for _, t in held if t.lower().endswith(".html") for k, p in held if low(t)[0] == low(p)[0] and low(p)[1].startswith(low(t)[1])}
+    assert sorted((r.title, r.id) for r in got.collect()) == sorted(want)
+    assert not [n for n in nodes(got) if "Join" in n.getClass().getSimpleName() and n.condition().isDefined()]
