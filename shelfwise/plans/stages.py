@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.staging import spread, staged
+
 
 def actions(titles: DataFrame, files: DataFrame) -> DataFrame:
     """(title_id, stage, op, source, target) of titles (title_id, target, stem) with files (title_id, path, name, ext, role).
@@ -14,26 +16,30 @@ def actions(titles: DataFrame, files: DataFrame) -> DataFrame:
     folders. Titles without a main video fail in stage A and do nothing else.
     """
     main = files.where("role = 'main_video'").groupBy("title_id").agg(F.min_by(F.struct("path", "ext"), "path").alias("m"))
-    ready = titles.join(main, "title_id").select("title_id", "target", "stem", "m.*")
-    failed = titles.join(main, "title_id", "left_anti")
+    ready = titles.join(main.hint("shuffle_hash"), "title_id").select("title_id", "target", "stem", "m.*")
+    failed = titles.join(main.select("title_id").hint("shuffle_hash"), "title_id", "left_anti")
+    # files stream past the titles of their part, which a task holds, and what is once for a title follows from its folders
+    met = ready.select("title_id", "target", "stem").hint("shuffle_hash")
+    folders = files.groupBy("title_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.max(F.col("role") == "nfo").alias("old"), F.max(F.col("role") == "extra").alias("extras"))
+    folders = staged(folders, "folders")
+    once = folders.groupBy("title_id").agg(F.max("old").alias("old"), F.max("extras").alias("extras")).where("old or extras").join(met, "title_id")
+    moved = spread(files.where("role in ('sidecar', 'extra')").select("title_id", "path", "name", "role"), "title_id", source=files).join(met, "title_id")
     rows = lambda df, stage, op, source, target: df.select("title_id", F.lit(stage).alias("stage"), F.lit(op).alias("op"), source.alias("source"), target.alias("target"))
     none = F.lit(None).cast("string")
     place = lambda *parts: F.concat(F.col("target"), F.lit("/"), *parts)
-    with_title = files.join(ready.select("title_id", "target", "stem"), "title_id")
-    sidecars, extras = with_title.where("role = 'sidecar'"), with_title.where("role = 'extra'")
+    action = lambda stage, op, source, target: F.struct(F.lit(stage).alias("stage"), F.lit(op).alias("op"), source.alias("source"), target.alias("target"))
     nfo = place("stem", F.lit(".nfo"))
-    old = with_title.where("role = 'nfo'")
     extra_dir = place(F.lit("Extras"))
+    each = F.array(action("B", "mkdir", none, F.col("target")), action("C", "move", F.col("path"), place("stem", F.lit("."), "ext")), action("E", "write_file", none, nfo))
+    sidecar = F.col("role") == "sidecar"
+    ending = F.regexp_extract("name", r"((?:\.[a-z]{2,3})?(?:\.forced)?\.[^.]*)$", 1)
     parts = [
         rows(failed, "A", "fail", none, none),
-        rows(ready, "B", "mkdir", none, F.col("target")),
-        rows(ready, "C", "move", F.col("path"), place("stem", F.lit("."), "ext")),
-        rows(sidecars, "D", "move", F.col("path"), place("stem", F.regexp_extract("name", r"((?:\.[a-z]{2,3})?(?:\.forced)?\.[^.]*)$", 1))),
-        rows(old.select("title_id", "target", "stem").distinct(), "E", "backup", nfo, F.concat(nfo, F.lit(".bak"))),
-        rows(ready, "E", "write_file", none, nfo),
-        rows(extras.select("title_id", "target").distinct(), "F", "mkdir", none, extra_dir),
-        rows(extras, "F", "move", F.col("path"), F.concat(extra_dir, F.lit("/"), F.col("name"))),
-        rows(with_title.select("title_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).distinct(), "G", "rmdir", F.col("folder"), none),
+        ready.select("title_id", F.explode(each).alias("a")).select("title_id", "a.*"),
+        moved.select("title_id", F.when(sidecar, "D").otherwise("F").alias("stage"), F.lit("move").alias("op"), F.col("path").alias("source"), F.when(sidecar, place("stem", ending)).otherwise(F.concat(extra_dir, F.lit("/"), F.col("name"))).alias("target")),
+        rows(once.where("old").select("title_id", "target", "stem").distinct(), "E", "backup", nfo, F.concat(nfo, F.lit(".bak"))),
+        rows(once.where("extras").select("title_id", "target").distinct(), "F", "mkdir", none, extra_dir),
+        rows(folders.select("title_id", "folder").join(met.select("title_id").hint("shuffle_hash"), "title_id", "left_semi"), "G", "rmdir", F.col("folder"), none),
     ]
     out = parts[0]
     for part in parts[1:]:

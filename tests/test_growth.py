@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import registry
 from shelfwise.operators import completeness, graph, retrieval, staging, titles, trees
-from shelfwise.plans import intake
+from shelfwise.plans import intake, stages
 from shelfwise.streaming import matching
 
 
@@ -136,3 +136,17 @@ def test_files_of_a_folder_meet_titles_by_the_starts_of_names(spark):
     want = {(t, k) for _, t in held if t.lower().endswith(".html") for k, p in held if low(t)[0] == low(p)[0] and low(p)[1].startswith(low(t)[1])}
     assert sorted((r.title, r.id) for r in got.collect()) == sorted(want)
     assert not [n for n in nodes(got) if "Join" in n.getClass().getSimpleName() and n.condition().isDefined()]
+
+
+def test_actions_of_files_sort_no_files(spark):
+    """Sorts of all files for each kind of action added up in a task; files stream past their titles instead."""
+    rows = [(t, f"old/{t}/{k % 2}/f{k}.{e}", f"f{k}.{e}", e, role) for t in range(20) for k, (e, role) in enumerate((("mkv", "main_video" if t else "extra"), ("en.srt", "sidecar"), ("nfo", "nfo"), ("mkv", "extra"), ("mkv", "extra")))]
+    files = spark.createDataFrame(rows, "title_id long, path string, name string, ext string, role string")
+    out = stages.actions(spark.range(21).selectExpr("id as title_id", "concat('T/', id) as target", "concat('t', id) as stem"), files)
+    found = [n for n in nodes(out) if n.getClass().getSimpleName() in ("SortMergeJoinExec", "BroadcastHashJoinExec")]
+    assert not found
+    assert sorted(map(tuple, out.where("title_id in (0, 20)").collect())) == [(0, "A", "fail", None, None), (20, "A", "fail", None, None)]
+    assert sorted((r.stage, r.op, r.source or "", r.target or "") for r in out.where("title_id = 7").collect()) == [
+        ("B", "mkdir", "", "T/7"), ("C", "move", "old/7/0/f0.mkv", "T/7/t7.mkv"), ("D", "move", "old/7/1/f1.en.srt", "T/7/t7.en.srt"), ("E", "backup", "T/7/t7.nfo", "T/7/t7.nfo.bak"), ("E", "write_file", "", "T/7/t7.nfo"),
+        ("F", "mkdir", "", "T/7/Extras"), ("F", "move", "old/7/0/f4.mkv", "T/7/Extras/f4.mkv"), ("F", "move", "old/7/1/f3.mkv", "T/7/Extras/f3.mkv"), ("G", "rmdir", "old/7/0", ""), ("G", "rmdir", "old/7/1", ""),
+    ]
