@@ -39,12 +39,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sanitized(name: Column, profile: str = "inventory") -> Column:
-    """A name that any file system takes, by a profile: what it has no swap for is deleted."""
-    p = PROFILES[profile]
-    out = reduce(lambda c, swap: F.replace(c, F.lit(swap[0]), F.lit(swap[1])), p["swaps"].items(), name)
+def _refused(name: Column, profile: str) -> Column:
+    out = reduce(lambda c, swap: F.replace(c, F.lit(swap[0]), F.lit(swap[1])), PROFILES[profile]["swaps"].items(), name)
     out = F.regexp_replace(out, r'[<>:"/\\|?*\x00-\x1f]', "")
-    out = F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"^[ .]+|[ .]+$" if profile == "segment" else r"[. ]+$", "")
+    return F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"^[ .]+|[ .]+$" if profile == "segment" else r"[. ]+$", "")
+
+
+def _unreserved(out: Column, profile: str) -> Column:
+    p = PROFILES[profile]
     if p["reserved"] == "after":
         out = F.when(F.lower(out).isin(*RESERVED), F.concat(out, F.lit("_"))).otherwise(out)
     if p["reserved"] == "before":
@@ -52,7 +54,22 @@ def sanitized(name: Column, profile: str = "inventory") -> Column:
     if p["limit"]:
         out = F.substring(out, 1, p["limit"])
         out = out if profile == "segment" else F.regexp_replace(out, r"[. ]+$", "")
-    return F.when(out == "", p["empty"]).otherwise(out)
+    return out
+
+
+def _named(out: Column, profile: str) -> Column:
+    return F.when(out == "", PROFILES[profile]["empty"]).otherwise(out)
+
+
+def sanitized(name: Column, profile: str = "inventory") -> Column:
+    """A name that any file system takes, by a profile: what it has no swap for is deleted."""
+    return _named(_unreserved(_refused(name, profile), profile), profile)
+
+
+def all_sanitized(names: Column, profile: str = "inventory") -> Column:
+    """The sanitized forms of an array of names. A step's result is made once however often the next names it."""
+    finished = lambda out: let(_unreserved(out, profile), lambda o: _named(o, profile))
+    return F.transform(names, lambda name: let(_refused(name, profile), finished))
 
 
 def show_folder(name: Column) -> Column:
@@ -251,8 +268,12 @@ def leading_number(name: Column) -> Column:
 def letter(name: Column, articles=ARTICLES) -> Column:
     """The letter that a name is filed under, articles apart; 0-9 for digits, _Other, _Unknown for none."""
     rest = F.trim(F.regexp_replace(F.trim(name), rf"(?i)^(?:{'|'.join(articles)})\s+", ""))
-    first = F.upper(F.substring(rest, 1, 1))
-    return F.when(F.coalesce(rest, F.lit("")) == "", "_Unknown").when(first.rlike("[A-Z]"), first).when(first.rlike("[0-9]"), "0-9").otherwise("_Other")
+
+    def of(rest: Column) -> Column:
+        first = F.upper(F.substring(rest, 1, 1))
+        return F.when(F.coalesce(rest, F.lit("")) == "", "_Unknown").when(first.rlike("[A-Z]"), first).when(first.rlike("[0-9]"), "0-9").otherwise("_Other")
+
+    return let(rest, of)
 
 
 def article_sort_key(title: Column) -> Column:

@@ -44,34 +44,40 @@ def routed(files: DataFrame) -> DataFrame:
     left = F.trim(F.regexp_replace(stem, r"^\s*[0-9]{1,3}\s*[-_.]\s*", ""))
     out = files.withColumns({
         "artist_used": F.coalesce(artist, by_folder), "artist_source": F.when(artist.isNotNull(), "tag").otherwise(source),
-        "album_used": F.coalesce(found(album_used, r"^(?:19|20)[0-9]{2}\s*[-_]\s*(.+)$"), album_used),
+        # an expression that Spark interprets keeps this out of a stage's one method, which is too large to be compiled
+        "album_used": names.let(album_used, lambda al: F.coalesce(found(al, r"^(?:19|20)[0-9]{2}\s*[-_]\s*(.+)$"), al)),
         "album_source": F.when(album.isNotNull(), "tag").when(parent.isNotNull(), "parent_folder").when(grand.isNotNull(), "grandparent_folder").otherwise("fallback"),
         "year_used": F.coalesce(year, inner), "year_source": F.when(year.isNotNull(), "tag").when(inner.isNotNull(), "album_folder").otherwise("missing"),
         "track_used": F.coalesce(tagged, from_name), "track_source": F.when(tagged.isNotNull(), "tag").when(from_name.isNotNull(), "filename").otherwise("missing"),
         "title_used": F.coalesce(_present(F.col("title")), F.nullif(left, F.lit("")), F.lit("Unknown Title")),
         "title_source": F.when(_present(F.col("title")).isNotNull(), "tag").when(left != "", "filename").otherwise("fallback"),
     })
-    safe = lambda c: names.sanitized(c, "inventory")
     a = F.col("artist_used")
     head = F.when(F.col("track_used").isNotNull(), F.concat(F.col("track_used"), F.lit(" - "))).otherwise("")
     track = F.concat(head, F.when(bucket == "COMPILATION", F.concat(a, F.lit(" - "))).otherwise(""), F.col("title_used"))
-    file = F.concat(safe(track), ext)
-    album_folder = safe(F.concat(F.when(F.col("year_used").isNotNull(), F.concat(F.col("year_used").cast("string"), F.lit(" - "))).otherwise(""), F.col("album_used")))
+    album_folder = F.concat(F.when(F.col("year_used").isNotNull(), F.concat(F.col("year_used").cast("string"), F.lit(" - "))).otherwise(""), F.col("album_used"))
     second = F.when(n > 2, at(2))
+    known_artist = F.nullif(a, F.lit(""))
+    by = F.when(bucket == "RADIO", F.coalesce(known_artist, second, F.lit("_Unknown"))).when(bucket == "AUDIOBOOK", F.coalesce(known_artist, F.lit("_Unknown Author"))).when(bucket == "VIDEOGAME", F.coalesce(second, F.lit("_Unknown Game"))).otherwise(a)
+    middle = F.when(bucket == "SOUNDEFFECTS", F.slice(segs, F.lit(2), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    # cleaned once, in a column of their own: in each branch of the path by itself, a name is cleaned again wherever a step names it
+    out = out.withColumn("_safe", names.all_sanitized(F.concat(F.array(track, album_folder, by), middle), "inventory"))
+    safe = lambda k: F.col("_safe")[k]
+    file, album_folder, by = F.concat(safe(0), ext), safe(1), safe(2)
     join = lambda *parts: F.concat_ws("/", *parts)
-    tail = F.transform(F.slice(segs, F.lit(2), F.greatest(n - 2, F.lit(0))), safe)
+    tail = F.slice("_safe", F.lit(4), F.size("_safe"))
     path = (
-        F.when(bucket.isin("ARTIST", "DISSOLVE"), join(names.letter(a), safe(a), album_folder, file))
+        F.when(bucket.isin("ARTIST", "DISSOLVE"), join(names.letter(a), by, album_folder, file))
         .when(bucket == "SOUNDTRACK", join(F.lit("Soundtracks"), album_folder, file))
         .when(bucket == "COMPILATION", join(F.lit("Compilations"), album_folder, file))
-        .when(bucket == "RADIO", join(F.lit("Radio"), safe(F.coalesce(F.nullif(a, F.lit("")), second, F.lit("_Unknown"))), album_folder, file))
-        .when(bucket == "AUDIOBOOK", join(F.lit("Audiobooks"), safe(F.coalesce(F.nullif(a, F.lit("")), F.lit("_Unknown Author"))), album_folder, file))
-        .when(bucket == "COMEDY", join(F.lit("Comedy"), names.letter(a), safe(a), album_folder, file))
+        .when(bucket == "RADIO", join(F.lit("Radio"), by, album_folder, file))
+        .when(bucket == "AUDIOBOOK", join(F.lit("Audiobooks"), by, album_folder, file))
+        .when(bucket == "COMEDY", join(F.lit("Comedy"), names.letter(a), by, album_folder, file))
         .when(bucket == "SOUNDEFFECTS", join(F.lit("Sound Effects"), F.array_join(F.array_append(tail, file), "/")))
-        .when(bucket == "VIDEOGAME", join(F.lit("Video Game Soundtracks"), safe(F.coalesce(second, F.lit("_Unknown Game"))), file))
+        .when(bucket == "VIDEOGAME", join(F.lit("Video Game Soundtracks"), by, file))
         .otherwise(join(F.lit("_Review"), F.col("path")))
     )
-    out = out.withColumn("new_path", path)
+    out = out.withColumn("new_path", path).drop("_safe")
     needs = ~bucket.isin("SOUNDTRACK", "COMPILATION", "RADIO", "AUDIOBOOK", "SOUNDEFFECTS", "VIDEOGAME")
     known = bucket.isin("ARTIST", "DISSOLVE", "SOUNDTRACK", "COMPILATION", "RADIO", "AUDIOBOOK", "COMEDY", "SOUNDEFFECTS", "VIDEOGAME")
     reasons = F.array_compact(F.array(
