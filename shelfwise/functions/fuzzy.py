@@ -23,6 +23,8 @@ def folded(names: pd.Series) -> pd.Series:
     ligatures = str.maketrans({"æ": "ae", "œ": "oe", "ß": "ss", "ø": "o", "ð": "d", "þ": "th", "ł": "l"})
 
     def fold(x):
+        if x is not None and x.isascii():
+            return x.lower()
         return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.lower().translate(ligatures)) if not unicodedata.combining(c))
 
     return names.map(fold)

@@ -40,6 +40,18 @@ def test_names_of_a_plan_are_not_collected(spark):
     assert not [n for n in nodes(found) if n.getClass().getSimpleName() == "BroadcastHashJoinExec"]
 
 
+def test_names_of_a_plan_make_few_rows(spark):
+    """A name made a row for each run of its words with each other word and size, some sixty."""
+    n = 3000
+    word = lambda *some: F.element_at(F.array(*map(F.lit, some)), (F.col("id") % len(some) + 1).cast("int"))
+    plan = spark.range(n).select(F.col("id").alias("row"), F.concat_ws(" ", F.lit("the"), word("red", "blue", "old"), word("ring", "bolt"), F.md5(F.col("id").cast("string")), word("large", "small", "promo", "medium", "economy")).alias("name"))
+    guesses = plan.select(F.col("row").alias("id"), F.concat("name", F.when(F.col("row") % 2 == 0, " uncut").otherwise("")).alias("name"))
+    guesses = guesses.select("id", F.when(F.col("id") % 3 == 0, F.regexp_replace("name", r"^\S+ \S+ ", "")).otherwise(F.col("name")).alias("name"))
+    found = titles.best_in_plan(guesses, plan)
+    assert most_rows(found) <= 4 * n
+    assert found.where("row = id").count() == n - n // 6  # cut and longer by a word: 3 of 5 words shared, neither inside the other
+
+
 def test_shows_and_folders_of_one_name_make_no_pairs(spark):
     n = 2000
     shows = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("Show"), F.when(F.col("id") % 2 == 0, " X").otherwise("")).alias("name"), F.when(F.col("id") % 50 == 0, F.col("id").cast("string")).alias("tmdb"))
