@@ -207,8 +207,12 @@ EPISODE_CRUFT = (
 def _kept_words(words: Column, whole: tuple[str, ...], parts: tuple[str, ...], edges: str) -> Column:
     """Words that are no release token, hold none of the parts and are no number of four digits or more."""
     low = lambda t: F.regexp_replace(F.lower(t), rf"^[{edges}]+|[{edges}]+$", "")
-    some = "|".join(p.replace(".", "[.]") for p in parts)
-    return F.array_join(F.filter(words, lambda t: (low(t) != "") & ~low(t).isin(*whole) & ~low(t).rlike(some) & ~low(t).rlike("^[0-9]{4,}$")), " ")
+    starts: dict[str, list[str]] = {}
+    for p in parts:
+        starts.setdefault(p[0], []).append(p[1:].replace(".", "[.]"))
+    some = f"(?=[{''.join(starts)}])(?:{'|'.join(f'{c}(?:{"|".join(ends)})' for c, ends in starts.items())})"  # tried only where a first letter fits
+    kept = lambda w: (w != "") & ~w.isin(*whole) & ~w.rlike(some) & ~w.rlike("^[0-9]{4,}$")
+    return F.array_join(F.filter(words, lambda t: let(low(t), kept)), " ")
 
 
 def clean_folder(name: Column) -> Column:

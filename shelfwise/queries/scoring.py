@@ -202,7 +202,7 @@ def series_plan_match(spark, d):
 
 @query()
 def episode_title_match(spark, d):
-    """Which episode of its series a file's title means, and how sure that is; all files and titles of a brand meet."""
+    """Which episode of its series a file's title means, and how sure that is, out of all titles of a brand."""
     plan = _named_parts(spark, d)
     k = F.col("o_orderkey")
     named = read(spark, d, "orders").join(plan, F.col("o_custkey") == F.col("p_partkey"))
